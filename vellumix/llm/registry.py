@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from . import secrets
+from .decontaminate import op8_benchmark_decontamination
+from .quality import op6_quality_classifier
+from .secrets import op4_secret_scans
 from .simhash import op9_simhash_near_dedup
 
 QUERIES = {
+    "op4_secret_scans": op4_secret_scans,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_secret_scans": secrets.ORACLE_SQL}
