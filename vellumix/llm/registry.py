@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from . import secrets, warc
+from . import chat, secrets, warc
 from .bpe import op2_byte_bpe
+from .chat import op5_chat_formatting
 from .decontaminate import op8_benchmark_decontamination
 from .mpegts import op1_mpeg_ts
 from .quality import op6_quality_classifier
 from .secrets import op4_secret_scans
 from .simhash import op9_simhash_near_dedup
+from .suffix import op3_suffix_array_dedup
 from .toxicity import op10_toxicity
 from .warc import op7_warc
 
 QUERIES = {
     "op1_mpeg_ts": op1_mpeg_ts,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_secret_scans": op4_secret_scans,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
@@ -23,4 +27,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE = {"op4_secret_scans": secrets.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
+ORACLE = {"op4_secret_scans": secrets.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
