@@ -7,8 +7,8 @@ Method, in five steps.
    before (their strings all start earlier elsewhere) before anything is shuffled.
 2. Anchors are dealt out by k-mer. Of equal contexts all but the first are covered whole. The first ones of k-mers with
    several contexts may still share single strings.
-3. Those contexts' bytes are fetched from the documents and dealt out by k-mer again; each task builds suffix arrays of
-   its contexts by linear grouping: suffixes start in groups by their first symbol; groups are processed in descending
+3. Those contexts' bytes are fetched from the documents and dealt out by k-mer again; contexts that agree with no other
+   one of their k-mer on either side of it drop out; each task builds suffix arrays of the rest by linear grouping: suffixes start in groups by their first symbol; groups are processed in descending
    order; each member finds its previous smaller suffix by following the pointers of processed ones; the suffixes pointed
    at leave their group for one right above it, higher the more members point at them. The groups are then those of
    equal Lyndon prefixes in order, and one pass emits the suffix array group by group, following the same pointers,
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._anchors import WIDTH, anchors, context_hashes
+from ._anchors import WIDTH, K, anchors, context_hashes, kmer_hashes
 from ._common import prepare, read, slices, stored, text_or_empty, texts
 
 #: Contexts of one k-mer that one suffix array takes.
@@ -163,6 +163,29 @@ def repeated_starts(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, w
     return flags
 
 
+def may_share(key: np.ndarray, contexts: list[bytes]) -> np.ndarray:
+    """Which contexts can share a string with another one of their k-mer: a string takes at least half of what it has
+    besides the k-mer from one side, so the contexts must agree in that many bytes left or right of the k-mer."""
+    half = (WIDTH - K + 1) // 2
+    x = np.frombuffer(b"".join(contexts), np.uint8)
+    end = np.cumsum([len(c) for c in contexts])
+    begin = end - np.array([len(c) for c in contexts])
+    h = kmer_hashes(x)
+    which = np.repeat(np.arange(len(contexts)), end - begin)[: len(h)]
+    found = np.flatnonzero(h == key.view(np.uint64)[which])
+    found = found[found + K <= end[which[found]]]
+    own, first = np.unique(which[found], return_index=True)
+    at = np.zeros(len(contexts), np.int64)
+    at[own] = found[first]
+    out = np.zeros(len(contexts), bool)
+    for lo, hi in ((at - half, at), (at + K, at + K + half)):
+        inside = np.flatnonzero((lo >= begin) & (hi <= end))
+        side = context_hashes(x, lo[inside], hi[inside])
+        _, back, n = np.unique(np.stack([key[inside].view(np.uint64), side], axis=1), axis=0, return_inverse=True, return_counts=True)
+        out[inside[n[back.reshape(-1)] > 1]] = True
+    return out
+
+
 def _runs(flags: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, first, last) of runs of flagged starts that follow each other."""
     i = np.flatnonzero(flags)
@@ -283,6 +306,10 @@ def _by_suffix_arrays(contexts: DataFrame) -> DataFrame:
     """doc, a, b: covered starts found by suffix arrays over whole k-mers."""
 
     def settle(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        some = may_share(np.array([x[0] for x in held], np.int64), [x[3] for x in held])
+        held = [x for x, s in zip(held, some, strict=True) if s]
+        if not held:
+            return _batch("doc a b", *[np.zeros(0, np.int64)] * 3)
         doc, start = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
         ctx = [x[3] for x in held]
         flags = repeated_starts(ctx, doc, start)
