@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+from .fuzzy import fuzzy
+
 #: Quotes that are compared with all texts at a time.
 BLOCK = 2000
 
@@ -26,3 +29,43 @@ def containment(docs: DataFrame, quotes: DataFrame, keep: bool = False, block: i
         hits = hits.select("item_id", "doc_id", *(("text", "quote") if keep else ()))
         found = hits if found is None else found.unionByName(hits)
     return found
+
+
+def verify(claims: DataFrame, threshold: float = 90.0) -> DataFrame:
+    """item_id, doc_id, status: exact, snapped or no-match for claims (item_id, doc_id, quote, text).
+
+    Exact after weak normalization is native; only what is left goes to the fuzzy kernel.
+    """
+    rows = claims.withColumn("q", text.weak_normal("quote")).withColumn("t", text.weak_normal("text"))
+    exact = rows.where(F.col("t").contains(F.col("q"))).select("item_id", "doc_id", F.lit("exact").alias("status"))
+    rest = rows.where(~F.col("t").contains(F.col("q")))
+    best = fuzzy(text.full_normal("quote"), text.full_normal("text"), partial=True)
+    return exact.union(rest.select("item_id", "doc_id", F.when(best >= threshold, "snapped").otherwise("no-match")))
+
+
+# Limits of the wording ladder.
+FUZZY_LEAST, FRAGMENT_LEAST, FRAGMENTS_LEAST = 82.0, 6, 40
+
+
+def wording(claims: DataFrame) -> DataFrame:
+    """item_id, doc_id, step: the first step of the ladder on which a quote is found in its text.
+
+    exact, weak (quotation marks, blanks), casefold, ellipsis (fragments around "..." in order), fuzzy, none. All but the
+    fuzzy step are one native expression; the kernel sees what they leave.
+    """
+    q, t = F.col("quote"), F.col("text")
+    wq, wt = text.weak_normal("quote"), text.weak_normal("text")
+    parts = F.filter(F.transform(F.split(wq, r"\s*(?:\.\.\.|…|\[\.\.\.\])\s*"), F.trim), lambda x: x != "")
+    ellipsis = (F.size(parts) >= 2) & F.forall(parts, lambda x: F.length(x) >= FRAGMENT_LEAST) & (F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x)) >= FRAGMENTS_LEAST)
+    in_order = _in_order(parts, wt)
+    step = F.when(t.contains(q), "exact").when(wt.contains(wq), "weak").when(F.lower(wt).contains(F.lower(wq)), "casefold").when(ellipsis & in_order, "ellipsis")
+    rows = claims.withColumn("step", step)
+    sure = rows.where("step is not null").select("item_id", "doc_id", "step")
+    rest = rows.where("step is null")
+    return sure.union(rest.select("item_id", "doc_id", F.when(fuzzy(wq, wt, partial=True) >= FUZZY_LEAST, "fuzzy").otherwise("none")))
+
+
+def _in_order(parts: Column, body: Column) -> Column:
+    """Whether the parts occur in body one after the other: what is left of body behind each, null once one is missing."""
+    left = F.aggregate(parts, body, lambda rest, x: F.when(rest.contains(x), F.substring(rest, F.position(x, rest) + F.length(x), F.length(rest))))
+    return left.isNotNull()

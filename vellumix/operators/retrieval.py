@@ -1,10 +1,21 @@
-"""Vector helpers."""
+"""Retrieval: lexical and vector search for sets of queries, rank fusion, and measures of the results.
+
+Queries are the stated set: they are few, so they are broadcast (in blocks where their number asks for it) and the
+corpus is never shuffled by more than what it holds of the queries' terms.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+K1, B = 1.2, 0.75
+RRF_K = 60
+#: Queries that are compared with all vectors at a time.
+BLOCK = 1000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -12,3 +23,83 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """term, key, tf, size: an inverted index; store it partitioned by term for repeated use."""
+    rows = docs.select(key, tokens.alias("t")).withColumn("size", F.size("t"))
+    return rows.select(key, "size", F.explode("t").alias("term")).groupBy("term", key, "size").agg(F.count("*").alias("tf"))
+
+
+def bm25(docs: DataFrame, key: str, tokens: Column, queries: DataFrame, k: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, key, score (higher is better) of the documents that hold all terms of a query; queries: query_id, terms.
+
+    Only the queries' terms are looked up, so texts are reduced to their counts of those before anything is shuffled.
+    """
+    q = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    need = q.groupBy("query_id").agg(F.count("*").alias("need"))
+    terms = F.broadcast(q.select("term").distinct())
+    rows = docs.select(key, tokens.alias("t"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_size"))
+    tf = rows.select(key, F.size("t").alias("size"), F.explode("t").alias("term")).join(terms, "term").groupBy("term", key, "size").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    weights = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_size")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg_size")))
+    hits = tf.join(F.broadcast(weights), "term").join(F.broadcast(q), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"), F.count("*").alias("found"))
+    out = hits.join(F.broadcast(need), "query_id").where("found = need").select("query_id", key, "score")
+    return out if k is None else top(out, key, F.desc("score"), k).drop("rank")
+
+
+def top(hits: DataFrame, key: str, order: Column, k: int) -> DataFrame:
+    """The first k rows of each query with their rank; ties by key."""
+    w = Window.partitionBy("query_id").orderBy(order, key)
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """query_id, key, distance, rank: the exact k nearest by Euclidean distance, ties by key; queries: query_id, q.
+
+    Vectors of different lengths raise an error. Queries go in blocks, each broadcast; each task keeps its k best of each
+    query before the shuffle (a partial top-k by the window's group limit).
+    """
+    n = queries.count()
+    blocks = max(1, math.ceil(n / block))
+    out = None
+    v = vectors.select(key, F.col(vector).cast("array<double>").alias("v"))
+    for i in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        pairs = v.join(F.broadcast(part.select("query_id", F.col("q").cast("array<double>").alias("q"))))
+        checked = F.when(F.size("v") == F.size("q"), l2(F.col("v"), F.col("q"))).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("double"))
+        found = top(pairs.select("query_id", key, checked.alias("distance")), key, F.col("distance"), k)
+        out = found if out is None else out.union(found)
+    return out
+
+
+def rrf(lists: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
+    """query_id, key, score: the sum of 1 / (k + rank) over all lists that name a key; lists: query_id, list, key, rank."""
+    return lists.groupBy("query_id", key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
+
+
+def fuse(lexical: DataFrame, vector: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
+    """query_id, key, score, lexical_rank, vector_rank: a full outer merge of two lists with ranks."""
+    a = lexical.select("query_id", key, F.col("rank").alias("lexical_rank"))
+    b = vector.select("query_id", key, F.col("rank").alias("vector_rank"))
+    one = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
+    return a.join(b, ["query_id", key], "full_outer").withColumn("score", one("lexical_rank") + one("vector_rank"))
+
+
+def best_of_parent(hits: DataFrame, parent: str, child: str, score: str = "score") -> DataFrame:
+    """query_id, parent, score, child: a parent has its best child's score; ties by the smaller child."""
+    best = F.max_by(child, F.struct(score, -F.col(child).cast("double")))
+    return hits.groupBy("query_id", parent).agg(F.max(score).alias("score"), best.alias(child))
+
+
+def measures(ranked: DataFrame, relevant: DataFrame, key: str, k: int = 10) -> DataFrame:
+    """query_id, recall, ndcg, rr at k; queries without relevant keys are left out. ranked: query_id, key, rank."""
+    hits = ranked.where(F.col("rank") <= k).join(relevant.select("query_id", key).distinct(), ["query_id", key])
+    got = hits.groupBy("query_id").agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"), F.min("rank").alias("first"))
+    total = relevant.select("query_id", key).distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    joined = total.join(got, "query_id", "left")
+    return joined.select("query_id", (F.coalesce("found", F.lit(0)) / F.col("n")).alias("recall"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))

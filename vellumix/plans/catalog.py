@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import q_relational, q_scalar  # noqa: F401  each module registers its queries
+from . import q_aggregate, q_relational, q_retrieval, q_scalar  # noqa: F401  each module registers its queries
 from .registry import ORACLE, QUERIES, Query
 
 
