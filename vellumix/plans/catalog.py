@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import table
 from . import q_aggregate, q_relational, q_retrieval, q_scalar  # noqa: F401  each module registers its queries
 from .registry import ORACLE, QUERIES, Query
 
@@ -18,4 +17,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """Hybrid search: lexical and near lists fused by rank, aggregated to groups."""
+    return QUERIES["r05_hybrid_search"](spark, sf_dir)
