@@ -133,12 +133,14 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     prepare(docs.sparkSession)
     new = stored(scan(docs, ledger), "secret-ledger")
     rows = (new if ledger is None else ledger.unionByName(new)).where(F.size("spans") > 0)
-    found = rows.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__spans"))
-    out = docs.withColumn("__blob", F.sha2(text_or_empty(), 256)).join(found.withColumnRenamed("blob", "__blob"), "__blob", "left")
-    out = out.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("__spans"))))
+    found = rows.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    own = docs.select(F.struct(*docs.columns).alias("d"), F.sha2(text_or_empty(), 256).alias("blob"))  # a struct, lest names clash
+    none = F.col("spans").isNull()
+    text = F.when(none, F.col("d.text")).otherwise(redacted(F.col("d.text"), F.col("spans")))
+    new_columns = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new_columns["n_chars"] = F.when(none, F.col("d.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return own.join(found, "blob", "left").select(*(new_columns.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
