@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_aggregate, q_relational, q_retrieval, q_scalar  # noqa: F401  each module registers its queries
+from . import q_aggregate, q_more, q_relational, q_retrieval, q_scalar, q_sources  # noqa: F401  each module registers its queries
 from .registry import ORACLE, QUERIES, Query
 
 
