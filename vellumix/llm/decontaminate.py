@@ -33,7 +33,7 @@ MIN_PIECE = 8
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 8_000_000
 #: Bytes of text that are searched at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: Bits of the bitmap of first bytes.
 BITS = 22
 STEP = np.uint64(0x9E3779B97F4A7C15)
