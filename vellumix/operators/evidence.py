@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut
 from .fuzzy import fuzzy
 
 #: Quotes that are compared with all texts at a time.
@@ -36,7 +37,7 @@ def verify(claims: DataFrame, threshold: float = 90.0) -> DataFrame:
 
     Exact after weak normalization is native; only what is left goes to the fuzzy kernel.
     """
-    rows = claims.withColumn("q", text.weak_normal("quote")).withColumn("t", text.weak_normal("text"))
+    rows = cut(claims).withColumn("q", text.weak_normal("quote")).withColumn("t", text.weak_normal("text"))  # cut, lest a join before it evaluates this for all pairs
     exact = rows.where(F.col("t").contains(F.col("q"))).select("item_id", "doc_id", F.lit("exact").alias("status"))
     rest = rows.where(~F.col("t").contains(F.col("q")))
     best = fuzzy(text.full_normal("quote"), text.full_normal("text"), partial=True)
@@ -59,7 +60,7 @@ def wording(claims: DataFrame) -> DataFrame:
     ellipsis = (F.size(parts) >= 2) & F.forall(parts, lambda x: F.length(x) >= FRAGMENT_LEAST) & (F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x)) >= FRAGMENTS_LEAST)
     in_order = _in_order(parts, wt)
     step = F.when(t.contains(q), "exact").when(wt.contains(wq), "weak").when(F.lower(wt).contains(F.lower(wq)), "casefold").when(ellipsis & in_order, "ellipsis")
-    rows = claims.withColumn("step", step)
+    rows = cut(claims).withColumn("step", step)
     sure = rows.where("step is not null").select("item_id", "doc_id", "step")
     rest = rows.where("step is null")
     return sure.union(rest.select("item_id", "doc_id", F.when(fuzzy(wq, wt, partial=True) >= FUZZY_LEAST, "fuzzy").otherwise("none")))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "vellumix", cores: int | str | None = None, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -25,3 +26,11 @@ def get_spark(app: str = "vellumix", cores: int | str | None = None, shuffle_par
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder that all executors share (a local one only where none is set, as in tests)."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellumix-"))
+    return df.checkpoint()
