@@ -334,10 +334,10 @@ def a39(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "ledger").select("ord", "paper_id", "decision", F.lead("ord").over(w).alias("superseded_by"))
 
 
-@query("a40_name_audit", "SELECT DISTINCT a.c_custkey FROM (SELECT c_custkey, c_nationkey, lower(c_mktsegment) AS family FROM customer WHERE c_custkey % 2 = 0) a JOIN (SELECT c_nationkey, lower(c_mktsegment) AS given FROM customer WHERE c_custkey % 2 = 1) b ON a.c_nationkey = b.c_nationkey AND family = given")
+@query("a40_name_audit", "SELECT DISTINCT a.c_custkey FROM (SELECT c_custkey, c_nationkey, lower(c_mktsegment) AS family FROM customer WHERE c_acctbal >= 0) a JOIN (SELECT c_nationkey, lower(c_mktsegment) AS given FROM customer WHERE c_acctbal < 0) b ON a.c_nationkey = b.c_nationkey AND family = given")
 def a40(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.lower("c_mktsegment").alias("name"))
-    return c.where("c_custkey % 2 = 0").join(c.where("c_custkey % 2 = 1"), ["c_nationkey", "name"], "left_semi").select("c_custkey")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.lower("c_mktsegment").alias("name"))
+    return c.where("c_acctbal >= 0").join(c.where("c_acctbal < 0"), ["c_nationkey", "name"], "left_semi").select("c_custkey")
 
 
 @query("a41_manifest", "SELECT lang, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS manifest FROM documents GROUP BY lang")

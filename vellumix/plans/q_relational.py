@@ -35,10 +35,10 @@ def s08(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "papers").select("paper_id", F.coalesce("oa_url", doi, "url").alias("target"), tier.alias("tier"))
 
 
-@query("s13_upsert", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'NEW' END, c_mktsegment) AS c_mktsegment, c_name FROM customer UNION ALL SELECT -s_suppkey - 1, 'NEW', NULL FROM supplier")
+@query("s13_upsert", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal < 0 THEN 'NEW' END, c_mktsegment) AS c_mktsegment, c_name FROM customer UNION ALL SELECT -s_suppkey - 1, 'NEW', NULL FROM supplier")
 def s13(spark: SparkSession, sf: str) -> DataFrame:
     old = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_name")
-    new = old.where("c_custkey % 3 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"))
+    new = table(spark, sf, "customer").where("c_acctbal < 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"))
     more = table(spark, sf, "supplier").select((-F.col("s_suppkey") - 1).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"))
     return rel.upsert(old, new.union(more), ["c_custkey"])
 
@@ -70,12 +70,12 @@ def s19(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "papers").join(bad, "paper_id", "left").select("paper_id", route.alias("route"))
 
 
-@query("s20_import_new", with_views(f"SELECT paper_id FROM papers p WHERE paper_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM papers q WHERE q.paper_id % 2 = 0 AND {DOI_SQL.replace('doi)', 'q.doi)')} = {DOI_SQL.replace('doi)', 'p.doi)')}) AND NOT EXISTS (SELECT 1 FROM papers q WHERE q.paper_id % 2 = 0 AND q.url = p.url)"))
+@query("s20_import_new", with_views(f"SELECT paper_id FROM papers p WHERE language <> 'en' AND NOT EXISTS (SELECT 1 FROM papers q WHERE q.language = 'en' AND {DOI_SQL.replace('doi)', 'q.doi)')} = {DOI_SQL.replace('doi)', 'p.doi)')}) AND NOT EXISTS (SELECT 1 FROM papers q WHERE q.language = 'en' AND q.url = p.url)"))
 def s20(spark: SparkSession, sf: str) -> DataFrame:
     """Entries that the library knows by neither DOI nor address: two anti-joins rather than a join on OR."""
-    p = view(spark, sf, "papers").select("paper_id", text.normalize_doi("doi").alias("d"), "url")
-    known = p.where("paper_id % 2 = 0")
-    return p.where("paper_id % 2 = 1").join(known.where("d is not null").select("d").distinct(), "d", "left_anti").join(known.where("url is not null").select("url").distinct(), "url", "left_anti").select("paper_id")
+    p = view(spark, sf, "papers").select("paper_id", "language", text.normalize_doi("doi").alias("d"), "url")
+    known = p.where("language = 'en'")
+    return p.where("language <> 'en'").join(known.where("d is not null").select("d").distinct(), "d", "left_anti").join(known.where("url is not null").select("url").distinct(), "url", "left_anti").select("paper_id")
 
 
 @query("s21_export_lines", with_views(f"SELECT paper_id, '@article{{p' || paper_id || ', title = {{' || title || '}}, year = {{' || coalesce(CAST(year AS STRING), '') || '}}, doi = {{' || coalesce({DOI_SQL}, '') || '}}}}' AS entry FROM papers"))
@@ -254,17 +254,17 @@ def j12(spark: SparkSession, sf: str) -> DataFrame:
     return length_bands(table(spark, sf, "benchmark").select("item_id", F.length("text").alias("n")), "item_id", "n", 0.95)
 
 
-@query("j14_either_key", with_views(f"SELECT paper_id FROM papers p WHERE paper_id % 2 = 1 AND ({DOI_SQL.replace('doi)', 'p.doi)')} IN (SELECT {DOI_SQL} FROM papers WHERE paper_id % 2 = 0 AND {DOI_SQL} IS NOT NULL) OR url IN (SELECT url FROM papers WHERE paper_id % 2 = 0 AND url IS NOT NULL))"))
+@query("j14_either_key", with_views(f"SELECT paper_id FROM papers p WHERE language <> 'en' AND ({DOI_SQL.replace('doi)', 'p.doi)')} IN (SELECT {DOI_SQL} FROM papers WHERE language = 'en' AND {DOI_SQL} IS NOT NULL) OR url IN (SELECT url FROM papers WHERE language = 'en' AND url IS NOT NULL))"))
 def j14(spark: SparkSession, sf: str) -> DataFrame:
-    p = view(spark, sf, "papers").select("paper_id", text.normalize_doi("doi").alias("d"), "url")
-    known, new = p.where("paper_id % 2 = 0"), p.where("paper_id % 2 = 1")
+    p = view(spark, sf, "papers").select("paper_id", "language", text.normalize_doi("doi").alias("d"), "url")
+    known, new = p.where("language = 'en'"), p.where("language <> 'en'")
     return new.join(known.select("d"), "d", "left_semi").select("paper_id").union(new.join(known.select("url"), "url", "left_semi").select("paper_id")).distinct()
 
 
-@query("j15_difference_both_ways", "SELECT coalesce(o_custkey, c_custkey) AS id, CASE WHEN c_custkey IS NULL THEN 'missing' ELSE 'orphaned' END AS kind FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 4 = 0) FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey WHERE o_custkey IS NULL OR c_custkey IS NULL")
+@query("j15_difference_both_ways", "SELECT coalesce(o_custkey, c_custkey) AS id, CASE WHEN c_custkey IS NULL THEN 'missing' ELSE 'orphaned' END AS kind FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') FULL JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey WHERE o_custkey IS NULL OR c_custkey IS NULL")
 def j15(spark: SparkSession, sf: str) -> DataFrame:
-    cited = table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("id")).distinct()
-    have = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
+    cited = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).distinct()
+    have = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     return cited.join(have, "id", "left_anti").select("id", F.lit("missing").alias("kind")).union(have.join(cited, "id", "left_anti").select("id", F.lit("orphaned")))
 
 

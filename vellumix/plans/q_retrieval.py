@@ -148,10 +148,10 @@ def a16(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("query_id", *(F.round(c, 6).alias(c) for c in ("recall", "ndcg", "rr")))
 
 
-@query("r13_known_items", with_views("SELECT lower(title) AS q, min(block) AS block FROM (SELECT title, 0 AS block FROM papers WHERE paper_id % 50 = 0 UNION ALL (SELECT title, 1 FROM papers ORDER BY coalesce(citations, 0) DESC, paper_id LIMIT 10)) GROUP BY 1 ORDER BY block, q LIMIT 8"))
+@query("r13_known_items", with_views("SELECT lower(title) AS q, min(block) AS block FROM (SELECT title, 0 AS block FROM papers WHERE is_retracted UNION ALL (SELECT title, 1 FROM papers ORDER BY coalesce(citations, 0) DESC, paper_id LIMIT 10)) GROUP BY 1 ORDER BY block, q LIMIT 8"))
 def r13(spark: SparkSession, sf: str) -> DataFrame:
     p = view(spark, sf, "papers")
-    own = p.where("paper_id % 50 = 0").select("title", F.lit(0).alias("block"))
+    own = p.where("is_retracted").select("title", F.lit(0).alias("block"))
     cited = p.orderBy(F.coalesce("citations", F.lit(0)).desc(), "paper_id").limit(10).select("title", F.lit(1))
     return own.union(cited).groupBy(F.lower("title").alias("q")).agg(F.min("block").alias("block")).orderBy("block", "q").limit(8)
 
@@ -187,11 +187,11 @@ def f16(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("item_id", sequence_ratio(F.col("text"), F.reverse(F.lower("text"))).alias("ratio"))
 
 
-@query("f16_levenshtein_sibling", "SELECT item_id, round(1 - levenshtein(substring(t, 1, 40), substring(t, 21, 40)) / 40.0, 6) AS similarity FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark)")
+@query("f16_levenshtein_sibling", "SELECT item_id, round(1 - levenshtein(t, reverse(t)) / greatest(length(t), 1), 6) AS similarity FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark)")
 def f16s(spark: SparkSession, sf: str) -> DataFrame:
     ascii_ = F.regexp_replace("text", "[^ -~]", "")  # the twin's distance counts bytes
-    a, b = F.substring(ascii_, 1, 40), F.substring(ascii_, 21, 40)
-    return table(spark, sf, "benchmark").select("item_id", F.round(1 - F.levenshtein(a, b) / 40.0, 6).alias("similarity"))
+    distance = F.levenshtein(ascii_, F.reverse(ascii_))
+    return table(spark, sf, "benchmark").select("item_id", F.round(1 - distance / F.greatest(F.length(ascii_), F.lit(1)), 6).alias("similarity"))
 
 
 @query("f17_fuzzy_ratio")
