@@ -330,6 +330,19 @@ def test_quality_labels(spark):
     assert len(p) == 1000 and labels[labels.quality == 1].keep.mean() > 0.98 and labels[labels.quality == 0].keep.mean() < 0.15
 
 
+def test_quality_repetition(spark):
+    """Common words over and over are likely by any n-gram model; still they are junk."""
+    sf = SMALL.replace("0.001", "0.01")
+    docs, labels = _common.read(spark, sf, "documents"), _common.read(spark, sf, "labels")
+    junk = ["The " * 200, "the " * 60, "idiot " * 60, "and the " * 60, "The The The And And And Of Of Of"]
+    more = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    p = quality.perplexity(docs.select("doc_id", "text", "lang").union(more), labels).toPandas()
+    assert not p[p.doc_id < 0].keep.any()
+    judged = duckdb.sql(f"SELECT * FROM '{sf}/labels.parquet'").df().merge(p, on="doc_id")
+    assert not judged[judged.quality == 0].keep.any() and judged[judged.quality == 1].keep.mean() > 0.98
+    assert quality.repetition(b"a A b a b") == (5, 1, 1) and quality.repetition(b" ") == (0, 0, 0)
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (7, 1, 0), (8, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     p = quality.perplexity(odd, labels)

@@ -14,6 +14,11 @@ A document is rejected if its perplexity, its log shrunk towards the language's
 by a model of the other half of them, lest a document that was counted itself seem too likely; all others by the model
 of all. A language with fewer than ``LEAST`` trusted documents takes the quantile of all trusted ones if that is higher.
 
+An n-gram model of any width finds a common word no less likely for standing there the twentieth time in a row, so two
+more shares are held against the same quantile of the language's trusted documents: that of words which double the one
+before them, and that of pairs of words which the document has had before; both are shrunk towards the language's
+trusted mean by ``PRIOR`` words.
+
 Defined cases: a null text is empty; an empty text has the perplexity of its language's mean and is kept; a null
 language is a language of its own; a document is trusted if any of its label rows has quality 1 and none has 0;
 repeated rows are scored one by one; without any trusted text all documents are kept; further columns are kept by
@@ -34,7 +39,7 @@ from ._common import checked_broadcast, prepare, read, slices, text_or_empty, te
 ORDER = 4
 #: Share of a language's trusted documents that lie below its threshold.
 QUANTILE = 0.999
-#: Symbols of mean log-probability that are added to each document.
+#: Symbols of mean log-probability, and words of mean repetition, that are added to each document.
 PRIOR = 40
 #: Of percentile_approx: ranks are exact to this part of the rows.
 ACCURACY = 100_000
@@ -42,6 +47,8 @@ ACCURACY = 100_000
 LEAST = 300
 #: Bytes of text that are scored at once.
 CHUNK = 1 << 19
+#: Counts of repetition that are held against the trusted documents' beside the perplexity.
+REPEATS = ("doubled", "again")
 
 
 def symbols() -> np.ndarray:
@@ -174,8 +181,16 @@ def train(docs: DataFrame, labels: DataFrame) -> list[np.ndarray]:
     return [*halves, whole]
 
 
+def repetition(text: bytes) -> tuple[int, int, int]:
+    """Number of words, of words equal to the one before, and of pairs of words that the text has had before."""
+    number: dict[bytes, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in text.lower().split()], np.int64)
+    pairs = ids[:-1] * len(number) + ids[1:]
+    return len(ids), int((ids[1:] == ids[:-1]).sum()), len(pairs) - len(np.unique(pairs))
+
+
 def log_scores(docs: DataFrame, tables: list[np.ndarray]) -> DataFrame:
-    """doc_id, lang, n (symbols) and totals (their log-probability by each table) of each row."""
+    """doc_id, lang, n (symbols), totals (their log-probability by each table), words, doubled and again of each row."""
     shared = docs.sparkSession.sparkContext.broadcast([t.astype(np.float16) for t in tables])  # halves what each worker holds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +203,11 @@ def log_scores(docs: DataFrame, tables: list[np.ndarray]) -> DataFrame:
                 for k, logp in enumerate(shared.value):
                     sums = np.concatenate([[0.0], np.cumsum(logp[code], dtype=np.float64)])
                     totals[a:b, k] = sums[end] - sums[start]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sizes, np.int64)), pa.array(totals.tolist(), pa.list_(pa.float64()))], ["doc_id", "lang", "n", "totals"])
+            again = np.array([repetition(r) for r in rows], np.int64).reshape(-1, 3)
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(sizes, np.int64)), pa.array(totals.tolist(), pa.list_(pa.float64())), *(pa.array(again[:, k]) for k in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "n", "totals", "words", *REPEATS])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, lang string, n long, totals array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, lang string, n long, totals array<double>, words long, doubled long, again long")
 
 
 def _shrunk(mean: Column) -> Column:
@@ -198,6 +215,11 @@ def _shrunk(mean: Column) -> Column:
     return (-F.col("total") + PRIOR * mean) / (F.col("n") + PRIOR)
 
 
+def _share(count: str, mean: Column) -> Column:
+    """Share of a document's words, with PRIOR words of the mean added."""
+    return (F.col(count) + PRIOR * mean) / (F.col("words") + PRIOR)
+
+
 def perplexity(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, keep: one row per row of docs."""
     prepare(docs.sparkSession)
@@ -205,18 +227,28 @@ def perplexity(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
     total = F.get("totals", F.when(F.col("trusted"), half_of(F.col("doc_id"))).otherwise(2))
     scored = log_scores(docs, train(docs, labels)).join(ids, "doc_id", "left").withColumn("total", total).drop("totals").checkpoint()
     trusted = scored.where("trusted")
-    mean = -F.sum("total") / F.sum("n")
-    means = checked_broadcast(trusted.groupBy(F.col("lang").alias("of")).agg(mean.alias("mean")))
-    whole = trusted.agg(mean.alias("all_mean"))
+    names = ("total", *REPEATS)
+    mean = {x: F.sum(x) / F.sum("words") for x in REPEATS} | {"total": -F.sum("total") / F.sum("n")}
+    means = checked_broadcast(trusted.groupBy(F.col("lang").alias("of")).agg(*(mean[x].alias(f"mean_{x}") for x in names)))
+    whole = trusted.agg(*(mean[x].alias(f"all_mean_{x}") for x in names))
     of = F.col("lang").eqNullSafe(F.col("of"))
-    limits = trusted.join(means, of).groupBy("of").agg(F.first("mean").alias("mean"), F.percentile_approx(_shrunk(F.col("mean")), quantile, ACCURACY).alias("lim"), F.count("*").alias("n_trusted"))
-    overall = trusted.crossJoin(F.broadcast(whole)).agg(F.first("all_mean").alias("all_mean"), F.percentile_approx(_shrunk(F.col("all_mean")), quantile, ACCURACY).alias("all_lim"))
+    value = lambda x, mean: _shrunk(mean) if x == "total" else _share(x, mean)
+
+    def limits_of(prefix: str) -> list[Column]:
+        found = [(F.first(f"{prefix}mean_{x}").alias(f"{prefix}mean_{x}"), F.percentile_approx(value(x, F.col(f"{prefix}mean_{x}")), quantile, ACCURACY).alias(f"{prefix}lim_{x}")) for x in names]
+        return [c for pair in found for c in pair]
+
+    limits = trusted.join(means, of).groupBy("of").agg(*limits_of(""), F.count("*").alias("n_trusted"))
+    overall = trusted.crossJoin(F.broadcast(whole)).agg(*limits_of("all_"))
     rows = scored.join(checked_broadcast(limits), of, "left").crossJoin(F.broadcast(overall))  # overall: one row
-    center = F.coalesce("mean", "all_mean", F.lit(0.0))
-    value = F.exp(F.when(F.col("n") > 0, _shrunk(center)).otherwise(center))
-    limit = F.when(F.col("n_trusted") >= LEAST, F.col("lim")).otherwise(F.greatest("lim", "all_lim"))
-    keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) | (F.col("n_symbols") == 0)
-    return rows.select("doc_id", "lang", F.col("n").alias("n_symbols"), value.alias("perplexity"), F.exp(limit).alias("threshold")).withColumn("keep", keep)
+    center = {x: F.coalesce(f"mean_{x}", f"all_mean_{x}", F.lit(0.0)) for x in names}
+    limit = {x: F.when(F.col("n_trusted") >= LEAST, F.col(f"lim_{x}")).otherwise(F.greatest(f"lim_{x}", f"all_lim_{x}")) for x in names}
+    score = F.exp(F.when(F.col("n") > 0, _shrunk(center["total"])).otherwise(center["total"]))
+    rows = rows.withColumn("perplexity", score).withColumn("threshold", F.exp(limit["total"]))
+    keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    for x in REPEATS:
+        keep = keep & F.coalesce(value(x, center[x]) <= limit[x], F.lit(True))
+    return rows.select("doc_id", "lang", F.col("n").alias("n_symbols"), "perplexity", "threshold", (keep | (F.col("n") == 0)).alias("keep"))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
