@@ -203,6 +203,17 @@ def test_knn_and_fusion(spark):
         retrieval.knn(v, "id", "v", bad, 3).collect()
 
 
+def test_partial_ratio_tries_all_windows():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    for _ in range(60):
+        body = " ".join(rng.choice(words) for _ in range(150))
+        m = rng.randint(20, 250)
+        at = rng.randrange(len(body) - m)
+        quote = "".join(rng.choice("xyz") if rng.random() < 0.12 else c for c in body[at : at + m])
+        assert partial_ratio(quote, body) == pytest.approx(max(indel_ratio(quote, body[s : s + m]) for s in range(len(body) - m + 1)))
+
+
 def test_evidence(spark):
     body = "Some long text that is quoted here, with „marks“ and a tail of many other words to read."
     rows = [
