@@ -8,6 +8,7 @@ import re
 from difflib import SequenceMatcher
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from vellumix.functions import text
@@ -109,6 +110,25 @@ def test_bootstrap(spark):
     assert (high - low) / 2 == pytest.approx(half, rel=0.2) and low < 10.1 and high > 9.9
 
 
+def test_bootstrap_replicates(spark):
+    """As many replicates as asked for, weights of mean and variance 1, whatever the partitions; the queries ask for thousands."""
+    from vellumix.plans import q_aggregate
+
+    df = spark.createDataFrame([(i, float(i == 7)) for i in range(50)] + [(99, None)], "k long, v double")
+    one, more = ([r["mean"] for r in stats.bootstrap_means(df.repartition(n), "k", "v", 10_000).orderBy("replicate").collect()] for n in (1, 5))
+    assert len(one) == 10_000 and one == pytest.approx(more)
+    assert sum(one) / len(one) == pytest.approx(0.02, rel=0.05)
+    assert stats.bootstrap_means(df.where("v is null"), "k", "v", 3).where("mean is not null").count() == 0
+    asked = []
+    whole = stats.bootstrap_means
+    try:
+        stats.bootstrap_means = lambda *a: asked.append(a[3] if len(a) > 3 else 200) or whole(*a[:3], 20)
+        q_aggregate.a28(spark, SMALL), q_aggregate.a29(spark, SMALL)
+    finally:
+        stats.bootstrap_means = whole
+    assert asked == [2_000, 10_000]
+
+
 def test_random_effects(spark):
     df = spark.createDataFrame([("a", 0.1, 0.01), ("b", 0.3, 0.02), ("c", 0.5, 0.03), ("bad", 9.0, 0.0)], "n string, yi double, vi double")
     r = stats.random_effects(df).first()

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -123,17 +126,34 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
+# Rows that are weighed at once.
+BOOTSTRAP_ROWS = 64
+
+
 def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
     """replicate, mean: a Poisson bootstrap; each row's weight in each replicate comes from a hash of its key, so the
-    result does not depend on how rows are partitioned, and no replicate is ever collected."""
-    u = F.pmod(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight, cut, p = F.lit(0), 0.0, math.exp(-1)
-    for k in range(8):
-        cut += p
-        weight = weight + F.when(u >= cut, 1).otherwise(0)
-        p /= k + 1
-    reps = df.select(key, value).where(F.col(value).isNotNull()).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    return reps.groupBy("replicate").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
+    result does not depend on how rows are partitioned (but for rounding), and no replicate is ever collected.
+
+    Tasks sum weights and weighted values of all replicates; a hash of 64 bits gives the weights of four, so their
+    probabilities are rounded to 2**-16."""
+    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    weights = np.searchsorted(edges, (np.arange(1 << 16) + 0.5) / (1 << 16), side="right").astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = np.arange(1, -(-replicates // 4) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sums = np.zeros((2, len(steps) * 4))
+        for batch in batches:
+            keys, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for at in range(0, len(keys), BOOTSTRAP_ROWS):
+                h = keys[at : at + BOOTSTRAP_ROWS, None] + steps  # SplitMix64
+                h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                x = values[at : at + BOOTSTRAP_ROWS]
+                sums += np.stack([np.ones(len(x)), x]) @ weights[(h ^ h >> np.uint64(31)).view(np.uint16)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicates + 1, dtype=np.int32)), *(pa.array(x[:replicates]) for x in sums)], ["replicate", "w", "wx"])
+
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(value).cast("double").alias("x"))
+    return rows.mapInArrow(run, "replicate int, w double, wx double").groupBy("replicate").agg((F.sum("wx") / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean"))
 
 
 def interval(replicates: DataFrame, value: str = "mean", level: float = 0.95) -> DataFrame:
