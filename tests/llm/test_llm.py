@@ -381,6 +381,36 @@ def test_salvage(plain):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_within_a_member():
+    rng = random.Random(11)
+    rows = some_records(rng, 40)
+    plain = [warc.record(*r) for r in rows]
+    found = lambda data: [x.payload for x in warc.salvage(data) if isinstance(x, warc.Record)]
+    want = lambda *lost: [r[2] for i, r in enumerate(rows) if i not in lost]
+
+    bad = [p[:-9] + b"?" + p[-8:] if i == 7 else p.replace(b"Content-Length", b"Content-Lentgh", 1) if i == 20 else p for i, p in enumerate(plain)]
+    data = warc.member(b"".join(bad))
+    assert found(data) == want(7, 20)
+    gaps = [x for x in warc.salvage(data) if not isinstance(x, warc.Record)]
+    assert [g[:2] for g in gaps] == [(0, len(data))] * 2 and gaps[0][2] == "block digest"
+
+    for level in (0, 6):
+        data = warc.member(b"".join(plain), level)
+        for cut in (len(data) // 2, len(data) - 4):
+            got = found(data[:cut])
+            assert got == want()[: len(got)] and len(got) >= (15 if cut < len(data) - 4 else 39)
+        hurt = bytearray(data)
+        hurt[len(data) // 2] ^= 0xFF
+        got = found(bytes(hurt) + warc.member(warc.record(99, "u", b"behind")))
+        assert got[-1] == b"behind" and len(got) >= 15 and len(set(got)) == len(got) and set(got[:-1]) <= set(want())
+    hurt = bytearray(data)
+    hurt[-6] ^= 0xFF
+    assert found(bytes(hurt)) == want()
+
+    long = warc.record(1, "http://x/" + "y" * 200_000, b"payload")
+    assert found(warc.member(long)) == found(long) == [b"payload"]
+
+
 def test_warc_operator(spark):
     schema = "page_id long, url string, html string, k string, top long, data binary"
     rows = [(1, "u", "same", "k", 1, b""), (2, "u\r\nX: y", "same", "k", 1, b""), (3, None, None, "k", 1, b""), (4, "", "", "k", 1, b""), (5, "u", "é" * 40_000, "k", 1, b""), (None, "u", "other", "k", 1, b""), (2, "u", "same", "k", 1, b"")]

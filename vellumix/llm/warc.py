@@ -5,10 +5,12 @@ largest page_id is a response, the others are revisits that refer to it. The equ
 and length in an aggregate over narrow rows and joined back by digest, so a payload that very many pages share never
 meets in one task.
 
-Reading goes member by member. A member that doesn't inflate, or whose CRC, version line, header, length, digest or
-end fails, is quarantined: the reader searches on for the next byte position at which a gzip member that inflates to a
-version line begins, or a plain version line, and logs the bytes between as a gap with the reason. Records after the
-damage are recovered; archives may mix gzip members and plain records.
+Reading goes member by member, and in a member record by record. A record whose version line, header, length, digest or
+end fails is quarantined, and reading goes on at the next version line of the member's content. Of a member that is cut
+off the records that did inflate are given, but for one that ends where the content does; of one that doesn't inflate further or whose CRC fails, those whose block
+digest holds. The reader then searches for the next byte position at which a gzip member that inflates to a version line
+begins, or a plain version line. Each damage is logged as a gap with its reason: the bytes up to that position, or all
+bytes of the member if the damage lies in its content. Archives may mix gzip members and plain records.
 
 Defined cases: a null page text is an empty payload, a null url an empty one; empty payloads are equal like others; page
 rows repeated with one page_id are each written, the revisits referring to the page_id; a null page_id is written
@@ -36,8 +38,8 @@ LEVEL = 6
 DATE = "2020-01-01T00:00:00Z"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-#: Headers longer than this are taken as damage.
-HEADER = 1 << 16
+#: Bytes after which a damaged member's inflating can be taken up again.
+PIECE = 1 << 14
 
 
 def digest32(payload: bytes) -> str:
@@ -75,6 +77,9 @@ def member(data: bytes, level: int = LEVEL) -> bytes:
     return z.compress(data) + z.flush()
 
 
+CUT = "gzip: the member is cut off"
+
+
 class Damage(Exception):
     pass
 
@@ -98,23 +103,41 @@ class Record:
         return int(m[1]) if m else None
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at a position, and its end."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at a position as far as it inflates, the end of what was read, and what is wrong."""
     z = zlib.decompressobj(31)
     try:
         out = z.decompress(memoryview(data)[at:])
     except zlib.error as e:
-        raise Damage(f"gzip: {e}"[:60]) from None
-    if not z.eof:
-        raise Damage("gzip: the member is cut off")
-    return out, len(data) - len(z.unused_data)
+        return *_inflate_part(data, at), f"gzip: {e}"[:60]
+    return out, len(data) - len(z.unused_data), None if z.eof else CUT
+
+
+def _inflate_part(data: bytes, at: int) -> tuple[bytes, int]:
+    """The same of a member known to fail: by pieces, and the piece that fails by bytes."""
+    z, out = zlib.decompressobj(31), []
+    before = z
+    while at < len(data):
+        before = z.copy()
+        try:
+            out.append(z.decompress(data[at : at + PIECE]))
+            at += PIECE
+        except zlib.error:
+            break
+    try:
+        while at < len(data):
+            out.append(before.decompress(data[at : at + 1]))
+            at += 1
+    except zlib.error:
+        pass
+    return b"".join(out), at
 
 
 def _one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The record at a position of plain bytes: headers, block, end."""
     if not (m := VERSION.match(data, at)):
         raise Damage("no version line")
-    end = data.find(b"\r\n\r\n", m.end() - 2, at + HEADER)
+    end = data.find(b"\r\n\r\n", m.end() - 2)
     if end < 0:
         raise Damage("the header does not end")
     headers = {}
@@ -135,34 +158,61 @@ def _one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, stop + 4
 
 
+def _records(content: bytes, at: int, wrong: str | None) -> Iterator[Record | str]:
+    """The records of a member's content, and the reason for each stretch that holds none."""
+    i = 0
+    while i < len(content):
+        try:
+            headers, block, end = _one(content, i)
+            if wrong == CUT and end == len(content):
+                yield "the record ends at the cut"
+            elif wrong not in (None, CUT) and "warc-block-digest" not in headers:
+                yield "no digest in a damaged member"
+            else:
+                yield Record(at, headers, block)
+            i = end
+        except Damage as e:
+            yield str(e)
+            m = VERSION.search(content, i + 1)
+            i = m.start() if m else len(content)
+
+
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """The records of an archive, and a gap (start, end, reason) for each stretch of bytes that holds none."""
+    """The records of an archive, and gaps (start, end, reason) for the damage between them."""
     at = 0
     while at < len(data):
+        if data.startswith(b"\x1f\x8b\x08", at):
+            content, end, wrong = _inflate(data, at)
+            reasons, found = [], False
+            for x in _records(content, at, wrong):
+                if isinstance(x, Record):
+                    found = True
+                    yield x
+                else:
+                    reasons.append(x)
+            if wrong:  # its length is not known; plain lines in what gave records are part of it
+                end, reasons = _next(data, at + 1, end if found else at + 1), [wrong]
+            elif not content:
+                reasons = ["an empty member"]
+            yield from ((at, end, r) for r in reasons)
+            at = end
+            continue
         try:
-            if data.startswith(b"\x1f\x8b\x08", at):
-                content, end = _inflate(data, at)
-                found, i = [], 0
-                while i < len(content):
-                    headers, block, i = _one(content, i)
-                    found.append(Record(at, headers, block))
-                if not found:
-                    raise Damage("an empty member")
-                yield from found
-            else:
-                headers, block, end = _one(data, at)
-                yield Record(at, headers, block)
+            headers, block, end = _one(data, at)
+            yield Record(at, headers, block)
             at = end
         except Damage as e:
             start, at = at, _next(data, at + 1)
             yield start, at, str(e)
 
 
-def _next(data: bytes, at: int) -> int:
-    """The next position where a record begins, or the end."""
+def _next(data: bytes, at: int, plain: int = 0) -> int:
+    """The next position where a record begins, one without gzip not before plain, or the end."""
     for m in START.finditer(data, at):
         if data[m.start()] != 0x1F:
-            return m.start()
+            if m.start() >= plain:
+                return m.start()
+            continue
         try:  # a chance magic number mostly fails in its first bytes
             if VERSION.match(zlib.decompressobj(31).decompress(data[m.start() : m.start() + 4096], 16)):
                 return m.start()
