@@ -252,6 +252,28 @@ def test_evidence(spark):
     assert seen[1] == seen[2] == "exact" and seen[6] == "snapped" and seen[7] == "no-match"
 
 
+def test_wording_full_and_ambiguous(spark):
+    quote = "a sentence of more than forty characters, quoted with a slipp"
+    near, other = (f"Before it {quote[:-5]}{end} and after it." for end in ("slip", "slap"))
+    rows = [
+        (1, 1, "the efficient method", "This is the eﬃ-\ncient method."),
+        (2, 1, "THE EFFICIENT METHOD", "This is the eﬃ-\ncient method."),
+        (3, 1, quote, near),
+        (3, 2, quote, near),
+        (3, 3, quote, "Some other text that is long enough to be compared with the quote at all."),
+        (4, 1, quote, near),
+        (4, 2, quote, other),
+        (5, 1, quote, quote[:30]),
+        (6, 1, "a short quotatoin", "There is a short quotation in it."),
+        (7, 1, None, "text"),
+    ]
+    df = spark.createDataFrame(rows, "item_id long, doc_id long, quote string, text string")
+    got = {(r.item_id, r.doc_id): r.step for r in evidence.wording(df, evidence.FUZZY_LENGTH).collect()}
+    assert len(got) == len(rows) and [got[i, 1] for i in (1, 2, 3, 4, 5, 6, 7)] == ["full", "casefold", "fuzzy", "none", "none", "none", "none"]
+    assert got[3, 2] == "fuzzy" and got[3, 3] == got[4, 2] == "none"
+    assert {r.step for r in evidence.wording(df.where("item_id = 6")).collect()} == {"fuzzy"}
+
+
 def test_section_chunks(spark):
     words = " ".join(f"w{i}" for i in range(95)) + "\n" + " ".join(f"v{i}" for i in range(200))
     rows = chunks.section_chunks(spark.createDataFrame([(1, words), (2, ""), (3, None)], "doc_id long, text string")).orderBy("doc_id", "chunk").collect()

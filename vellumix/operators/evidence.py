@@ -46,24 +46,35 @@ def verify(claims: DataFrame, threshold: float = 90.0) -> DataFrame:
 
 # Limits of the wording ladder.
 FUZZY_LEAST, FRAGMENT_LEAST, FRAGMENTS_LEAST = 82.0, 6, 40
+AMBIGUITY_MARGIN, LENGTH_BAND, FUZZY_LENGTH = 2.0, 0.7, 40
 
 
-def wording(claims: DataFrame) -> DataFrame:
+def wording(claims: DataFrame, shortest: int = 0) -> DataFrame:
     """item_id, doc_id, step: the first step of the ladder on which a quote is found in its text.
 
-    exact, weak (quotation marks, blanks), casefold, ellipsis (fragments around "..." in order), fuzzy, none. All but the
-    fuzzy step are one native expression; the kernel sees what they leave.
+    exact, weak (quotation marks, blanks), full (also hyphenation, ligatures), casefold, ellipsis (fragments around "..."
+    in order), fuzzy, none. The fuzzy step ranks the texts that are left of each quote: the best is taken, unless one with
+    other wording comes within AMBIGUITY_MARGIN; texts under LENGTH_BAND of the quote's length, and quotes of fewer than
+    ``shortest`` characters, are left out. The kernels see what the steps before them leave.
     """
-    q, t = F.col("quote"), F.col("text")
-    wq, wt = text.weak_normal("quote"), text.weak_normal("text")
-    parts = F.filter(F.transform(F.split(wq, r"\s*(?:\.\.\.|…|\[\.\.\.\])\s*"), F.trim), lambda x: x != "")
+    ids = ("item_id", "doc_id")
+    weak = F.when(F.col("text").contains(F.col("quote")), "exact").when(text.weak_normal("text").contains(text.weak_normal("quote")), "weak")
+    rows = cut(claims).withColumn("step", weak)
+    rest = cut(rows.where("step is null").select(*ids, text.full_normal("quote").alias("q"), text.full_normal("text").alias("t")))
+    q, t = F.col("q"), F.col("t")
+    fq, ft = F.lower(F.upper(q)), F.lower(F.upper(t))  # upper first, as for ß
+    parts = F.filter(F.transform(F.split(fq, r"\s*(?:\.\.\.|…|\[\.\.\.\])\s*"), F.trim), lambda x: x != "")
     ellipsis = (F.size(parts) >= 2) & F.forall(parts, lambda x: F.length(x) >= FRAGMENT_LEAST) & (F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x)) >= FRAGMENTS_LEAST)
-    in_order = _in_order(parts, wt)
-    step = F.when(t.contains(q), "exact").when(wt.contains(wq), "weak").when(F.lower(wt).contains(F.lower(wq)), "casefold").when(ellipsis & in_order, "ellipsis")
-    rows = cut(claims).withColumn("step", step)
-    sure = rows.where("step is not null").select("item_id", "doc_id", "step")
-    rest = rows.where("step is null")
-    return sure.union(rest.select("item_id", "doc_id", F.when(fuzzy(wq, wt, partial=True) >= FUZZY_LEAST, "fuzzy").otherwise("none")))
+    rest = rest.withColumn("step", F.when(q != "", F.when(t.contains(q), "full").when(ft.contains(fq), "casefold").when(ellipsis & _in_order(parts, ft), "ellipsis")))
+    left = rest.where("step is null").select(*ids, fq.alias("fq"), ft.alias("ft"))
+    able = (F.length("fq") >= shortest) & (F.length("ft") >= F.floor(F.length("fq") * LENGTH_BAND))
+    scored = cut(left.select(*ids, fuzzy(F.when(able, F.col("fq")), F.col("ft"), partial=True).alias("score"), F.xxhash64("ft").alias("h")))
+    best = scored.where(F.col("score") >= FUZZY_LEAST).groupBy(F.col("item_id").alias("of")).agg(F.max("score").alias("best"))
+    ranked = scored.join(best, (F.col("item_id") == F.col("of")) & (F.col("score") >= F.col("best") - AMBIGUITY_MARGIN), "left")
+    one = ranked.where((F.col("best").isNotNull()) & (F.col("score") >= FUZZY_LEAST)).groupBy("of").agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 = h2").select(F.col("of").alias("sure"))
+    step = F.when((F.col("score") >= FUZZY_LEAST) & (F.col("score") == F.col("best")) & F.col("sure").isNotNull(), "fuzzy").otherwise("none")
+    last = ranked.join(one, F.col("of") == F.col("sure"), "left").select(*ids, step.alias("step"))
+    return rows.where("step is not null").select(*ids, "step").union(rest.where("step is not null").select(*ids, "step")).union(last)
 
 
 def _in_order(parts: Column, body: Column) -> Column:

@@ -229,7 +229,7 @@ def r11(spark: SparkSession, sf: str) -> DataFrame:
     third = F.floor(F.length("quote") / 3).cast("int")
     cut = F.concat(F.substring(F.col("quote"), F.lit(1), third), F.lit(" ... "), F.substring(F.col("quote"), 2 * third, F.length("quote")))
     told = F.when(F.col("item_id") % 4 == 0, F.col("quote")).when(F.col("item_id") % 4 == 1, F.upper("quote")).when(F.col("item_id") % 4 == 2, cut).otherwise(F.replace("quote", F.lit("the "), F.lit("teh ")))
-    return evidence.wording(hits.withColumn("quote", told))
+    return evidence.wording(hits.withColumn("quote", told), evidence.FUZZY_LENGTH)
 
 
 @query("r16_retraction_sweep", with_views("SELECT paper_id, CASE WHEN coalesce(doi, '') = '' THEN 'no_doi' WHEN is_retracted THEN 'retracted' ELSE 'clear' END AS status, paper_id IN (SELECT paper_id FROM segments) AS cited FROM papers"))
