@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def optional_filters(df: DataFrame, **wanted: object) -> DataFrame:
     """Equality filters; a parameter that is None filters nothing."""
@@ -43,31 +45,50 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
 
 
 def positions(df: DataFrame, order: Sequence[str], name: str = "pos", buckets: int = 64) -> DataFrame:
-    """Global positions from 1 in the given order, without one task that sorts all rows.
+    """Global positions from 1 in the given order, without one task that sorts all rows. The order must tell all rows apart.
 
-    Rows are range-partitioned and sorted; a second pass adds the counts of the ranges before, of which there are few.
+    Rows are range-partitioned and sorted once, and written with their range's number and their place in it: planned
+    twice, the ranges would be sampled anew and might have other bounds. A pass over the written numbers adds the counts
+    of the ranges before, of which there are few.
     """
-    part = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    counts = part.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
-    inside = Window.partitionBy("__part").orderBy(*order)
-    return part.withColumn("__i", F.row_number().over(inside)).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__i")).drop("__part", "__i", "__before")
+    rows, before = _ranges(df, order, buckets, F.lit(1))
+    return rows.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__i")).drop("__part", "__i", "__before")
+
+
+def _ranges(df: DataFrame, order: Sequence[str], buckets: int, weight: Column) -> tuple[DataFrame, DataFrame]:
+    """df with __part and __i (from 1), its range and its place in it, written once; and (__part, __before), the weight
+    of the rows of the ranges before."""
+    place = F.monotonically_increasing_id()  # number of the partition, then of the row in it
+    rows = cut(df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("__place", place))
+    rows = rows.withColumn("__part", F.shiftright("__place", 33)).withColumn("__i", F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__place")
+    sums = rows.groupBy("__part").agg(F.sum(weight.cast("long")).alias("__s"))
+    return rows, sums.select("__part", (F.sum("__s").over(Window.orderBy("__part")) - F.col("__s")).alias("__before"))
 
 
 def average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Ranks of all values, ties sharing their mean rank: from the counts of distinct values, not by sorting all rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    ranked = positions_of_groups(counts, value)
-    return df.join(ranked.select(value, (F.col("__before") + (F.col("__n") + 1) / 2).alias(name)), value)
+    """Ranks of all values, ties sharing their mean rank: from the counts of distinct values, not by sorting all rows.
+
+    The ranks are joined back by value; a value that very many rows share is split by adaptive execution, and is met by
+    one row of the other side. For sums over ranks use the counts (``value_ranks``), which join nothing.
+    """
+    ranked = value_ranks(df.where(F.col(value).isNotNull()), value)
+    return df.join(ranked.select(value, F.col("rank").alias(name)), value)
+
+
+def value_ranks(df: DataFrame, value: str, others: Sequence[str] = ()) -> DataFrame:
+    """value, n, rank of the distinct values (with n rows each), and the counts of each value by ``others`` as c in cells:
+    an array of (others..., c)."""
+    counts = df.groupBy(*others, value).agg(F.count("*").alias("c"))
+    cells = counts.groupBy(value).agg(F.sum("c").alias("__n"), F.collect_list(F.struct(*others, "c")).alias("cells"))
+    return positions_of_groups(cells, value).select(value, F.col("__n").alias("n"), (F.col("__before") + (F.col("__n") + 1) / 2).alias("rank"), "cells")
 
 
 def positions_of_groups(counts: DataFrame, value: str, buckets: int = 32) -> DataFrame:
-    """Adds __before, the rows with lower values, to (value, __n)."""
-    part = counts.repartitionByRange(buckets, value).withColumn("__part", F.spark_partition_id())
-    sums = part.groupBy("__part").agg(F.sum("__n").alias("__s"))
-    before = sums.select("__part", (F.sum("__s").over(Window.orderBy("__part")) - F.col("__s")).alias("__base"))
-    inside = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return part.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(F.broadcast(before), "__part").withColumn("__before", F.col("__base") + F.col("__in")).drop("__part", "__in", "__base")
+    """Adds __before, the rows with lower values, to (value, __n, ...)."""
+    rows, before = _ranges(counts, [value], buckets, F.col("__n"))
+    inside = Window.partitionBy("__part").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(F.broadcast(before.withColumnRenamed("__before", "__base")), "__part")
+    return rows.withColumn("__before", F.col("__base") + F.col("__in")).drop("__part", "__i", "__in", "__base")
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lo: str, hi: str, point: str, width: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .relational import average_rank
+from .relational import positions_of_groups, value_ranks
 
 # Codes for missing data.
 MISSING = ("", "NA", "N/A", "na", ".", "-99")
@@ -58,7 +58,8 @@ def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
     """group, n, rank_sum over average ranks of all rows."""
-    return average_rank(df.select(group, value).where(F.col(group).isNotNull()), value).groupBy(group).agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"))
+    ranks = value_ranks(df.select(group, value).where(F.col(group).isNotNull() & F.col(value).isNotNull()), value, [group])
+    return ranks.select("rank", F.inline("cells")).groupBy(group).agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("c")).alias("rank_sum"))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, a: object, b: object) -> DataFrame:
@@ -72,7 +73,9 @@ def mann_whitney(df: DataFrame, group: str, value: str, a: object, b: object) ->
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """w_plus, w_minus, n, matched_rank_biserial; zero differences are dropped."""
     d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("size", F.abs("d"))
-    s = average_rank(d, "size").agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"), F.count("*").alias("n"))
+    ranks = value_ranks(d.select("size", (F.col("d") > 0).alias("up")), "size", ["up"]).select("rank", F.inline("cells"))
+    of = lambda up: F.sum(F.when(F.col("up") == up, F.col("rank") * F.col("c")).otherwise(0.0))
+    s = ranks.agg(of(True).alias("w_plus"), of(False).alias("w_minus"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
     return s.withColumn("matched_rank_biserial", (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")))
 
 
@@ -121,9 +124,14 @@ def pearson(df: DataFrame, x: str, y: str, z: float = 1.959963984540054) -> Data
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    rows = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(rows, x, "rx"), y, "ry")
-    return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    """rho, n: from the counts of distinct pairs of values, so that a value which most rows share is one row in a join."""
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
+    rank = lambda v: positions_of_groups(cells.groupBy(v).agg(F.sum("c").alias("__n")), v).select(v, (F.col("__before") + (F.col("__n") + 1) / 2).alias(f"r{v}"))
+    total = cells.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    mean = (F.col("n") + 1) / 2
+    dx, dy, c = F.col("rx") - mean, F.col("ry") - mean, F.col("c")
+    sums = cells.join(rank("x"), "x").join(rank("y"), "y").crossJoin(F.broadcast(total)).agg(F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"), F.sum(c * dy * dy).alias("yy"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    return sums.select((F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"), "n")
 
 
 # Rows that are weighed at once.
