@@ -302,9 +302,9 @@ def test_nothing_names_a_driver_loop():
 def test_positions_of_many_rows(spark):
     """Far more rows than range sampling looks at, with further columns and in no order."""
     rows = spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("more"), (F.col("id") % 97).alias("v"))
-    out = rel.positions(rows, ["k"])
+    out = relational.positions(rows, ["k"])
     assert out.columns == ["k", "more", "v", "pos"]
     assert out.where("pos <> k + 1").count() == 0 and out.count() == 200_000
-    ranks = rel.average_rank(rows.where("k < 50000").withColumn("v", F.col("k") % 30_000), "v")
+    ranks = relational.average_rank(rows.where("k < 50000").withColumn("v", F.col("k") % 30_000), "v")
     tied = ranks.where(F.col("rank") != F.when(F.col("v") < 20_000, 2 * F.col("v") + 1.5).otherwise(F.col("v") + 20_001))
     assert tied.count() == 0 and ranks.count() == 50_000
