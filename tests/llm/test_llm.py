@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -381,7 +382,7 @@ def test_salvage(plain):
     assert list(warc.salvage(b"")) == []
 
 
-def test_salvage_within_a_member():
+def test_salvage_within_a_member(monkeypatch):
     rng = random.Random(11)
     rows = some_records(rng, 40)
     plain = [warc.record(*r) for r in rows]
@@ -407,6 +408,13 @@ def test_salvage_within_a_member():
     hurt[-6] ^= 0xFF
     assert found(bytes(hurt)) == want()
 
+    began = time.time()
+    archive = b"".join(warc.member(warc.record(i, "u", rng.randbytes(3000))) for i in range(8000))
+    assert sum(isinstance(x, warc.Record) for x in warc.salvage(archive)) == 8000 and time.time() - began < 20
+    monkeypatch.setattr(warc, "MOST", len(b"".join(plain[:3])) + 10)
+    assert found(warc.member(b"".join(plain)) + warc.member(warc.record(99, "u", b"behind"))) == [*want()[:3], b"behind"]
+    monkeypatch.undo()
+
     long = warc.record(1, "http://x/" + "y" * 200_000, b"payload")
     assert found(warc.member(long)) == found(long) == [b"payload"]
 
@@ -414,10 +422,13 @@ def test_salvage_within_a_member():
 def test_warc_operator(spark):
     schema = "page_id long, url string, html string, k string, top long, data binary"
     rows = [(1, "u", "same", "k", 1, b""), (2, "u\r\nX: y", "same", "k", 1, b""), (3, None, None, "k", 1, b""), (4, "", "", "k", 1, b""), (5, "u", "é" * 40_000, "k", 1, b""), (None, "u", "other", "k", 1, b""), (2, "u", "same", "k", 1, b"")]
+    rows += [(None, "u", "same", "k", 1, b""), (None, "a", "no id", "k", 1, b""), (None, "b", "no id", "k", 1, b"")]
     pages = spark.createDataFrame(rows, schema)
     back = warc.read_archives(warc.write_archives(warc.assign(pages), size=200)).where("kind = 'record'")
     got = sorted(((r.p or -1), r.record_type, r.q, r.payload_bytes) for r in back.select(warc.page_number("record_id").alias("p"), "record_type", warc.page_number("refers_to").alias("q"), "payload_bytes").collect())
-    assert got == [(-1, "response", None, 5), (1, "revisit", 2, 4), (2, "response", None, 4), (2, "response", None, 4), (3, "revisit", 4, 0), (4, "response", None, 0), (5, "response", None, 80_000)]
+    assert got == [(-1, "response", None, 5), (-1, "response", None, 5), (-1, "response", None, 5), (-1, "revisit", 2, 4), (1, "revisit", 2, 4), (2, "response", None, 4), (2, "revisit", 2, 4), (3, "revisit", 4, 0), (4, "response", None, 0), (5, "response", None, 80_000)]
+    joined = [sorted(map(repr, warc.assign(pages, small=small, hot=hot).collect())) for small, hot in ((100, 1), (0, 2), (0, 100))]
+    assert joined[0] == joined[1] == joined[2]
     some = warc.assign(pages, least=1)
     assert some.where("page_id = 3").first().refers_to is None
     assert warc.read_archives(warc.write_archives(warc.assign(pages.where("false")))).count() == 0

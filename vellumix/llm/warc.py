@@ -1,20 +1,25 @@
 """WARC archives in binary columns, and a reader that salvages damaged ones.
 
-Writing. One gzip member per record, archives of about ``ARCHIVE`` bytes. Of records with equal payloads the one with the
-largest page_id is a response, the others are revisits that refer to it. The equal payloads are found by their SHA-1
-and length in an aggregate over narrow rows and joined back by digest, so a payload that very many pages share never
-meets in one task.
+Writing. One gzip member per record, archives of about ``ARCHIVE`` bytes, which the query writes to the shared folder. Of
+records with equal payloads the one with the largest page_id is a response, the others are revisits that refer to it.
+The equal payloads are found by their SHA-1 and length in an aggregate over narrow rows, of which those of several pages
+are written. They are few as a rule, and then looked up without moving any payload; if not, only those that over ``HOT``
+pages share are, and the others are joined by digest. So no payload's pages meet in one task, however many share it.
 
 Reading goes member by member, and in a member record by record. A record whose version line, header, length, digest or
 end fails is quarantined, and reading goes on at the next version line of the member's content. Of a member that is cut
 off the records that did inflate are given, but for one that ends where the content does; of one that doesn't inflate further or whose CRC fails, those whose block
 digest holds. The reader then searches for the next byte position at which a gzip member that inflates to a version line
 begins, or a plain version line. Each damage is logged as a gap with its reason: the bytes up to that position, or all
-bytes of the member if the damage lies in its content. Archives may mix gzip members and plain records.
-
-Defined cases: a null page text is an empty payload, a null url an empty one; empty payloads are equal like others; page
-rows repeated with one page_id are each written, the revisits referring to the page_id; a null page_id is written
-without one and reads back as null; an empty table gives no archives; further columns are ignored.
+bytes of the member if the damage lies in its content. Archives may mix gzip members and plain records. Inflating takes
+time in proportion to the archive, and stops at ``MOST`` bytes of one member: what a binary column could not hold anyway
+is logged as a gap behind the records before it.
+
+Defined cases: a null page text is an empty payload, a null url an empty one; empty payloads are equal like others; of
+rows that share the largest page_id that with the greatest url is the response, and rows alike in all three are one
+record written several times, all responses or all revisits; a null page_id is below all others, is written without
+one and reads back as null; payloads that pages without a page_id alone share are all responses, as nothing could refer
+to one; an empty table gives no archives; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import prepare, read
+from ._common import BROADCAST_ROWS, prepare, read, stored
 
 #: Compressed bytes after which an archive is closed.
 ARCHIVE = 4 << 20
@@ -40,6 +45,10 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 #: Bytes after which a damaged member's inflating can be taken up again.
 PIECE = 1 << 14
+#: Bytes of a member's content that are inflated.
+MOST = 1 << 30
+#: Pages of one payload from which they are looked up rather than joined, where too many payloads repeat to look up all.
+HOT = 1 << 14
 
 
 def digest32(payload: bytes) -> str:
@@ -105,28 +114,35 @@ class Record:
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
     """The content of the gzip member at a position as far as it inflates, the end of what was read, and what is wrong."""
-    z = zlib.decompressobj(31)
+    z, out, room, start, step = zlib.decompressobj(31), [], MOST, at, PIECE // 4
     try:
-        out = z.decompress(memoryview(data)[at:])
+        while at < len(data) and not z.eof and room:
+            piece = data[at : at + step]  # what lies behind the member is copied once a piece, not once a member
+            out.append(z.decompress(piece, room))
+            room -= len(out[-1])
+            at += len(piece) - len(z.unused_data) - len(z.unconsumed_tail)
+            step = min(step * 2, 1 << 20)
     except zlib.error as e:
-        return *_inflate_part(data, at), f"gzip: {e}"[:60]
-    return out, len(data) - len(z.unused_data), None if z.eof else CUT
+        return *_inflate_part(data, start), f"gzip: {e}"[:60]
+    return b"".join(out), at, None if z.eof else CUT if room else "gzip: the member is too long"
 
 
 def _inflate_part(data: bytes, at: int) -> tuple[bytes, int]:
     """The same of a member known to fail: by pieces, and the piece that fails by bytes."""
-    z, out = zlib.decompressobj(31), []
+    z, out, room = zlib.decompressobj(31), [], MOST
     before = z
-    while at < len(data):
+    while at < len(data) and room > 0:
         before = z.copy()
         try:
             out.append(z.decompress(data[at : at + PIECE]))
+            room -= len(out[-1])
             at += PIECE
         except zlib.error:
             break
     try:
-        while at < len(data):
+        while at < len(data) and room > 0:
             out.append(before.decompress(data[at : at + 1]))
+            room -= len(out[-1])
             at += 1
     except zlib.error:
         pass
@@ -221,13 +237,24 @@ def _next(data: bytes, at: int, plain: int = 0) -> int:
     return len(data)
 
 
-def assign(pages: DataFrame, least: int = 0) -> DataFrame:
+def assign(pages: DataFrame, least: int = 0, small: int = BROADCAST_ROWS, hot: int = HOT) -> DataFrame:
     """page_id, url, payload (binary), refers_to: null for responses. Payloads below least bytes are all responses."""
+    prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     key = F.concat(F.sha1("payload"), F.lit(":"), F.length("payload").cast("string"))
-    firsts = rows.where(F.length("payload") >= least).groupBy(key.alias("k")).agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("k", "top")
-    joined = rows.withColumn("k", key).join(firsts, "k", "left")
-    return joined.select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("top"), F.col("top")).alias("refers_to"))
+    groups = rows.where(F.length("payload") >= least).groupBy(key.alias("k")).agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n"))
+    firsts = groups.where("n > 1 and top.page_id is not null").checkpoint()
+    keyed = rows.withColumn("k", key)
+    if firsts.limit(small + 1).count() <= small:
+        found = keyed.join(F.broadcast(firsts), "k", "left")
+    else:
+        many = firsts.where(F.col("n") > hot).select("k", F.col("top").alias("hot"))  # at most a hot-th of all pages
+        few = firsts.where(F.col("n") <= hot).select(F.col("k").alias("j"), "top")
+        one = keyed.join(F.broadcast(many), "k", "left")
+        j = F.when(F.col("hot").isNull(), F.col("k")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))  # the rest goes anywhere
+        found = one.withColumn("j", j).join(few, "j", "left").withColumn("top", F.coalesce("hot", "top"))
+    other = ~F.struct("page_id", "url").eqNullSafe(F.col("top"))
+    return found.select("page_id", "url", "payload", F.when(F.col("top").isNotNull() & other, F.col("top.page_id")).alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, size: int = ARCHIVE) -> DataFrame:
@@ -317,7 +344,7 @@ def page_number(record_id: str) -> Column:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark = prepare(spark)
-    archives = write_archives(assign(read(spark, sf_dir, "pages")))
+    archives = stored(write_archives(assign(read(spark, sf_dir, "pages"))), "warc")
     rows = read_archives(archives, payloads=False).where("kind = 'record'")
     return rows.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
 
