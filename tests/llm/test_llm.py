@@ -194,6 +194,31 @@ def test_suffix_documents(spark, documents):
     assert removed(_common.read(spark, SMALL, "documents")) == brute_spans(documents)
 
 
+def test_suffix_ids(spark, monkeypatch):
+    """Null and repeated ids, and a passage in very many surroundings."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, alone = some(90), some(350)
+    texts = [(i, some(rng.choice((5, 20, 40))) + passage[: rng.randint(40, 90)] + some(60)) for i in range(120)]
+    rows = [*texts, (None, alone), (None, some(300)), (None, texts[3][1] + some(50)), (None, ""), (2**63 - 1, some(200) + alone[:150]), (7, some(300)), (7, some(10) + alone[20:140]), (7, texts[7][1]), (None, None)]
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
+    want = brute_spans([(i, t) for i, (_, t) in enumerate(ordered)])
+    for hot in (4096, 20):
+        monkeypatch.setattr(suffix, "HOT", hot)
+        found = suffix.kept(suffix.spans_to_remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+        got = Counter(map(tuple, found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()))
+        assert got == Counter((ordered[i][0], *x) for i, x in want.items())
+
+
+def test_suffix_long(spark, monkeypatch):
+    """Texts that are anchored in many pieces."""
+    monkeypatch.setattr(suffix, "CHUNK", 1000)
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(20_000))
+    rows = [(0, long[:9000]), (1, long[300:] + long[5000:7000]), (2, long[8990:9200] + "x" + long[9300:12000])]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == brute_spans(rows)
+
+
 def test_suffix_odd(odd, none):
     got = removed(odd)
     assert got[0] == (0, 0, 0, hashlib.sha256(b"").hexdigest()) and got[5][1] == 0 and got[7][1] > 0

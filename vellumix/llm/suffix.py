@@ -5,22 +5,24 @@ Method, in five steps.
 1. Every string of ``WIDTH`` bytes has an anchor, the k-mer in it that hashes lowest (see ``_anchors``); equal strings have
    equal anchors. The strings of one anchor cover its context, about 130 bytes. Tasks drop contexts that they have met
    before (their strings all start earlier elsewhere) before anything is shuffled.
-2. Anchors are dealt out by k-mer. Of equal contexts all but the first are covered whole. The first ones of k-mers with
-   several contexts may still share single strings.
+2. Anchors are dealt out by k-mer, those of k-mers with over ``HOT`` rows by k-mer and context. Of equal contexts (128
+   bits of k-mer and context hash) all but the first are covered whole. The first ones of k-mers with several contexts
+   may still share single strings.
 3. Those contexts' bytes are fetched from the documents and dealt out by k-mer again; contexts that agree with no other
    one of their k-mer on either side of it drop out; each task builds suffix arrays of the rest by linear grouping: suffixes start in groups by their first symbol; groups are processed in descending
    order; each member finds its previous smaller suffix by following the pointers of processed ones; the suffixes pointed
    at leave their group for one right above it, higher the more members point at them. The groups are then those of
    equal Lyndon prefixes in order, and one pass emits the suffix array group by group, following the same pointers,
    without recursion or renaming.
-4. Neighbours in the suffix array that share WIDTH bytes are one string; all but the earliest start are covered. K-mers
-   with more than ``HOT`` contexts, which one task should not hold, are instead told apart by a hash of the whole string,
-   in an aggregate.
+4. Neighbours in the suffix array that share WIDTH bytes are one string; all but the earliest start are covered. The
+   contexts of a k-mer with over HOT rows are first dealt out by more of the bytes around it (see ``_split``), until each
+   part is small enough for a suffix array, or all its strings are one.
 5. The covered ranges of each document are merged, and the other bytes are kept.
 
-Defined cases: a null text is empty; a text shorter than WIDTH keeps all; rows that share a doc_id count as one
-document (a string at the same start in both is not earlier; what is covered in one is covered in all); a null doc_id
-comes after all others; an empty table gives no rows; further columns are ignored.
+Defined cases: a null text is empty; a text shorter than WIDTH keeps all; rows with a null doc_id are documents of their
+own, behind all others; rows that share a doc_id are documents of their own too, in the order of their texts (so of
+equal ones all but one go), unlike in an order by doc_id alone; an empty table gives no rows; further columns are
+ignored. Texts of any length are anchored in pieces of ``CHUNK`` bytes.
 """
 
 from __future__ import annotations
@@ -33,13 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._anchors import WIDTH, K, anchors, context_hashes, kmer_hashes
-from ._common import prepare, read, slices, stored, text_or_empty, texts
+from ._common import checked_broadcast, prepare, read, slices, stored, text_or_empty, texts
 
-#: Contexts of one k-mer that one suffix array takes.
+#: Rows of one k-mer, or contexts of a part of it, from which it is dealt out by more bytes.
 HOT = 4096
 #: Bytes of text hashed at once, bytes whose contexts a task holds to tell repeated ones, and symbols of one suffix array.
 CHUNK, HELD, SYMBOLS = 1 << 21, 32 << 20, 300_000
-LAST = (1 << 63) - 1
 
 
 def lyndon_groups(text: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -226,11 +227,14 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         size = 0
         for batch in batches:
             rows, ids = texts(batch, "text"), batch.column(0).to_numpy()
-            for a, b in slices([len(r) for r in rows], CHUNK):
-                row, lo, hi, h, c = anchors(rows[a:b])
+            cuts = [(i, at) for i, r in enumerate(rows) for at in range(0, max(len(r), 1), CHUNK)]
+            pieces = [rows[i][at : at + CHUNK + WIDTH - 1] for i, at in cuts]  # each with the strings that start in it
+            of, begin = np.array(cuts, np.int64).reshape(-1, 2).T
+            for a, b in slices([len(x) for x in pieces], CHUNK):
+                row, lo, hi, h, c = anchors(pieces[a:b])
                 if len(row):
-                    held.append((h, c, ids[a:b][row], lo, hi))
-                size += sum(map(len, rows[a:b]))
+                    held.append((h, c, ids[of[a:b][row]], begin[a:b][row] + lo, begin[a:b][row] + hi))
+                size += sum(map(len, pieces[a:b]))
                 if size >= HELD and held:
                     yield emit(held)
                     held, size = [], 0
@@ -240,27 +244,34 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, c long, doc long, a long, b long")
 
 
-def _sort_out(rows: DataFrame) -> DataFrame:
-    """kind, key, doc, a, b: 0, covered starts; 1, contexts that may share strings; 2, those of k-mers with over HOT."""
+def _sort_out(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """kind, key, doc, a, b: 0, covered starts; 1, contexts that may share strings; 2, those of hot k-mers (key, blocks)."""
 
-    def settle(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, c, doc, a, b = cols
+    def settle(cols: list[np.ndarray], lead: tuple[int, ...]) -> tuple[pa.RecordBatch, tuple[int, ...]]:
+        """lead: key, context, document and start of the first context like the last row so far."""
+        key, c, doc, a, b, blocks = cols
         done = b < 0
         new_key = np.concatenate([[True], np.diff(key) != 0])
         new = new_key | np.concatenate([[True], np.diff(c) != 0])
         new &= ~done
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        later = ~done & ~new & ((doc != doc[lead]) | (a != a[lead]))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        first_doc, first_a = doc[head], a[head]
+        if lead and key[0] == lead[0] and c[0] == lead[1] and not done[0]:
+            new[0] = False
+            like = (head == 0) & (key == lead[0]) & (c == lead[1])
+            first_doc, first_a = np.where(like, lead[2], first_doc), np.where(like, lead[3], first_a)
+        later = ~done & ~new & ((doc != first_doc) | (a != first_a))
         run = np.cumsum(new_key) - 1
         n = np.bincount(run, weights=new)[run]
-        kind = np.where(done | later, 0, np.where(n > HOT, 2, 1))
-        keep = done | later | (new & (n > 1))
-        last = np.where(done, c, b)
-        return _batch("kind key doc a b", *(x[keep] for x in (kind.astype(np.int32), key, doc, a, last)))
+        kind = np.where(done | later, 0, np.where(blocks > 0, 2, 1))
+        keep = done | later | (new & ((n > 1) | (blocks > 0)))
+        out = _batch("kind key doc a b", *(x[keep] for x in (kind.astype(np.int32), key, doc, a, np.where(done, c, b))))
+        return out, () if done[-1] else (key[-1], c[-1], first_doc[-1], first_a[-1])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         count = 0
+        lead: tuple[int, ...] = ()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -269,15 +280,16 @@ def _sort_out(rows: DataFrame) -> DataFrame:
             if count < 50_000:
                 continue
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            if cut:
-                yield settle([x[:cut] for x in cols])
-            held = [[x[cut:] for x in cols]]
-            count = len(cols[0]) - cut if cut else 0
-        if held:
-            yield settle([np.concatenate(x) for x in zip(*held, strict=True)])
+            cut = int(np.searchsorted(cols[0], cols[0][-1])) or count  # one k-mer alone is a hot one, of which any part will do
+            out, lead = settle([x[:cut] for x in cols], lead)
+            yield out
+            held, count = [[x[cut:] for x in cols]], count - cut
+        if count:
+            yield settle([np.concatenate(x) for x in zip(*held, strict=True)], lead)[0]
 
-    return rows.repartition("key").sortWithinPartitions("key", "c", "doc", "a").mapInArrow(work, "kind int, key long, doc long, a long, b long")
+    blocks = F.coalesce("blocks", F.lit(0))
+    dealt = rows.join(checked_broadcast(hot), "key", "left").select("key", "c", "doc", "a", "b", blocks.alias("blocks"))
+    return dealt.repartition("key", F.when(F.col("blocks") > 0, F.pmod("c", "blocks")).otherwise(0)).sortWithinPartitions("key", "c", "doc", "a").mapInArrow(work, "kind int, key long, doc long, a long, b long")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -302,16 +314,17 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(lists, "doc").select("doc", "text", "w").mapInArrow(run, "kind int, key long, doc long, a long, ctx binary")
 
 
-def _by_suffix_arrays(contexts: DataFrame) -> DataFrame:
-    """doc, a, b: covered starts found by suffix arrays over whole k-mers."""
+def _by_suffix_arrays(contexts: DataFrame, by: list[str]) -> DataFrame:
+    """doc, a, b: covered starts found by suffix arrays over whole groups of contexts (key, doc, a, ctx) alike in ``by``."""
 
-    def settle(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        some = may_share(np.array([x[0] for x in held], np.int64), [x[3] for x in held])
-        held = [x for x, s in zip(held, some, strict=True) if s]
+    def settle(held: list[tuple]) -> pa.RecordBatch:
+        if by == ["key"]:
+            some = may_share(np.array([x[3] for x in held], np.int64), [x[2] for x in held])
+            held = [x for x, s in zip(held, some, strict=True) if s]
         if not held:
             return _batch("doc a b", *[np.zeros(0, np.int64)] * 3)
-        doc, start = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
-        ctx = [x[3] for x in held]
+        doc, start = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+        ctx = [x[2] for x in held]
         flags = repeated_starts(ctx, doc, start)
         strings = np.array([len(c) - WIDTH + 1 for c in ctx])
         which = np.repeat(np.arange(len(ctx)), strings)
@@ -319,52 +332,95 @@ def _by_suffix_arrays(contexts: DataFrame) -> DataFrame:
         return _batch("doc a b", *_runs(flags, doc[which], at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple] = []
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SYMBOLS and row[0] != held[-1][0]:
+                if size >= SYMBOLS and row[3:] != held[-1][3:]:
                     yield settle(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3]) + 1
+                size += len(row[2]) + 1
         if held:
             yield settle(held)
 
-    return contexts.select("key", "doc", "a", "ctx").repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, a long, b long")
+    return contexts.select("doc", "a", "ctx", *by).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "doc long, a long, b long")
 
 
-def _by_hashes(contexts: DataFrame) -> DataFrame:
-    """doc, a, b: the same for k-mers with very many contexts, by an aggregate over their strings' hashes."""
+def _sides(contexts: DataFrame) -> DataFrame:
+    """lo, hi, g, doc, a, ctx, at: contexts (key, doc, a, ctx) dealt out as ``_split`` says, at being the k-mer's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, starts = (batch.column(i).to_numpy() for i in range(3))
-            rows = texts(batch, "ctx")
-            for a, b in slices([len(r) for r in rows], CHUNK // 8):
-                x = np.frombuffer(b"".join(rows[a:b]), np.uint8)
-                strings = np.array([len(r) - WIDTH + 1 for r in rows[a:b]])
-                which = np.repeat(np.arange(b - a), strings)
-                offset = np.arange(len(which)) - np.repeat(np.cumsum(strings) - strings, strings)
-                begins = np.cumsum([0] + [len(r) for r in rows[a : b - 1]])
-                s = begins[which] + offset
-                yield _batch("key w doc at", keys[a:b][which], context_hashes(x, s, s + WIDTH), docs[a:b][which], starts[a:b][which] + offset)
-
-    strings = contexts.select("key", "doc", "a", "ctx").mapInArrow(run, "key long, w long, doc long, at long")
-    first = strings.groupBy("key", "w").agg(F.min(F.struct("doc", "at")).alias("f"))
-    return strings.join(first, ["key", "w"]).where("struct(doc, at) <> f").select("doc", F.col("at").alias("a"), F.col("at").alias("b"))
+            rows, keys = texts(batch, "ctx"), batch.column(0).to_numpy().view(np.uint64)
+            at = [int(np.argmax(kmer_hashes(np.frombuffer(r, np.uint8)) == k)) for r, k in zip(rows, keys, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.binary()), pa.array(at, pa.int32())], ["doc", "a", "ctx", "at"])
+
+    rows = contexts.select("key", "doc", "a", "ctx").mapInArrow(run, "doc long, a long, ctx binary, at int")
+    return _dealt(rows.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(WIDTH - K)))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Each row under both halves of its range lo to hi, with the bytes that all strings of the half have."""
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    halves = F.array(F.struct("lo", mid.alias("hi")), F.struct((mid + 1).alias("lo"), "hi"))
+    left, right = F.col("at"), F.length("ctx") - F.col("at") - K  # bytes on either side of the k-mer
+    out = rows.select("doc", "a", "ctx", "at", F.inline(halves).alias("lo", "hi"))
+    least, most = F.greatest(F.col("lo"), WIDTH - K - left), F.least(F.col("hi"), right)
+    out = out.where(least <= most)
+    first = F.col("at") - (WIDTH - K - F.col("lo"))  # where the leftmost string of the half starts
+    begin = F.greatest(F.lit(0), first)
+    end = F.least(F.length("ctx"), F.col("at") + K + F.col("hi"))
+    g = F.expr(f"substring(ctx, at - ({WIDTH - K} - hi) + 1, {WIDTH} - (hi - lo))")
+    return out.select("lo", "hi", g.alias("g"), "doc", (F.col("a") + begin).alias("a"), F.substring(F.col("ctx"), begin + 1, end - begin).alias("ctx"), (F.col("at") - begin).alias("at"))
+
+
+def _split(contexts: DataFrame, hot: int) -> DataFrame:
+    """doc, a, b: covered starts among the contexts of hot k-mers.
+
+    A string has from 0 to WIDTH - K bytes right of the k-mer and the rest left of it. Contexts are dealt out by halves of
+    that range: strings with lo to hi bytes on the right all have lo bytes there and WIDTH - K - hi on the left in common
+    with their equals, and are dealt out by them. Parts of one context drop out, those of up to ``hot`` go to suffix
+    arrays, larger ones are halved again; where lo is hi, a part is one string, of which all but the first are covered.
+    """
+    found = []
+    rows = _sides(contexts)
+    while rows is not None:
+        rows = stored(rows, "suffix-parts")
+        sizes = rows.groupBy("lo", "hi", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc", "a")).alias("first")).where("n > 1").checkpoint()
+        small, large = sizes.where(F.col("n") <= hot), sizes.where(F.col("n") > hot)
+        found.append(_by_suffix_arrays(rows.join(small.select("lo", "hi", "g"), ["lo", "hi", "g"], "left_semi"), ["lo", "g"]))
+        if large.isEmpty():
+            break
+        parts = rows.join(checked_broadcast(large.select("lo", "hi", "g", "first")), ["lo", "hi", "g"])  # at most a hot-th of the rows
+        found.append(parts.where("lo = hi and struct(doc, a) <> first").select("doc", "a", F.col("a").alias("b")))
+        wide = parts.where("lo < hi")
+        rows = None if large.where("lo < hi").isEmpty() else _dealt(wide)
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """doc, a, b: ranges of starts whose strings also start earlier, for docs of (doc, text)."""
-    found = stored(_sort_out(_anchor_rows(docs)), "suffix-anchors")
+    """doc, a, b: ranges of starts whose strings also start earlier, for docs of (doc, text), doc being unique."""
+    rows = stored(_anchor_rows(docs), "suffix-kmers")
+    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("blocks")).checkpoint()
+    found = stored(_sort_out(rows, hot), "suffix-anchors")
     contexts = stored(_contexts(docs, found.where("kind > 0")), "suffix-contexts")
-    out = found.where("kind = 0").select("doc", "a", "b").union(_by_suffix_arrays(contexts.where("kind = 1")))
-    return out.union(_by_hashes(contexts.where("kind = 2")))
+    out = found.where("kind = 0").select("doc", "a", "b").union(_by_suffix_arrays(contexts.where("kind = 1"), ["key"]))
+    return out if hot.isEmpty() else out.union(_split(contexts.where("kind = 2"), HOT))
 
 
 def _keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), text_or_empty(text).alias("text"))
+    """doc_id, doc, text: doc is doc_id where that tells the rows apart, else the rows' number in its order."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    n, distinct = rows.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if n == distinct:
+        return rows.withColumn("doc", F.col("doc_id"))
+    order = (F.col("doc_id").asc_nulls_last(), F.col("text"))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(ranged.withColumn("doc", F.monotonically_increasing_id()), "suffix-rows")
 
 
 def spans_to_remove(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -388,7 +444,7 @@ def spans_to_remove(docs: DataFrame, text: str = "text") -> DataFrame:
                 out.append([{"start": a, "end": b} for a, b in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["doc_id", "text", "spans"])
 
-    joined = rows.join(ranges, "doc", "left").select(F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"), "text", "r", F.octet_length("text").cast("long").alias("size"))
+    joined = rows.join(ranges, "doc", "left").select("doc_id", "text", "r", F.octet_length("text").cast("long").alias("size"))
     return joined.mapInArrow(run, "doc_id long, text string, spans array<struct<start:long,end:long>>")
 
 
