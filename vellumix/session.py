@@ -28,9 +28,18 @@ def get_spark(app: str = "vellumix", cores: int | str | None = None, shuffle_par
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share; a local one is made only for a local master without one, as in tests."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="vellumix-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder that all executors share (a local one only where none is set, as in tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellumix-"))
+    """The rows, written to the checkpoint folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

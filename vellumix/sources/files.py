@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.stats import known
+from ..session import shared_folder
 
 #: A hit record, with the fields that all modules share.
 PAPER = T.StructType(
@@ -34,9 +34,8 @@ LEDGER = "paper_id string, decision string, reason string, stage string, round s
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a local one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellumix-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str = PAPER, array: bool = False) -> DataFrame:
