@@ -185,6 +185,7 @@ def repetitive(rng, n=60):
 @pytest.mark.parametrize("hot", [4096, 2])
 def test_suffix_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "OFTEN", 1)
     rows = repetitive(random.Random(6))
     got = removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert got == brute_spans(rows)
@@ -205,6 +206,7 @@ def test_suffix_ids(spark, monkeypatch):
     want = brute_spans([(i, t) for i, (_, t) in enumerate(ordered)])
     for hot in (4096, 20):
         monkeypatch.setattr(suffix, "HOT", hot)
+        monkeypatch.setattr(suffix, "OFTEN", 3)
         found = suffix.kept(suffix.spans_to_remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
         got = Counter(map(tuple, found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()))
         assert got == Counter((ordered[i][0], *x) for i, x in want.items())

@@ -6,6 +6,8 @@ range, and the bytes these strings cover are the anchor's context.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 WIDTH = 100
@@ -52,6 +54,11 @@ def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
 
 def context_hashes(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of x[start:end] for each pair."""
+    return next(context_hashes_of(x, [(start, end)]))
+
+
+def context_hashes_of(x: np.ndarray, ranges: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """The same for several arrays of pairs; ranges that leave x get some value."""
     powers = np.full(len(x) + 1, BASE, np.uint64)
     powers[0] = 1
     np.multiply.accumulate(powers, out=powers)
@@ -60,7 +67,9 @@ def context_hashes(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     np.multiply.accumulate(inverse, out=inverse)
     sums = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(VALUES[x] * powers[1:], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    for start, end in ranges:
+        start, end = start.clip(0, len(x)), end.clip(0, len(x))
+        yield mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
 def anchors(rows: list[bytes], width: int = WIDTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

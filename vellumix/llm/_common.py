@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Rows of a narrow table (a few numbers each) that may be broadcast: about 16 MB.
 BROADCAST_ROWS = 500_000
 #: Rows of one Arrow batch, so that long texts do not meet in one batch.
@@ -24,9 +25,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches and makes sure that a checkpoint folder is set: the cluster's own, or in tests a local one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellumix-"))
+    shared_folder(spark)
     return spark
 
 
@@ -89,6 +88,14 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table written as Parquet in the shared folder and read again."""
     spark = prepare(df.sparkSession)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once all that was made of it has been written itself."""
+    spark = df.sparkSession
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

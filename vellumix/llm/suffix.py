@@ -5,7 +5,7 @@ Method, in five steps.
 1. Every string of ``WIDTH`` bytes has an anchor, the k-mer in it that hashes lowest (see ``_anchors``); equal strings have
    equal anchors. The strings of one anchor cover its context, about 130 bytes. Tasks drop contexts that they have met
    before (their strings all start earlier elsewhere) before anything is shuffled.
-2. Anchors are dealt out by k-mer, those of k-mers with over ``HOT`` rows by k-mer and context. Of equal contexts (128
+2. Anchors are dealt out by k-mer, those of hot k-mers (see ``HOT``) by k-mer and context. Of equal contexts (128
    bits of k-mer and context hash) all but the first are covered whole. The first ones of k-mers with several contexts
    may still share single strings.
 3. Those contexts' bytes are fetched from the documents and dealt out by k-mer again; contexts that agree with no other
@@ -15,7 +15,7 @@ Method, in five steps.
    equal Lyndon prefixes in order, and one pass emits the suffix array group by group, following the same pointers,
    without recursion or renaming.
 4. Neighbours in the suffix array that share WIDTH bytes are one string; all but the earliest start are covered. The
-   contexts of a k-mer with over HOT rows are first dealt out by more of the bytes around it (see ``_split``), until each
+   contexts of a hot k-mer are first dealt out by more of the bytes around it (see ``_split``), until each
    part is small enough for a suffix array, or all its strings are one.
 5. The covered ranges of each document are merged, and the other bytes are kept.
 
@@ -34,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._anchors import WIDTH, K, anchors, context_hashes, kmer_hashes
-from ._common import checked_broadcast, prepare, read, slices, stored, text_or_empty, texts
+from ._anchors import WIDTH, K, anchors, context_hashes_of, kmer_hashes, mix
+from ._common import checked_broadcast, prepare, read, release, slices, stored, text_or_empty, texts
 
-#: Rows of one k-mer, or contexts of a part of it, from which it is dealt out by more bytes.
-HOT = 4096
+#: A k-mer of which tasks meet OFTEN contexts or more in HELD bytes of text, and HOT of those in all, is dealt out by more
+#: bytes: others have less than an OFTEN in HELD of all rows. HOT also bounds the parts of such a k-mer.
+HOT, OFTEN = 4096, 8
 #: Bytes of text hashed at once, bytes whose contexts a task holds to tell repeated ones, and symbols of one suffix array.
 CHUNK, HELD, SYMBOLS = 1 << 21, 32 << 20, 300_000
 
@@ -164,10 +165,13 @@ def repeated_starts(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, w
     return flags
 
 
+#: Ranges of bytes right of the k-mer by which contexts are sifted.
+SIFTS = 8
+
+
 def may_share(key: np.ndarray, contexts: list[bytes]) -> np.ndarray:
-    """Which contexts can share a string with another one of their k-mer: a string takes at least half of what it has
-    besides the k-mer from one side, so the contexts must agree in that many bytes left or right of the k-mer."""
-    half = (WIDTH - K + 1) // 2
+    """Which contexts can share a string with another one of their k-mer: a string with lo to hi bytes right of the k-mer
+    has lo of them, and the rest of WIDTH - K but hi left of it, in common with its equals, for one of SIFTS ranges."""
     x = np.frombuffer(b"".join(contexts), np.uint8)
     end = np.cumsum([len(c) for c in contexts])
     begin = end - np.array([len(c) for c in contexts])
@@ -179,11 +183,14 @@ def may_share(key: np.ndarray, contexts: list[bytes]) -> np.ndarray:
     at = np.zeros(len(contexts), np.int64)
     at[own] = found[first]
     out = np.zeros(len(contexts), bool)
-    for lo, hi in ((at - half, at), (at + K, at + K + half)):
+    steps = np.linspace(0, WIDTH - K + 1, SIFTS + 1).astype(int)
+    sides = [(at - (WIDTH - K - hi), at + K + lo) for lo, hi in zip(steps[:-1], steps[1:] - 1, strict=True)]
+    for k, side in enumerate(context_hashes_of(x, sides)):
+        lo, hi = sides[k]
         inside = np.flatnonzero((lo >= begin) & (hi <= end))
-        side = context_hashes(x, lo[inside], hi[inside])
-        _, back, n = np.unique(np.stack([key[inside].view(np.uint64), side], axis=1), axis=0, return_inverse=True, return_counts=True)
-        out[inside[n[back.reshape(-1)] > 1]] = True
+        both = mix(side[inside] ^ mix(key[inside].view(np.uint64)))
+        _, back, n = np.unique(both, return_inverse=True, return_counts=True)
+        out[inside[n[back] > 1]] = True
     return out
 
 
@@ -202,7 +209,8 @@ def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """key, c, doc, a, b. A context: k-mer, context hash, document, first and last start. Covered starts: b < 0, c the last."""
+    """key, c, doc, a, b, often. A context: k-mer, context hash, document, first and last start, and whether the task met
+    its k-mer OFTEN. Covered starts: b < 0, c the last."""
 
     def emit(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h, c, doc, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -219,8 +227,10 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         end = np.concatenate([np.flatnonzero(cut)[1:] - 1, [len(i) - 1]]) if len(i) else i
         s, e = i[cut], i[end]
         own = np.flatnonzero(~same)
+        _, back, n = np.unique(h[own], return_inverse=True, return_counts=True)
+        often = np.concatenate([n[back] >= OFTEN, np.zeros(len(s), bool)])
         key = np.concatenate([h[own], h[s] ^ lo[s].astype(np.uint64)]).view(np.int64)
-        return _batch("key c doc a b", key, np.concatenate([c[own].view(np.int64), hi[e]]), np.concatenate([doc[own], doc[s]]), np.concatenate([lo[own], lo[s]]), np.concatenate([hi[own], np.full(len(s), -1, np.int64)]))
+        return _batch("key c doc a b often", key, np.concatenate([c[own].view(np.int64), hi[e]]), np.concatenate([doc[own], doc[s]]), np.concatenate([lo[own], lo[s]]), np.concatenate([hi[own], np.full(len(s), -1, np.int64)]), often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -241,7 +251,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         if held:
             yield emit(held)
 
-    return docs.mapInArrow(run, "key long, c long, doc long, a long, b long")
+    return docs.mapInArrow(run, "key long, c long, doc long, a long, b long, often boolean")
 
 
 def _sort_out(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -405,8 +415,9 @@ def _split(contexts: DataFrame, hot: int) -> DataFrame:
 def covered(docs: DataFrame) -> DataFrame:
     """doc, a, b: ranges of starts whose strings also start earlier, for docs of (doc, text), doc being unique."""
     rows = stored(_anchor_rows(docs), "suffix-kmers")
-    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("blocks")).checkpoint()
+    hot = rows.where("often").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("blocks")).checkpoint()
     found = stored(_sort_out(rows, hot), "suffix-anchors")
+    release(rows)
     contexts = stored(_contexts(docs, found.where("kind > 0")), "suffix-contexts")
     out = found.where("kind = 0").select("doc", "a", "b").union(_by_suffix_arrays(contexts.where("kind = 1"), ["key"]))
     return out if hot.isEmpty() else out.union(_split(contexts.where("kind = 2"), HOT))
