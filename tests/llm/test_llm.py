@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import time
 import re
@@ -323,9 +324,11 @@ def test_kneser_ney(spark):
     rng = random.Random(9)
     size, order = 4, 3
     grams = Counter(tuple(min(int(rng.expovariate(0.8)), 3) for _ in range(order)) for _ in range(300))
-    df = spark.createDataFrame([(g[0] * 16 + g[1] * 4 + g[2], c) for g, c in grams.items()], "g long, c long")
+    df = spark.createDataFrame([(half, g[0] * 16 + g[1] * 4 + g[2], c * (1 + 2 * half)) for g, c in grams.items() for half in (0, 1)], "half int, g long, c long")
     _common.prepare(spark)
-    table = np.exp(quality.log_table(quality.kneser_ney(df, size, order), size))
+    every = spark.range(64).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("half"), F.col("id").alias("g"))
+    found = quality.probabilities(every, quality.kneser_ney(df, size, order), size).where("half = 0").toPandas()
+    table = np.exp(found.sort_values("g").logp.to_numpy())
     levels = {3: dict(grams)}
     for k in (2, 1):
         levels[k] = Counter(g[1:] for g in levels[k + 1])
@@ -351,6 +354,45 @@ def test_kneser_ney(spark):
     assert table.reshape(16, 4).sum(axis=1) == pytest.approx(np.ones(16), rel=1e-4)
 
 
+def test_quality_totals(spark):
+    """Whole documents against plain sums, by either way of looking n-grams up; labels don't decide how a document is scored."""
+    docs = _common.read(spark, SMALL, "documents").limit(60).withColumn("text", F.when(F.col("doc_id") == 3, "").otherwise(F.col("text")))
+    labels = _common.read(spark, SMALL, "labels")
+    levels = quality.train(docs, labels)
+    ways = [quality.log_scores(docs, levels, limit).toPandas().sort_values("doc_id").reset_index(drop=True) for limit in (10**6, 0)]
+    assert (ways[0].drop(columns="total") == ways[1].drop(columns="total")).all().all() and np.allclose(ways[0].total, ways[1].total, rtol=1e-5)
+
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1}
+    half = {r.doc_id: r.half for r in docs.select("doc_id", quality.fold_of(F.col("text")).alias("half")).collect()}
+    rows = {r.doc_id: r.text.encode() for r in docs.collect()}
+    pad = b"\0" * (quality.ORDER - 1)
+    grams = lambda raw: [(pad + raw)[i : i + quality.ORDER] for i in range(len(raw))]
+    for fold in (0, 1):
+        levels = {quality.ORDER: Counter(g for i, raw in rows.items() if i in trusted and half[i] != fold for g in grams(raw))}
+        for k in range(quality.ORDER - 1, 0, -1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        off, total, gamma = {}, {}, {}
+        for k, counts in levels.items():
+            n = [sum(c == j for c in counts.values()) for j in range(1, 5)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else None
+            d = [0.5] * 3 if y is None else [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0), j) if n[j - 1] else j / 2 for j in (1, 2, 3)]
+            for g, c in counts.items():
+                off[g] = d[min(c, 3) - 1]
+                total[k, g[:-1]] = total.get((k, g[:-1]), 0) + c
+                gamma[k, g[:-1]] = gamma.get((k, g[:-1]), 0) + off[g]
+
+        def prob(g):
+            if not g:
+                return 1 / 256
+            t = total.get((len(g), g[:-1]))
+            low = prob(g[1:])
+            return low if not t else max(levels[len(g)].get(g, 0) - off.get(g, 0), 0) / t + gamma[len(g), g[:-1]] / t * low
+
+        for r in ways[0].itertuples():
+            if half[r.doc_id] == fold:
+                assert r.total == pytest.approx(sum(math.log(prob(g)) for g in grams(rows[r.doc_id])), rel=1e-4)
+
+
 def test_quality_labels(spark):
     sf = SMALL.replace("0.001", "0.01")
     p = quality.perplexity(_common.read(spark, sf, "documents"), _common.read(spark, sf, "labels")).toPandas()

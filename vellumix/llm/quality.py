@@ -1,18 +1,18 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Method. Trusted text is that of the documents labelled with quality 1; all of it is counted, so the counts grow with
-the input. The model's symbols are 47 byte classes (lower-case letters one by one, capitals together, digits, kinds
-of punctuation, UTF-8 lead and continuation bytes), its order is four. Tasks count n-grams in a dense array, emit one
-row per n-gram met, and sharded aggregates and joins (by n-gram, context and suffix) turn the counts into modified
-Kneser-Ney probabilities: three discounts per order from the counts of counts, continuation counts below the top
-order, and interpolation down to the uniform distribution. The tables have at most 47**4 cells whatever the corpus, so
-the join of the documents' n-grams with them is a lookup in broadcast arrays of 47**4 16-bit floats (10 MB each, a
-proven bound).
-
-A document is rejected if its perplexity, its log shrunk towards the language's trusted mean by ``PRIOR`` symbols
-(short texts say little), lies above the ``quantile`` of its language's trusted documents. Trusted documents are scored
-by a model of the other half of them, lest a document that was counted itself seem too likely; all others by the model
-of all. A language with fewer than ``LEAST`` trusted documents takes the quantile of all trusted ones if that is higher.
+Method. Trusted text is that of the documents labelled with quality 1; all of it is counted, so the model grows with the
+input. Its symbols are the bytes of the texts, its order is five. Tasks count the trusted texts' n-grams; sharded
+aggregates and joins (by n-gram, context and suffix) turn the counts into modified Kneser-Ney probabilities: three
+discounts per order from the counts of counts, continuation counts below the top order, and interpolation down to the
+uniform distribution. The documents' distinct n-grams, seen in trusted text or not, are joined with these tables order
+by order (``probabilities``). What each document's n-grams got is looked up in that table, which is broadcast if it has
+at most ``LOOKUP`` rows; else documents' n-grams and table are joined and summed (``join_totals``), with equal results.
+
+Documents are dealt into two folds by a hash of their text, so that equal texts share one, and each is scored by the
+model of the other fold's trusted text, labelled or not: a label never decides how its own document is scored. A
+document is rejected if its perplexity, its log shrunk towards the language's trusted mean by ``PRIOR`` symbols (short
+texts say little), lies above the ``quantile`` of its language's trusted documents. A language's quantile is
+shrunk towards that of all languages by ``PEERS`` documents, alike at every size.
 
 An n-gram model of any width finds a common word no less likely for standing there the twentieth time in a row, so two
 more shares are held against the same quantile of the language's trusted documents: that of words which double the one
@@ -21,8 +21,8 @@ trusted mean by ``PRIOR`` words.
 
 Defined cases: a null text is empty; an empty text has the perplexity of its language's mean and is kept; a null
 language is a language of its own; a document is trusted if any of its label rows has quality 1 and none has 0;
-repeated rows are scored one by one; without any trusted text all documents are kept; further columns are kept by
-``filter_quality`` and ignored by ``perplexity``.
+repeated rows are scored one by one; if one fold alone has trusted text, it serves both; without any trusted text all
+documents are kept; further columns are kept by ``filter_quality`` and ignored by ``perplexity``.
 """
 
 from __future__ import annotations
@@ -34,151 +34,147 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checked_broadcast, prepare, read, slices, text_or_empty, texts
+from ._common import checked_broadcast, prepare, read, slices, stored, text_or_empty, texts
 
-ORDER = 4
+ORDER, SIZE = 5, 256
 #: Share of a language's trusted documents that lie below its threshold.
 QUANTILE = 0.999
 #: Symbols of mean log-probability, and words of mean repetition, that are added to each document.
 PRIOR = 40
+#: Trusted documents whose common quantile is added to a language's own.
+PEERS = 100
 #: Of percentile_approx: ranks are exact to this part of the rows.
 ACCURACY = 100_000
-#: Trusted documents of a language from which its own quantile is relied on.
-LEAST = 300
-#: Bytes of text that are scored at once.
-CHUNK = 1 << 19
+#: Bytes of text that are scored, and counted, at once.
+CHUNK, COUNTED = 1 << 19, 1 << 22
+#: Rows of n-grams with their log-probability (12 bytes each) that may be broadcast.
+LOOKUP = 8_000_000
 #: Counts of repetition that are held against the trusted documents' beside the perplexity.
 REPEATS = ("doubled", "again")
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def symbols() -> np.ndarray:
-    """The class of each byte; 0 stands for the start of a text (and NUL)."""
-    table = np.full(256, 36, np.uint8)
-    table[0] = 0
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    table[ord("A") : ord("Z") + 1] = 37
-    table[ord("0") : ord("9") + 1] = 29
-    for code, chars in ((27, b" "), (28, b"\t\n\x0b\x0c\r"), (30, b"."), (31, b","), (32, b"'\"-"), (33, b";:()"), (34, b"!?"), (35, b"|")):
-        table[list(chars)] = code
-    table[0x80:0xC0] = 39 + np.arange(64) % 8
-    table[0xC0:] = 38
-    return table
-
-
-SYMBOLS = symbols()
-SIZE = 47
-
-
-def _codes(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-gram code that ends at each byte, and each row's first and last byte among them."""
+def _codes(rows: list[bytes], half: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-gram code that ends at each byte, its fold on top, and each row's first and last byte among them."""
     pad = b"\0" * (ORDER - 1)
-    x = SYMBOLS[np.frombuffer(pad + pad.join(rows), np.uint8)].astype(np.int32)
+    x = np.frombuffer(pad + pad.join(rows), np.uint8).astype(np.int64)
     code = x[ORDER - 1 :].copy()
     for back in range(1, ORDER):
-        code += x[ORDER - 1 - back : len(x) - back] * SIZE**back
+        code += x[ORDER - 1 - back : len(x) - back] << (8 * back)
     sizes = np.array([len(r) for r in rows], np.int64)
     start = np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1)
-    return code, start, start + sizes
+    fold = np.zeros(len(code) + 1, np.int64)  # that of the row from its first byte on; the padding behind it is left out
+    np.add.at(fold, start, np.diff(half, prepend=0))
+    return code + (np.cumsum(fold)[:-1] << (8 * ORDER)), start, start + sizes
+
+
+def _inside(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    marks = np.zeros(size + 1, np.int32)
+    np.add.at(marks, start, 1)
+    np.add.at(marks, end, -1)
+    return np.cumsum(marks)[:-1] > 0
+
+
+def fold_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """half, g, c: counts of the n-grams of the text column by half (0 or 1), pre-summed by each task."""
+    """half, g, c: counts of the n-grams of (half, text), pre-summed by each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SIZE**ORDER), np.int32)
-        counted = 0
+        for batch in batches:
+            half, rows = batch.column(0).to_pylist(), texts(batch, "text")
+            for a, b in slices([len(r) for r in rows], COUNTED):
+                code, start, end = _codes(rows[a:b], half[a:b])
+                g, c = np.unique(code[_inside(len(code), start, end)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((g >> (8 * ORDER)).astype(np.int32)), pa.array(g & ((1 << (8 * ORDER)) - 1)), pa.array(c)], ["half", "g", "c"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k in range(2):
-                g = np.flatnonzero(total[k])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), pa.array(g.astype(np.int64)), pa.array(total[k][g].astype(np.int64))], ["half", "g", "c"])
-            total[:] = 0
+    return docs.select("half", "text").mapInArrow(run, "half int, g long, c long").groupBy("half", "g").agg(F.sum("c").alias("c"))
 
+
+def distinct_ngrams(docs: DataFrame) -> DataFrame:
+    """half, g: the n-grams of (half, text). Tasks pass over those they remember to have met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.full(1 << 20, -1, np.int64)
         for batch in batches:
-            half = batch.column(0).to_numpy()
-            every = texts(batch, "text")
-            for k in range(2):
-                rows = [r for r, h in zip(every, half, strict=True) if h == k]
-                for a, b in slices([len(r) for r in rows], CHUNK):
-                    code, start, end = _codes(rows[a:b])
-                    inside = np.zeros(len(code) + 1, np.int32)
-                    np.add.at(inside, start, 1)
-                    np.add.at(inside, end, -1)
-                    g, c = np.unique(code[np.cumsum(inside)[:-1] > 0], return_counts=True)
-                    total[k, g] += c.astype(np.int32)
-                    counted += len(code)
-                    if counted >= 1 << 30:  # before a count could overflow
-                        yield from flush()
-                        counted = 0
-        yield from flush()
-
-    rows = docs.select("half", text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "half int, g long, c long").groupBy("half", "g").agg(F.sum("c").alias("c"))
-
-
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of modified Kneser-Ney, from the counts of counts."""
-    n = counts.agg(*(F.count_if(F.col("c") == k) for k in range(1, 5))).first()
-    if not (n[0] and n[1]):
-        return 0.5, 0.5, 0.5
-    y = n[0] / (n[0] + 2 * n[1])
-    return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) if n[k - 1] else k / 2 for k in (1, 2, 3))
+            half, rows = batch.column(0).to_pylist(), texts(batch, "text")
+            for a, b in slices([len(r) for r in rows], CHUNK):
+                code, start, end = _codes(rows[a:b], half[a:b])
+                code = code[_inside(len(code), start, end)]
+                slot = (code.view(np.uint64) * MULTIPLIER >> np.uint64(44)).view(np.int64)
+                new = np.flatnonzero(met[slot] != code)
+                met[slot[new]] = code[new]
+                g = np.unique(code[new])
+                yield pa.RecordBatch.from_arrays([pa.array((g >> (8 * ORDER)).astype(np.int32)), pa.array(g & ((1 << (8 * ORDER)) - 1))], ["half", "g"])
+
+    return docs.select("half", "text").mapInArrow(run, "half int, g long").distinct()
+
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """half, d1, d2, d3: the three discounts of modified Kneser-Ney, from the counts of counts."""
+    n = [F.count_if(F.col("c") == k) for k in range(1, 5)]
+    rows = counts.groupBy("half").agg(*(x.alias(f"n{k}") for k, x in enumerate(n, 1)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+
+    def discount(k: int) -> Column:
+        found = F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.0)), F.lit(float(k)))
+        return F.when((F.col("n1") == 0) | (F.col("n2") == 0), 0.5).when(F.col(f"n{k}") == 0, k / 2).otherwise(found)
+
+    return rows.select("half", *(discount(k).alias(f"d{k}") for k in (1, 2, 3)))
 
 
 def kneser_ney(counts: DataFrame, size: int = SIZE, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: rows (g, p) of the n-grams seen, and (context, gamma), the weight of the order below.
+    """For each order from 1: rows (half, g, p) of the n-grams seen, and (half, x, gamma), the weight of the order below.
 
-    counts: (g, c) of the top order, a gram's code being that of its symbols in base size.
+    counts: (half, g, c) of the top order, a gram's code being that of its symbols in base size.
     """
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy((F.col("g") % size**k).alias("g")).agg(F.count("*").alias("c"))
+        levels[k] = levels[k + 1].groupBy("half", (F.col("g") % size**k).alias("g")).agg(F.count("*").alias("c"))
     out: list[tuple[DataFrame, DataFrame]] = []
     for k in range(1, order + 1):
-        table = levels[k].withColumn("x", F.expr(f"g div {size}")).checkpoint()
-        d1, d2, d3 = _discounts(table)
-        off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        ctx = table.groupBy("x").agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("gamma"))
-        below: DataFrame | None = out[-1][0].select(F.col("g").alias("s"), F.col("p").alias("q")) if out else None
-        seen = table.join(ctx, "x").withColumn("s", F.col("g") % size ** (k - 1))
-        seen = seen.join(below, "s") if below is not None else seen.withColumn("q", F.lit(1.0 / size))
-        p = F.greatest(F.col("c") - off, F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("q")
-        out.append((seen.select("g", p.alias("p")).checkpoint(), ctx.select("x", "gamma")))
+        table = levels[k].withColumn("x", F.expr(f"g div {size}"))
+        table = table.join(F.broadcast(_discounts(table)), "half")  # a row per fold
+        off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        table = table.select("half", "g", "x", "c", off.alias("off")).checkpoint()
+        ctx = table.groupBy("half", "x").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("gamma"))
+        seen = table.join(ctx, ["half", "x"]).withColumn("s", F.col("g") % size ** (k - 1))
+        below = out[-1][0].select("half", F.col("g").alias("s"), F.col("p").alias("q")) if out else None
+        seen = seen.join(below, ["half", "s"]) if below is not None else seen.withColumn("q", F.lit(1.0 / size))
+        p = F.greatest(F.col("c") - F.col("off"), F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("q")
+        out.append((seen.select("half", "g", p.alias("p")).checkpoint(), ctx.select("half", "x", "gamma")))
     return out
 
 
-def log_table(levels: list[tuple[DataFrame, DataFrame]], size: int = SIZE) -> np.ndarray:
-    """log p of every n-gram of the top order, seen or not: size**order floats, however large the corpus."""
-    p = np.full(1, 1.0 / size, np.float32)
+def probabilities(grams: DataFrame, levels: list[tuple[DataFrame, DataFrame]], size: int = SIZE) -> DataFrame:
+    """half, g, logp of distinct n-grams (half, g) of the top order, whether the model has seen them, their contexts, or none."""
+    below = None
     for k, (seen, ctx) in enumerate(levels, 1):
-        gamma = np.ones(size ** (k - 1), np.float32)
-        rows = ctx.toPandas()
-        gamma[rows.x.to_numpy(np.int64)] = rows.gamma
-        lower = np.tile(p, size) if k > 1 else np.full(size, p[0])  # by the context without its first symbol, and the symbol
-        dense = (lower.reshape(size ** (k - 1), size) * gamma[:, None]).reshape(-1)
-        rows = seen.toPandas()
-        dense[rows.g.to_numpy(np.int64)] = rows.p
-        p = dense
-    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
+        need = grams.select("half", (F.col("g") % size**k).alias("g")).distinct() if k < len(levels) else grams.select("half", "g")
+        rows = need.withColumn("x", F.expr(f"g div {size}")).withColumn("s", F.col("g") % size ** (k - 1))
+        rows = rows.join(seen, ["half", "g"], "left").join(ctx, ["half", "x"], "left")
+        rows = rows.join(below, ["half", "s"]) if below is not None else rows.withColumn("q", F.lit(1.0 / size))
+        p = F.coalesce(F.col("p"), F.coalesce("gamma", F.lit(1.0)) * F.col("q"))
+        below = rows.select("half", F.col("g").alias("s"), p.alias("q"))
+    return below.select("half", F.col("s").alias("g"), F.log(F.greatest("q", F.lit(1e-12))).alias("logp"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
-def half_of(doc: Column) -> Column:
-    return F.pmod(F.xxhash64(doc), F.lit(2)).cast("int")
-
-
-def train(docs: DataFrame, labels: DataFrame) -> list[np.ndarray]:
-    """Log-probability tables: for the trusted documents of half 0 (made from half 1), for those of half 1, for all others."""
+def train(docs: DataFrame, labels: DataFrame) -> list[tuple[DataFrame, DataFrame]] | None:
+    """The tables of kneser_ney by the fold that they score, hence of the other fold's trusted documents; None without any."""
     prepare(docs.sparkSession)
-    text = docs.select("doc_id", "text").join(checked_broadcast(trusted_ids(labels)), "doc_id", "left_semi")
-    counts = count_ngrams(text.withColumn("half", half_of(F.col("doc_id").cast("long")))).checkpoint()
-    whole = log_table(kneser_ney(counts.groupBy("g").agg(F.sum("c").alias("c"))))
-    there = {r.half for r in counts.select("half").distinct().toLocalIterator()}
-    halves = [log_table(kneser_ney(counts.where(f"half = {1 - k}").select("g", "c"))) if 1 - k in there else whole for k in range(2)]
-    return [*halves, whole]
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(checked_broadcast(trusted_ids(labels)), "doc_id", "left_semi")
+    counts = count_ngrams(text.select(fold_of(F.col("text")).alias("half"), "text")).checkpoint()
+    there = {r.half for r in counts.select("half").distinct().collect()}
+    if not there:
+        return None
+    other = F.lit(1) - F.col("half") if len(there) == 2 else F.explode(F.array(F.lit(0), F.lit(1)))
+    return kneser_ney(counts.select(other.alias("half"), "g", "c"))
 
 
 def repetition(text: bytes) -> tuple[int, int, int]:
@@ -189,25 +185,89 @@ def repetition(text: bytes) -> tuple[int, int, int]:
     return len(ids), int((ids[1:] == ids[:-1]).sum()), len(pairs) - len(np.unique(pairs))
 
 
-def log_scores(docs: DataFrame, tables: list[np.ndarray]) -> DataFrame:
-    """doc_id, lang, n (symbols), totals (their log-probability by each table), words, doubled and again of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast([t.astype(np.float16) for t in tables])  # halves what each worker holds
+class Lookup:
+    """Values of codes that are all there: codes in buckets by a hash's top bits."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
+        self.shift = np.uint64(64 - max(1, int(len(codes) * 2).bit_length()))
+        h = self._bucket(codes)
+        order = np.argsort(h, kind="stable")
+        self.codes, self.values = codes[order], values[order].astype(np.float32)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(h, minlength=1 << int(64 - self.shift)))]).astype(np.int32)
+
+    def _bucket(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.view(np.uint64) * MULTIPLIER >> self.shift).view(np.int64)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        at = self.start[self._bucket(codes)]
+        left = np.flatnonzero(self.codes[at] != codes)
+        while len(left):
+            at[left] += 1
+            left = left[self.codes[at[left]] != codes[left]]
+        return self.values[at]
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text")).withColumn("half", fold_of(F.col("text")))
+
+
+MEASURES = "n long, words long, doubled long, again long"
+
+
+def looked_up_totals(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """doc_id, lang, total (log-probability), n (symbols), words, doubled and again of each row, the scores broadcast."""
+    found = scores.select((F.col("half").cast("long") * (1 << (8 * ORDER)) + F.col("g")).alias("g"), F.col("logp").cast("float").alias("p")).toArrow()  # at most LOOKUP rows
+    table = Lookup(found["g"].to_numpy().astype(np.int64), found["p"].to_numpy())
+    shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = texts(batch, "text")
-            sizes = [len(r) for r in rows]
-            totals = np.zeros((len(rows), len(shared.value)))
+            every, half = texts(batch, "text"), batch.column(3).to_pylist()
+            sizes = [len(r) for r in every]
+            total = np.zeros(len(every))
             for a, b in slices(sizes, CHUNK):
-                code, start, end = _codes(rows[a:b])
-                for k, logp in enumerate(shared.value):
-                    sums = np.concatenate([[0.0], np.cumsum(logp[code], dtype=np.float64)])
-                    totals[a:b, k] = sums[end] - sums[start]
-            again = np.array([repetition(r) for r in rows], np.int64).reshape(-1, 3)
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(sizes, np.int64)), pa.array(totals.tolist(), pa.list_(pa.float64())), *(pa.array(again[:, k]) for k in range(3))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "n", "totals", "words", *REPEATS])
+                code, start, end = _codes(every[a:b], half[a:b])
+                inside = _inside(len(code), start, end)
+                logp = np.zeros(len(code) + 1)
+                logp[1:][inside] = shared.value(code[inside])
+                sums = np.cumsum(logp)
+                total[a:b] = sums[end] - sums[start]
+            again = np.array([repetition(r) for r in every], np.int64).reshape(-1, 3)
+            columns = [batch.column(0), batch.column(1), pa.array(total), pa.array(np.array(sizes, np.int64)), *(pa.array(again[:, k]) for k in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "total", "n", "words", *REPEATS])
+
+    return rows.mapInArrow(run, f"doc_id long, lang string, total double, {MEASURES}")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, lang string, n long, totals array<double>, words long, doubled long, again long")
+
+def join_totals(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """The same by a join of the rows' n-grams with the scores, which may be of any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(texts(batch, "text")):
+                code, start, end = _codes([text], [0])
+                g, c = np.unique(code[start[0] : end[0]], return_counts=True)
+                again = repetition(text)
+                for a in range(0, max(len(g), 1), 1 << 16):  # one row at least, with the measures; a code of -1 is in no table
+                    part = (g[a : a + (1 << 16)], c[a : a + (1 << 16)]) if len(g) else (np.array([-1]), np.array([0]))
+                    m = len(part[0])
+                    same = [pa.array([batch.column(k)[i].as_py()] * m, batch.schema.field(k).type) for k in (0, 1, 3, 4)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(part[0]), pa.array(part[1]), *(pa.array([x] * m, pa.int64()) for x in (len(text), *again))], ["doc_id", "lang", "half", "row", "g", "c", "n", "words", *REPEATS])
+
+    numbered = stored(rows.withColumn("row", F.monotonically_increasing_id()), "quality-rows")
+    grams = numbered.mapInArrow(run, f"doc_id long, lang string, half int, row long, g long, c long, {MEASURES}")
+    joined = grams.join(scores, ["half", "g"], "left")
+    return joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.coalesce(F.sum(F.col("c") * F.col("logp")), F.lit(0.0)).alias("total"), *(F.first(x).alias(x) for x in ("n", "words", *REPEATS))).drop("row")
+
+
+def log_scores(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]] | None, limit: int | None = None) -> DataFrame:
+    """doc_id, lang, total, n, words, doubled, again of each row of docs. Without a model all totals are 0."""
+    rows = _measured(docs)
+    scores = probabilities(distinct_ngrams(rows), levels) if levels else rows.select("half", F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("logp")).where("false")
+    scores = scores.checkpoint()
+    limit = LOOKUP if limit is None else limit
+    small = levels is not None and scores.limit(limit + 1).count() <= limit
+    return looked_up_totals(rows, scores) if small else join_totals(rows, scores)
 
 
 def _shrunk(mean: Column) -> Column:
@@ -224,8 +284,7 @@ def perplexity(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
     """doc_id, lang, n_symbols, perplexity, threshold, keep: one row per row of docs."""
     prepare(docs.sparkSession)
     ids = checked_broadcast(trusted_ids(labels)).withColumn("trusted", F.lit(True))
-    total = F.get("totals", F.when(F.col("trusted"), half_of(F.col("doc_id"))).otherwise(2))
-    scored = log_scores(docs, train(docs, labels)).join(ids, "doc_id", "left").withColumn("total", total).drop("totals").checkpoint()
+    scored = log_scores(docs, train(docs, labels)).join(ids, "doc_id", "left").checkpoint()
     trusted = scored.where("trusted")
     names = ("total", *REPEATS)
     mean = {x: F.sum(x) / F.sum("words") for x in REPEATS} | {"total": -F.sum("total") / F.sum("n")}
@@ -242,7 +301,8 @@ def perplexity(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
     overall = trusted.crossJoin(F.broadcast(whole)).agg(*limits_of("all_"))
     rows = scored.join(checked_broadcast(limits), of, "left").crossJoin(F.broadcast(overall))  # overall: one row
     center = {x: F.coalesce(f"mean_{x}", f"all_mean_{x}", F.lit(0.0)) for x in names}
-    limit = {x: F.when(F.col("n_trusted") >= LEAST, F.col(f"lim_{x}")).otherwise(F.greatest(f"lim_{x}", f"all_lim_{x}")) for x in names}
+    weight = F.coalesce("n_trusted", F.lit(0))
+    limit = {x: (weight * F.coalesce(f"lim_{x}", F.lit(0.0)) + PEERS * F.col(f"all_lim_{x}")) / (weight + PEERS) for x in names}
     score = F.exp(F.when(F.col("n") > 0, _shrunk(center["total"])).otherwise(center["total"]))
     rows = rows.withColumn("perplexity", score).withColumn("threshold", F.exp(limit["total"]))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
