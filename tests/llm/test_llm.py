@@ -19,7 +19,7 @@ from conftest import SMALL
 from helpers import compare
 from pyspark.sql import functions as F
 
-from vellumix.llm import _common, bpe, chat, decontaminate, mpegts, quality, registry, secrets, simhash, suffix, toxicity, warc
+from vellumix.llm import _common, _similar, bpe, chat, decontaminate, mpegts, quality, registry, secrets, simhash, suffix, toxicity, warc
 
 #: doc_id, text, lang, source, n_chars and columns whose names the operators use inside.
 ODD = "doc_id long, text string, lang string, source string, n_chars long, fp long, blob string, key long, doc long, spans string, half int, __spans string"
@@ -612,6 +612,43 @@ def test_links(spark, block):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def similar_texts(rng):
+    """Bases with copies of few and many edits, a large group of near copies, and unrelated texts."""
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(800)]
+    texts = []
+    for n, copies in [(60, 3)] * 40 + [(250, 3)] * 20 + [(120, 60), (5000, 3), (7, 2)]:
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        texts.append(" ".join(base))
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(rng.randint(1, max(1, n // 45))):
+                words[rng.randrange(n)] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    return [*texts, texts[0].upper(), texts[5] + "\n", "", " ", "one", "ONE", "two words"]
+
+
+@pytest.mark.parametrize("block", [1024, 12])
+def test_similar_groups(spark, block):
+    texts = similar_texts(random.Random(21))
+    sets = [set(_similar.shingles(t.encode()).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = list(range(len(texts)))
+    for _ in range(20):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    got = {r.doc_id: r.component_id for r in _similar.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), block=block).collect()}
+    assert len(pairs) > 900 and all(label[got[i]] == label[i] for i in got)  # no false link
+    linked = sum(got[i] == got[j] for i, j in pairs)
+    assert linked >= 0.99 * len(pairs)
+
+
+def test_similar_odd(odd, none):
+    got = by_id(_similar.similar_groups(odd))
+    assert got[0].component_id == got[1].component_id == got[2].component_id == 0 and got[6].component_id == 5 and got[8].component_id == 7 and got[3].component_id == 3
+    assert got[None].component_id is None and _similar.similar_groups(odd).count() == len(odd_rows())
+    assert _similar.similar_groups(none).count() == 0
+
+
 def test_simhash_odd(odd, none):
     got = by_id(simhash.near_duplicates(odd))
     assert {got[i].fingerprint for i in (0, 1, 2)} == {"0" * 16} and {got[i].component_id for i in (0, 1, 2)} == {0}

@@ -9,7 +9,7 @@ import duckdb
 from conftest import SMALL
 from test_llm import encoder, plain_spans
 
-from vellumix.llm import _common, decontaminate, quality, simhash
+from vellumix.llm import _common, _similar, decontaminate, quality
 
 
 def test_pipeline(spark):
@@ -25,10 +25,10 @@ def test_pipeline(spark):
     rejected = {r.doc_id for r in quality.perplexity(docs, _common.read(spark, SMALL, "labels")).where("not keep").collect()}
     assert set(frames[1].doc_id) == set(frames[0].doc_id) - rejected
 
+    sets = {i: set(_similar.shingles(t.encode()).tolist()) for i, t in zip(frames[1].doc_id, frames[1].text, strict=True)}
     first = {}
-    fps = {i: simhash.fingerprint(t.encode()) for i, t in zip(frames[1].doc_id, frames[1].text, strict=True)}
-    for i in sorted(fps):
-        near = [first[j] for j in first if (fps[j] ^ fps[i]).bit_count() <= 3]
+    for i in sorted(sets):
+        near = [first[j] for j in first if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
         first[i] = min(near, default=i)
         for j in first:
             if first[j] in near:
@@ -53,3 +53,16 @@ def test_pipeline(spark):
         assert r.n_tokens == len(library.encode_ordinary(t)) and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
     assert corpus_pipeline.run(spark, SMALL).count() == len(frames[5])
+
+
+def test_pipeline_odd(odd, none, spark):
+    """Nulls, empty and repeated rows, further columns with clashing names, and no rows pass through all stages but the last."""
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            columns = docs.columns
+            docs = _common.stored(stage(spark, docs, SMALL), f"odd-{name}")
+            assert docs.columns == columns
+        left = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+        assert left.count() == docs.count()
+        if "text" in docs.columns and docs.count():
+            assert docs.where("doc_id is null").count() == 1 and docs.where("doc_id in (0, 1, 2)").count() == 1

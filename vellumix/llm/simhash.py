@@ -2,12 +2,16 @@
 
 Method. Fingerprints of 8 bytes that differ in at most 3 bits agree in at least 5 of their 8 byte positions. The
 index posts every distinct fingerprint under sets of three positions and their bytes: the eight 3-subsets of {0..3}
-and of {4..7}, of which any five common positions hold at least one. Within a posting list the shared positional bytes
-of each pair are tallied, pairs with fewer than 8 - max_bits are dropped, and the rest are verified by XOR and
-popcount. Posting lists longer than ``block`` are dealt out as pairs of blocks, so no task holds a whole hot list, and
+and of {4..7}, of which any five common positions hold at least one. Posting lists longer than ``block`` are posted anew
+under two more of their other five positions, of which such pairs share two as well, so that lists do not grow by chance
+with the corpus. Within a posting list the shared positional bytes of each pair are tallied, pairs with fewer than 8 -
+max_bits are dropped, and the rest are verified by XOR and popcount. Lists that are still longer than ``block`` are
+dealt out as pairs of blocks, so no task holds a whole hot list, and
 a task returns a spanning forest of the links it finds, never all pairs of a group. Equal fingerprints are collapsed
 before anything is paired.
 
+``keep_first``, for stages that take a similarity of 0.8 over five-word shingles, uses another signature, see ``_similar``.
+
 Defined cases: a null text is empty; an empty or blank text has fingerprint zero and links like any other; rows
 repeated with one doc_id give one output row each; a null doc_id never names a component unless all members are null;
 an empty table gives no rows; further columns of the input are ignored.
@@ -24,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, prepare, read, text_or_empty, texts, unsigned_to_long
+from ._common import checked_broadcast, components, prepare, read, text_or_empty, texts, unsigned_to_long
+from ._similar import similar_groups
 
 SEED = 42
 #: Three-subsets of the byte positions; see the module's text.
@@ -96,6 +101,21 @@ def link_runs(run: np.ndarray, side: np.ndarray, fp: np.ndarray, max_bits: int)
     return fp[label[moved]], fp[moved]
 
 
+def _long_lists(posts: DataFrame, block: int) -> DataFrame:
+    """i, k, blocks of the posting lists with over ``block`` fingerprints: at most a block-th of the posts."""
+    return posts.groupBy("i", "k").agg(F.count("*").alias("n")).where(F.col("n") > block).select("i", "k", F.ceil(F.col("n") / block).cast("int").alias("blocks")).checkpoint()
+
+
+def _finer(spark: SparkSession) -> DataFrame:
+    """i, j, m: for each set of three positions, the sets with two more: a number for it, and the mask of its bytes."""
+    rows = []
+    for i, three in enumerate(POSITIONS):
+        for two in combinations(sorted(set(range(8)) - set(three)), 2):
+            m = sum(0xFF << (8 * p) for p in (*three, *two))
+            rows.append((i, len(POSITIONS) + len(rows), m - (1 << 64) if m >> 63 else m))
+    return spark.createDataFrame(rows, "i int, j int, m long")
+
+
 def links(fps: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
     """Links (u, v) between the distinct values of fp that span every component of "at most max_bits bits apart"."""
     if not 0 <= max_bits <= 3:
@@ -104,9 +124,15 @@ def links(fps: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)))
     posts = fps.select("fp").distinct().select("fp", F.explode(keys).alias("p")).select("fp", "p.i", "p.k")
-    hot = posts.groupBy("i", "k").agg(F.count("*").alias("n")).where(F.col("n") > block).select("i", "k", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    long = _long_lists(posts, block)
+    if not long.isEmpty():
+        more = F.broadcast(_finer(fps.sparkSession))  # 80 rows
+        marked = posts.join(checked_broadcast(long.select("i", "k", F.lit(True).alias("long"))), ["i", "k"], "left")
+        again = marked.where("long").join(more, "i").select("fp", F.col("j").alias("i"), F.col("fp").bitwiseAND(F.col("m")).alias("k"))
+        posts = marked.where("long is null").select("fp", "i", "k").union(again)
+        long = _long_lists(again, block)
     dealt = (
-        posts.join(hot, ["i", "k"], "left")
+        posts.join(checked_broadcast(long), ["i", "k"], "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -151,8 +177,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, max_bit
 
 
 def keep_first(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; columns as they were. A null doc_id stays."""
-    drop = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    """The rows of docs whose doc_id is the smallest of its component of similar texts (five words, 0.8 or more; options
+    as for ``similar_groups``); columns as they were. A null doc_id stays."""
+    drop = similar_groups(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
 
