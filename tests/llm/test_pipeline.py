@@ -7,7 +7,7 @@ import hashlib
 import corpus_pipeline
 import duckdb
 from conftest import SMALL
-from test_llm import encoder, plain_spans
+from test_llm import encoder, none, odd, plain_spans  # noqa: F401 (fixtures)
 
 from vellumix.llm import _common, _similar, decontaminate, quality
 
