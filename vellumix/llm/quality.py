@@ -46,7 +46,7 @@ PEERS = 100
 #: Of percentile_approx: ranks are exact to this part of the rows.
 ACCURACY = 100_000
 #: Bytes of text that are scored, and counted, at once.
-CHUNK, COUNTED = 1 << 19, 1 << 22
+CHUNK, COUNTED = 1 << 18, 1 << 20
 #: Rows of n-grams with their log-probability (12 bytes each) that may be broadcast.
 LOOKUP = 8_000_000
 #: Counts of repetition that are held against the trusted documents' beside the perplexity.
@@ -88,9 +88,14 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
             for a, b in slices([len(r) for r in rows], COUNTED):
                 code, start, end = _codes(rows[a:b], half[a:b])
                 g, c = np.unique(code[_inside(len(code), start, end)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((g >> (8 * ORDER)).astype(np.int32)), pa.array(g & ((1 << (8 * ORDER)) - 1)), pa.array(c)], ["half", "g", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c.astype(np.int32))], ["code", "c"])
 
-    return docs.select("half", "text").mapInArrow(run, "half int, g long, c long").groupBy("half", "g").agg(F.sum("c").alias("c"))
+    return _unpacked(docs.select("half", "text").mapInArrow(run, "code long, c int").groupBy("code").agg(F.sum("c").alias("c")), "c")
+
+
+def _unpacked(rows: DataFrame, *others: str) -> DataFrame:
+    """half and g of a code."""
+    return rows.select(F.shiftright("code", 8 * ORDER).cast("int").alias("half"), F.col("code").bitwiseAND(F.lit((1 << (8 * ORDER)) - 1)).alias("g"), *others)
 
 
 def distinct_ngrams(docs: DataFrame) -> DataFrame:
@@ -106,10 +111,9 @@ def distinct_ngrams(docs: DataFrame) -> DataFrame:
                 slot = (code.view(np.uint64) * MULTIPLIER >> np.uint64(44)).view(np.int64)
                 new = np.flatnonzero(met[slot] != code)
                 met[slot[new]] = code[new]
-                g = np.unique(code[new])
-                yield pa.RecordBatch.from_arrays([pa.array((g >> (8 * ORDER)).astype(np.int32)), pa.array(g & ((1 << (8 * ORDER)) - 1))], ["half", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(code[new]))], ["code"])
 
-    return docs.select("half", "text").mapInArrow(run, "half int, g long").distinct()
+    return _unpacked(docs.select("half", "text").mapInArrow(run, "code long").distinct())
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -263,7 +267,7 @@ def join_totals(rows: DataFrame, scores: DataFrame) -> DataFrame:
 def log_scores(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]] | None, limit: int | None = None) -> DataFrame:
     """doc_id, lang, total, n, words, doubled, again of each row of docs. Without a model all totals are 0."""
     rows = _measured(docs)
-    scores = probabilities(distinct_ngrams(rows), levels) if levels else rows.select("half", F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("logp")).where("false")
+    scores = probabilities(distinct_ngrams(rows).checkpoint(), levels) if levels else rows.select("half", F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("logp")).where("false")
     scores = scores.checkpoint()
     limit = LOOKUP if limit is None else limit
     small = levels is not None and scores.limit(limit + 1).count() <= limit
