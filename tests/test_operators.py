@@ -84,7 +84,7 @@ def test_upsert(spark):
 def test_screening(spark):
     rows = [("p1", 1990, "en", "JournalArticle"), ("p2", 2000, "fr", "preprint"), ("p3", 2000, " EN ", "book"), ("p4", None, None, "Study"), ("p5", 2001, "de", "journal-article")]
     df = spark.createDataFrame(rows, "id string, year int, lang string, kind string")
-    c = screening.violation(F.col("year"), F.col("lang"), screening.publication_type(F.col("kind")), 1995, 2020, ("en", "de"), ("article",))
+    c = screening.violation(F.col("year"), F.col("lang"), screening.publication_types(F.lit(None).cast("array<string>"), F.col("kind")), 1995, 2020, ("en", "de"), ("article",))
     assert [r[0] for r in df.orderBy("id").select(c).collect()] == ["period", "language", "publication_type", None, None]
 
 
@@ -308,3 +308,59 @@ def test_positions_of_many_rows(spark):
     ranks = relational.average_rank(rows.where("k < 50000").withColumn("v", F.col("k") % 30_000), "v")
     tied = ranks.where(F.col("rank") != F.when(F.col("v") < 20_000, 2 * F.col("v") + 1.5).otherwise(F.col("v") + 20_001))
     assert tied.count() == 0 and ranks.count() == 50_000
+
+
+def test_publication_types(spark):
+    """Fixed cases: real values of the sources' vocabularies; what names no type, or is unknown, excludes nothing."""
+    cases = {"journal-article": "journal-article", "article": "journal-article", "JournalArticle": "journal-article", "conference-paper": "proceedings-article", "Conference": "proceedings-article", "BookSection": "book-chapter", "LettersAndComments": "letter", "review": "journal-article", "Preprint": "preprint"}
+    cases |= dict.fromkeys(("Study", "CaseReport", "ClinicalTrial", "MetaAnalysis", "other", "Sonstiger Beitrag", "  ", None))
+    assert column(spark, cases, screening.publication_type(F.col("x"))) == list(cases.values())
+    rows = [(["Study", "JournalArticle"], "Study"), (["Editorial", "JournalArticle"], "Editorial"), (["Editorial", "News"], "Editorial"), ([], "erratum"), (None, "Study"), (["Study", "other"], "editorial")]
+    df = spark.createDataFrame(rows, "several array<string>, one string")
+    kinds = screening.publication_types(F.col("several"), F.col("one"))
+    got = df.select(screening.violation(F.lit(2020), F.lit("en"), kinds, kinds=("JournalArticle",)).alias("v")).collect()
+    assert [r.v for r in got] == [None, None, "publication_type", "publication_type", None, None]
+
+
+def test_hyphenation(spark):
+    cases = {"individ-\nual": "individual", "reproducibil-\nity": "reproducibility", "Multi-Agent": "Multi-Agent", "Ein-/Ausschluss": "Ein-/Ausschluss", "Multi-\nAgent System": "Multi- Agent System", "Ende-\n\nneuer": "Ende-\n\nneuer", "2020 -\n2021": "2020 -\n2021", "In-  \n  equality": "Inequality", "Ein-\nund Aus": "Ein- und Aus", "Um-\nweltrecht": "Umweltrecht", "Ein-\nBis": "Ein- Bis", "vor-\nzugeben": "vorzugeben", "a-\nbc-\nde": "abc-\nde"}
+    assert column(spark, cases, text.join_hyphens("x")) == list(cases.values())
+
+
+def test_found_in_text(spark):
+    t = ["See https://doi.org/10.1234/AB.c), and 10.5555/x]; Abb. 3.4, tabelle 2 \\citep[1][2]{a, b}\\cite*{b}", "2401.01234v3", None]
+    assert column(spark, t, text.find_dois("x")) == [["10.1234/ab.c", "10.5555/x"], [], None]
+    assert column(spark, t, text.find_arxiv_ids("x")) == [[], ["2401.01234"], None]
+    assert column(spark, t, text.find_references("x"))[0] == ["figure 3.4", "table 2"]
+    assert column(spark, t, text.find_citation_keys("x"))[0] == ["a", "b"]
+
+
+def test_page_coverage(spark):
+    checks = [(1, "a", 5, None), (2, "a", 9, 8), (3, "a", 40, 45), (4, "b", 3, None), (5, "b", 7, None), (6, "c", 1, 2), (7, "d", 1, None)]
+    samples, extents = [("a", 40), ("b", 3), ("b", 3), ("d", None)], [("a", 8, 20), ("c", 2, None), ("d", None, None)]
+    c, s, e = spark.createDataFrame(checks, "check_id long, paper_id string, page long, page_end long"), spark.createDataFrame(samples, "paper_id string, page long"), spark.createDataFrame(extents, "paper_id string, page_first long, page_last long")
+    got = {r.check_id: r.status for r in evidence.page_coverage(c, s, e).collect()}
+    assert got == {1: "outside", 2: "covered", 3: "covered", 4: "covered", 5: "outside", 6: "unknown", 7: "unknown"}
+
+
+def test_nearest(spark):
+    """Against all pairs, ties and an uneven split included."""
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(0, 3)) for _ in range(5)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(5)
+    q = df.where("vec_id % 500 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    for k, block in ((7, 1000), (3000, 2)):
+        got = sorted((r.query_id, r.rank, r.vec_id) for r in retrieval.knn(df, "vec_id", "v", q, k, block).collect())
+        want = [(i, n + 1, j) for i, x in rows if i % 500 == 0 for n, (_, j) in enumerate(sorted((math.dist(x, y), j) for j, y in rows)[:k])]
+        assert got == want
+    with pytest.raises(Exception, match="different lengths"):
+        retrieval.knn(df, "vec_id", "v", q.union(spark.createDataFrame([(1, [1.0])], q.schema)), 3).collect()
+
+
+def test_style(spark):
+    t = "Die Messung der Sicherheit und Freiheit war eine Reaktion. Es wird oft gemessen! Quasi quasi (Kim, 2004) nein. the old man the old man the old man"
+    from vellumix.operators.style import style_metrics
+
+    r = style_metrics(spark.createDataFrame([(1, t), (2, "")], "doc_id long, text string")).collect()
+    assert (r[0].passive_share, r[0].nominal_share, r[0].repeated, r[0].filler_share) == (0.25, 0.25, 1, round(2 / 26, 6)) and r[0].sources == round(1000 / 26, 4)
+    assert r[1].n_words == 0 and r[1].repeated == 0 and r[1].mean_sentence == 0

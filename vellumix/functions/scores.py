@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import family_variants
+
 HALF_LIFE = 5.0
 # Weights of the five dimensions.
 WEIGHTS = {"relevance": 0.35, "recency": 0.20, "quality": 0.15, "authority": 0.15, "access": 0.15}
@@ -49,3 +51,28 @@ def weighted(parts: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> C
 
 def cluster_label(score: Column, relevance: Column, methods: Column) -> Column:
     return F.when((score >= 0.75) & (relevance >= 0.80), "core").when(methods, "methods").when((score >= 0.50) & (relevance >= 0.50), "supplementary").when(score >= 0.30, "background").otherwise("peripheral")
+
+
+# Scores from which a candidate is confirmed, or probable.
+CONFIRMED, PROBABLE = 80, 65
+
+
+def author_overlap(left: Column, right: Column) -> Column:
+    """Jaccard similarity of two lists of family names, names being equal if any of their variants are; 0 for empty lists."""
+    named = lambda a: F.filter(F.transform(a, family_variants), lambda v: F.size(v) > 0)
+    a, b = named(left), named(right)
+    both = F.size(F.filter(a, lambda x: F.exists(b, lambda y: F.arrays_overlap(x, y))))
+    return F.coalesce(F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)), F.lit(0.0))
+
+
+def candidate_score(family: Column, year: Column, authors: Column, found_authors: Column, found_year: Column) -> Column:
+    """0 to 100, how well a found record fits a citation: 40 for the family name, without which the score is 0; 30 for the
+    year, 15 for one beside it; up to 30 for the citation's further authors."""
+    hit = F.exists(found_authors, lambda x: F.arrays_overlap(family_variants(x), family_variants(family)))
+    gap = F.abs(found_year - year)
+    score = 40 + F.when(gap == 0, 30).when(gap == 1, 15).otherwise(0) + F.floor(30 * author_overlap(F.slice(authors, 2, 100), found_authors) + 0.5)
+    return F.when(hit, score).otherwise(0).cast("long")
+
+
+def candidate_class(score: Column, unavailable: Column) -> Column:
+    return F.when(score >= CONFIRMED, "confirmed").when(score >= PROBABLE, "probable").when(unavailable, "unavailable").otherwise("no-match")

@@ -105,9 +105,20 @@ def weak_normal(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.translate(_c(c), *QUOTES), r"\s+", " "))
 
 
+# Words before which a hyphen at a line's end is a real one.
+FUNCTION_WORDS = (
+    "und", "oder", "bzw", "sowie", "wie", "als", "aber", "doch", "sondern", "noch", "entweder", "da", "weil", "obwohl", "wenn", "falls", "solange", "bis", "nachdem", "bevor", "kaum", "ehe", "damit", "sodass", "weshalb",
+    "um", "zu", "statt", "anstatt",
+)
+MARK = "\uffff"  # no character
+
+
 def join_hyphens(c: Column | str) -> Column:
-    """Words split by a hyphen at a line's end, joined."""
-    return F.regexp_replace(_c(c), r"([\p{L}\p{N}_])-\n([a-zà-öø-ÿ])", "$1$2")
+    """Words split by a hyphen at a line's end, joined, if the rest is in lower case and no function word; else the hyphen
+    stays, with a blank. Two line ends are a paragraph's."""
+    marked = F.regexp_replace(_c(c), r"(\p{L})-[ \t]*\n(?!\n)[ \t]*(\p{L}+)", f"$1{MARK}$2")
+    joined = F.regexp_replace(marked, MARK + r"(?=\p{Ll})(?!(?iu:" + "|".join(FUNCTION_WORDS) + r")(?!\p{L}))", "")
+    return F.replace(joined, F.lit(MARK), F.lit("- "))
 
 
 def nfkc(c: Column | str) -> Column:
@@ -168,25 +179,70 @@ def isbn13(c: Column | str) -> Column:
 
 
 def title_case_given(c: Column | str) -> Column:
-    """Whether the part after a comma looks like given names: up to three words, the later ones capitalised."""
+    """Whether the part after a comma looks like given names: up to three words, the later ones capitalised or connectors."""
     parts = F.filter(F.split(F.trim(_c(c)), r"\s+"), lambda t: t != "")
-    return (F.size(parts) <= 3) & F.forall(F.slice(parts, 2, 3), lambda t: t.rlike(r"^\p{Lu}"))
+    bare = F.transform(F.slice(parts, 2, 3), lambda t: F.regexp_replace(t, "^[.,]+|[.,]+$", ""))
+    return (F.size(parts) <= 3) & F.forall(bare, lambda t: (t == "") | F.lower(t).isin(*CONNECTORS) | t.rlike(r"^\p{Lu}"))
 
 
 # Words that tell an organisation from a person.
-ORGANISATIONS = ("universität", "university", "institut", "institute", "hochschule", "gmbh", "ministerium", "bundesamt", "department", "verlag")
+ORGANISATIONS = (
+    "universität", "university", "universitaet", "institut", "institute", "fakultät", "fakultaet", "faculty", "hochschule", "college", "akademie", "academy", "ministerium", "ministry", "behörde", "behoerde", "agency", "amt",
+    "bundesamt", "landesamt", "kommission", "commission", "committee", "ausschuss", "council", "gmbh", "kgaa", "e.v.", "inc.", "ltd.", "llc", "corp.", "corporation", "foundation", "stiftung", "verband", "association",
+    "gesellschaft", "society", "bank", "zentrum", "center", "centre", "department", "abteilung", "büro", "buero", "office", "bureau", "verwaltung", "administration", "organisation", "organization", "vereinigung", "kammer",
+    "chamber", "senat", "senate", "parlament", "parliament", "regierung", "government", "nations", "school of", "press", "verlag", "consortium", "konsortium", "network", "netzwerk",
+)
+# Words in lower case that stand within names of persons.
+CONNECTORS = ("van", "von", "der", "den", "de", "di", "la", "le", "do", "dos", "da", "bin", "ibn", "al")
+
+
+def is_organisation(c: Column) -> Column:
+    """Whether a part of a name holds a word of an organisation, or is one acronym of two to six capitals."""
+    words = "|".join(w.replace(".", r"\.") for w in ORGANISATIONS)
+    return F.lower(c).rlike(r"(?U)\b(?:" + words + r")\b") | F.replace(c, F.lit("."), F.lit("")).rlike(r"^\p{Lu}{2,6}$")
 
 
 def parse_author(c: Column | str) -> Column:
     """struct(family, given, literal, parsed) of "Family, Given"; organisations and implausible ones stay literal."""
     raw = F.trim(_c(c))
     family, given = F.trim(F.regexp_extract(raw, r"^([^,]*),", 1)), F.trim(F.regexp_extract(raw, r"^[^,]*,(.*)$", 1))
-    org = lambda x: F.lower(x).rlike(r"\b(" + "|".join(ORGANISATIONS) + r")\b") | x.rlike(r"^[A-Z]{2,6}$")
-    ok = raw.contains(",") & (family != "") & ~org(family) & ((given == "") | (~org(given) & title_case_given(given)))
+    ok = raw.contains(",") & (family != "") & ~is_organisation(family) & ((given == "") | (~is_organisation(given) & title_case_given(given)))
     return F.struct(F.when(ok, family).alias("family"), F.when(ok, F.nullif(given, F.lit(""))).alias("given"), F.when(~ok, raw).alias("literal"), ok.alias("parsed"))
 
 
+# Commands that cite, and words for figures and tables with their kind.
+CITATION_COMMANDS = ("cite", "citep", "citet", "parencite", "footcite")
+FIGURE_WORDS = {"abb": "figure", "abbildung": "figure", "fig": "figure", "figure": "figure", "tab": "table", "tabelle": "table"}
+
+
+def find_dois(c: Column | str) -> Column:
+    """The DOIs in a text, normalized, without punctuation at their end."""
+    found = F.regexp_extract_all(_c(c), F.lit(r"(?i)\b(10\.\d{4,9}/[^\s\])\"'<>?#%]+)"), F.lit(1))
+    return F.transform(found, lambda x: normalize_doi(F.regexp_replace(x, "[).,;”’]+$", "")))
+
+
+def find_arxiv_ids(c: Column | str) -> Column:
+    """The arXiv ids in addresses, without their versions; or the text itself if it is one."""
+    by_url = F.regexp_extract_all(_c(c), F.lit(r"(?i)arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})"), F.lit(1))
+    bare = F.regexp_extract(F.trim(_c(c)), r"^(\d{4}\.\d{4,5})(?:v\d+)?$", 1)
+    return F.when(F.size(by_url) > 0, by_url).when(bare != "", F.array(bare)).otherwise(by_url)
+
+
+def find_references(c: Column | str) -> Column:
+    """References to figures and tables as "kind number"."""
+    word = r"(?i)\b(Abb|Abbildung|Fig|Figure|Tab|Tabelle)\.?\s*(\d+(?:\.\d+)?)"
+    kinds = F.create_map(*(F.lit(x) for pair in FIGURE_WORDS.items() for x in pair))
+    both = F.arrays_zip(F.regexp_extract_all(_c(c), F.lit(word), F.lit(1)).alias("w"), F.regexp_extract_all(_c(c), F.lit(word), F.lit(2)).alias("n"))
+    return F.transform(both, lambda x: F.concat_ws(" ", F.try_element_at(kinds, F.lower(x["w"])), x["n"]))
+
+
+def find_citation_keys(c: Column | str) -> Column:
+    """The keys of citing commands, each once."""
+    groups = F.regexp_extract_all(_c(c), F.lit(r"\\(?:" + "|".join(CITATION_COMMANDS) + r")\*?(?:\[[^\[\]]*\])*\{([^{}]+)\}"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), lambda x: F.trim(x)), lambda k: k != ""))
+
+
 def sentences(c: Column | str) -> Column:
     """Sentences of a text: cut after . ! ? before blanks, but not after common abbreviations."""
     cut = r"(?<=[.!?])(?<!\b(?:z\.B|u\.a|d\.h|bzw|vgl|Abb|Tab|Nr|Dr|Prof|et al|e\.g|i\.e|Fig|No)\.)\s+"
-    return F.filter(F.transform(F.split(_c(c), cut), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(_c(c), cut), lambda x: F.trim(x)), lambda t: t != "")

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -34,3 +35,14 @@ def embed(df: DataFrame, key: str, text: str, embedder: Embedder = hashed_words,
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors.tolist(), pa.list_(pa.float32()))], [key, "embedding"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, embedding array<float>")
+
+
+# Letters whose shares make the stand-in vector of the JVM side.
+LETTERS = "enirstadhulcgmob"
+
+
+def letter_shares(c: Column) -> Column:
+    """A stand-in for a model without Python: the letters' shares of a text, in whole thousandths (so that sums are exact)."""
+    low = F.lower(c)
+    size = F.greatest(F.length(low), F.lit(1))
+    return F.array(*(F.floor(1000.0 * (F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))) / size).cast("double") for x in LETTERS))

@@ -3,35 +3,83 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import cut
 from .fuzzy import fuzzy
+from .relational import range_join
 
-#: Quotes that are compared with all texts at a time.
-BLOCK = 2000
+#: Bytes of quotes that are searched for at a time.
+BLOCK = 16 << 20
 
 
 def containment(docs: DataFrame, quotes: DataFrame, keep: bool = False, block: int = BLOCK) -> DataFrame:
     """(item_id, doc_id) where a quote occurs in a text; with keep also text and quote.
 
-    The quotes are the query set: they go against all texts in blocks of about ``block``, each broadcast, so what is
-    broadcast is bounded and the texts are never shuffled.
+    The quotes are the query set: an automaton of all of a block's, of a bounded size, goes over each text once, however
+    many quotes it holds. Texts are never shuffled; quotes longer than a block are a block of their own.
     """
     q = quotes.where(F.col("text") != "").select("item_id", F.col("text").alias("quote"))
-    blocks = max(1, math.ceil(q.count() / block))
+    blocks = max(1, math.ceil((q.agg(F.sum(F.octet_length("quote"))).first()[0] or 0) / block))
+    ids, keys = dict(q.dtypes)["item_id"], dict(docs.dtypes)["doc_id"]
+    schema = f"item_id {ids}, doc_id {keys}" + (", text string, quote string" if keep else "")
     found = None
     for i in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        hits = docs.select("doc_id", "text").join(F.broadcast(part), F.col("text").contains(F.col("quote")))
-        hits = hits.select("item_id", "doc_id", *(("text", "quote") if keep else ()))
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("quote"), F.lit(blocks)) == i)
+        rows = part.toArrow()  # about a block's bytes
+        names = [(rows["item_id"][k].as_py(), rows["quote"][k].as_py()) for k in range(rows.num_rows)]
+        shared = docs.sparkSession.sparkContext.broadcast(names)
+        hits = docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(_search(shared, keep, rows["item_id"].type), schema)
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
+def _search(shared, keep: bool, kind: pa.DataType):
+    """Finds the broadcast quotes (item_id, quote) in (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        items: dict[str, list] = {}
+        for item, quote in shared.value:
+            items.setdefault(quote, []).append(item)
+        for quote in items:
+            automaton.add_word(quote, quote)
+        if items:
+            automaton.make_automaton()
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for quote in dict.fromkeys(q for _, q in automaton.iter(text)) if items else ():
+                    rows += [(item, doc, text, quote) for item in items[quote]]
+            columns = (("item_id", kind), ("doc_id", batch.schema.field(0).type), ("text", pa.string()), ("quote", pa.string()))[: 4 if keep else 2]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns)], [n for n, _ in columns])
+
+    return run
+
+
+def page_coverage(checks: DataFrame, samples: DataFrame, extents: DataFrame, width: int = 16) -> DataFrame:
+    """check_id, status of pages (check_id, paper_id, page, page_end or null): covered, outside or unknown.
+
+    A known page (samples: paper_id, page) within the range covers it; else the paper's whole extent (extents: paper_id,
+    page_first, page_last, one row a paper) decides where it is known; else known pages elsewhere speak against it.
+    """
+    end = F.coalesce("page_end", "page")
+    c = checks.select("check_id", "paper_id", F.least("page", end).alias("lo"), F.greatest("page", end).alias("hi"))
+    pages = samples.where("page is not null").select("paper_id", "page").distinct()
+    hits = range_join(pages, c, ["paper_id"], "lo", "hi", "page", width).select("check_id").distinct().withColumn("hit", F.lit(True))
+    have = pages.select("paper_id").distinct().withColumn("sampled", F.lit(True))
+    rows = c.join(hits, "check_id", "left").join(have, "paper_id", "left").join(extents.select("paper_id", "page_first", "page_last"), "paper_id", "left")
+    inside = (F.col("hi") >= F.col("page_first")) & (F.col("lo") <= F.col("page_last"))
+    status = F.when(F.col("hit"), "covered").when(inside.isNotNull(), F.when(inside, "covered").otherwise("outside")).when(F.col("sampled"), "outside").otherwise("unknown")
+    return rows.select("check_id", status.alias("status"))
+
+
 def verify(claims: DataFrame, threshold: float = 90.0) -> DataFrame:
     """item_id, doc_id, status: exact, snapped or no-match for claims (item_id, doc_id, quote, text).
 
@@ -63,7 +111,7 @@ def wording(claims: DataFrame, shortest: int = 0) -> DataFrame:
     rest = cut(rows.where("step is null").select(*ids, text.full_normal("quote").alias("q"), text.full_normal("text").alias("t")))
     q, t = F.col("q"), F.col("t")
     fq, ft = F.lower(F.upper(q)), F.lower(F.upper(t))  # upper first, as for ß
-    parts = F.filter(F.transform(F.split(fq, r"\s*(?:\.\.\.|…|\[\.\.\.\])\s*"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(fq, r"\s*(?:\.\.\.|…|\[\.\.\.\])\s*"), lambda x: F.trim(x)), lambda x: x != "")
     ellipsis = (F.size(parts) >= 2) & F.forall(parts, lambda x: F.length(x) >= FRAGMENT_LEAST) & (F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x)) >= FRAGMENTS_LEAST)
     rest = rest.withColumn("step", F.when(q != "", F.when(t.contains(q), "full").when(ft.contains(fq), "casefold").when(ellipsis & _in_order(parts, ft), "ellipsis")))
     left = rest.where("step is null").select(*ids, fq.alias("fq"), ft.alias("ft"))

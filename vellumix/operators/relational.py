@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+#: Rows of a narrow table that may be broadcast: about 16 MB.
+BROADCAST_ROWS = 500_000
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint if the (narrow) table has at most limit rows; else the join shuffles."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def optional_filters(df: DataFrame, **wanted: object) -> DataFrame:
     """Equality filters; a parameter that is None filters nothing."""
     for name, value in wanted.items():

@@ -7,7 +7,10 @@ corpus is never shuffled by more than what it holds of the queries' terms.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,22 +63,78 @@ def top(hits: DataFrame, key: str, order: Column, k: int) -> DataFrame:
 def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """query_id, key, distance, rank: the exact k nearest by Euclidean distance, ties by key; queries: query_id, q.
 
-    Vectors of different lengths raise an error. Queries go in blocks, each broadcast; each task keeps its k best of each
-    query before the shuffle (a partial top-k by the window's group limit).
+    Vectors of different lengths raise an error, rows without one are left out. Queries go in blocks, each broadcast as a
+    matrix; each task keeps its k best of each query over all its rows, so that k rows a query and task are shuffled.
     """
+    ids, keys = (dict(df.dtypes)[c] for df, c in ((queries, "query_id"), (vectors, key)))
     n = queries.count()
     blocks = max(1, math.ceil(n / block))
     out = None
-    v = vectors.select(key, F.col(vector).cast("array<double>").alias("v"))
+    v = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
     for i in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = v.join(F.broadcast(part.select("query_id", F.col("q").cast("array<double>").alias("q"))))
-        checked = F.when(F.size("v") == F.size("q"), l2(F.col("v"), F.col("q"))).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("double"))
-        found = top(pairs.select("query_id", key, checked.alias("distance")), key, F.col("distance"), k)
+        rows = part.where("q is not null").select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow()  # about a block of queries
+        shared = vectors.sparkSession.sparkContext.broadcast((rows["query_id"].combine_chunks(), [r.as_py() for r in rows["q"]]))
+        near = v.mapInArrow(_nearest(shared, key, k), f"query_id {ids}, {key} {keys}, distance double")
+        found = top(near, key, F.col("distance"), k)
         out = found if out is None else out.union(found)
     return out
 
 
+def _nearest(shared, key: str, k: int):
+    """The k nearest rows of a task to each of the broadcast queries. A product of matrices tells which rows may be among
+    them; their distances are then taken from the differences, as rounding must not decide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        if not queries:
+            return
+        if len({len(q) for q in queries}) > 1:
+            raise ValueError("vectors of different lengths")
+        q = np.array(queries).reshape(len(queries), -1)
+        norm = (q * q).sum(axis=1)
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
+        worst = np.full(len(queries), np.inf)
+        names: list[pa.Array] = []  # the keys of all rows so far, by place
+        seen = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            if (sizes != q.shape[1]).any():
+                raise ValueError("vectors of different lengths")
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            near = norm[:, None] + (x * x).sum(axis=1)[None] - 2 * (q @ x.T)
+            rank = np.argsort(np.array(batch.column(0).to_pylist()), kind="stable")  # keys in order
+            slack = 1e-9 * (1 + np.abs(norm) + np.abs(near).max(axis=1))
+            kth = np.partition(near, k - 1, axis=1)[:, k - 1] if k <= near.shape[1] else np.full(len(q), np.inf)
+            for j in range(len(q)):
+                some = np.flatnonzero(near[j, rank] <= min(worst[j] ** 2, kth[j]) + 2 * slack[j])
+                if len(some):
+                    at = rank[some]
+                    d = np.sqrt(((x[at] - q[j]) ** 2).sum(axis=1))
+                    best[j] = np.concatenate([best[j][0], d]), np.concatenate([best[j][1], at + seen])
+            names.append(batch.column(0))
+            seen += batch.num_rows
+            every = pa.chunked_array(names).combine_chunks()
+            kept = np.unique(np.concatenate([b[1] for b in best]))
+            label = np.array(every.take(pa.array(kept)).to_pylist())
+            for j, (d, at) in enumerate(best):
+                order = np.lexsort((label[np.searchsorted(kept, at)], d))[:k]
+                best[j] = d[order], at[order]
+                if len(order) == k:
+                    worst[j] = best[j][0][-1]
+            kept = np.unique(np.concatenate([b[1] for b in best]))  # what is still among the best: few keys stay in memory
+            names, seen = [every.take(pa.array(kept))], len(kept)
+            best = [(d, np.searchsorted(kept, at)) for d, at in best]
+        if names:
+            which = pa.array(np.repeat(np.arange(len(q)), [len(b[0]) for b in best]))
+            place = pa.array(np.concatenate([b[1] for b in best]))
+            yield pa.RecordBatch.from_arrays([ids.take(which), names[0].take(place), pa.array(np.concatenate([b[0] for b in best]))], ["query_id", key, "distance"])
+
+    return run
+
+
 def rrf(lists: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
     """query_id, key, score: the sum of 1 / (k + rank) over all lists that name a key; lists: query_id, list, key, rank."""
     return lists.groupBy("query_id", key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"))

@@ -5,26 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Publication types of the sources and their common form; None tells nothing.
-TYPES = {
-    "journal-article": "article", "journalarticle": "article", "article": "article", "book-chapter": "book-chapter", "bookchapter": "book-chapter", "proceedings-article": "conference-paper",
-    "conference": "conference-paper", "dissertation": "thesis", "thesis": "thesis", "preprint": "preprint", "book": "book", "review": "review", "study": None,
+# The types that the sources' vocabularies name, one vocabulary after the other.
+REGISTRY_TYPES = (
+    "book", "book-chapter", "book-part", "book-section", "book-series", "book-set", "book-track", "component", "database", "dataset", "dissertation", "edited-book", "grant", "journal", "journal-article",
+    "journal-issue", "journal-volume", "monograph", "other", "peer-review", "posted-content", "proceedings", "proceedings-article", "proceedings-series", "reference-book", "reference-entry", "report", "report-component",
+    "report-series", "standard",
+)
+INDEX_TYPES = (
+    "article", "book", "book-chapter", "book-review", "conference-abstract", "conference-paper", "data-paper", "dataset", "dissertation", "editorial", "erratum", "letter", "libguides", "other", "paratext", "peer-review",
+    "preprint", "reference-entry", "report", "retraction", "review", "software", "software-paper", "standard", "supplementary-materials",
+)
+SCHOLAR_TYPES = ("review", "journalarticle", "casereport", "clinicaltrial", "conference", "dataset", "editorial", "lettersandcomments", "metaanalysis", "news", "study", "book", "booksection")
+# Types that name none, and spellings of one type.
+UNINFORMATIVE = ("casereport", "clinicaltrial", "metaanalysis", "other", "study")
+TYPE_ALIASES = {
+    "article": "journal-article", "conference-paper": "proceedings-article", "journalarticle": "journal-article", "conferencepaper": "proceedings-article", "conference": "proceedings-article", "booksection": "book-chapter",
+    "lettersandcomments": "letter", "review": "journal-article",
 }
 
 
 def publication_type(c: Column) -> Column:
-    """Common form of a publication type; unknown ones as they are, uninformative ones null."""
+    """Common form of a publication type; null for what no vocabulary knows or what names no type, as it excludes nothing."""
     low = F.lower(F.trim(c))
-    known = F.create_map(*(F.lit(x) for k, v in TYPES.items() if v is not None for x in (k, v)))
-    empty = [k for k, v in TYPES.items() if v is None] + [""]
-    return F.when(low.isin(*empty), None).otherwise(F.coalesce(F.try_element_at(known, low), low))
+    alias = F.create_map(*(F.lit(x) for pair in TYPE_ALIASES.items() for x in pair))
+    known = [t for t in dict.fromkeys((*REGISTRY_TYPES, *INDEX_TYPES, *SCHOLAR_TYPES)) if t not in UNINFORMATIVE]
+    return F.coalesce(F.try_element_at(alias, low), F.when(low.isin(*known), low))
 
 
-def violation(year: Column, language: Column, kind: Column, year_min: int | None = None, year_max: int | None = None, languages: tuple[str, ...] | None = None, kinds: tuple[str, ...] | None = None) -> Column:
-    """The first criterion that a paper violates: period, language, type; missing data violate nothing."""
+def publication_types(several: Column, one: Column) -> Column:
+    """Common forms of all types of a record, each once; the single one counts where there is no list."""
+    given = F.when(F.size(several) > 0, several).otherwise(F.array(one))
+    return F.array_distinct(F.filter(F.transform(given, publication_type), lambda t: t.isNotNull()))
+
+
+def violation(year: Column, language: Column, kinds_found: Column, year_min: int | None = None, year_max: int | None = None, languages: tuple[str, ...] | None = None, kinds: tuple[str, ...] | None = None) -> Column:
+    """The first criterion that a paper violates: period, language, type; missing data violate nothing, and of several
+    types one that is allowed will do. kinds are taken in any spelling."""
     out = F.lit(None).cast("string")
     if kinds is not None:
-        out = F.when(~kind.isin(*kinds), "publication_type").otherwise(out)
+        allowed = [TYPE_ALIASES.get(k.strip().lower(), k.strip().lower()) for k in kinds]
+        out = F.when((F.size(kinds_found) > 0) & ~F.arrays_overlap(kinds_found, F.array(*map(F.lit, allowed))), "publication_type").otherwise(out)
     if languages is not None:
         out = F.when(~F.lower(F.trim(language)).isin(*languages) & (F.trim(language) != ""), "language").otherwise(out)
     period = F.lit(False)
@@ -35,6 +55,12 @@ def violation(year: Column, language: Column, kind: Column, year_min: int | None
     return F.when(period, "period").otherwise(out)
 
 
+def freshness(doi: Column, checked_at: Column, now: int, max_age_days: int, force: bool = False) -> Column:
+    """no_doi, fresh (checked within the days) or to_check (never, too long ago, or all if forced); times in seconds."""
+    fresh = F.lit(False) if force else F.coalesce(checked_at >= now - max_age_days * 86_400, F.lit(False))
+    return F.when(F.coalesce(doi, F.lit("")) == "", "no_doi").when(fresh, "fresh").otherwise("to_check")
+
+
 def rounds(ledger: DataFrame, stage: str = "screening") -> DataFrame:
     """A row per paper with the last decision of each round; rows by rule stay out."""
     rows = ledger.where((F.col("stage") == stage) & (F.col("decided_by") != "rule"))

@@ -5,36 +5,93 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import CITATION_COMMANDS
+from .relational import checked_broadcast
+
 # Shares of common n-grams, in percent, from which a text is suspicious, by n.
 OVERLAP_LIMITS = {3: 40, 4: 25, 5: 15, 6: 8, 7: 5}
-TRANSITIONS = ("aber", "jedoch", "daher", "however", "therefore", "and", "und")
+# Words that link sentences, that fill, and limits of the style metrics.
+TRANSITIONS = ("darüber hinaus", "furthermore", "moreover", "zusätzlich", "in conclusion")
+FILLERS = ("quasi", "eigentlich", "irgendwie", "sozusagen", "gewissermaßen")
+NOMINAL = "(ung|heit|keit|tion)$"
+PASSIVE = r"\b(wird|werden|wurde|wurden)\b.*\b(ge\p{L}+(t|en)|\p{L}+iert)\b"
+LIMITS = {"mean_sentence": (15, 25), "passive_share": (None, 0.30), "nominal_share": (None, 0.40), "filler_share": (None, 0.05), "sd_sentence": (5, None), "top10_share": (None, 0.15), "transitions": (None, 2.0)}
 
 
 def ngrams(df: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
-    """key, g: the distinct word n-grams of each text, lower-cased."""
+    """key, g: hashes of the distinct word n-grams of each text, lower-cased."""
     w = F.split(F.trim(F.lower(text)), r"\s+")
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
     return df.select(key, w.alias("w")).where(F.size("w") >= n).select(key, F.explode(F.array_distinct(grams)).alias("g"))
 
 
 def ngram_overlap(items: DataFrame, item: str, corpus: DataFrame, n: int) -> DataFrame:
-    """item, grams, shared, percent: how many of an item's n-grams occur in the corpus. Only those that do are kept of the corpus."""
+    """item, grams, shared, percent: how many of an item's n-grams occur in the corpus. The items' hashes are broadcast if
+    they are few enough, so that only what they share with the corpus is shuffled."""
     g = ngrams(items, item, n)
-    own = g.select("g").distinct()
+    own = checked_broadcast(g.select("g").distinct())
     seen = ngrams(corpus, "doc_id", n).select("g").join(own, "g", "left_semi").distinct().withColumn("s", F.lit(1))
     return g.join(seen, "g", "left").groupBy(item).agg(F.count("*").alias("grams"), F.count("s").alias("shared")).withColumn("percent", F.round(100.0 * F.col("shared") / F.col("grams"), 4))
 
 
+def overlap_levels(items: DataFrame, item: str, corpus: DataFrame, levels: tuple[int, ...] = tuple(OVERLAP_LIMITS)) -> DataFrame:
+    """item, n, grams, shared, percent, flagged (over the level's limit) for each level."""
+    out = None
+    for n in levels:
+        part = ngram_overlap(items, item, corpus, n).withColumn("n", F.lit(n)).withColumn("flagged", F.col("percent") > OVERLAP_LIMITS[n])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def overlap_severity(levels: DataFrame, item: str) -> DataFrame:
+    """item, severity: high by 7-grams, medium by 5-grams, low by 4-grams, else none."""
+    over = lambda n: F.max(F.when(F.col("n") == n, F.col("flagged")).otherwise(False))
+    return levels.groupBy(item).agg(F.when(over(7), "high").when(over(5), "medium").when(over(4), "low").otherwise("none").alias("severity"))
+
+
 def style_metrics(docs: DataFrame) -> DataFrame:
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))
-    rows = docs.select("doc_id", "text", w.alias("w"))
+    """Of each text: words, distinct words; mean, median and standard deviation of the sentences' words; shares of passive
+    sentences and of nominal ones (three nouns by their endings); fillers among words; linking words and sources in
+    1,000 words; the ten commonest words' share of those of four letters or more; three-word phrases met over twice."""
+    low = F.lower("text")
+    w = F.regexp_extract_all(low, F.lit(r"(\p{L}+)"))
+    s = F.filter(F.split(low, r"[.!?]+\s+"), lambda t: t.rlike(r"\p{L}"))
+    rows = docs.select("doc_id", "text", w.alias("w"), s.alias("s"))
     n = F.greatest(F.size("w"), F.lit(1))
-    nominal = F.size(F.filter("w", lambda t: t.rlike("(ung|heit|keit|tion)$")))
+    m = F.greatest(F.size("s"), F.lit(1))
+    lengths = F.transform("s", lambda t: F.regexp_count(t, F.lit(r"\p{L}+")))
+    rows = rows.withColumn("l", F.array_sort(lengths)).withColumn("content", F.array_sort(F.filter("w", lambda t: F.length(t) >= 4)))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    mean = total("l") / m
+    middle = (F.get("l", F.floor((F.size("l") - 1) / 2).cast("int")) + F.get("l", F.floor(F.size("l") / 2).cast("int"))) / 2.0
+    share = lambda f: F.round(F.size(F.filter("s", f)) / m, 6)
+    grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))
+    runs = lambda x: F.filter(F.transform(F.sequence(F.lit(0), F.size(x)), lambda i: F.when((i == 0) | (i == F.size(x)) | ~F.get(x, i).eqNullSafe(F.get(x, i - 1)), i)), lambda i: i.isNotNull())
+    counts = lambda starts: F.transform(F.sequence(F.lit(1), F.greatest(F.size(starts) - 1, F.lit(1))), lambda i: F.get(starts, i) - F.get(starts, i - 1))
+    rows = rows.withColumn("cs", runs("content")).withColumn("gs", grams).withColumn("gr", runs("gs"))
+    top = F.slice(F.reverse(F.array_sort(counts("cs"))), 1, 10)
     return rows.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.size(F.array_distinct("w")).cast("long").alias("n_types"),
-        F.round(nominal / n, 6).alias("nominal_share"),
-        F.round(1000.0 * F.size(F.filter("w", lambda t: t.isin(*TRANSITIONS))) / n, 4).alias("transitions"),
-        F.lower("text").rlike(r"\b(wird|wurde|werden|was|were|is)\b").alias("passive"),
+        F.round(mean, 4).alias("mean_sentence"),
+        F.coalesce(middle, F.lit(0.0)).alias("median_sentence"),
+        F.round(F.sqrt(F.greatest(total(F.transform("l", lambda x: (x - mean) * (x - mean))) / m, F.lit(0.0))), 4).alias("sd_sentence"),
+        share(lambda t: t.rlike(PASSIVE)).alias("passive_share"),
+        share(lambda t: F.size(F.filter(F.regexp_extract_all(t, F.lit(r"(\p{L}+)")), lambda x: x.rlike(NOMINAL))) >= 3).alias("nominal_share"),
+        F.round(F.size(F.filter("w", lambda t: t.isin(*FILLERS))) / n, 6).alias("filler_share"),
+        F.round(1000.0 * sum((F.regexp_count(F.lower("text"), F.lit(x)) for x in TRANSITIONS), F.lit(0)) / n, 4).alias("transitions"),
+        F.round(1000.0 * F.regexp_count("text", F.lit(r"\([^()]*(?:19|20)\d\d[^()]*\)")) / n, 4).alias("sources"),
+        F.round(F.when(F.size("content") > 0, total(top) / F.size("content")).otherwise(0.0), 6).alias("top10_share"),
+        F.when(F.size("w") < 3, 0).otherwise(F.size(F.filter(counts("gr"), lambda c: c > 2))).cast("long").alias("repeated"),
     )
+
+
+def layout_findings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, pos, rule, n: lines with the list command where the text does not define it, and citing commands escaped twice."""
+    cite = r"\\textbackslash\{\}(?:" + "|".join(CITATION_COMMANDS) + r")\*?\{"
+    defined = F.col(text).rlike(r"\\(?:providecommand|newcommand)\{\\tightlist\}")
+    lines = docs.select(key, defined.alias("defined"), F.posexplode(F.split(text, "\n")).alias("p", "line"))
+    bare = F.when(~F.col("defined") & F.col("line").rlike(r"^\s*\\tightlist\s*$"), 1).otherwise(0)
+    found = F.array(F.struct(F.lit("missing-tightlist-definition").alias("rule"), bare.cast("long").alias("n")), F.struct(F.lit("corrupted-cite-command").alias("rule"), F.regexp_count("line", F.lit(cite)).cast("long").alias("n")))
+    return lines.select(key, (F.col("p") + 1).cast("long").alias("pos"), F.inline(found).alias("rule", "n")).where("n > 0")

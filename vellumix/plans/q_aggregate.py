@@ -128,16 +128,16 @@ def a12(spark: SparkSession, sf: str) -> DataFrame:
     return survivors(p, "doi").select("doi", "n", "first_id", "citations", "best", "is_retracted", "oa_url", "sources")
 
 
-@query("a17_latency", "SELECT event_type, list_element(v, CAST(floor(len(v) * 0.95) AS BIGINT) + 1) AS p95, round(list_avg(v), 6) AS mean, count(*) AS n FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type) GROUP BY ALL")
+@query("a17_latency", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, list_element(list_sort(list(value)), CAST(floor(count(*) * 0.95) AS BIGINT) + 1) AS p95, round(avg(value), 6) AS mean, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def a17(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest-rank percentile from counts of distinct values, so no list of all values is built."""
+    """Median and nearest-rank percentile from counts of distinct values, so no list of all values is built."""
     e = table(spark, sf, "events").where("value is not null")
     counts = e.groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("event_type").orderBy("value")
-    up = counts.withColumn("upto", F.sum("c").over(w))
-    n = e.groupBy("event_type").agg(F.count("*").alias("total"), F.round(F.avg("value"), 6).alias("mean"))
-    p95 = up.join(n, "event_type").where(F.col("upto") > F.floor(F.col("total") * 0.95)).groupBy("event_type", "mean").agg(F.min("value").alias("p95"))
-    return p95.select("event_type", "p95", "mean", F.lit(1).cast("long").alias("n"))
+    up = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("event_type").orderBy("value")))
+    n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))
+    low, high, p95 = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2)), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1))
+    return up.join(n, "event_type").groupBy("event_type", "mean", "n").agg(F.round((low + high) / 2, 6).alias("p50"), p95.alias("p95"))
 
 
 @query("a18_descriptives", "SELECT o_orderstatus, count(o_totalprice) AS n, count(*) - count(o_totalprice) AS missing, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 4) AS iqr, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY o_orderstatus")
@@ -303,22 +303,43 @@ def a35(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.count_if(t == "view").alias("faithful"), F.count_if(t == "error").alias("finding"), F.count_if(~t.isin("view", "error")).alias("open"), F.min(F.when(t == "error", 0).when(t == "view", 2).otherwise(1)).alias("worst"))
 
 
-@query(
-    "a36_ngram_overlap",
-    "WITH g AS (SELECT DISTINCT 'b' AS side, item_id AS id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT item_id, string_split_regex(trim(lower(text)), '\\s+') AS w FROM benchmark) WHERE len(w) >= 5)), "
-    "c AS (SELECT DISTINCT list_aggregate(w[i:i + 4], 'string_agg', ' ') AS g FROM (SELECT w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT string_split_regex(trim(lower(text)), '\\s+') AS w FROM documents) WHERE len(w) >= 5)) "
-    "SELECT id AS item_id, count(*) AS grams, count(c.g) AS shared, round(100.0 * count(c.g) / count(*), 4) AS percent FROM g LEFT JOIN c ON c.g = g.g GROUP BY id",
-)
+def overlap_sql(n: int) -> str:
+    grams = f"list_aggregate(w[i:i + {n - 1}], 'string_agg', ' ')"
+    return (
+        f"SELECT id AS item_id, {n} AS n, count(*) AS grams, count(c.g) AS shared, round(100.0 * count(c.g) / count(*), 4) AS percent FROM (SELECT DISTINCT item_id AS id, {grams} AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT item_id, string_split_regex(trim(lower(text)), '\\s+') AS w FROM benchmark) WHERE len(w) >= {n})) g "
+        f"LEFT JOIN (SELECT DISTINCT {grams} AS g FROM (SELECT w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT string_split_regex(trim(lower(text)), '\\s+') AS w FROM documents) WHERE len(w) >= {n})) c ON c.g = g.g GROUP BY id"
+    )
+
+
+LEVELS_SQL = " UNION ALL ".join(f"SELECT *, percent > {limit} AS flagged FROM ({overlap_sql(n)})" for n, limit in ((3, 40), (4, 25), (5, 15), (6, 8), (7, 5)))
+
+
+@query("a36_ngram_overlap", LEVELS_SQL)
 def a36(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.style import ngram_overlap
+    from ..operators.style import overlap_levels
+
+    return overlap_levels(table(spark, sf, "benchmark"), "item_id", table(spark, sf, "documents"))
+
+
+@query("a36_severity", f"SELECT item_id, CASE WHEN bool_or(n = 7 AND flagged) THEN 'high' WHEN bool_or(n = 5 AND flagged) THEN 'medium' WHEN bool_or(n = 4 AND flagged) THEN 'low' ELSE 'none' END AS severity FROM ({LEVELS_SQL}) GROUP BY item_id")
+def a36s(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.style import overlap_levels, overlap_severity
 
-    return ngram_overlap(table(spark, sf, "benchmark"), "item_id", table(spark, sf, "documents"), 5)
+    return overlap_severity(overlap_levels(table(spark, sf, "benchmark"), "item_id", table(spark, sf, "documents"), (4, 5, 7)), "item_id")
 
 
 @query(
     "a37_style",
-    "SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_types, round(len(list_filter(w, lambda t: regexp_matches(t, '(ung|heit|keit|tion)$'))) / greatest(len(w), 1), 6) AS nominal_share, round(1000.0 * len(list_filter(w, lambda t: t IN ('aber', 'jedoch', 'daher', 'however', 'therefore', 'and', 'und'))) / greatest(len(w), 1), 4) AS transitions, "
-    "regexp_matches(lower(text), '\\b(wird|wurde|werden|was|were|is)\\b') AS passive FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents)",
+    "WITH d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '\\p{L}+') AS w, list_filter(string_split_regex(lower(text), '[.!?]+\\s+'), lambda t: regexp_matches(t, '\\p{L}')) AS s FROM documents), "
+    "m AS (SELECT *, list_transform(s, lambda t: len(regexp_extract_all(t, '\\p{L}+'))) AS l, list_filter(w, lambda t: length(t) >= 4) AS content FROM d), "
+    "c AS (SELECT doc_id, sum(n) FILTER (r <= 10) AS top FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(content) AS x FROM m) GROUP BY 1, 2)) GROUP BY doc_id), "
+    "g AS (SELECT doc_id, count(*) AS repeated FROM (SELECT doc_id, x FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM m)) GROUP BY 1, 2 HAVING count(*) > 2) GROUP BY doc_id) "
+    "SELECT m.doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_types, round(coalesce(list_sum(l), 0) / greatest(len(s), 1), 4) AS mean_sentence, CAST(coalesce(list_median(l), 0) AS DOUBLE) AS median_sentence, round(coalesce(list_stddev_pop(l), 0), 4) AS sd_sentence, "
+    "round(len(list_filter(s, lambda t: regexp_matches(t, '\\b(wird|werden|wurde|wurden)\\b(.|\\n)*\\b(ge\\p{L}+(t|en)|\\p{L}+iert)\\b'))) / greatest(len(s), 1), 6) AS passive_share, "
+    "round(len(list_filter(s, lambda t: len(list_filter(regexp_extract_all(t, '\\p{L}+'), lambda x: regexp_matches(x, '(ung|heit|keit|tion)$'))) >= 3)) / greatest(len(s), 1), 6) AS nominal_share, "
+    "round(len(list_filter(w, lambda t: t IN ('quasi', 'eigentlich', 'irgendwie', 'sozusagen', 'gewissermaßen'))) / greatest(len(w), 1), 6) AS filler_share, round(1000.0 * len(regexp_extract_all(lower(text), 'darüber hinaus|furthermore|moreover|zusätzlich|in conclusion')) / greatest(len(w), 1), 4) AS transitions, "
+    "round(1000.0 * len(regexp_extract_all(text, '\\([^()]*(?:19|20)[0-9][0-9][^()]*\\)')) / greatest(len(w), 1), 4) AS sources, CASE WHEN len(content) > 0 THEN round(coalesce(top, 0) / len(content), 6) ELSE 0 END AS top10_share, coalesce(repeated, 0) AS repeated "
+    "FROM m LEFT JOIN c ON c.doc_id = m.doc_id LEFT JOIN g ON g.doc_id = m.doc_id",
 )
 def a37(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.style import style_metrics

@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import plugins
 from ..operators import retrieval as ret
 from ..sources.tables import table
-from .q_retrieval import by_length
+from .q_retrieval import by_vector
 from .registry import query
 from .views import view, with_views
 
@@ -45,7 +45,7 @@ def f32(spark: SparkSession, sf: str) -> DataFrame:
 @query("r07_rerank")
 def r07(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest of each query put in order by a pair scorer, which is a plug-in; this one counts shared words."""
-    near = by_length(spark, sf, 10)
+    near = by_vector(spark, sf, 10)
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     rows = near.join(F.broadcast(q), "query_id").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     scored = plugins.score_pairs(rows, "query", "text", keep=("query_id", "doc_id", "rank"))

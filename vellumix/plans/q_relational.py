@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import relational as rel
 from ..operators import screening
 from ..sources.tables import table
-from .q_scalar import DOI_SQL, PRESCORE_SQL, prescore
+from .q_scalar import DOI_SQL, FOLD_SQL, PRESCORE_SQL, STRIP_SQL, prescore
 from .registry import query
 from .views import view, with_views
 
@@ -120,16 +120,24 @@ def p06(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "papers").where(~F.col("venue").eqNullSafe("")).select("paper_id")
 
 
-FILTERS = {"year_min": 1995, "year_max": 2020, "languages": ("en", "de"), "kinds": ("article", "conference-paper", "preprint")}
-TYPE_SQL = (
-    "CASE WHEN lower(trim(publication_type)) IN ('study', '') THEN NULL WHEN lower(publication_type) IN ('journal-article', 'journalarticle') THEN 'article' "
-    "WHEN lower(publication_type) = 'proceedings-article' THEN 'conference-paper' WHEN lower(publication_type) = 'dissertation' THEN 'thesis' ELSE lower(publication_type) END"
-)
-VIOLATION_SQL = f"CASE WHEN year < 1995 OR year > 2020 THEN 'period' WHEN language NOT IN ('en', 'de') THEN 'language' WHEN {TYPE_SQL} NOT IN ('article', 'conference-paper', 'preprint') THEN 'publication_type' END"
+FILTERS = {"year_min": 1995, "year_max": 2020, "languages": ("en", "de"), "kinds": ("article", "Conference", "preprint")}
+
+
+def type_sql(x: str) -> str:
+    """What each spelling in the tables means, case by case."""
+    return (
+        f"CASE lower(trim({x})) WHEN 'journal-article' THEN 'journal-article' WHEN 'journalarticle' THEN 'journal-article' WHEN 'book-chapter' THEN 'book-chapter' WHEN 'proceedings-article' THEN 'proceedings-article' "
+        "WHEN 'dissertation' THEN 'dissertation' WHEN 'preprint' THEN 'preprint' WHEN 'editorial' THEN 'editorial' WHEN 'news' THEN 'news' END"
+    )
+
+
+TYPES_SQL = f"list_sort(list_distinct(list_filter(list_transform(coalesce(publication_types, [publication_type]), lambda t: {type_sql('t')}), lambda k: k IS NOT NULL)))"
+VIOLATION_SQL = f"CASE WHEN year < 1995 OR year > 2020 THEN 'period' WHEN language NOT IN ('en', 'de') THEN 'language' WHEN len({TYPES_SQL}) > 0 AND NOT list_has_any({TYPES_SQL}, ['journal-article', 'proceedings-article', 'preprint']) THEN 'publication_type' END"
 
 
 def screened(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "papers").withColumn("criterion", screening.violation(F.col("year"), F.col("language"), screening.publication_type(F.col("publication_type")), **FILTERS))
+    kinds = screening.publication_types(F.col("publication_types"), F.col("publication_type"))
+    return view(spark, sf, "papers").withColumn("criterion", screening.violation(F.col("year"), F.col("language"), kinds, **FILTERS))
 
 
 @query("p07_prefilter", with_views(f"SELECT paper_id, {VIOLATION_SQL} AS criterion, round({PRESCORE_SQL}, 6) AS prescore FROM papers"))
@@ -142,21 +150,36 @@ def p08(spark: SparkSession, sf: str) -> DataFrame:
     return screened(spark, sf).groupBy(F.coalesce("criterion", F.lit("kept")).alias("criterion")).agg(F.count("*").alias("n")).withColumn("batches", F.ceil(F.col("n") / 10))
 
 
-@query("p09_publication_types", with_views(f"SELECT paper_id, {TYPE_SQL} AS kind FROM papers"))
+@query("p09_publication_types", with_views(f"SELECT paper_id, {type_sql('publication_type')} AS kind, {TYPES_SQL} AS kinds FROM papers"))
 def p09(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "papers").select("paper_id", screening.publication_type(F.col("publication_type")).alias("kind"))
+    one, several = F.col("publication_type"), F.col("publication_types")
+    return view(spark, sf, "papers").select("paper_id", screening.publication_type(one).alias("kind"), F.sort_array(screening.publication_types(several, one)).alias("kinds"))
+
 
+NOW, MAX_AGE = 1_767_225_600, 180
 
-@query("p10_freshness", with_views(f"SELECT paper_id, CASE WHEN {DOI_SQL} IS NULL THEN 'no_doi' WHEN year >= 2015 THEN 'fresh' ELSE 'to_check' END AS bucket FROM papers"))
+
+@query("p10_freshness", with_views(f"SELECT paper_id, CASE WHEN coalesce({DOI_SQL}, '') = '' THEN 'no_doi' WHEN checked_at IS NULL THEN 'to_check' WHEN {NOW} - checked_at <= {MAX_AGE} * 24 * 3600 THEN 'fresh' ELSE 'to_check' END AS bucket FROM papers"))
 def p10(spark: SparkSession, sf: str) -> DataFrame:
-    bucket = F.when(text.normalize_doi("doi").isNull(), "no_doi").when(F.col("year") >= 2015, "fresh").otherwise("to_check")
-    return view(spark, sf, "papers").select("paper_id", bucket.alias("bucket"))
+    return view(spark, sf, "papers").select("paper_id", screening.freshness(text.normalize_doi("doi"), F.col("checked_at"), NOW, MAX_AGE).alias("bucket"))
+
+
+MENTIONS_SQL = "concat(title, ' See doi:10.1000/P', paper_id % 90, '), Abb. 3.', paper_id % 90, ' and TABELLE ', paper_id % 90, ', fig 7; \\cite[p. 3][]{a', paper_id % 90, ', b} \\parencite*{b,c', paper_id % 90, '} https://arxiv.org/abs/2401.', lpad(CAST(paper_id % 90 AS STRING), 5, '0'), 'v2.')"
 
 
-@query("p11_extract_ids", with_views("SELECT paper_id, unnest(regexp_extract_all(lower(coalesce(doi, '') || ' ' || coalesce(url, '')), '10\\.\\d{4,9}/[^\\s\"]+')) AS doi FROM papers"))
+@query(
+    "p11_extract_ids",
+    with_views(
+        "SELECT paper_id, list_transform(regexp_extract_all(t, '\\b10\\.[0-9]{4,9}/[^\\s\\])\"''<>?#%]+'), lambda x: lower(x)) AS dois, regexp_extract_all(t, 'arxiv\\.org/abs/([0-9]{4}\\.[0-9]{4,5})', 1) AS arxiv, "
+        "list_concat(list_transform(regexp_extract_all(t, 'Abb\\. ([0-9.]*[0-9])', 1), lambda n: 'figure ' || n), ['table ' || paper_id % 90], ['figure 7']) AS refs, ['a' || paper_id % 90, 'b', 'c' || paper_id % 90] AS keys "
+        f"FROM (SELECT paper_id, {MENTIONS_SQL} AS t FROM papers)"
+    ),
+)
 def p11(spark: SparkSession, sf: str) -> DataFrame:
-    where = F.lower(F.concat(F.coalesce("doi", F.lit("")), F.lit(" "), F.coalesce("url", F.lit(""))))
-    return view(spark, sf, "papers").select("paper_id", F.explode(F.regexp_extract_all(where, F.lit(r'(10\.\d{4,9}/[^\s"]+)'))).alias("doi"))
+    """DOIs, arXiv ids, references to figures and tables, and citation keys in a text."""
+    t = F.expr(MENTIONS_SQL.replace("\\", "\\\\"))
+    rows = view(spark, sf, "papers").select("paper_id", t.alias("t"))
+    return rows.select("paper_id", text.find_dois("t").alias("dois"), text.find_arxiv_ids("t").alias("arxiv"), text.find_references("t").alias("refs"), text.find_citation_keys("t").alias("keys"))
 
 
 @query("p13_validate", "SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'event_type' WHEN value < 5 THEN 'value' END AS problem FROM events WHERE event_type NOT IN ('click', 'view', 'purchase') OR value < 5")
@@ -172,11 +195,19 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "line")
 
 
-@query("p14_layout_rules", f"SELECT doc_id, pos, CASE WHEN length(line) > 400 THEN 'long' ELSE 'heading_before_heading' END AS rule FROM (SELECT *, lead(length(line)) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM ({LINES_SQL})) WHERE length(line) > 400 OR (length(line) < 40 AND nxt < 40)")
+TEX_SQL = "concat(CASE WHEN doc_id % 3 = 0 THEN '\\providecommand{\\tightlist}{}' ELSE '' END, chr(10), text, chr(10), '  \\tightlist ', chr(10), 'x \\textbackslash{}cite{k} \\textbackslash{}parencite*{z}', chr(10), '\\tightlist')"
+
+
+@query(
+    "p14_layout_rules",
+    f"SELECT doc_id, pos, rule, n FROM (SELECT doc_id, pos, unnest(['missing-tightlist-definition', 'corrupted-cite-command']) AS rule, unnest([CASE WHEN doc_id % 3 <> 0 AND trim(line) = '\\tightlist' THEN 1 ELSE 0 END, len(string_split(line, '\\textbackslash{{}}')) - 1]) AS n "
+    f"FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split({TEX_SQL}, chr(10)) AS l FROM documents))) WHERE n > 0",
+)
 def p14(spark: SparkSession, sf: str) -> DataFrame:
-    size = F.length("line")
-    rows = lines(spark, sf).withColumn("nxt", F.lead(size).over(Window.partitionBy("doc_id").orderBy("pos")))
-    return rows.where((size > 400) | ((size < 40) & (F.col("nxt") < 40))).select("doc_id", "pos", F.when(size > 400, "long").otherwise("heading_before_heading").alias("rule"))
+    """Lines of a TeX source that use an undefined list command, and citing commands that were escaped twice."""
+    from ..operators.style import layout_findings
+
+    return layout_findings(table(spark, sf, "documents").select("doc_id", F.expr(TEX_SQL.replace("\\", "\\\\")).alias("text")), "doc_id")
 
 
 @query("p15_status_fields", "SELECT page_id, nullif(regexp_extract(html, 'lang=\"(\\w+)\"', 1), '') AS lang, contains(html, '<article>') AS ready FROM pages")
@@ -184,9 +215,9 @@ def p15(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.nullif(F.regexp_extract("html", r'lang="(\w+)"', 1), F.lit("")).alias("lang"), F.col("html").contains("<article>").alias("ready"))
 
 
-@query("j01_hits_with_type", with_views(f"SELECT q.quote_id, p.paper_id, p.language FROM quotes q JOIN papers p ON p.paper_id = q.paper_id WHERE {TYPE_SQL} = 'article'"))
+@query("j01_hits_with_type", with_views(f"SELECT q.quote_id, p.paper_id, p.language FROM quotes q JOIN papers p ON p.paper_id = q.paper_id WHERE {type_sql('p.publication_type')} = 'journal-article'"))
 def j01(spark: SparkSession, sf: str) -> DataFrame:
-    p = view(spark, sf, "papers").where(screening.publication_type(F.col("publication_type")) == "article").select("paper_id", "language")
+    p = view(spark, sf, "papers").where(screening.publication_type(F.col("publication_type")) == "journal-article").select("paper_id", "language")
     return view(spark, sf, "quotes").join(p, "paper_id").select("quote_id", "paper_id", "language")
 
 
@@ -211,20 +242,35 @@ def j05(spark: SparkSession, sf: str) -> DataFrame:
     return screening.resume(ids, view(spark, sf, "ledger").where("stage = 'screening' and round = 'human'"), ("paper_id",))
 
 
-@query("j07_author_year", "SELECT DISTINCT a.c_custkey AS left_id, b.s_suppkey AS right_id FROM customer a JOIN supplier b ON a.c_nationkey = b.s_nationkey AND substring(lower(a.c_mktsegment), 1, 1) <> 'z'")
+FAMILY_SQL = "string_split_regex(trim(title), '\\s+')[-1]"
+NAMES_SQL = f"SELECT DISTINCT paper_id, language, year, unnest([{FOLD_SQL.format(FAMILY_SQL)}, {STRIP_SQL.format(FAMILY_SQL)}]) AS v FROM papers WHERE year IS NOT NULL"
+
+
+@query("j07_author_year", with_views(f"WITH n AS ({NAMES_SQL}) SELECT DISTINCT a.paper_id AS cited_in, b.paper_id FROM n a JOIN n b ON a.v = b.v AND a.v <> '' AND a.year = b.year AND a.language <> 'en' AND b.language = 'en'"))
 def j07(spark: SparkSession, sf: str) -> DataFrame:
-    """Authors match if any variant of their names and the year agree: exploded variants, an equi-join, distinct."""
-    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("left_id"), F.col("c_nationkey").alias("year"), F.explode(F.array(F.lit("miller"), F.lower("c_mktsegment"))).alias("variant"))
-    b = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("right_id"), F.col("s_nationkey").alias("year"), F.explode(F.array(F.lit("mueller"), F.lit("miller"))).alias("variant"))
-    return a.join(b, ["variant", "year"]).select("left_id", "right_id").distinct()
+    """Citations (family, year) that meet a record if any variant of the names and the year agree: exploded variants, an equi-join, distinct."""
+    p = view(spark, sf, "papers").where("year is not null")
+    names = p.select("paper_id", "language", "year", F.explode(text.family_variants(F.element_at(F.split(F.trim("title"), r"\s+"), -1))).alias("variant"))
+    cited = names.where("language <> 'en'").select(F.col("paper_id").alias("cited_in"), "year", "variant")
+    return cited.join(names.where("language = 'en'").select("paper_id", "year", "variant"), ["variant", "year"]).select("cited_in", "paper_id").distinct()
 
 
-@query("j08_page_coverage", "SELECT e.event_id, count(s.lo) AS covers FROM events e LEFT JOIN (SELECT user_id, event_id AS lo, event_id + 40 AS hi FROM events WHERE event_type = 'purchase') s ON e.user_id = s.user_id AND e.event_id BETWEEN s.lo AND s.hi GROUP BY e.event_id")
+@query(
+    "j08_page_coverage",
+    "WITH c AS (SELECT event_id AS check_id, user_id AS p, least(event_id % 60, event_id % 60 + event_id % 7 - 3) AS lo, greatest(event_id % 60, event_id % 60 + event_id % 7 - 3) AS hi FROM events WHERE event_type <> 'purchase'), "
+    "s AS (SELECT DISTINCT user_id AS p, event_id % 50 AS page FROM events WHERE event_type = 'purchase' AND user_id % 4 <> 0) "
+    "SELECT check_id, CASE WHEN check_id IN (SELECT check_id FROM c JOIN s ON s.p = c.p AND s.page BETWEEN lo AND hi) THEN 'covered' WHEN p % 3 = 0 AND p % 5 <> 0 THEN CASE WHEN hi >= p % 20 AND lo <= p % 20 + 25 THEN 'covered' ELSE 'outside' END "
+    "WHEN p IN (SELECT p FROM s) THEN 'outside' ELSE 'unknown' END AS status FROM c",
+)
 def j08(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    spans = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("lo"), (F.col("event_id") + 40).alias("hi"))
-    hits = rel.range_join(e.select("user_id", "event_id"), spans, ["user_id"], "lo", "hi", "event_id", 64).groupBy("event_id").agg(F.count("*").alias("covers"))
-    return e.select("event_id").join(hits, "event_id", "left").select("event_id", F.coalesce("covers", F.lit(0)).alias("covers"))
+    """Page ranges against known pages and whole extents of papers: covered, outside or unknown."""
+    from ..operators.evidence import page_coverage
+
+    e = table(spark, sf, "events").withColumn("paper_id", F.col("user_id"))
+    checks = e.where("event_type <> 'purchase'").select(F.col("event_id").alias("check_id"), "paper_id", (F.col("event_id") % 60).alias("page"), (F.col("event_id") % 60 + F.col("event_id") % 7 - 3).alias("page_end"))
+    samples = e.where("event_type = 'purchase' and user_id % 4 <> 0").select("paper_id", (F.col("event_id") % 50).alias("page"))
+    extents = e.where("user_id % 3 = 0").select("paper_id").distinct().select("paper_id", (F.col("paper_id") % 20).alias("page_first"), F.when(F.col("paper_id") % 5 != 0, F.col("paper_id") % 20 + 25).alias("page_last"))
+    return page_coverage(checks, samples, extents)
 
 
 @query("j09_cell_lookup", "SELECT o_orderkey, l_linenumber, l_quantity AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 + o_orderkey % 3")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import chunks, evidence, learn, resolve
 from ..operators import retrieval as ret
+from ..operators.embed import letter_shares
 from ..operators.fuzzy import fuzzy, sequence_ratio, word_diffs
 from ..sources.tables import table
 from .q_scalar import WORDS_SQL
@@ -15,19 +16,19 @@ from .registry import query
 from .views import view, with_views
 
 #: Queries: the two topic words of each benchmark item that sort first; they are the query set, run against all documents.
-QUERIES_SQL = f"SELECT item_id AS query_id, w[1:2] AS terms FROM (SELECT item_id, list_sort(list_distinct({WORDS_SQL})) AS w FROM benchmark) WHERE len(w) >= 2"
+QUERIES_SQL = f"SELECT item_id AS query_id, w AS terms FROM (SELECT item_id, list_sort(list_distinct({WORDS_SQL})) AS w FROM benchmark) WHERE len(w) >= 1"
 
 
 def text_queries(spark: SparkSession, sf: str) -> DataFrame:
     w = F.sort_array(F.array_distinct(text.words("text")))
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("w")).where(F.size("w") >= 2).select("query_id", F.slice("w", 1, 2).alias("terms"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("w")).where(F.size("w") >= 1).select("query_id", F.col("w").alias("terms"))
 
 
 BM25_SQL = (
     f"WITH q AS ({QUERIES_SQL}), d AS (SELECT doc_id, {WORDS_SQL} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avg_size FROM d), "
     "tf AS (SELECT doc_id, len(t) AS size, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM d) WHERE term IN (SELECT unnest(terms) FROM q) GROUP BY ALL), "
     "idf AS (SELECT term, greatest(ln((max(n) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM tf, s GROUP BY term), "
-    "bm AS (SELECT query_id, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg_size))) AS score FROM (SELECT query_id, unnest(terms) AS term FROM q) JOIN tf USING (term) JOIN idf USING (term), s GROUP BY 1, 2 HAVING count(*) = 2), "
+    "bm AS (SELECT query_id, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg_size))) AS score FROM (SELECT query_id, len(terms) AS need, unnest(terms) AS term FROM q) JOIN tf USING (term) JOIN idf USING (term), s GROUP BY 1, 2 HAVING count(*) = max(need)), "
     "lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(score, 6) AS score FROM bm)) "
 )
 
@@ -43,7 +44,7 @@ def r01(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "doc_id", F.round(F.round("score", 6), 4).alias("score"))
 
 
-@query("r02_substring_search", f"WITH q AS ({QUERIES_SQL}) SELECT query_id, doc_id FROM q JOIN documents ON contains(lower(text), terms[1]) AND contains(lower(text), terms[2])")
+@query("r02_substring_search", f"WITH q AS ({QUERIES_SQL}) SELECT query_id, doc_id FROM q JOIN documents ON len(list_filter(terms, lambda x: NOT contains(lower(text), x))) = 0")
 def r02(spark: SparkSession, sf: str) -> DataFrame:
     """All terms as substrings; the queries are broadcast, so texts are read once and not shuffled."""
     low = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
@@ -72,26 +73,30 @@ def r04(spark: SparkSession, sf: str) -> DataFrame:
     return near.join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id").groupBy("query_id", "label").agg(F.min("rank").cast("long").alias("rank"))
 
 
-#: A second ranked list over documents, as a vector search would give it: documents of the query's length class.
-NEAR_SQL = "SELECT q.item_id AS query_id, d.doc_id, row_number() OVER (PARTITION BY q.item_id ORDER BY abs(d.n_chars - length(q.text)), d.doc_id) AS rank FROM benchmark q, documents d"
+LETTERS_SQL = "[" + ", ".join(f"floor(1000.0 * (length(lower({{0}})) - length(replace(lower({{0}}), '{x}', ''))) / greatest(length({{0}}), 1))" for x in "enirstadhulcgmob") + "]"
+#: The nearest documents by a vector of their letters, which stands for an embedding that both engines can compute.
+NEAR_SQL = (
+    f"SELECT q.id AS query_id, d.id AS doc_id, row_number() OVER (PARTITION BY q.id ORDER BY list_sum(list_transform(list_zip(d.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), d.id) AS rank FROM (SELECT item_id AS id, {LETTERS_SQL.format('text')} AS v FROM benchmark) q, (SELECT doc_id AS id, {LETTERS_SQL.format('text')} AS v FROM documents) d"
+)
 
 
-def by_length(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("size"))
-    pairs = table(spark, sf, "documents").select("doc_id", "n_chars").join(F.broadcast(q)).select("query_id", "doc_id", F.abs(F.col("n_chars") - F.col("size")).alias("gap"))
-    return ret.top(pairs, "doc_id", F.col("gap"), k)
+def by_vector(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
+    """The k nearest documents of each query by the vectors of the stand-in embedder."""
+    docs = table(spark, sf, "documents").select("doc_id", letter_shares(F.col("text")).alias("v"))
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), letter_shares(F.col("text")).alias("q"))
+    return ret.knn(docs, "doc_id", "v", queries, k)
 
 
 @query("j06_fuse", BM25_SQL + f", vec AS (SELECT * FROM ({NEAR_SQL}) WHERE rank <= 20) SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, CAST(a.rank AS INT) AS lexical_rank, CAST(b.rank AS INT) AS vector_rank, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 6) AS score FROM (SELECT * FROM lex WHERE rank <= 20) a FULL JOIN vec b ON a.query_id = b.query_id AND a.doc_id = b.doc_id")
 def j06(spark: SparkSession, sf: str) -> DataFrame:
-    return ret.fuse(lexical(spark, sf), by_length(spark, sf), "doc_id").withColumn("score", F.round("score", 6))
+    return ret.fuse(lexical(spark, sf), by_vector(spark, sf), "doc_id").withColumn("score", F.round("score", 6))
 
 
 FUSED_SQL = BM25_SQL + f", vec AS (SELECT * FROM ({NEAR_SQL}) WHERE rank <= 20), fused AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM lex WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM vec) GROUP BY 1, 2), "
 
 
 def fused(spark: SparkSession, sf: str) -> DataFrame:
-    lists = lexical(spark, sf).select("query_id", F.lit(0).alias("list"), "doc_id", "rank").unionByName(by_length(spark, sf).select("query_id", F.lit(1).alias("list"), "doc_id", "rank"))
+    lists = lexical(spark, sf).select("query_id", F.lit(0).alias("list"), "doc_id", "rank").unionByName(by_vector(spark, sf).select("query_id", F.lit(1).alias("list"), "doc_id", "rank"))
     return ret.rrf(lists, "doc_id")
 
 
@@ -106,10 +111,10 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
     return ret.best_of_parent(rows, "source", "doc_id")
 
 
-@query("r05_hybrid_search", FUSED_SQL + "g AS (SELECT query_id, source, max(round(score, 6)) AS score FROM fused JOIN documents USING (doc_id) GROUP BY 1, 2) SELECT query_id, source, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source) AS INT) AS rank FROM g) WHERE rank <= 5")
+@query("r05_hybrid_search", FUSED_SQL + "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM fused) WHERE r <= 20), g AS (SELECT query_id, source, max(round(score, 6)) AS score FROM top JOIN documents USING (doc_id) GROUP BY 1, 2) SELECT query_id, source, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source) AS INT) AS rank FROM g) WHERE rank <= 5")
 def r05(spark: SparkSession, sf: str) -> DataFrame:
-    """Lexical and near lists, fused by rank, aggregated to groups, the five best groups of each query."""
-    rows = fused(spark, sf).withColumn("score", F.round("score", 6)).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    """The best 4k of a lexical and a vector search, fused by rank and cut to 4k, aggregated to groups, of which the best k are given."""
+    rows = ret.top(fused(spark, sf).withColumn("score", F.round("score", 6)), "doc_id", F.desc("score"), 20).drop("rank").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     return ret.top(rows.groupBy("query_id", "source").agg(F.max("score").alias("score")), "source", F.desc("score"), 5)
 
 

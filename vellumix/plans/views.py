@@ -18,7 +18,9 @@ CASE doc_id % 5 WHEN 0 THEN ' https://doi.org/10.1000/P' || CAST(doc_id % 97 AS
 CASE doc_id % 4 WHEN 0 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || CAST(doc_id % 113 AS STRING) || '/' WHEN 1 THEN 'https://openalex.org/W' || CAST(doc_id % 127 AS STRING) WHEN 2 THEN 'http://x.org/' || CAST(doc_id AS STRING) ELSE NULL END AS url,
 CASE WHEN doc_id % 9 = 0 THEN 'http://oa.org/' || CAST(doc_id AS STRING) ELSE NULL END AS oa_url,
 CASE doc_id % 10 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS is_retracted,
-CASE doc_id % 8 WHEN 0 THEN 'journal-article' WHEN 1 THEN 'JournalArticle' WHEN 2 THEN 'book-chapter' WHEN 3 THEN 'proceedings-article' WHEN 4 THEN 'Study' WHEN 5 THEN 'dissertation' WHEN 6 THEN NULL ELSE 'preprint' END AS publication_type
+CASE doc_id % 8 WHEN 0 THEN 'journal-article' WHEN 1 THEN 'JournalArticle' WHEN 2 THEN 'book-chapter' WHEN 3 THEN 'proceedings-article' WHEN 4 THEN 'Study' WHEN 5 THEN 'dissertation' WHEN 6 THEN NULL ELSE 'preprint' END AS publication_type,
+CASE doc_id % 16 WHEN 4 THEN split('Study,JournalArticle', ',') WHEN 5 THEN split('Editorial,News', ',') WHEN 9 THEN split('Editorial,JournalArticle', ',') WHEN 10 THEN split('other,Sonstiger Beitrag', ',') ELSE NULL END AS publication_types,
+CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(1767225600 - (doc_id % 400) * 86400 AS BIGINT) END AS checked_at
 FROM documents""",
     "ledger": """
 SELECT event_id AS ord, 'p' || CAST(user_id AS STRING) AS paper_id,
