@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import prepare, read, text_or_empty, texts
+from ._common import prepare, read, stored, text_or_empty, texts
 
 ALIGN = 64
 UNIT = 32_768
@@ -113,11 +113,12 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What a transport stream holds. access: per PES packet (pid, pts or None, offset of its packet, random access)."""
+    """What a transport stream holds. access: per PES packet (pid, pts or None, offset of its packet, random access,
+    damaged: a packet of it was lost on the way)."""
 
     programs: dict[int, int] = field(default_factory=dict)
     types: dict[int, int] = field(default_factory=dict)
-    access: list[tuple[int, int | None, int, bool]] = field(default_factory=list)
+    access: list[tuple[int, int | None, int, bool, bool]] = field(default_factory=list)
     data: dict[int, list[bytes]] = field(default_factory=dict)
     packets: int = 0
     continuity_errors: int = 0
@@ -157,7 +158,7 @@ def _table(out: Stream, pid: int, body: bytes) -> None:
             i += 5 + (int.from_bytes(body[i + 3 : i + 5], "big") & 0x0FFF)
 
 
-def _finish(out: Stream, pid: int, parts: list[bytes], where: tuple[int, bool]) -> None:
+def _finish(out: Stream, pid: int, parts: list[bytes], where: tuple[int, bool], damaged: bool = False) -> None:
     """A PES packet whose parts are there."""
     raw = b"".join(parts)
     if len(raw) < 9 or raw[:3] != b"\0\0\x01":
@@ -170,7 +171,7 @@ def _finish(out: Stream, pid: int, parts: list[bytes], where: tuple[int, bool])
         pts = (a[0] >> 1 & 7) << 30 | a[1] << 22 | a[2] >> 1 << 15 | a[3] << 7 | a[4] >> 1
     end = 6 + size if size else len(raw)
     out.lost_bytes += max(0, end - len(raw))
-    out.access.append((pid, pts, *where))
+    out.access.append((pid, pts, *where, damaged or end > len(raw)))
     out.data.setdefault(pid, []).append(raw[head:end])
 
 
@@ -181,6 +182,7 @@ def parse(media: bytes) -> Stream:
     last: dict[int, bytes] = {}
     tables: dict[int, bytearray] = {}
     open_: dict[int, tuple[list[bytes], tuple[int, bool]]] = {}
+    damaged: set[int] = set()
     at, n = 0, len(media)
     while at + PACKET <= n:
         if media[at] != 0x47:
@@ -216,6 +218,7 @@ def parse(media: bytes) -> Stream:
                 out.repeated += 1
                 continue
             out.continuity_errors += 1
+            damaged.add(pid)  # what is open, which goes on behind the gap, or has lost its end
         counters[pid] = cc
         last[pid] = media[p:at]
         known = open_.get(pid)
@@ -234,7 +237,8 @@ def parse(media: bytes) -> Stream:
                 _table(out, pid, s)
         elif b1 & 0x40:
             if known:
-                _finish(out, pid, *known)
+                _finish(out, pid, *known, pid in damaged)
+            damaged.discard(pid)
             open_[pid] = ([media[body:at]], (p, random))
         elif known:
             known[0].append(media[body:at])
@@ -242,7 +246,7 @@ def parse(media: bytes) -> Stream:
             out.lost_bytes += at - body
     out.lost_bytes += n - at if at < n else 0
     for pid, known in open_.items():
-        _finish(out, pid, *known)
+        _finish(out, pid, *known, pid in damaged)
     return out
 
 
@@ -278,9 +282,9 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
 def read_media(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what the stored stream holds: digests, features, time stamps and random-access points.
 
-    access: array of (pid, pts, offset, random_access), one for each PES packet.
+    access: array of (pid, pts, offset, random_access, damaged), one for each PES packet.
     """
-    kind = pa.list_(pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("offset", pa.int64()), ("random_access", pa.bool_())]))
+    kind = pa.list_(pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("offset", pa.int64()), ("random_access", pa.bool_()), ("damaged", pa.bool_())]))
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "access"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,15 +293,16 @@ def read_media(media: DataFrame) -> DataFrame:
             for raw in texts(batch, "media"):
                 s = parse(raw)
                 data = s.payload()
-                access = [dict(zip(("pid", "pts", "offset", "random_access"), a, strict=True)) for a in s.access]
+                access = [dict(zip(("pid", "pts", "offset", "random_access", "damaged"), a, strict=True)) for a in s.access]
                 rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-ALIGN:]), len(raw), hashlib.sha256(raw).hexdigest(), describe(s), access))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), kind]
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, access array<struct<pid:int,pts:long,offset:long,random_access:boolean>>"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, access array<struct<pid:int,pts:long,offset:long,random_access:boolean,damaged:boolean>>"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def op1_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_media(to_media(read(prepare(spark), sf_dir, "documents")))
+    """The streams are written to the shared folder and read back from there."""
+    return read_media(stored(to_media(read(prepare(spark), sf_dir, "documents")), "media"))

@@ -3,8 +3,9 @@
 Method. Every version of every text is addressed by its SHA-256. The ledger has one row per blob and rule version that
 has been scanned, with the spans found. A scan takes the distinct blobs, left-joins what the ledger knows of each, runs
 only the rule versions that are missing, and returns the new ledger rows; findings are joined back to all paths
-(doc_ids) by the blob's address. Copies collapse in the map-side half of the aggregate by address, and the join back is
-a plain shuffle join that adaptive execution may split where one blob has very many paths.
+(doc_ids) by the blob's address. Copies collapse in the map-side half of the aggregate by address. Only blobs with spans
+are joined back: they are looked up where at most ``LOOKUP`` of them are there, so that no paths move; else adaptive
+execution may split the join where one blob has very many paths, and empty texts, which have no spans, stay out of it.
 
 Spans are those of successive leftmost matches. SQL's regular expressions return no positions, so the text is split by
 the pattern: the lengths of the pieces between matches and of the matches themselves add up to the positions, in code
@@ -17,6 +18,7 @@ table gives no rows; further columns are ignored by ``findings`` and kept by ``r
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -56,6 +58,10 @@ KINDS = tuple(r.kind for rules in VERSIONS.values() for r in rules)
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int>>"
 
 
+#: Blobs with spans that may be broadcast, and pieces of a text whose positions are added up at once.
+LOOKUP, BLOCK = 100_000, 64
+
+
 def _literal(pattern: str) -> bool:
     return pattern.replace(" ", "").isalnum()
 
@@ -68,17 +74,33 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     empty = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["0"])
-        end = start + F.coalesce(F.length(x["1"]), F.lit(0))
+        start = acc["at"] + x["gap"]
+        end = start + x["hit"]
         span = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(rule.kind)).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end")).cast("struct<start:int,ord:int,kind:string,end:int>"))
-        return F.struct(end.alias("at"), F.when(F.length(x["2"]) >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(x["good"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    def of_block(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+
+    def of_blocks(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x["gap"] + x["hit"]))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        starts = F.aggregate(sizes, none, lambda acc, s: F.struct((acc["at"] + s).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+        return F.flatten(F.zip_with(blocks, starts, of_block))
 
-    zipped = F.transform(rows, lambda x: F.struct(x["gap"].alias("0"), x["hit"].alias("1"), x["value"].alias("2")))
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    lengths = F.transform(rows, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("hit"), (F.length(x["value"]) >= rule.least).alias("good")))
+    # in blocks, as an array that grows by one is copied each time; every step sees the last one's result as a variable
+    blocks = _with(lengths, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda b: F.slice(p, b * BLOCK + 1, BLOCK)))
+    spans = _with(blocks, of_blocks)
     gate = text.contains(rule.gate) if _literal(rule.gate) else text.rlike(rule.gate)
     return F.when(gate, spans).otherwise(empty)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blobs(docs: DataFrame, text: str = "text") -> DataFrame:
     """blob (SHA-256), text: the distinct texts."""
     rows = docs.select(text_or_empty(text).alias("text"))
@@ -100,9 +122,19 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, versions: dict[str, t
 
 def findings(docs: DataFrame, ledger: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, blob and its spans (by start, then kind) for every row of docs."""
-    found = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    paths = docs.select(*keep, F.sha2(text_or_empty(text), 256).alias("blob"))
-    return paths.join(found, "blob", "left").select(*keep, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    paths = docs.select(*keep, text_or_empty(text).alias("__text"))
+    rows = _found(paths.withColumn("blob", F.sha2("__text", 256)).drop("__text"), ledger)
+    return rows.select(*keep, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+def _found(paths: DataFrame, ledger: DataFrame) -> DataFrame:
+    """paths with their blob's spans, or null."""
+    found = ledger.where(F.size("spans") > 0).groupBy(F.col("blob").alias("__blob")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    if found.limit(LOOKUP + 1).count() <= LOOKUP:
+        return paths.join(F.broadcast(found), F.col("blob") == F.col("__blob"), "left").drop("__blob")
+    nothing = hashlib.sha256(b"").hexdigest()
+    key = F.when(F.col("blob") != nothing, F.col("blob")).otherwise(F.concat(F.lit("-"), F.rand(0).cast("string")))  # meets nothing, anywhere
+    return paths.withColumn("__key", key).join(found, F.col("__key") == F.col("__blob"), "left").drop("__key", "__blob")
 
 
 def joined(spans: Column) -> Column:
@@ -132,15 +164,13 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """docs with the secrets in text replaced; n_chars, if there, is counted anew. Columns as they were; a null text stays."""
     prepare(docs.sparkSession)
     new = stored(scan(docs, ledger), "secret-ledger")
-    rows = (new if ledger is None else ledger.unionByName(new)).where(F.size("spans") > 0)
-    found = rows.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     own = docs.select(F.struct(*docs.columns).alias("d"), F.sha2(text_or_empty(), 256).alias("blob"))  # a struct, lest names clash
     none = F.col("spans").isNull()
     text = F.when(none, F.col("d.text")).otherwise(redacted(F.col("d.text"), F.col("spans")))
     new_columns = {"text": text}
     if "n_chars" in docs.columns:
         new_columns["n_chars"] = F.when(none, F.col("d.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    return own.join(found, "blob", "left").select(*(new_columns.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
+    return _found(own, new if ledger is None else ledger.unionByName(new)).select(*(new_columns.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
