@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._common import prepare, read, text_or_empty, texts
 
 #: Pre-tokens that a worker remembers in each of two generations.
-CACHE = 400_000
+CACHE = 250_000
 #: Longer pre-tokens are not remembered.
 CACHE_CHARS = 64
 
@@ -198,8 +198,15 @@ def digests(decoded: DataFrame) -> DataFrame:
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id and the digests of the encoded and decoded text; both in one Python worker, which then holds the vocabulary once."""
+
+    def make(own: Codec, batch: pa.RecordBatch) -> list[pa.Array]:
+        ids = [own.encode(x.decode()) for x in texts(batch, "text")]
+        return [pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())]
+
     prepare(docs.sparkSession)
-    return digests(decode(encode(docs, path, pattern), path, pattern))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return digests(_arrow(rows, path, pattern, "doc_id long, ids binary, decoded binary", make))
 
 
 def defaults() -> tuple[str, str]:
