@@ -8,8 +8,8 @@ Method, in five steps.
 2. Anchors are dealt out by k-mer, those of hot k-mers (see ``HOT``) by k-mer and context. Of equal contexts (128
    bits of k-mer and context hash) all but the first are covered whole. The first ones of k-mers with several contexts
    may still share single strings.
-3. Those contexts' bytes are fetched from the documents and dealt out by k-mer again; contexts that agree with no other
-   one of their k-mer on either side of it drop out; each task builds suffix arrays of the rest by linear grouping: suffixes start in groups by their first symbol; groups are processed in descending
+3. Those contexts' bytes are fetched from the documents and dealt out by k-mer again; what agrees with no other context
+   of its k-mer around it drops out; each task builds suffix arrays of the rest by linear grouping: suffixes start in groups by their first symbol; groups are processed in descending
    order; each member finds its previous smaller suffix by following the pointers of processed ones; the suffixes pointed
    at leave their group for one right above it, higher the more members point at them. The groups are then those of
    equal Lyndon prefixes in order, and one pass emits the suffix array group by group, following the same pointers,
@@ -169,9 +169,10 @@ def repeated_starts(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, w
 SIFTS = 8
 
 
-def may_share(key: np.ndarray, contexts: list[bytes]) -> np.ndarray:
-    """Which contexts can share a string with another one of their k-mer: a string with lo to hi bytes right of the k-mer
-    has lo of them, and the rest of WIDTH - K but hi left of it, in common with its equals, for one of SIFTS ranges."""
+def may_share(key: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of the part of each context that can share a string with another one of its k-mer, both 0 if
+    none can: a string with lo to hi bytes right of the k-mer has lo of them, and the rest of WIDTH - K but hi left of it, in
+    common with its equals, for one of SIFTS ranges."""
     x = np.frombuffer(b"".join(contexts), np.uint8)
     end = np.cumsum([len(c) for c in contexts])
     begin = end - np.array([len(c) for c in contexts])
@@ -182,16 +183,20 @@ def may_share(key: np.ndarray, contexts: list[bytes]) -> np.ndarray:
     own, first = np.unique(which[found], return_index=True)
     at = np.zeros(len(contexts), np.int64)
     at[own] = found[first]
-    out = np.zeros(len(contexts), bool)
+    first_byte, last_byte = end.copy(), begin.copy()
     steps = np.linspace(0, WIDTH - K + 1, SIFTS + 1).astype(int)
-    sides = [(at - (WIDTH - K - hi), at + K + lo) for lo, hi in zip(steps[:-1], steps[1:] - 1, strict=True)]
+    ranges = list(zip(steps[:-1].tolist(), (steps[1:] - 1).tolist(), strict=True))
+    sides = [(at - (WIDTH - K - hi), at + K + lo) for lo, hi in ranges]
     for k, side in enumerate(context_hashes_of(x, sides)):
-        lo, hi = sides[k]
-        inside = np.flatnonzero((lo >= begin) & (hi <= end))
+        inside = np.flatnonzero((sides[k][0] >= begin) & (sides[k][1] <= end))
         both = mix(side[inside] ^ mix(key[inside].view(np.uint64)))
         _, back, n = np.unique(both, return_inverse=True, return_counts=True)
-        out[inside[n[back] > 1]] = True
-    return out
+        some = inside[n[back] > 1]
+        lo, hi = ranges[k]
+        first_byte[some] = np.minimum(first_byte[some], np.maximum(begin[some], at[some] - (WIDTH - K - lo)))
+        last_byte[some] = np.maximum(last_byte[some], np.minimum(end[some], at[some] + K + hi))
+    none = last_byte - first_byte < WIDTH
+    return np.where(none, 0, first_byte - begin), np.where(none, 0, last_byte - begin)
 
 
 def _runs(flags: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,8 +334,8 @@ def _by_suffix_arrays(contexts: DataFrame, by: list[str]) -> DataFrame:
 
     def settle(held: list[tuple]) -> pa.RecordBatch:
         if by == ["key"]:
-            some = may_share(np.array([x[3] for x in held], np.int64), [x[2] for x in held])
-            held = [x for x, s in zip(held, some, strict=True) if s]
+            parts = may_share(np.array([x[3] for x in held], np.int64), [x[2] for x in held])
+            held = [(x[0], x[1] + a, x[2][a:b]) for x, a, b in zip(held, *(p.tolist() for p in parts), strict=True) if b]
         if not held:
             return _batch("doc a b", *[np.zeros(0, np.int64)] * 3)
         doc, start = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
