@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import citing, text
 from ..operators import relational as rel
 from ..operators import screening
 from ..sources.tables import table
@@ -53,14 +53,13 @@ def s15(spark: SparkSession, sf: str) -> DataFrame:
     return rel.first_of(view(spark, sf, "ledger").select("paper_id", "stage", "round", "decision", "ord"), ["paper_id", "stage", "round"], [F.col("ord")])
 
 
-@query("s18_transcript", with_views("SELECT paper_id, seq, speaker, row_number() OVER (PARTITION BY paper_id ORDER BY seq) - 1 AS dense FROM segments WHERE trim(text) <> ''"))
+@query("s18_transcript", with_views("SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY seq, text) AS seq, speaker, '00:' || lpad(CAST(seq % 60 AS STRING), 2, '0') AS timecode, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM segments WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''"))
 def s18(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments written as one transcript with blank lines between blocks, and parsed again."""
-    s = view(spark, sf, "segments").where(F.trim("text") != "")
-    block = F.concat(F.lit("["), F.col("seq").cast("string"), F.lit("] "), F.col("speaker"), F.lit(": "), F.regexp_replace("text", r"\n\s*\n", "\n"))
-    whole = s.groupBy("paper_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("t"))
-    blocks = whole.select("paper_id", F.posexplode(F.split("t", r"\n\s*\n")).alias("dense", "b"))
-    return blocks.select("paper_id", F.regexp_extract("b", r"^\[(\d+)\] ", 1).cast("long").alias("seq"), F.regexp_extract("b", r"^\[\d+\] (\w+):", 1).alias("speaker"), F.col("dense").cast("long").alias("dense"))
+    """Segments written as one transcript with blank lines between blocks, and parsed again; empty ones leave no number."""
+    block = F.format_string("[00:%02d] %s:  %s", F.col("seq") % 60, F.col("speaker"), F.regexp_replace("text", r"\n\s*\n", "\n"))
+    s = view(spark, sf, "segments").select("paper_id", F.struct("seq", "text", block.alias("b")).alias("b"))
+    whole = s.groupBy("paper_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda x: x["b"]), "\n\n").alias("t"))
+    return whole.select("paper_id", F.inline(citing.transcript("t"))).select("paper_id", "seq", "speaker", "timecode", "text")
 
 
 @query("s19_route_exclusions", with_views("SELECT paper_id, CASE WHEN paper_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'excluded' WHEN coalesce(doi, '') <> '' THEN 'doi' ELSE 'open' END AS route FROM papers"))
@@ -84,9 +83,18 @@ def s21(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "papers").select("paper_id", entry.alias("entry"))
 
 
-@query("s23_extract_ids", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]+)\"', 1)) AS target FROM pages")
+README_SQL = "concat(html, ' See arXiv: 2401.', lpad(CAST(page_id % 90 AS STRING), 5, '0'), 'v2, https://arxiv.org/pdf/2402.00001 and https://arxiv.org/abs/2402.00001; doi.org/10.1000/X', page_id % 90, '), 10.1000/x', page_id % 90, '.')"
+CFF_SQL = "concat('cff-version: 1.2.0', chr(10), 'title: \"Tool ', page_id, '\"', chr(10), 'doi: 10.5281/z', page_id, chr(10), CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('preferred-citation:', chr(10), '  title: Paper ', page_id, chr(10), '  doi: 10.5281', chr(10)) ELSE concat('preferred-citation:', chr(10), '  type: article', chr(10), '  doi: 10.9/p', chr(10), 'license: MIT') END)"
+
+
+@query(
+    "s23_extract_ids",
+    "SELECT page_id, ['2402.00001', '2401.' || lpad(CAST(page_id % 90 AS STRING), 5, '0')] AS arxiv, ['10.1000/x' || page_id % 90] AS dois, CASE page_id % 3 WHEN 2 THEN '10.9/p' ELSE '10.5281/z' || page_id END AS doi, CASE page_id % 3 WHEN 1 THEN 'Paper ' ELSE 'Tool ' END || page_id AS title FROM pages",
+)
 def s23(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1)))).alias("target"))
+    """Identifiers in pages with a fixed passage behind them, and the fields of a repository's citation file."""
+    p = table(spark, sf, "pages").select("page_id", F.expr(README_SQL).alias("readme"), F.expr(CFF_SQL).alias("cff"))
+    return p.select("page_id", citing.repository_ids("readme").alias("i"), citing.citation_file("cff").alias("f")).select("page_id", "i.*", "f.*")
 
 
 @query("p01_equality", "SELECT doc_id, lang FROM documents WHERE lang = 'de' AND source = 'src1'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import citing, text
 from ..operators import chunks, evidence, learn, resolve
 from ..operators import retrieval as ret
 from ..operators.embed import letter_shares
@@ -210,10 +210,18 @@ def f38(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", word_diffs(F.col("text"), F.replace("text", F.lit(" the "), F.lit(" a "))).alias("changes"))
 
 
-@query("f37_claim_drift", "SELECT item_id, contains(after, quote) AND after <> before AS drifted FROM (SELECT item_id, text AS before, replace(text, ',', ';') AS after, substring(text, 1, 12) AS quote FROM benchmark)")
+@query(
+    "f37_claim_drift",
+    "SELECT item_id, CASE WHEN item_id % 4 = 0 AND length(replace(text, '“', '')) >= 20 THEN [replace(text, '“', '')] ELSE [] END AS drifted FROM benchmark",
+)
 def f37(spark: SparkSession, sf: str) -> DataFrame:
-    after = F.replace("text", F.lit(","), F.lit(";"))
-    return table(spark, sf, "benchmark").select("item_id", (after.contains(F.substring("text", 1, 12)) & (after != F.col("text"))).alias("drifted"))
+    """Edits around a quotation: of the wording (every fourth), of blanks, of what is cited, of the quotation."""
+    quote = F.concat(F.lit("„"), F.replace("text", F.lit("“"), F.lit("")), F.lit("“"))
+    kind = F.col("item_id") % 4
+    before = F.concat(F.lit("This may be so: "), quote, F.lit(" (Kim 1999)."))
+    after = F.when(kind == 0, F.concat(F.lit("This is so: "), quote, F.lit(" (Kim 1999)."))).when(kind == 1, F.concat(F.lit("This may  be so: "), quote, F.lit(" (Kim 1999).")))
+    after = after.when(kind == 2, F.concat(F.lit("This is so: "), quote, F.lit(" (Lee 2001)."))).otherwise(F.concat(F.lit("This is so: "), F.replace(quote, F.lit("“"), F.lit("!“")), F.lit(" (Kim 1999).")))
+    return table(spark, sf, "benchmark").select("item_id", citing.drifted_quotes(before, after).alias("drifted"))
 
 
 @query("f24_naive_bayes", f"WITH d AS (SELECT doc_id, quality, {WORDS_SQL} AS t FROM documents LEFT JOIN labels USING (doc_id)), c AS (SELECT token, count(*) FILTER (quality = 1) AS y, count(*) FILTER (quality = 0) AS n FROM (SELECT quality, unnest(t) AS token FROM d WHERE quality IS NOT NULL) GROUP BY token), s AS (SELECT sum(y) AS ty, sum(n) AS tn, count(*) AS v FROM c), p AS (SELECT count(*) FILTER (quality = 1) AS dy, count(*) FILTER (quality = 0) AS dn FROM d WHERE len(t) > 0), w AS (SELECT token, ln((y + 1) / (ty + v)) - ln((n + 1) / (tn + v)) AS w FROM c, s) SELECT d.doc_id, round(ln(dy / (dy + dn)) - ln(dn / (dy + dn)) + coalesce(sum(w), 0), 4) AS score FROM (SELECT doc_id, unnest(CASE WHEN len(t) > 0 THEN t ELSE [NULL] END) AS token FROM d) d LEFT JOIN w USING (token), p GROUP BY d.doc_id, dy, dn")

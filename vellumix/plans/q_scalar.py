@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
+from ..functions import citing, scores, text
 from ..sources.tables import table
 from .registry import query
 from .views import view, with_views
@@ -246,18 +246,36 @@ def f31(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(quoted, F.lit("„([^“]{20,})“"), F.lit(1))).alias("span"))
 
 
-@query("f33_guards", "SELECT doc_id, contains(lower(text), ' nicht ') OR contains(lower(text), ' not ') OR contains(lower(text), ' no ') AS negated, contains(lower(text), ' by ') OR contains(lower(text), ' von ') AS attributed FROM documents")
+CLAIM_SQL = "concat(CASE paper_id % 3 WHEN 0 THEN '' ELSE body END, CASE paper_id % 4 WHEN 0 THEN ' Das trifft  nicht zu.' WHEN 1 THEN ' X DENIES it.' WHEN 2 THEN ' Keineswegs.' ELSE ' nicht' END)"
+
+
+@query(
+    "f33_guards",
+    with_views(
+        f"SELECT paper_id, title <> '' AND contains(trim(regexp_replace(claim, '\\s+', ' ', 'g')), trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS attributed, regexp_matches(lower(claim), '{'|'.join(citing.NEGATION)}') AS negated FROM (SELECT paper_id, title, {CLAIM_SQL} AS claim FROM papers)"
+    ),
+)
 def f33(spark: SparkSession, sf: str) -> DataFrame:
-    low = F.lower("text")
-    return table(spark, sf, "documents").select("doc_id", (low.contains(" nicht ") | low.contains(" not ") | low.contains(" no ")).alias("negated"), (low.contains(" by ") | low.contains(" von ")).alias("attributed"))
+    """Whether a claim holds the quotation (the title) itself, and whether it contradicts."""
+    claims = view(spark, sf, "papers").select("paper_id", "title", F.expr(CLAIM_SQL).alias("claim"))
+    return claims.select("paper_id", citing.guards("claim", "title").alias("g")).select("paper_id", "g.*")
 
 
-@query("f34_citations", with_views("SELECT paper_id, unnest(regexp_extract_all(title || ' (Meyer, 2004, S. 12) und Kim (1999) sowie (Cho et al. 2011)', '(\\p{Lu}\\p{L}+(?: et al\\.)?),? \\(?((?:19|20)\\d\\d)', 1)) AS family, unnest(regexp_extract_all(title || ' (Meyer, 2004, S. 12) und Kim (1999) sowie (Cho et al. 2011)', '(\\p{Lu}\\p{L}+(?: et al\\.)?),? \\(?((?:19|20)\\d\\d)', 2)) AS year FROM papers"))
+CITING_SQL = "concat(title, ' (Meyer, 2004, S. ', paper_id % 90 + 1, '-', paper_id % 90 + 3, ') und Kim (1999) sowie (Cho et al. 2011; vgl. Kim & Lee 2001), (Corona 2020), (Januar 2021), Meyer (1984, 2001), Bär (', 1900 + paper_id % 100, ')')"
+
+
+@query(
+    "f34_citations",
+    with_views(
+        "SELECT paper_id, unnest(['Meyer', 'Cho', 'Kim', 'Corona', 'Kim', 'Meyer', 'Bär']) AS family, unnest(['', 'et al.', '& Lee', '', '', '', '']) AS others, unnest([2004, 2011, 2001, 2020, 1999, 1984, 1900 + paper_id % 100])::INT AS year, "
+        "unnest([paper_id % 90 + 1, NULL, NULL, NULL, NULL, NULL, NULL])::INT AS page, unnest([paper_id % 90 + 3, NULL, NULL, NULL, NULL, NULL, NULL])::INT AS page_end, "
+        "unnest(['strong', 'strong', 'strong', 'weak', 'corroborated', 'corroborated', 'weak']) AS confidence FROM papers"
+    ),
+)
 def f34(spark: SparkSession, sf: str) -> DataFrame:
-    shown = F.concat("title", F.lit(" (Meyer, 2004, S. 12) und Kim (1999) sowie (Cho et al. 2011)"))
-    cite = F.lit(r"(\p{Lu}\p{L}+(?: et al\.)?),? \(?((?:19|20)\d\d)")
-    both = F.arrays_zip(F.regexp_extract_all(shown, cite, F.lit(1)).alias("family"), F.regexp_extract_all(shown, cite, F.lit(2)).alias("year"))
-    return view(spark, sf, "papers").select("paper_id", F.inline(both).alias("family", "year"))
+    """Citations in titles with a fixed passage behind them; the twin states what that passage cites."""
+    shown = view(spark, sf, "papers").select("paper_id", F.expr(CITING_SQL).alias("t"))
+    return shown.select("paper_id", F.inline(citing.citations("t")))
 
 
 OWN_NAMES_SQL = "list_filter(string_split_regex(lower(title), '[^a-z]+'), lambda t: t <> '')[1:4]"
@@ -282,10 +300,31 @@ def f35(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("verdict", scores.candidate_class(F.col("score"), F.col("paper_id") % 2 == 0))
 
 
-@query("f36_context_signals", "SELECT doc_id, regexp_matches(lower(text), '\\b(aber|jedoch|however|but|pero|mais)\\b') AS contrast, regexp_matches(lower(text), '\\b(may|might|could|perhaps|possibly)\\b') AS hedged FROM documents")
+CONTEXT_SQL = {
+    "before": "concat(body, CASE paper_id % 5 WHEN 0 THEN ' Critics  argue that' WHEN 1 THEN ' it may be' ELSE '' END)",
+    "after": "concat(CASE paper_id % 3 WHEN 0 THEN 'This, however,  is so. ' ELSE '' END, body)",
+    "chapter": "concat(title, CASE paper_id % 7 WHEN 0 THEN ' Kritisch ist' WHEN 1 THEN ' This always holds' WHEN 2 THEN ' beweist' ELSE '' END)",
+    "similarity": "CASE WHEN paper_id % 4 = 0 THEN NULL ELSE CAST(paper_id % 10 AS DOUBLE) / 10 END",
+}
+
+
+def marked_sql(c: str, words: tuple[str, ...]) -> str:
+    return f"regexp_matches(' ' || lower({c}) || ' ', '[^\\p{{L}}]({'|'.join(words)})[^\\p{{L}}]')"
+
+
+@query(
+    "f36_context_signals",
+    with_views(
+        f"SELECT paper_id, NOT open AND {marked_sql('first', citing.CONTRAST)} AS contrast, NOT open AND {marked_sql('last', citing.FRAMING)} AS framing, "
+        f"{marked_sql('source', citing.HEDGE)} AND NOT {marked_sql('chapter', citing.HEDGE)} AND {marked_sql('chapter', citing.ABSOLUTE)} AS hedge_loss, coalesce(similarity < 0.5, false) AS distant, open AS suppressed FROM "
+        "(SELECT *, substring(regexp_extract(trim(regexp_replace(after, '\\s+', ' ', 'g')), '^[^.!?]*'), 1, 80) AS first, right(trim(regexp_replace(before, '\\s+', ' ', 'g')), 80) AS last, "
+        f"before || ' ' || title || ' ' || after AS source, {marked_sql('chapter', citing.CONTRAST + citing.DISCLOSURE)} AS open FROM (SELECT paper_id, title, {', '.join(f'{v} AS {k}' for k, v in CONTEXT_SQL.items())} FROM papers))"
+    ),
+)
 def f36(spark: SparkSession, sf: str) -> DataFrame:
-    low = F.lower("text")
-    return table(spark, sf, "documents").select("doc_id", low.rlike(r"\b(aber|jedoch|however|but|pero|mais)\b").alias("contrast"), low.rlike(r"\b(may|might|could|perhaps|possibly)\b").alias("hedged"))
+    rows = view(spark, sf, "papers").select("paper_id", "title", *(F.expr(v).alias(k) for k, v in CONTEXT_SQL.items()))
+    s = rows.select("paper_id", citing.context_signals("before", "title", "after", "chapter", F.col("similarity"), 0.5).alias("s"))
+    return s.select("paper_id", *(F.col(f"s.{k}").isNotNull().alias(k) for k in ("contrast", "framing", "hedge_loss")), "s.distant", "s.suppressed")
 
 
 @query(
@@ -297,11 +336,16 @@ def f39(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", text.isbn13(F.concat(F.substring(ten, 1, 3), F.lit("-"), F.substring(ten, 4, 7))).alias("isbn"))
 
 
-@query("f40_snippet", "SELECT doc_id, CASE WHEN length(text) <= 240 THEN text ELSE rtrim(substring(text, 1, 240)) || '…' END AS snippet, substring(text, greatest(1, instr(lower(text), 'the') - 20), 60) AS around FROM documents")
+@query(
+    "f40_snippet",
+    "WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS w FROM documents), "
+    "h AS (SELECT *, list_transform(w, lambda t: regexp_replace(lower(t), '[^\\p{L}\\p{N}_]', '', 'g') IN ('the', 'der')) AS hits FROM d), "
+    "p AS (SELECT *, greatest(1, least(coalesce(list_position(hits, true), 0), len(w) - 9)) AS s FROM h) "
+    "SELECT doc_id, CASE WHEN length(flat) <= 240 THEN flat ELSE rtrim(substring(flat, 1, 240)) || '...' END AS snippet, "
+    "CASE WHEN s > 1 THEN '...' ELSE '' END || coalesce(array_to_string(list_transform(range(s, least(s + 10, len(w) + 1)), lambda i: CASE WHEN hits[i] THEN '<b>' || w[i] || '</b>' ELSE w[i] END), ' '), '') || CASE WHEN s + 10 <= len(w) THEN '...' ELSE '' END AS around FROM p",
+)
 def f40(spark: SparkSession, sf: str) -> DataFrame:
-    cut = F.concat(F.rtrim(F.substring("text", 1, 240)), F.lit("…"))
-    around = F.substring(F.col("text"), F.greatest(F.lit(1), F.instr(F.lower("text"), "the") - 20), F.lit(60))
-    return table(spark, sf, "documents").select("doc_id", F.when(F.length("text") <= 240, F.col("text")).otherwise(cut).alias("snippet"), around.alias("around"))
+    return table(spark, sf, "documents").select("doc_id", citing.snippet("text").alias("snippet"), citing.highlight("text", ("the", "der")).alias("around"))
 
 
 @query("f41_rounding", "SELECT o_orderkey, round(o_totalprice / 7, 6) AS six, CAST(format('{:.8g}', o_totalprice / 7) AS DOUBLE) AS significant FROM orders")

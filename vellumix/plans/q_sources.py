@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -99,43 +99,38 @@ def s17(spark: SparkSession, sf: str) -> DataFrame:
     return files.state_fields(table(spark, sf, "documents").select("doc_id", md.alias("md")), "doc_id", "md")
 
 
-def run(spark: SparkSession, rows: DataFrame, merge, parts: int = 3) -> DataFrame:
-    """Rows written as a few files in order, streamed one file a batch into a table."""
+def run(spark: SparkSession, slices: list[DataFrame], merge) -> DataFrame:
+    """Slices of rows that arrive one after the other, each streamed into a table once it is there."""
     base = files.work_dir(spark, "stream")
-    for i in range(parts):
-        rows.where(F.col("ord") % parts == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
     out = ledgers.Table(spark, f"{base}/table")
-    q = ledgers.merge_stream(ledgers.stream(spark, f"{base}/in"), out, merge, f"{base}/checkpoint")
-    q.awaitTermination()
+    for rows in slices:
+        rows.write.mode("append").parquet(f"{base}/in")
+        ledgers.merge_stream(ledgers.stream(spark, f"{base}/in", None), out, merge, f"{base}/checkpoint").awaitTermination()
     return out.read()
 
 
 @query("z01_ledger_stream", with_views("SELECT paper_id, stage, round, min(ord) AS ord, min_by(decision, ord) AS decision FROM ledger GROUP BY 1, 2, 3"))
 def z01(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "ledger").select("paper_id", "stage", "round", "ord", "decision")
-    return run(spark, rows, ledgers.first_wins(["paper_id", "stage", "round"], "ord"))
+    return run(spark, [rows.where(F.col("ord") % 3 == i) for i in range(3)], ledgers.first_wins(["paper_id", "stage", "round"], "ord"))
 
 
 @query("z02_index_upkeep", "SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9äöüß]+'), lambda t: t <> '')) AS term FROM documents) GROUP BY 1, 2")
 def z02(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document comes as another text first and as itself in the last file; the postings end up with the last."""
+    """Every document comes as another text first and as itself later; the postings end up with the last."""
     d = table(spark, sf, "documents").select("doc_id", text.tokenize("text").alias("t"))
-    rows = d.withColumn("ord", F.lit(0)).withColumn("t", F.slice("t", 1, 3)).union(d.withColumn("ord", F.lit(1)).select("doc_id", "t", "ord"))
-    base = files.work_dir(spark, "postings")
-    out = ledgers.Table(spark, f"{base}/table")
-    merge = ledgers.postings_upkeep("doc_id", "t")
-    for i in range(2):
-        rows.where(F.col("ord") == i).select("doc_id", "t").coalesce(1).write.mode("append").parquet(f"{base}/in")
-        ledgers.merge_stream(ledgers.stream(spark, f"{base}/in"), out, merge, f"{base}/checkpoint").awaitTermination()
-    return out.read().select("term", "doc_id", "tf")
+    slices = [d.withColumn("t", F.slice("t", 1, 3)), d]
+    return run(spark, slices, ledgers.postings_upkeep("doc_id", "t")).select("term", "doc_id", "tf")
 
 
 @query("z03_supersede", with_views("SELECT paper_id, arg_max(ord, ord) AS ord, arg_max(decision, ord) AS decision FROM (SELECT *, lag(decision) OVER (PARTITION BY paper_id ORDER BY ord) AS before FROM ledger) WHERE decision IS DISTINCT FROM before GROUP BY paper_id"))
 def z03(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes that come in three slices by their order; one that repeats what is in force changes nothing."""
     rows = view(spark, sf, "ledger").select("paper_id", "ord", "decision")
-    w = Window.partitionBy("paper_id").orderBy("ord")
-    changed = rows.withColumn("b", F.lag("decision").over(w)).where(~F.col("decision").eqNullSafe(F.col("b"))).drop("b")
-    return rel.latest(changed, ["paper_id"], [F.col("ord")])
+    a, b = rows.agg(F.min("ord"), F.max("ord")).first()
+    third = F.width_bucket("ord", F.lit(float(a or 0)), F.lit(float((b or 0) + 1)), F.lit(3))
+    slices = [rows.where(third == i) for i in (1, 2, 3)]
+    return run(spark, slices, ledgers.superseding(["paper_id"], "decision", "ord"))
 
 
 @query("z05_stale", "SELECT event_id, CAST(epoch(TIMESTAMP '2024-02-01' - ts) / 86400 AS BIGINT) >= 7 OR ts IS NULL AS stale FROM events")

@@ -86,6 +86,7 @@ def every(interval: int, work: Callable[[DataFrame, int], None], rows_before: Ca
     return step
 
 
-def stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream over the Parquet files of a path, with the schema that they have now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def stream(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    """A stream over the Parquet files of a path, with the schema that they have now; None: all new files in one batch."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
