@@ -364,3 +364,18 @@ def test_style(spark):
     r = style_metrics(spark.createDataFrame([(1, t), (2, "")], "doc_id long, text string")).collect()
     assert (r[0].passive_share, r[0].nominal_share, r[0].repeated, r[0].filler_share) == (0.25, 0.25, 1, round(2 / 26, 6)) and r[0].sources == round(1000 / 26, 4)
     assert r[1].n_words == 0 and r[1].repeated == 0 and r[1].mean_sentence == 0
+
+
+def test_fisher_hint(spark):
+    small = spark.createDataFrame([("a", "x")] * 3 + [("a", "y")] + [("b", "y")] * 4, "g string, h string")
+    assert stats.chi_square(small, "g", "h").first().hint == "fisher"
+    large = small.unionAll(spark.createDataFrame([("c", "x")], "g string, h string"))
+    assert stats.chi_square(large, "g", "h").first().hint is None
+
+
+def test_macro_and_gate(spark):
+    rows = spark.createDataFrame([(1, "s", 1.0, 0.5, 1.0), (2, "s", 0.0, 0.0, 0.5), (3, "t", 1.0, 1.0, 1.0)], "query_id long, label string, recall double, ndcg double, rr double")
+    m = retrieval.macro(rows, "label")
+    assert {r.label: (r.n, r.recall, r.ndcg, r.mrr) for r in m.collect()} == {"s": (2, 0.5, 0.25, 0.75), "t": (1, 1.0, 1.0, 1.0)}
+    got = {r.label: (r.d_recall, r.passed) for r in retrieval.gate(m, m.where("label = 't'"), "label", {"mrr": 0.9}).collect()}
+    assert got == {"s": (None, False), "t": (0.0, True)}

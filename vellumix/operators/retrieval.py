@@ -162,3 +162,19 @@ def measures(ranked: DataFrame, relevant: DataFrame, key: str, k: int = 10) -> D
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     joined = total.join(got, "query_id", "left")
     return joined.select("query_id", (F.coalesce("found", F.lit(0)) / F.col("n")).alias("recall"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
+
+
+def macro(measured: DataFrame, subset: str) -> DataFrame:
+    """subset, n, recall, ndcg, mrr: means over the queries of each subset, each query counting once."""
+    return measured.groupBy(subset).agg(F.count("*").alias("n"), F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"), F.avg("rr").alias("mrr"))
+
+
+def gate(before: DataFrame, after: DataFrame, subset: str, least: dict[str, float]) -> DataFrame:
+    """subset, the change of each measure from one macro table to another, and passed: no measure of least lies below its value.
+    Subsets that only one of them has have null changes; without a later value nothing passes."""
+    names = ("recall", "ndcg", "mrr")
+    both = before.select(subset, *(F.col(m).alias(f"b_{m}") for m in names)).join(after.select(subset, *(F.col(m).alias(f"a_{m}") for m in names)), subset, "full")
+    passed = F.lit(True)
+    for m, value in least.items():
+        passed = passed & F.coalesce(F.col(f"a_{m}") >= value, F.lit(False))
+    return both.select(subset, *((F.col(f"a_{m}") - F.col(f"b_{m}")).alias(f"d_{m}") for m in names), passed.alias("passed"))

@@ -106,13 +106,14 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """chi2, df, min_expected, cramers_v of a contingency table, without correction; empty cells count."""
+    """chi2, df, min_expected, cramers_v of a contingency table, without correction; empty cells count. hint: 'fisher' for a table of
+    two by two with an expected count below five, where the exact test is the better one; else null."""
     cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("o"))
     ra, rb = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("rb"))
     whole = ra.crossJoin(rb).join(cells, ["a", "b"], "left").crossJoin(F.broadcast(cells.agg(F.sum("o").alias("n"))))  # categories by categories
     e = F.col("ra") * F.col("rb") / F.col("n")
     s = whole.agg(F.sum(F.pow(F.coalesce("o", F.lit(0)) - e, 2) / e).alias("chi2"), F.min(e).alias("min_expected"), F.max("n").alias("n"), F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"))
-    return s.select("chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"), "min_expected", F.sqrt(F.col("chi2") / (F.col("n") * (F.least("r", "c") - 1))).alias("cramers_v"))
+    return s.select("chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"), "min_expected", F.sqrt(F.col("chi2") / (F.col("n") * (F.least("r", "c") - 1))).alias("cramers_v"), F.when((F.col("r") == 2) & (F.col("c") == 2) & (F.col("min_expected") < 5), "fisher").alias("hint"))
 
 
 def pearson(df: DataFrame, x: str, y: str, z: float = 1.959963984540054) -> DataFrame:

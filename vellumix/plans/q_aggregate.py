@@ -208,9 +208,9 @@ def a23k(spark: SparkSession, sf: str) -> DataFrame:
     return stats.kruskal(table(spark, sf, "events"), "event_type", "value").select(F.round("h", 4).alias("h"), "df")
 
 
-@query("a24_chi_square", "SELECT round(sum(power(coalesce(o, 0) - e, 2) / e), 4) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS df, round(min(e), 4) AS min_expected FROM (SELECT ra.a, rb.b, o, ra.c * rb.c / n AS e FROM (SELECT o_orderstatus AS a, count(*) AS c FROM orders GROUP BY 1) ra CROSS JOIN (SELECT o_orderpriority AS b, count(*) AS c FROM orders GROUP BY 1) rb CROSS JOIN (SELECT count(*) AS n FROM orders) LEFT JOIN (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders GROUP BY 1, 2) x ON x.a = ra.a AND x.b = rb.b)")
+@query("a24_chi_square", "SELECT *, CASE WHEN df = 1 AND min_expected < 5 THEN 'fisher' END AS hint FROM (SELECT round(sum(power(coalesce(o, 0) - e, 2) / e), 4) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS df, round(min(e), 4) AS min_expected FROM (SELECT ra.a, rb.b, o, ra.c * rb.c / n AS e FROM (SELECT o_orderstatus AS a, count(*) AS c FROM orders GROUP BY 1) ra CROSS JOIN (SELECT o_orderpriority AS b, count(*) AS c FROM orders GROUP BY 1) rb CROSS JOIN (SELECT count(*) AS n FROM orders) LEFT JOIN (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders GROUP BY 1, 2) x ON x.a = ra.a AND x.b = rb.b))")
 def a24(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.chi_square(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority").select(F.round("chi2", 4).alias("chi2"), "df", F.round("min_expected", 4).alias("min_expected"))
+    return stats.chi_square(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority").select(F.round("chi2", 4).alias("chi2"), "df", F.round("min_expected", 4).alias("min_expected"), "hint")
 
 
 @query("a25_pearson", "SELECT round(r, 6) AS r, n, round(tanh(0.5 * ln((1 + r) / (1 - r)) - 1.959963984540054 / sqrt(n - 3)), 6) AS low, round(tanh(0.5 * ln((1 + r) / (1 - r)) + 1.959963984540054 / sqrt(n - 3)), 6) AS high FROM (SELECT corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem)")

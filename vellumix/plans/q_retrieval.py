@@ -139,18 +139,44 @@ def a15(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("n >= 20").orderBy(F.desc("n"), "l_partkey").limit(50)
 
 
-@query(
-    "a16_measures",
+MEASURES_SQL = (
     f"WITH r AS ({KNN_SQL}), rel AS (SELECT q.vec_id AS query_id, e.vec_id FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 20 = 0), n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1), "
     "h AS (SELECT r.query_id, count(*) AS found, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first FROM r JOIN rel USING (query_id, vec_id) WHERE rank <= 10 GROUP BY 1) "
-    "SELECT n.query_id, round(coalesce(found, 0) / n, 6) AS recall, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, round(coalesce(1.0 / first, 0), 6) AS rr FROM n LEFT JOIN h USING (query_id)",
+    "SELECT n.query_id, round(coalesce(found, 0) / n, 6) AS recall, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, round(coalesce(1.0 / first, 0), 6) AS rr FROM n LEFT JOIN h USING (query_id)"
 )
-def a16(spark: SparkSession, sf: str) -> DataFrame:
-    near = ret.knn(table(spark, sf, "embeddings"), "vec_id", "embedding", vector_queries(spark, sf), 10)
+
+
+def measured(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """Measures at ten of the k nearest, with each query's label."""
+    near = ret.knn(table(spark, sf, "embeddings"), "vec_id", "embedding", vector_queries(spark, sf), k)
     e = table(spark, sf, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
     m = ret.measures(near, q.join(e.select("vec_id", "label"), "label"), "vec_id")
-    return m.select("query_id", *(F.round(c, 6).alias(c) for c in ("recall", "ndcg", "rr")))
+    return m.join(q, "query_id").select("query_id", "label", *(F.round(c, 6).alias(c) for c in ("recall", "ndcg", "rr")))
+
+
+@query("a16_measures", MEASURES_SQL)
+def a16(spark: SparkSession, sf: str) -> DataFrame:
+    return measured(spark, sf, 10).drop("label")
+
+
+MACRO_SQL = "SELECT label, count(*) AS n, avg(recall) AS recall, avg(ndcg) AS ndcg, avg(rr) AS mrr FROM ({}) m JOIN embeddings e ON e.vec_id = m.query_id GROUP BY label"
+
+
+@query("a16_macro", f"SELECT label, n, round(recall, 4) AS recall, round(ndcg, 4) AS ndcg, round(mrr, 4) AS mrr FROM ({MACRO_SQL.format(MEASURES_SQL)})")
+def a16_macro(spark: SparkSession, sf: str) -> DataFrame:
+    return ret.macro(measured(spark, sf, 10), "label").select("label", "n", *(F.round(c, 4).alias(c) for c in ("recall", "ndcg", "mrr")))
+
+
+@query(
+    "a16_gate",
+    f"SELECT label, round(a.recall - b.recall, 4) AS d_recall, round(a.ndcg - b.ndcg, 4) AS d_ndcg, round(a.mrr - b.mrr, 4) AS d_mrr, a.ndcg >= 0.1 AND a.mrr >= 0.2 AS passed FROM ({MACRO_SQL.format(MEASURES_SQL)}) a JOIN ({MACRO_SQL.format(MEASURES_SQL.replace('rank <= 10', 'rank <= 5'))}) b USING (label)",
+)
+def a16_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest against the five nearest as two rankings."""
+    ten, five = (ret.macro(measured(spark, sf, k), "label") for k in (10, 5))
+    d = ret.gate(five, ten, "label", {"ndcg": 0.1, "mrr": 0.2})
+    return d.select("label", *(F.round(c, 4).alias(c) for c in ("d_recall", "d_ndcg", "d_mrr")), "passed")
 
 
 @query("r13_known_items", with_views("SELECT lower(title) AS q, min(block) AS block FROM (SELECT title, 0 AS block FROM papers WHERE is_retracted UNION ALL (SELECT title, 1 FROM papers ORDER BY coalesce(citations, 0) DESC, paper_id LIMIT 10)) GROUP BY 1 ORDER BY block, q LIMIT 8"))
