@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, secrets, warc
+from . import balls, chat, fim, secrets, warc
+from .balls import op11_ball_clusters
 from .bpe import op2_byte_bpe
+from .bpe_stream import op13_bpe_stream
 from .chat import op5_chat_formatting
 from .decontaminate import op8_benchmark_decontamination
+from .fim import op12_fim
 from .mpegts import op1_mpeg_ts
 from .quality import op6_quality_classifier
 from .secrets import op4_secret_scans
@@ -25,6 +28,15 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_ball_clusters": op11_ball_clusters,
+    "op12_fim": op12_fim,
+    "op13_bpe_stream": op13_bpe_stream,
 }
 
-ORACLE = {"op4_secret_scans": secrets.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
+ORACLE = {
+    "op4_secret_scans": secrets.ORACLE_SQL,
+    "op5_chat_formatting": chat.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
+    "op11_ball_clusters": balls.ORACLE_SQL,
+    "op12_fim": fim.ORACLE_SQL,
+}
