@@ -248,7 +248,8 @@ def test_evidence(spark):
     df = spark.createDataFrame(rows, "item_id long, doc_id long, quote string, text string")
     got = {r.item_id: r.step for r in evidence.wording(df).collect()}
     assert [got[i] for i in (1, 2, 3, 4, 6, 7)] == ["exact", "weak", "casefold", "ellipsis", "fuzzy", "none"] and got[5] != "ellipsis"
-    seen = {r.item_id: r.status for r in evidence.verify(df).collect()}
+    pages = spark.createDataFrame([(1, 1, body)], "doc_id long, page int, text string")
+    seen = {r.item_id: r.status for r in evidence.verify(df, pages).collect()}
     assert seen[1] == seen[2] == "exact" and seen[6] == "snapped" and seen[7] == "no-match"
 
 

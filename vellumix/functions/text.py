@@ -130,6 +130,11 @@ def nfkc(c: Column | str) -> Column:
     return F.pandas_udf(run, StringType())(_c(c))
 
 
+def casefold(c: Column | str) -> Column:
+    """Without case. (lower after upper would do for ß too, but the optimizer drops upper there.)"""
+    return F.replace(F.lower(_c(c)), F.lit("ß"), F.lit("ss"))
+
+
 def full_normal(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(join_hyphens(F.translate(nfkc(_c(c)), *QUOTES)), r"\s+", " "))
 

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import spans, text
 from ..session import cut
-from .fuzzy import fuzzy
+from .fuzzy import alignment
 from .relational import range_join
 
 #: Bytes of quotes that are searched for at a time.
@@ -80,16 +80,30 @@ def page_coverage(checks: DataFrame, samples: DataFrame, extents: DataFrame, wid
     return rows.select("check_id", status.alias("status"))
 
 
-def verify(claims: DataFrame, threshold: float = 90.0) -> DataFrame:
-    """item_id, doc_id, status: exact, snapped or no-match for claims (item_id, doc_id, quote, text).
+def verify(claims: DataFrame, pages: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """item_id, doc_id, status, page, start, end, ratio of claims (item_id, doc_id, quote) on pages (doc_id, page, text).
 
-    Exact after weak normalization is native; only what is left goes to the fuzzy kernel.
+    exact: the quote occurs after weak normalization, on the first such page. snapped: the best window of its length over
+    all pages, fully normalized, reaches the threshold; of equal ones the first page's, and the first on it. no-match: with
+    the best ratio. no-textlayer: all pages are blank, or there are none. start and end are code points of the page as it
+    is given. A document's pages meet only its own claims; the kernels see what is not exact.
     """
-    rows = cut(claims).withColumn("q", text.weak_normal("quote")).withColumn("t", text.weak_normal("text"))  # cut, lest a join before it evaluates this for all pairs
-    exact = rows.where(F.col("t").contains(F.col("q"))).select("item_id", "doc_id", F.lit("exact").alias("status"))
-    rest = rows.where(~F.col("t").contains(F.col("q")))
-    best = fuzzy(text.full_normal("quote"), text.full_normal("text"), partial=True)
-    return exact.union(rest.select("item_id", "doc_id", F.when(best >= threshold, "snapped").otherwise("no-match")))
+    ids = ["item_id", "doc_id"]
+    readable = pages.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("doc_id").distinct().withColumn("readable", F.lit(True))
+    known = cut(claims.select(*ids, F.coalesce("quote", F.lit("")).alias("quote")).join(readable, "doc_id", "left"))
+    seen = cut(known.where("readable").join(pages.where(F.col("text").isNotNull()).select("doc_id", "page", "text"), "doc_id").withColumn("q", text.weak_normal("quote")).withColumn("exact", (F.col("q") != "") & text.weak_normal("text").contains(F.col("q"))))
+    exact = seen.where("exact").groupBy(*ids).agg(F.min_by(F.struct("page", "quote", "text"), "page").alias("hit")).select(*ids, F.lit("exact").alias("status"), "hit.*", F.lit(1.0).alias("ratio"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("size"))
+    rest = cut(seen.where("q <> ''").join(exact.select(*ids), ids, "left_anti").select(*ids, "quote", "page", "text"))
+    scored = rest.withColumn("a", alignment(text.full_normal("quote"), text.full_normal("text"), partial=False))
+    order = F.struct(F.col("a.score"), -F.col("page"))
+    best = scored.groupBy(*ids).agg(F.max_by(F.struct("page", "quote", "text", "a"), order).alias("hit"))
+    near = best.select(*ids, F.when(F.col("hit.a.score") >= 100 * threshold, "snapped").otherwise("no-match").alias("status"), "hit.page", "hit.quote", "hit.text", (F.col("hit.a.score") / 100).alias("ratio"), "hit.a.at", "hit.a.size")
+    found = cut(exact.unionByName(near))
+    shown = found.where("status <> 'no-match'").withColumn("s", spans.located(F.col("text"), F.col("quote"), F.when(F.col("status") == "exact", "weak").otherwise("full"), F.col("at"), F.col("size")))
+    placed = shown.select(*ids, "status", "page", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "ratio")
+    none = found.where("status = 'no-match'").select(*ids, "status", "ratio")
+    blank = known.where(F.col("readable").isNull() | (text.weak_normal("quote") == "")).select(*ids, F.when(F.col("readable").isNull(), "no-textlayer").otherwise("no-match").alias("status"), F.lit(0.0).alias("ratio"))
+    return placed.unionByName(none.unionByName(blank), allowMissingColumns=True)
 
 
 # Limits of the wording ladder.
@@ -97,32 +111,39 @@ FUZZY_LEAST, FRAGMENT_LEAST, FRAGMENTS_LEAST = 82.0, 6, 40
 AMBIGUITY_MARGIN, LENGTH_BAND, FUZZY_LENGTH = 2.0, 0.7, 40
 
 
-def wording(claims: DataFrame, shortest: int = 0) -> DataFrame:
-    """item_id, doc_id, step: the first step of the ladder on which a quote is found in its text.
+def wording(claims: DataFrame, shortest: int = 0, page_break: str = "\f") -> DataFrame:
+    """item_id, doc_id, step, start, end, page: the first step of the ladder on which a quote is found in its text, and where.
 
     exact, weak (quotation marks, blanks), full (also hyphenation, ligatures), casefold, ellipsis (fragments around "..."
-    in order), fuzzy, none. The fuzzy step ranks the texts that are left of each quote: the best is taken, unless one with
-    other wording comes within AMBIGUITY_MARGIN; texts under LENGTH_BAND of the quote's length, and quotes of fewer than
-    ``shortest`` characters, are left out. The kernels see what the steps before them leave.
+    in order), fuzzy, none, no-textlayer (the text is blank). The fuzzy step ranks the texts that are left of each quote: the
+    best is taken, unless one with other wording comes within AMBIGUITY_MARGIN; texts under LENGTH_BAND of the quote's length,
+    and quotes of fewer than ``shortest`` characters, are left out. The kernels see what the steps before them leave. start
+    and end are code points of the text as it is given, page the number of page breaks before, plus one.
     """
-    ids = ("item_id", "doc_id")
-    weak = F.when(F.col("text").contains(F.col("quote")), "exact").when(text.weak_normal("text").contains(text.weak_normal("quote")), "weak")
-    rows = cut(claims).withColumn("step", weak)
+    ids = ["item_id", "doc_id"]
+    weak = F.when(F.coalesce(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("")) == "", "no-textlayer").when(F.col("text").contains(F.col("quote")), "exact").when(text.weak_normal("text").contains(text.weak_normal("quote")), "weak")
+    all_ = cut(claims)
+    rows = cut(all_.select(*ids, "quote", "text", weak.alias("step")))
     rest = cut(rows.where("step is null").select(*ids, text.full_normal("quote").alias("q"), text.full_normal("text").alias("t")))
     q, t = F.col("q"), F.col("t")
-    fq, ft = F.lower(F.upper(q)), F.lower(F.upper(t))  # upper first, as for ß
+    fq, ft = text.casefold(q), text.casefold(t)
     parts = F.filter(F.transform(F.split(fq, r"\s*(?:\.\.\.|…|\[\.\.\.\])\s*"), lambda x: F.trim(x)), lambda x: x != "")
     ellipsis = (F.size(parts) >= 2) & F.forall(parts, lambda x: F.length(x) >= FRAGMENT_LEAST) & (F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x)) >= FRAGMENTS_LEAST)
     rest = rest.withColumn("step", F.when(q != "", F.when(t.contains(q), "full").when(ft.contains(fq), "casefold").when(ellipsis & _in_order(parts, ft), "ellipsis")))
     left = rest.where("step is null").select(*ids, fq.alias("fq"), ft.alias("ft"))
     able = (F.length("fq") >= shortest) & (F.length("ft") >= F.floor(F.length("fq") * LENGTH_BAND))
-    scored = cut(left.select(*ids, fuzzy(F.when(able, F.col("fq")), F.col("ft"), partial=True).alias("score"), F.xxhash64("ft").alias("h")))
+    scored = cut(left.select(*ids, alignment(F.when(able, F.col("fq")), F.col("ft")).alias("a"), F.xxhash64("ft").alias("h")).select(*ids, "a.*", "h"))
     best = scored.where(F.col("score") >= FUZZY_LEAST).groupBy(F.col("item_id").alias("of")).agg(F.max("score").alias("best"))
     ranked = scored.join(best, (F.col("item_id") == F.col("of")) & (F.col("score") >= F.col("best") - AMBIGUITY_MARGIN), "left")
     one = ranked.where((F.col("best").isNotNull()) & (F.col("score") >= FUZZY_LEAST)).groupBy("of").agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 = h2").select(F.col("of").alias("sure"))
     step = F.when((F.col("score") >= FUZZY_LEAST) & (F.col("score") == F.col("best")) & F.col("sure").isNotNull(), "fuzzy").otherwise("none")
-    last = ranked.join(one, F.col("of") == F.col("sure"), "left").select(*ids, step.alias("step"))
-    return rows.where("step is not null").select(*ids, "step").union(rest.where("step is not null").select(*ids, "step")).union(last)
+    last = ranked.join(one, F.col("of") == F.col("sure"), "left").select(*ids, step.alias("step"), "at", "size")
+    steps = cut(rows.where("step is not null").select(*ids, "step").union(rest.where("step is not null").select(*ids, "step")).unionByName(last, allowMissingColumns=True))
+    lost = ("none", "no-textlayer")
+    hits = steps.where(~F.col("step").isin(*lost)).join(all_, ids)
+    placed = hits.withColumn("s", spans.located(F.col("text"), F.col("quote"), F.col("step"), F.when(F.col("step") == "fuzzy", F.col("at")), F.col("size")))
+    shown = placed.select(*ids, "step", F.col("s.start").alias("start"), F.col("s.end").alias("end"), spans.page_of("text", F.col("s.start"), page_break).cast("int").alias("page"))
+    return shown.unionByName(steps.where(F.col("step").isin(*lost)).select(*ids, "step"), allowMissingColumns=True)
 
 
 def _in_order(parts: Column, body: Column) -> Column:

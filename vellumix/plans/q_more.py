@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import spans, text
 from ..operators import plugins
 from ..operators import retrieval as ret
 from ..sources.tables import table
@@ -34,12 +34,26 @@ def f29(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "papers").select("paper_id", plugins.context_sentence(F.col("title"), F.col("year"), F.col("venue"), 60).alias("context"))
 
 
-@query("f32_claim_sentence", "SELECT item_id, doc_id, substring(text, greatest(1, p - 200), 400 + length(quote)) AS around FROM (SELECT item_id, doc_id, d.text, b.text AS quote, instr(d.text, b.text) AS p FROM benchmark b JOIN documents d ON contains(d.text, b.text))")
+LINE_SQL = r"[ \t]*(?:#{1,6}[ \t][^\n]*|(?:[-*+]|\d+[.)])[ \t][^\n]*)?"
+CLAIM_SQL = rf"""
+WITH h AS (SELECT item_id, doc_id, d.text AS t, b.text AS q, instr(d.text, b.text) AS p FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+c AS (SELECT *, substring(t, 1, p - 1) AS before, substring(t, p + length(q)) AS behind FROM h),
+l AS (SELECT *, NOT regexp_full_match(list_last(string_split(before, chr(10))) || q || string_split(behind, chr(10))[1], '{LINE_SQL}') AS free,
+list_last(string_split(regexp_replace(regexp_replace(before, '(?m)^{LINE_SQL}\n', '￿', 'g') || q[1], '([.!?])\s+([A-ZÄÖÜ])', '\1￿\2', 'g'), '￿')) AS head,
+string_split(regexp_replace(q[-1] || regexp_replace(regexp_replace(behind, '\n{LINE_SQL}\n', chr(10) || '￿', 'g'), '\n{LINE_SQL}\z', chr(10) || '￿'), '([.!?])\s+([A-ZÄÖÜ])', '\1￿\2', 'g'), '￿')[1] AS tail FROM c)
+SELECT item_id, doc_id, CASE WHEN free THEN regexp_replace(left(head, -1) || q || substring(tail, 2), '^\s+|\s+$', '', 'g') END AS sentence,
+CASE WHEN NOT free THEN regexp_replace(substring(t, greatest(1, p - 200), least(p - 1, 200) + length(q) + 200), '^\s+|\s+$', '', 'g') END AS around FROM l
+"""
+
+
+@query("f32_claim_sentence", CLAIM_SQL)
 def f32(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentence around each benchmark passage in a document; a window where headings or list items leave none."""
     from ..operators.evidence import containment
 
     hits = containment(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=True)
-    return hits.select("item_id", "doc_id", F.expr("substring(text, greatest(1, instr(text, quote) - 200), 400 + length(quote))").alias("around"))
+    start = F.expr("instr(text, quote) - 1")
+    return hits.select("item_id", "doc_id", F.inline(F.array(spans.claim_sentence("text", start, start + F.length("quote")))))
 
 
 @query("r07_rerank")

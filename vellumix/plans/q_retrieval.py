@@ -258,8 +258,11 @@ def f24(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r10_verify_quotes")
 def r10(spark: SparkSession, sf: str) -> DataFrame:
-    hits = evidence.containment(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=True)
-    return evidence.verify(hits.withColumn("quote", F.when(F.col("item_id") % 2 == 0, F.replace("quote", F.lit(" "), F.lit("  "))).otherwise(F.concat("quote", F.lit("x")))))
+    """Quotes with blanks doubled, and ones with a letter at their end, on the pages (lines) of documents that have them."""
+    docs = table(spark, sf, "documents")
+    claims = evidence.containment(docs, table(spark, sf, "benchmark"), keep=True).select("item_id", "doc_id", F.when(F.col("item_id") % 2 == 0, F.replace("quote", F.lit(" "), F.lit("  "))).otherwise(F.concat("quote", F.lit("x"))).alias("quote"))
+    pages = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
+    return evidence.verify(claims, pages.withColumn("page", F.col("page") + 1)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("r11_wording_ladder")
@@ -268,7 +271,7 @@ def r11(spark: SparkSession, sf: str) -> DataFrame:
     third = F.floor(F.length("quote") / 3).cast("int")
     cut = F.concat(F.substring(F.col("quote"), F.lit(1), third), F.lit(" ... "), F.substring(F.col("quote"), 2 * third, F.length("quote")))
     told = F.when(F.col("item_id") % 4 == 0, F.col("quote")).when(F.col("item_id") % 4 == 1, F.upper("quote")).when(F.col("item_id") % 4 == 2, cut).otherwise(F.replace("quote", F.lit("the "), F.lit("teh ")))
-    return evidence.wording(hits.withColumn("quote", told), evidence.FUZZY_LENGTH)
+    return evidence.wording(hits.withColumn("quote", told), evidence.FUZZY_LENGTH, "\n")
 
 
 @query("r16_retraction_sweep", with_views("SELECT paper_id, CASE WHEN coalesce(doi, '') = '' THEN 'no_doi' WHEN is_retracted THEN 'retracted' ELSE 'clear' END AS status, paper_id IN (SELECT paper_id FROM segments) AS cited FROM papers"))
