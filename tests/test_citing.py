@@ -11,13 +11,58 @@ def column(spark, values, c):
     return [r[0] for r in spark.createDataFrame([(v,) for v in values], "x string").select(c).collect()]
 
 
+def cited(spark, texts):
+    rows = column(spark, texts, citing.citations("x"))
+    for x, found in zip(texts, rows, strict=True):
+        assert [c.start for c in found] == sorted(c.start for c in found) and all(x[c.start].strip() and x[c.start : c.end].count(str(c.year)) for c in found), x
+    return rows
+
+
 def test_citations(spark):
-    texts = ["Wie (Meier 2019) sagt; vgl. (Meier & Kurz 2019, S. 45-47).", "Das Gesetz (2019) und (Januar 2021).", "Öztürk u. a. (2020, p. 7)", "(Müller 2021, 2022)", None, ""]
-    got = column(spark, texts, citing.citations("x"))
-    assert [tuple(c) for c in got[0]] == [("Meier", "", 2019, None, None, "corroborated"), ("Meier", "& Kurz", 2019, 45, 47, "strong")]
-    assert got[1] == [] and got[4] == [] and got[5] == []
-    assert [tuple(c) for c in got[2]] == [("Öztürk", "u. a.", 2020, 7, None, "strong")]
-    assert [(c.family, c.year, c.page, c.confidence) for c in got[3]] == [("Müller", 2021, None, "weak")]
+    texts = ["Wie (Meier 2019) sagt; vgl. (Meier & Kurz 2019, S. 45-47).", "Das Gesetz (2019) und (Januar 2021).", "Öztürk u. a. (2020, p. 7)", "(Müller 2021, 2022)", None, "", "(Cho et al. 2011; vgl. Kim & Lee 2001)"]
+    got = cited(spark, texts)
+    short = [[(c.family, c.others, c.year, c.page, c.page_end, c.confidence) for c in g] for g in got]
+    assert short[0] == [("Meier", "", 2019, None, None, "corroborated"), ("Meier", "& Kurz", 2019, 45, 47, "strong")]
+    assert short[1] == short[4] == short[5] == []
+    assert short[2] == [("Öztürk", "u. a.", 2020, 7, None, "strong")]
+    assert short[3] == [("Müller", "", 2021, None, None, "weak")]
+    assert [s[0] for s in short[6]] == ["Cho", "Kim"]
+
+
+def test_narrative_citations(spark):
+    forms = {
+        "Müller (2021) belegt die These.": ("Müller", "", 2021, None, "weak"),
+        "Müller (2021, S. 45) belegt die These.": ("Müller", "", 2021, 45, "strong"),
+        "Müller und Schmidt (2019) belegen die These.": ("Müller", "und Schmidt", 2019, None, "strong"),
+        "Müller et al. (2021) erklären das.": ("Müller", "et al.", 2021, None, "strong"),
+        "Wie Müller (2021, S. 45) zeigt, ist der Effekt robust.": ("Müller", "", 2021, 45, "strong"),
+        "Vgl. Schmidt 2019, S. 7 dazu.": ("Schmidt", "", 2019, 7, "strong"),
+        "vgl.\n  Schmidt 2019: 7": ("Schmidt", "", 2019, 7, "strong"),
+        "von Neumann (1945) schreibt:": ("von Neumann", "", 1945, None, "weak"),
+    }
+    for x, got in zip(forms, cited(spark, list(forms)), strict=True):
+        assert [(c.family, c.others, c.year, c.page, c.confidence) for c in got] == [forms[x]], x
+    prose = ["Die DSGVO (2016) trat in Kraft.", "Deutschland und Frankreich (2016) unterzeichneten den Vertrag.", "Das Gesetz (2019) sieht Ausnahmen vor.", "Im Januar (2021) zeigt sich", "Müller (2021) war dort."]
+    assert cited(spark, prose) == [[]] * len(prose)
+
+
+def test_secondary_citations(spark):
+    texts = ["So (Schmidt, 2015, zitiert nach Müller, 2021, S. 45).", "(vgl. Roth 1990, zit. nach Beck & Lang 2004)", "(zitiert nach Müller)", "(Schmidt 2015, zitiert nach der Quelle)"]
+    got = [[(c.family, c.others, c.year, c.page, c.secondary) for c in g] for g in cited(spark, texts)]
+    assert got[0] == [("Schmidt", "", 2015, None, False), ("Müller", "", 2021, 45, True)]
+    assert got[1] == [("Roth", "", 1990, None, False), ("Beck", "& Lang", 2004, None, True)]
+    assert got[2] == [] and [g[0] for g in got[3]] == ["Schmidt"]
+    assert [texts[0][c.start : c.end] for c in cited(spark, texts)[0]] == ["Schmidt, 2015", "Müller, 2021, S. 45"]
+
+
+def test_citations_skip_regions(spark):
+    hidden = [
+        "```\n(Meier 2019, S. 1)\n```", "a `(Meier 2019, S. 1)` b", "~~~ (Meier 2019, S. 1) ~~~", "<!-- (Meier 2019, S. 1) -->", "\\cite[S. 3]{(Meier 2019)}", "\\begin{verbatim}(Meier 2019, S. 1)\\end{verbatim}",
+        "Text.\n## Literaturverzeichnis\nMeier (2019, S. 1)\n", "\\section{References}\n(Meier 2019, S. 1)", "Meier `code` (2019, S. 4)", "vgl. `x` 2019",
+    ]
+    assert cited(spark, hidden) == [[]] * len(hidden)
+    mixed = "Erst `(Roth 1990, S. 2)` und dann (\\emph{x} Meier 2019, S. 1)\n# Literatur\n(Lang 2000, S. 1)"
+    assert [(c.family, mixed[c.start : c.end]) for c in cited(spark, [mixed])[0]] == [("Meier", "Meier 2019, S. 1")]
 
 
 def test_guards(spark):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import text
+from . import spans, text
 
 # Words that contrast, and further ones by which a chapter discloses that its source does.
 CONTRAST = (
@@ -38,14 +38,27 @@ NO_AUTHORS = (
     "beschluss", "bericht", "studie", "umfrage", "erhebung", "analyse", "strategie", "reform", "novelle", "regelung", "vorschrift", "dsgvo",
 )
 
-NAME = r"(\p{Lu}[\p{L}'’-]+)"
-OTHERS = r"((?:(?:\s*[,&/]\s*|\s+(?:und|and)\s+)\p{Lu}[\p{L}'’-]+)*(?:\s+(?:et\s+al\.|u\.\s?a\.))?)"
+# Verbs that report what an author says, umlauts spelled out.
+REPORTING = (
+    "zeigt", "zeigen", "belegt", "belegen", "schreibt", "schreiben", "argumentiert", "argumentieren", "betont", "betonen", "konstatiert", "konstatieren", "erklaert", "erklaeren", "folgert", "folgern", "meint", "meinen",
+    "kritisiert", "kritisieren", "resuemiert", "resuemieren", "sieht", "sehen", "beschreibt", "beschreiben", "analysiert", "analysieren", "untersucht", "untersuchen", "formuliert", "formulieren",
+)
+
+#: What holds no citations: code, comments, macros, and all from the heading of a list of references on.
+SKIPPED = r"```[\s\S]*?```|~~~[\s\S]*?~~~|`[^`\n]*`|<!--[\s\S]*?-->|\\begin\{(verbatim|lstlisting|minted)\}[\s\S]*?\\end\{\2\}|\\[a-zA-Z@]+\*?(?:\[[^\]]*\])*\{[^{}]*\}"
+REFERENCES = r"(?im)^\s*(?:#{1,6}\s*|\\(?:section|chapter|addsec)\*?\{)\s*(?:literatur(?:verzeichnis)?|quellen(?:verzeichnis)?|bibliogra(?:f|ph)\p{L}*|references|works\s+cited)\b[\s\S]*"
+ONE = rf"(?:(?:{'|'.join(sorted(text.PARTICLES, key=len, reverse=True))})\s+)?\p{{Lu}}[\p{{L}}'’-]+"
+NAME = f"({ONE})"
+OTHERS = rf"((?:(?:\s*[,&/]\s*|\s+(?:und|and)\s+){ONE})*(?:\s+(?:et\s+al\.|u\.\s?a\.))?)"
 YEAR = r"((?:1[4-9]|2[01])\d\d)[a-z]?"
-PAGES = r"(?:\s*[,:]\s*(?:S\.|pp?\.)?\s*(\d+)(?:\s*[-–]\s*(\d+))?)?"
-SIGNAL = r"((?:[Vv]gl\.|[Ss]iehe|[Ss]ee|[Cc]f\.)\s+)?"
-#: "(see Name & Name 2004, S. 12" and "Name et al. (2004, S. 12"
-IN_PARENTHESES, NARRATIVE = rf"[(;]\s*{SIGNAL}{NAME}{OTHERS},?\s+{YEAR}{PAGES}", rf"{SIGNAL}{NAME}{OTHERS}\s+\({YEAR}{PAGES}"
-PARTS = ("signal", "family", "others", "year", "page", "page_end")
+PAGES = r"(?:(?:\s*[,:]?\s*(?:S\.|Seite|pp?\.)|\s*:)\s*(\d{1,4})(?:\s*[-–—]\s*(\d{1,4}))?)?"
+SIGNAL = r"((?:[Vv]gl\.|[Vv]ergleiche|[Ss]iehe|[Ss]ee|[Cc]f\.|[Zz]it\.\s*nach|[Nn]ach)\s+)?"
+VIA = r",\s*(?:[Zz]itiert\s+nach|[Zz]it\.\s*nach)\s+"
+ENTRY = rf"{SIGNAL}{NAME}{OTHERS},?\s+{YEAR}{PAGES}"
+#: "(see Name & Name 2004, S. 12", "(Name 1990, zitiert nach Name 2004", "vgl. Name 2004", and "Name et al. (2004, S. 12)"
+IN_PARENTHESES, SECONDARY = rf"[(;]\s*{ENTRY}", rf"[(;]\s*{ENTRY}{VIA}{ENTRY}"
+SIGNALLED = rf"(?<![\p{{L}}\p{{N}}_])((?:[Vv]gl\.|[Ss]iehe|[Ss]ee|[Cc]f\.|[Zz]it\.\s*nach)\s+){NAME}{OTHERS},?\s+{YEAR}{PAGES}"
+NARRATIVE = rf"(?<![\p{{L}}\p{{N}}_]){SIGNAL}{NAME}{OTHERS}\s*\(\s*{YEAR}{PAGES}\s*\)"
 
 
 def _c(c: Column | str) -> Column:
@@ -84,38 +97,69 @@ def context_signals(before: Column | str, verbatim: Column | str, after: Column
     return F.struct(F.when(~open_, marker(first, CONTRAST)).alias("contrast"), F.when(~open_, marker(last, FRAMING)).alias("framing"), loss.alias("hedge_loss"), distant.alias("distant"), open_.alias("suppressed"))
 
 
-def citations(c: Column | str) -> Column:
-    """array<struct(family, others, year, page, page_end, confidence)>: citations by author and year, those that open in
-    parentheses first, each kind in order.
+def _let(x: Column, f) -> Column:
+    """f of x, which is evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
-    A citation is strong if it names a page, a further author or a signal word, corroborated if a strong one has its family name
-    in one of that name's forms, and else weak. A page that looks like a year is none.
-    """
 
-    def of(form: str) -> Column:
-        parts = F.arrays_zip(*(F.regexp_extract_all(_c(c), F.lit(form), F.lit(i + 1)).alias(p) for i, p in enumerate(PARTS)))
-        return F.filter(parts, lambda x: ~text.fold(x["family"]).isin(*NO_AUTHORS))
+def citations(c: Column | str) -> Column:
+    """array<struct(start, end, family, others, year, page, page_end, secondary, confidence)>: citations by author and year, in order.
 
-    def page(x: Column) -> Column:
-        n = x["page"].try_cast("int")
-        return F.when((n > 0) & ~n.between(1400, 2100), n)
+    In parentheses, several of them behind semicolons; behind a signal word; and with the year alone in parentheses, if a
+    page stands there or a verb of REPORTING behind it. "A 1990, zitiert nach B 2004" cites both, B as secondary. Code, macros,
+    comments and the list of references are blotted out before, and nothing reaches across them; offsets are those of
+    the text. A citation is strong if it names a page, a further author or a signal word, corroborated if a strong one has its
+    family name in one of that name's forms, and else weak. A page that looks like a year is none.
+    """
 
-    def read(x: Column) -> Column:
-        strong = page(x).isNotNull() | (x["signal"] != "") | (F.trim(x["others"]) != "")
-        end = F.when(page(x).isNotNull(), x["page_end"].try_cast("int"))
-        return F.struct(x["family"].alias("family"), F.trim(x["others"]).alias("others"), x["year"].cast("int").alias("year"), page(x).alias("page"), end.alias("page_end"), strong.alias("strong"))
+    def read(m: Column, pattern: str, first: int = 0, secondary: bool = False) -> Column:
+        part = [F.regexp_extract(m["text"], pattern, first + i + 1) for i in range(6)]
+        page = part[4].try_cast("int")
+        page = F.when((page > 0) & ~page.between(1400, 2100), page)
+        strong = page.isNotNull() | (part[0] != "") | (F.trim(part[2]) != "")
+        lead = F.length(F.regexp_extract(m["text"], r"^[(;]\s*", 0))
+        start = m["start"] + (F.length(F.regexp_extract(m["text"], f"^[(;]\\s*{ENTRY}{VIA}", 0)) if secondary else lead)
+        end = m["end"] - (F.length(F.regexp_extract(m["text"], f"{VIA}{ENTRY}$", 0)) if pattern is SECONDARY and not secondary else 0)
+        named = (part[1].alias("family"), F.trim(part[2]).alias("others"), part[3].cast("int").alias("year"), page.alias("page"), F.when(page.isNotNull(), part[5].try_cast("int")).alias("page_end"))
+        return F.struct(start.alias("start"), end.alias("end"), *named, F.lit(secondary).alias("secondary"), strong.alias("strong"))
+
+    def found(whole: Column) -> Column:
+        def clean(ms: Column) -> Column:  # matches that don't reach across what is blotted out
+            return F.filter(ms, lambda m: F.regexp_replace(F.substring(whole, m["start"] + 1, m["end"] - m["start"]), r"\s", " ") == F.regexp_replace(m["text"], r"\s", " "))
+
+        def narrative(masked: Column, before: Column) -> Column:
+            told = F.filter(
+                spans.matches(masked, NARRATIVE),
+                lambda m: (F.regexp_extract(m["text"], NARRATIVE, 5) != "") | text.fold(F.regexp_extract(F.substring(whole, m["end"] + 1, F.lit(40)), r"^\s*[:,]?\s*(\p{L}+)", 1)).isin(*REPORTING),
+            )
+            return F.concat(before, F.transform(clean(spans.matches(masked, SIGNALLED)), lambda m: read(m, SIGNALLED)), F.transform(clean(told), lambda m: read(m, NARRATIVE)))
+
+        def in_parentheses(pieces: Column, before: Column) -> Column:
+            own = F.transform(spans.places(pieces), lambda m: read(m, IN_PARENTHESES))
+            return _let(spans.blotted(pieces), lambda masked: narrative(masked, F.concat(before, own)))
+
+        def secondary(pieces: Column) -> Column:
+            ms = spans.places(pieces)
+            own = F.concat(F.transform(ms, lambda m: read(m, SECONDARY)), F.transform(ms, lambda m: read(m, SECONDARY, 6, True)))
+            return _let(spans.pieces(spans.blotted(pieces), IN_PARENTHESES), lambda p: in_parentheses(p, own))
+
+        return _let(spans.pieces(spans.mask(spans.mask(whole, REFERENCES), SKIPPED), SECONDARY), secondary)
 
     def judged(all_: Column) -> Column:
         known = F.flatten(F.transform(F.filter(all_, lambda x: x["strong"]), lambda x: text.family_variants(x["family"])))
-        return F.transform(
-            all_,
-            lambda x: F.struct(
-                *(x[k].alias(k) for k in ("family", "others", "year", "page", "page_end")),
-                F.when(x["strong"], "strong").when(F.arrays_overlap(text.family_variants(x["family"]), known), "corroborated").otherwise("weak").alias("confidence"),
+        return _let(
+            known,
+            lambda k: F.transform(
+                all_,
+                lambda x: F.struct(
+                    *(x[n].alias(n) for n in ("start", "end", "family", "others", "year", "page", "page_end", "secondary")),
+                    F.when(x["strong"], "strong").when(F.arrays_overlap(text.family_variants(x["family"]), k), "corroborated").otherwise("weak").alias("confidence"),
+                ),
             ),
         )
 
-    return judged(F.transform(F.concat(of(IN_PARENTHESES), of(NARRATIVE)), read))
+    named = lambda all_: F.sort_array(F.filter(all_, lambda x: ~text.fold(F.element_at(F.split(x["family"], r"\s+"), -1)).isin(*NO_AUTHORS)))
+    return _let(named(_let(_c(c), found)), judged)
 
 
 def drifted_quotes(before: Column | str, after: Column | str) -> Column:
@@ -123,7 +167,8 @@ def drifted_quotes(before: Column | str, after: Column | str) -> Column:
     what the text cites, or blanks alone."""
     quotes = F.regexp_extract_all(_c(after), F.lit("„([^“]{20,})“"), F.lit(1))
     kept = F.filter(F.array_distinct(quotes), lambda q: F.contains(_c(before), q))
-    same = (flat(before) == flat(after)) | (citations(before) != citations(after))
+    cited = lambda c: F.transform(citations(c), lambda x: F.struct(*(x[n].alias(n) for n in ("family", "others", "year", "page", "page_end", "secondary"))))
+    same = (flat(before) == flat(after)) | (cited(before) != cited(after))
     return F.when(same, F.array().cast("array<string>")).otherwise(kept)
 
 

@@ -30,9 +30,14 @@ def pieces(c: Column | str, pattern: str) -> Column:
     return F.split(marked, MARK, -1)
 
 
-def mask(c: Column | str, pattern: str, filler: str = " ") -> Column:
-    """The text with each match blotted out by as many fillers, so that offsets stay what they are."""
-    return F.array_join(F.transform(pieces(c, pattern), lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(filler), F.length(p))).otherwise(p)), "")
+def blotted(parts: Column) -> Column:
+    """The text of pieces, with as many blanks for each match, so that offsets stay what they are."""
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)), "")
+
+
+def mask(c: Column | str, pattern: str) -> Column:
+    """The text with its matches blotted out."""
+    return blotted(pieces(c, pattern))
 
 
 def places(parts: Column) -> Column:

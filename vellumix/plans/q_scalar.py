@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -261,20 +263,39 @@ def f33(spark: SparkSession, sf: str) -> DataFrame:
     return claims.select("paper_id", citing.guards("claim", "title").alias("g")).select("paper_id", "g.*")
 
 
-CITING_SQL = "concat(title, ' (Meyer, 2004, S. ', paper_id % 90 + 1, '-', paper_id % 90 + 3, ') und Kim (1999) sowie (Cho et al. 2011; vgl. Kim & Lee 2001), (Corona 2020), (Januar 2021), Meyer (1984, 2001), Bär (', 1900 + paper_id % 100, ')')"
+#: Passages behind each title ({p} a page, {y} a year, which go by the record), and what each of them cites: the words, family, further authors, year, page, last page, secondary, confidence.
+CITING = (
+    (" (Meyer, 2004, S. {p}-99) und Meyer (1999) zeigt", [("Meyer, 2004, S. {p}-99", "Meyer", "", "2004", "{p}", "99", False, "strong"), ("Meyer (1999)", "Meyer", "", "1999", None, None, False, "corroborated")]),
+    (" sowie (Cho et al. {y}; vgl. Kim & Lee 2001), (Corona 2020), (Januar 2021)", [("Cho et al. {y}", "Cho", "et al.", "{y}", None, None, False, "strong"), ("vgl. Kim & Lee 2001", "Kim", "& Lee", "2001", None, None, False, "strong"), ("Corona 2020", "Corona", "", "2020", None, None, False, "weak")]),
+    (" (Roth, 1990, zitiert nach Beck, {y}, S. {p}).", [("Roth, 1990", "Roth", "", "1990", None, None, False, "weak"), ("Beck, {y}, S. {p}", "Beck", "", "{y}", "{p}", None, True, "strong")]),
+    (" `(Meier 2019, S. {p})` <!-- Bär ({y}) zeigt --> Bär ({y}) war da.", []),
+    (" Bär und Kurz ({y}) erklären; Wien (2016) nicht; siehe Öz 2003: {p}", [("Bär und Kurz ({y})", "Bär", "und Kurz", "{y}", None, None, False, "strong"), ("siehe Öz 2003: {p}", "Öz", "", "2003", "{p}", None, False, "strong")]),
+    (" (Lang 1984, 2001)\n## Literatur\nLang ({y}, S. {p})", [("Lang 1984", "Lang", "", "1984", None, None, False, "weak")]),
+)
+
+
+def _filled(x: str | None, kind: str = "STRING") -> str:
+    if x is None:
+        return f"CAST(NULL AS {kind})"
+    parts = [f"CAST({'paper_id % 90 + 1' if part == '{p}' else '1900 + paper_id % 100'} AS STRING)" if part in ("{p}", "{y}") else "'" + part.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for part in re.split(r"(\{[py]\})", x) if part]
+    return f"CAST({' || '.join(parts) or repr('')} AS {kind})"
+
+
+PASSAGE_SQL = f"CASE paper_id % {len(CITING)} " + " ".join(f"WHEN {i} THEN {_filled(x)}" for i, (x, _) in enumerate(CITING)) + " END"
+CITED_SQL = " UNION ALL ".join(
+    f"SELECT paper_id, length(title) + instr({_filled(x)}, {_filled(words)}) AS start, length({_filled(words)}) AS n, {_filled(family)} AS family, {_filled(others)} AS others, {_filled(year, 'INT')} AS year, {_filled(page, 'INT')} AS page, {_filled(last, 'INT')} AS page_end, {secondary} AS secondary, '{confidence}' AS confidence FROM p WHERE paper_id % {len(CITING)} = {i}"
+    for i, (x, cited) in enumerate(CITING)
+    for words, family, others, year, page, last, secondary, confidence in cited
+)
 
 
 @query(
     "f34_citations",
-    with_views(
-        "SELECT paper_id, unnest(['Meyer', 'Cho', 'Kim', 'Corona', 'Kim', 'Meyer', 'Bär']) AS family, unnest(['', 'et al.', '& Lee', '', '', '', '']) AS others, unnest([2004, 2011, 2001, 2020, 1999, 1984, 1900 + paper_id % 100])::INT AS year, "
-        "unnest([paper_id % 90 + 1, NULL, NULL, NULL, NULL, NULL, NULL])::INT AS page, unnest([paper_id % 90 + 3, NULL, NULL, NULL, NULL, NULL, NULL])::INT AS page_end, "
-        "unnest(['strong', 'strong', 'strong', 'weak', 'corroborated', 'corroborated', 'weak']) AS confidence FROM papers"
-    ),
+    with_views(f"WITH p AS (SELECT paper_id, substring(title, 1, 200) AS title FROM papers) SELECT paper_id, start::INT AS start, (start + n)::INT AS \"end\", family, others, year, page, page_end, secondary, confidence FROM ({CITED_SQL})"),
 )
 def f34(spark: SparkSession, sf: str) -> DataFrame:
-    """Citations in titles with a fixed passage behind them; the twin states what that passage cites."""
-    shown = view(spark, sf, "papers").select("paper_id", F.expr(CITING_SQL).alias("t"))
+    """Citations in the start of titles with a passage behind it that goes by the record, near misses among them."""
+    shown = view(spark, sf, "papers").select("paper_id", F.concat(F.substring("title", 1, 200), F.lit("."), F.expr(PASSAGE_SQL)).alias("t"))
     return shown.select("paper_id", F.inline(citing.citations("t")))
 
 
