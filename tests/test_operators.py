@@ -7,13 +7,14 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from vellumix.functions import text
 from vellumix.operators import chunks, evidence, learn, relational, resolve, retrieval, screening, stats
-from vellumix.operators.fuzzy import indel_ratio, lcs_length, partial_ratio, word_diff
+from vellumix.operators.fuzzy import indel_ratio, lcs_length, lcs_many, partial_ratio, word_diff
 
 
 def column(spark, values, c, kind="string"):
@@ -380,3 +381,33 @@ def test_macro_and_gate(spark):
     assert {r.label: (r.n, r.recall, r.ndcg, r.mrr) for r in m.collect()} == {"s": (2, 0.5, 0.25, 0.75), "t": (1, 1.0, 1.0, 1.0)}
     got = {r.label: (r.d_recall, r.passed) for r in retrieval.gate(m, m.where("label = 't'"), "label", {"mrr": 0.9}).collect()}
     assert got == {"s": (None, False), "t": (0.0, True)}
+
+
+def test_lcs_many():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcé \U0001f600") for _ in range(rng.choice([1, 5, 60, 64, 65, 130, 200]))) for _ in range(40)]
+    a, b = (np.array(x) for x in zip(*((i, j) for i in range(40) for j in range(40)), strict=True))
+    want = [lcs_length(texts[i], texts[j]) for i, j in zip(a, b, strict=True)]
+    assert lcs_many(texts, a, b).tolist() == lcs_many(texts, a, b, 300).tolist() == want
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_title_pairs_are_all_pairs(spark, block):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("etaoin") for _ in range(rng.randint(1, 6))) for _ in range(12)]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(50)]
+    for _ in range(60):
+        x = list(rng.choice(titles))
+        for _ in range(rng.randint(0, 3)):
+            x[rng.randrange(len(x))] = rng.choice(["", "x", "ab"])
+        titles.append("".join(x))
+    titles += ["", None, " ", "Devops Systematic", "Devops Large Systematic", titles[0].upper()]
+    rows = list(enumerate(titles))
+    got = resolve.title_pairs(spark.createDataFrame(rows, "k long, title string").repartition(3), "k", "title", 0.85, block).collect()
+    first = {}
+    for k, t in rows:
+        if (t or "").strip(" "):
+            first.setdefault(t.strip(" ").lower(), k)
+    want = {(a, b) for t, a in first.items() for u, b in first.items() if a < b and SequenceMatcher(None, t, u).ratio() >= 0.85}
+    want |= {(first[t.strip(" ").lower()], k) for k, t in rows if (t or "").strip(" ") and first[t.strip(" ").lower()] != k}
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50
