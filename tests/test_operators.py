@@ -106,7 +106,8 @@ def test_p_values():
 def test_bootstrap(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, rng.gauss(10, 2)) for i in range(2000)], "k long, v double")
-    low, high = stats.interval(stats.bootstrap_means(df, "k", "v", 400)).first()
+    low, high, usable = stats.interval(stats.bootstrap_means(df, "k", "v", 400)).first()
+    assert usable == 400
     half = 1.96 * 2 / math.sqrt(2000)
     assert (high - low) / 2 == pytest.approx(half, rel=0.2) and low < 10.1 and high > 9.9
 
@@ -121,13 +122,83 @@ def test_bootstrap_replicates(spark):
     assert sum(one) / len(one) == pytest.approx(0.02, rel=0.05)
     assert stats.bootstrap_means(df.where("v is null"), "k", "v", 3).where("mean is not null").count() == 0
     asked = []
-    whole = stats.bootstrap_means
+    whole = stats.bootstrap
     try:
-        stats.bootstrap_means = lambda *a: asked.append(a[3] if len(a) > 3 else 200) or whole(*a[:3], 20)
+        stats.bootstrap = lambda df, key, sums, effect, n=200, seed=1: asked.append(n) or whole(df, key, sums, effect, 20, seed)
         q_aggregate.a28(spark, SMALL), q_aggregate.a29(spark, SMALL)
     finally:
-        stats.bootstrap_means = whole
-    assert asked == [2_000, 10_000]
+        stats.bootstrap = whole
+    assert asked == [2_000] * 4 + [10_000]
+
+
+def test_bootstrap_kinds(spark):
+    rng = random.Random(5)
+    rows = [(i, "a" if i % 3 else "b", 10 + rng.gauss(0, 2) + (0.7 if i % 3 == 0 else 0), rng.gauss(9, 1)) for i in range(3000)] + [(9000, "c", 1.0, 1.0), (9001, "a", None, 1.0)]
+    df = spark.createDataFrame(rows, "k long, g string, x double, y double").repartition(4)
+    d = [r[2] - r[3] for r in rows if r[2] is not None]
+    low, high, usable = stats.interval(stats.bootstrap_paired(df, "k", "x", "y", 600), "value").first()
+    assert usable == 600 and (low + high) / 2 == pytest.approx(np.mean(d), abs=0.03) and (high - low) / 2 == pytest.approx(1.96 * np.std(d) / math.sqrt(len(d)), rel=0.15)
+    x, y = ([r[2] for r in rows if r[1] == g and r[2] is not None] for g in "ba")
+    se = math.sqrt(np.var(x) / len(x) + np.var(y) / len(y))
+    low, high, _ = stats.interval(stats.bootstrap_groups(df, "k", "g", "x", "b", "a", 600), "value").first()
+    assert (low + high) / 2 == pytest.approx(np.mean(x) - np.mean(y), abs=0.03) and (high - low) / 2 == pytest.approx(1.96 * se, rel=0.15)
+    pooled = math.sqrt(((len(x) - 1) * np.var(x, ddof=1) + (len(y) - 1) * np.var(y, ddof=1)) / (len(x) + len(y) - 2))
+    low, high, _ = stats.interval(stats.bootstrap_groups(df, "k", "g", "x", "b", "a", 600, standardized=True), "value").first()
+    assert (low + high) / 2 == pytest.approx((np.mean(x) - np.mean(y)) / pooled, abs=0.02)
+    assert tuple(stats.interval(stats.bootstrap_means(df, "k", "x", 99)).first()) == (None, None, 99)
+    assert stats.interval(stats.bootstrap_groups(df, "k", "g", "x", "c", "none", 200), "value").first().usable == 0
+
+
+def plain_shapiro(x):
+    """W by Royston's formulas over a list."""
+    x, n = sorted(x), len(x)
+    m = [stats.NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+    mm = sum(v * v for v in m)
+    if n == 3:
+        a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+    else:
+        u = 1 / math.sqrt(n)
+        last = m[-1] / math.sqrt(mm) + sum(c * u**k for k, c in enumerate(stats.LAST))
+        ends = [last]
+        if n > 5:
+            ends.insert(0, m[-2] / math.sqrt(mm) + sum(c * u**k for k, c in enumerate(stats.BEFORE_LAST)))
+        k = len(ends)
+        share = math.sqrt((mm - 2 * sum(v * v for v in m[-k:])) / (1 - 2 * sum(e * e for e in ends)))
+        a = [-e for e in reversed(ends)] + [v / share for v in m[k:-k]] + ends
+    mean = sum(x) / n
+    return sum(p * q for p, q in zip(a, x, strict=True)) ** 2 / sum((v - mean) ** 2 for v in x)
+
+
+def test_shapiro_wilk(spark):
+    rng = random.Random(6)
+    groups = {"men": [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], "one": [1.0], "two": [1, 2], "same": [3, 3, 3, 3], "three": [1, 2, 9], "four": [1, 2, 2, 9], "five": [5, 1, 4, 1, 2], "six": [5, 1, 4, 1, 2, 2], "many": [rng.gauss(3, 2) for _ in range(1500)], "skew": [rng.expovariate(1) for _ in range(300)], "ties": [rng.randint(1, 4) for _ in range(200)]}
+    rows = [(g, float(v), f"{g}{i}") for g, vs in groups.items() for i, v in enumerate(vs)] + [("men", None, "x"), (None, 1.0, "y")]
+    got = {r.g: r for r in stats.shapiro_wilk(spark.createDataFrame(rows, "g string, v double, k string").repartition(5), "g", "v", "k").collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        if len(vs) < 3 or g == "same":
+            assert got[g].w is None and got[g].p is None
+        else:
+            assert got[g].w == pytest.approx(plain_shapiro(vs), abs=1e-9) and got[g].n == len(vs)
+    assert got["men"].w == pytest.approx(0.79, abs=0.002) and got["men"].p == pytest.approx(0.0067, abs=0.0002)  # published values
+    assert got["many"].p > 0.01 and got["skew"].p < 1e-9
+
+
+def test_merged(spark):
+    rows = [
+        ("k", 1, None, "B title", ["Ann", "Bob"], 2001, None, None, "", None, False, "s1"),
+        ("k", 2, "10.1/x", "A title", ["Bob", "Cy", None, "Bob"], None, 7, None, None, "http://a", None, "s2"),
+        ("k", 3, None, "A title", ["Dan"], 2002, 5, 1.0, "V", None, True, "s1"),
+        ("l", 4, "10.1/z", "x", None, 1, 3, None, None, None, None, None),
+        ("l", 5, "10.1/y", "x", [], 1, 3, None, None, None, None, "s"),
+        (None, 6, "10.1/y", "x", [], 1, 3, None, None, None, None, "s"),
+    ]
+    schema = "key string, paper_id long, doi string, title string, authors array<string>, year int, citations long, fwci double, venue string, oa_url string, is_retracted boolean, source_module string"
+    got = {r.key: r for r in resolve.merged(spark.createDataFrame(rows, schema).repartition(3), "key").collect()}
+    k = got["k"]
+    assert (k.n, k.best, k.title, k.year, k.doi, k.oa_url, k.citations, k.is_retracted, k.sources) == (3, 3, "A title", 2002, "10.1/x", "http://a", 7, True, ["s1", "s2"])
+    assert k.authors == ["Dan", "Ann", "Bob", "Cy"]  # records in the order of doi, title: 3, 1, 2
+    assert set(got) == {"k", "l"} and (got["l"].best, got["l"].doi, got["l"].authors, got["l"].is_retracted) == (5, "10.1/y", [], None)
 
 
 def test_random_effects(spark):

@@ -92,12 +92,17 @@ def value_ranks(df: DataFrame, value: str, others: Sequence[str] = ()) -> DataFr
     return positions_of_groups(cells, value).select(value, F.col("__n").alias("n"), (F.col("__before") + (F.col("__n") + 1) / 2).alias("rank"), "cells")
 
 
-def positions_of_groups(counts: DataFrame, value: str, buckets: int = 32) -> DataFrame:
-    """Adds __before, the rows with lower values, to (value, __n, ...)."""
-    rows, before = _ranges(counts, [value], buckets, F.col("__n"))
+def positions_of_groups(counts: DataFrame, value: str, buckets: int = 32, within: Sequence[str] = ()) -> DataFrame:
+    """Adds __before, the rows with lower values (of the same ``within``), to (within..., value, __n, ...)."""
+    rows, before = _ranges(counts, [*within, value], buckets, F.col("__n"))
     inside = Window.partitionBy("__part").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(F.broadcast(before.withColumnRenamed("__before", "__base")), "__part")
-    return rows.withColumn("__before", F.col("__base") + F.col("__in")).drop("__part", "__i", "__in", "__base")
+    rows = rows.withColumn("__before", F.col("__base") + F.col("__in")).drop("__part", "__i", "__in", "__base")
+    if not within:
+        return rows
+    rows = cut(rows)
+    first = rows.groupBy(*within).agg(F.min("__before").alias("__first"))
+    return rows.join(checked_broadcast(first), list(within)).withColumn("__before", F.col("__before") - F.col("__first")).drop("__first")
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lo: str, hi: str, point: str, width: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .relational import positions_of_groups, value_ranks
+from ..session import cut
+from .relational import checked_broadcast, positions, positions_of_groups, value_ranks
 
 # Codes for missing data.
 MISSING = ("", "NA", "N/A", "na", ".", "-99")
@@ -135,39 +137,150 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return sums.select((F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"), "n")
 
 
-# Rows that are weighed at once.
-BOOTSTRAP_ROWS = 64
+# Rows that are weighed at once, and replicates that an interval needs.
+BOOTSTRAP_ROWS, USABLE = 64, 100
 
 
-def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
-    """replicate, mean: a Poisson bootstrap; each row's weight in each replicate comes from a hash of its key, so the
-    result does not depend on how rows are partitioned (but for rounding), and no replicate is ever collected.
+def bootstrap(df: DataFrame, key: str, sums: dict[str, Column], effect: Column, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """replicate, value: a Poisson bootstrap of an effect, a column over weighted sums of the given terms (null counts as 0).
 
-    Tasks sum weights and weighted values of all replicates; a hash of 64 bits gives the weights of four, so their
-    probabilities are rounded to 2**-16."""
+    Each row's weight in each replicate comes from a hash of its key, so the result does not depend on how rows are
+    partitioned (but for rounding), and no replicate is ever collected. Values of one row share its weight, so pairs stay
+    pairs; rows of different groups are weighed independently. Tasks sum up all replicates; a hash of 64 bits gives the
+    weights of four, so their probabilities are rounded to 2**-16."""
     edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
     weights = np.searchsorted(edges, (np.arange(1 << 16) + 0.5) / (1 << 16), side="right").astype(np.float64)
+    names = list(sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = np.arange(1, -(-replicates // 4) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        sums = np.zeros((2, len(steps) * 4))
+        total = np.zeros((len(names), len(steps) * 4))
         for batch in batches:
-            keys, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            keys, values = batch.column(0).to_numpy().view(np.uint64), np.stack([batch.column(i + 1).to_numpy() for i in range(len(names))])
             for at in range(0, len(keys), BOOTSTRAP_ROWS):
                 h = keys[at : at + BOOTSTRAP_ROWS, None] + steps  # SplitMix64
                 h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
                 h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-                x = values[at : at + BOOTSTRAP_ROWS]
-                sums += np.stack([np.ones(len(x)), x]) @ weights[(h ^ h >> np.uint64(31)).view(np.uint16)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicates + 1, dtype=np.int32)), *(pa.array(x[:replicates]) for x in sums)], ["replicate", "w", "wx"])
+                total += values[:, at : at + BOOTSTRAP_ROWS] @ weights[(h ^ h >> np.uint64(31)).view(np.uint16)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicates + 1, dtype=np.int32)), *(pa.array(x[:replicates]) for x in total)], ["replicate", *names])
+
+    rows = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()))
+    parts = rows.mapInArrow(run, "replicate int, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("replicate").agg(*(F.sum(n).alias(n) for n in names)).select("replicate", effect.alias("value"))
+
+
+def _mean(total: str, n: str) -> Column:
+    return F.col(total) / F.nullif(F.col(n), F.lit(0.0))
+
+
+def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """replicate, mean of one sample."""
+    x = F.col(value)
+    return bootstrap(df.where(x.isNotNull()), key, {"n": F.lit(1), "x": x}, _mean("x", "n"), replicates, seed).withColumnRenamed("value", "mean")
+
+
+def bootstrap_paired(df: DataFrame, key: str, a: str, b: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """replicate, value: the mean difference of pairs, drawn as pairs."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return bootstrap(both, key, {"n": F.lit(1), "d": F.col(a) - F.col(b)}, _mean("d", "n"), replicates, seed)
+
+
+def bootstrap_groups(df: DataFrame, key: str, group: str, value: str, a: object, b: object, replicates: int = 200, seed: int = 1, standardized: bool = False) -> DataFrame:
+    """replicate, value: the difference of two groups' means, each drawn on its own; standardized: over their pooled deviation."""
+    x = F.col(value).cast("double")
+    rows = df.where(F.col(group).isin(a, b) & x.isNotNull())
+    of = lambda g, c: F.when(F.col(group) == F.lit(g), c)
+    sums = {f"{n}{i}": of(g, c) for i, g in enumerate((a, b)) for n, c in (("n", F.lit(1)), ("x", x), ("xx", x * x))}
+    effect = _mean("x0", "n0") - _mean("x1", "n1")
+    if standardized:
+        rest = sum(F.col(f"xx{i}") - F.col(f"x{i}") * F.col(f"x{i}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)) for i in (0, 1))
+        free = F.col("n0") + F.col("n1") - 2
+        effect = effect / F.sqrt(F.when((free > 0) & (rest > 0), rest / free))
+    return bootstrap(rows, key, sums, effect, replicates, seed)
+
 
-    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(value).cast("double").alias("x"))
-    return rows.mapInArrow(run, "replicate int, w double, wx double").groupBy("replicate").agg((F.sum("wx") / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean"))
+def interval(replicates: DataFrame, value: str = "mean", level: float = 0.95, least: int = USABLE) -> DataFrame:
+    """low, high, usable: the percentiles of the replicates that have a finite value; none if these are fewer than least."""
+    good = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value))
+    q = F.percentile(good, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    s = replicates.agg(q.alias("q"), F.count(good).alias("usable"))
+    return s.select(*(F.when(F.col("usable") >= least, F.col("q")[i]).alias(n) for i, n in enumerate(("low", "high"))), "usable")
 
 
-def interval(replicates: DataFrame, value: str = "mean", level: float = 0.95) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    return replicates.agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+# Coefficients of Royston's approximation (algorithm AS R94), lowest power first.
+LAST, BEFORE_LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+SMALL_MEAN, SMALL_LOG_SD = (0.544, -0.39978, 0.025054, -6.714e-4), (1.3822, -0.77857, 0.062767, -0.0020322)
+LARGE_MEAN, LARGE_LOG_SD, BOUND = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302), (-2.273, 0.459)
+
+
+def _poly(c: tuple[float, ...], x: Column | float) -> Column | float:
+    out = c[-1]
+    for k in reversed(c[:-1]):
+        out = out * x + k
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The inverse of the normal distribution function, which the JVM side lacks."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(NormalDist().inv_cdf, na_action="ignore").astype("float64")
+
+    return F.pandas_udf(run, DoubleType())(p)
+
+
+def normal_tail(x: float) -> float:
+    return 0.5 * math.erfc(x / math.sqrt(2))
+
+
+def shapiro_p(w: float, n: float) -> float:
+    """The p value of W by Royston."""
+    if n < 4:
+        return max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if w >= 1:
+        return 1.0
+    y = math.log(1 - w)
+    if n <= 11:
+        bound = _poly(BOUND, n)
+        return 0.0 if y >= bound else normal_tail((-math.log(bound - y) - _poly(SMALL_MEAN, n)) / math.exp(_poly(SMALL_LOG_SD, n)))
+    return normal_tail((y - _poly(LARGE_MEAN, math.log(n))) / math.exp(_poly(LARGE_LOG_SD, math.log(n))))
+
+
+def shapiro_wilk(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
+    """group, n, w, p of the Shapiro-Wilk test of each group's values; w and p are null for fewer than three or equal ones.
+
+    Ranks are global positions in the order of group, value and key (which tells rows apart), less those of the groups
+    before, so that no task sorts a group. Expected normal order statistics go with the ranks, and W comes from one
+    aggregate of sums of weights, values and their products, and of the two values at either end.
+    """
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"), F.col(key).alias("k"))
+    placed = positions(rows, ["g", "x", "k"])
+    sizes = cut(placed.groupBy("g").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.avg("x").alias("mean")))
+    ranked = placed.join(checked_broadcast(sizes), "g").withColumn("i", F.col("pos") - F.col("first") + 1)
+    m = normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25))
+    d = F.col("x") - F.col("mean")
+    at = lambda i: F.max(F.when(F.col("i") == i, d))
+    s = ranked.withColumn("m", m).groupBy("g", "n").agg(F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * d).alias("mx"), F.sum(d * d).alias("xx"), at(F.lit(1)).alias("x1"), at(F.lit(2)).alias("x2"), at(F.col("n") - 1).alias("y2"), at(F.col("n")).alias("y1"))
+    top = normal_quantile((F.col("n") - 0.375) / (F.col("n") + 0.25)), normal_quantile(F.when(F.col("n") > 1, (F.col("n") - 1.375) / (F.col("n") + 0.25)))
+    s = cut(s.withColumn("m1", top[0]).withColumn("m2", top[1]))
+    n, u = F.col("n"), 1 / F.sqrt("n")
+    a1 = F.when(n == 3, F.sqrt(F.lit(0.5))).otherwise(F.col("m1") / F.sqrt("mm") + _poly(LAST, u))
+    a2 = F.col("m2") / F.sqrt("mm") + _poly(BEFORE_LAST, u)
+    two = n > 5
+    left = F.col("mm") - 2 * F.col("m1") * F.col("m1") - F.when(two, 2 * F.col("m2") * F.col("m2")).otherwise(0.0)
+    share = F.sqrt(left / (1 - 2 * a1 * a1 - F.when(two, 2 * a2 * a2).otherwise(0.0)))
+    ends = F.col("m1") * (F.col("y1") - F.col("x1")) + F.when(two, F.col("m2") * (F.col("y2") - F.col("x2"))).otherwise(0.0)
+    inner = F.when(n > 3, (F.col("mx") - ends) / share).otherwise(0.0)
+    total = a1 * (F.col("y1") - F.col("x1")) + F.when(two, a2 * (F.col("y2") - F.col("x2"))).otherwise(0.0) + inner
+    w = F.when((n >= 3) & (F.col("xx") > 0), F.least(F.lit(1.0), total * total / F.col("xx")))
+    out = cut(s.select(F.col("g").alias(group), "n", w.alias("w")))
+    return out.withColumn("p", F.when(F.col("w").isNotNull(), p_column("shapiro", F.col("w"), F.col("n"))))
+
+
+def group_sizes(df: DataFrame, group: str, value: str, least: int) -> DataFrame:
+    """smallest (the group with the fewest values, the first of equal ones), n, violated: whether that is below least."""
+    counts = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count(value).alias("n"))
+    return counts.agg(F.min_by("g", F.struct("n", "g")).alias("smallest"), F.min("n").alias("n")).where("n is not null").withColumn("violated", F.col("n") < least)
 
 
 def random_effects(studies: DataFrame, yi: str = "yi", vi: str = "vi") -> DataFrame:
@@ -240,11 +353,11 @@ def chi2_p_value(x: float, df: float) -> float:
 
 
 def p_column(kind: str, *columns: Column) -> Column:
-    """p values of statistics: kind t (t, df), f (f, df1, df2) or chi2 (x, df). A pandas UDF over result rows, of which there are few."""
-    f = {"t": t_p_value, "f": f_p_value, "chi2": chi2_p_value}[kind]
+    """p values of statistics: kind t (t, df), f (f, df1, df2), chi2 (x, df) or shapiro (w, n). A pandas UDF over result rows, of which there are few."""
+    f = {"t": t_p_value, "f": f_p_value, "chi2": chi2_p_value, "shapiro": shapiro_p}[kind]
 
     def run(*args: pd.Series) -> pd.Series:
-        return pd.Series([f(*map(float, row)) for row in zip(*args, strict=True)], dtype="float64")
+        return pd.Series([None if any(map(pd.isna, row)) else f(*map(float, row)) for row in zip(*args, strict=True)], dtype="float64")
 
     return F.pandas_udf((_three if kind == "f" else _two)(run), DoubleType())(*columns)
 

@@ -113,31 +113,38 @@ def a11b(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "ledger").where("decision = 'unclear' and round = '1'").groupBy("paper_id", "stage").agg(F.min("ord").alias("ord"))
 
 
-SURVIVOR_SQL = (
-    f"SELECT d AS doi, count(*) AS n, min(paper_id) AS first_id, max(coalesce(citations, 0)) AS citations, arg_max(paper_id, filled * 100000000 + coalesce(citations, 0) * 10000 - paper_id) AS best, bool_or(is_retracted) AS is_retracted, "
-    f"arg_min(oa_url, paper_id) FILTER (oa_url IS NOT NULL) AS oa_url, list_sort(list(DISTINCT source_module)) AS sources FROM (SELECT *, {DOI_SQL} AS d, "
-    "CAST(year IS NOT NULL AS INT) + CAST(citations IS NOT NULL AS INT) + CAST(fwci IS NOT NULL AS INT) + CAST(coalesce(venue, '') <> '' AS INT) + CAST(oa_url IS NOT NULL AS INT) AS filled FROM papers) WHERE d IS NOT NULL GROUP BY d"
+NAMES_SQL = "list_filter(string_split_regex(lower(title), '[^a-z]+'), lambda t: t <> '')[1:4]"
+FILLED_SQL = " + ".join(f"CAST(coalesce(CAST({c} AS STRING), '') <> '' AS INT)" for c in ("d", "title", "year", "citations", "fwci", "venue", "oa_url"))
+MERGED_SQL = (
+    f"WITH r AS (SELECT *, {DOI_SQL} AS d, {NAMES_SQL} AS names FROM papers WHERE url IS NOT NULL), "
+    f"o AS (SELECT *, {FILLED_SQL} AS filled, row_number() OVER (PARTITION BY url ORDER BY coalesce(d, ''), lower(trim(title)), source_module, paper_id) AS k FROM r), "
+    "b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY url ORDER BY filled DESC, coalesce(citations, 0) DESC, k) = 1), "
+    "a AS (SELECT url, list(author ORDER BY k, p) AS authors FROM (SELECT url, author, min([k, p]) AS place, place[1] AS k, place[2] AS p FROM (SELECT url, k, unnest(names) AS author, generate_subscripts(names, 1) AS p FROM o) GROUP BY url, author) GROUP BY url), "
+    "g AS (SELECT url, count(*) AS n, arg_min(d, k) FILTER (coalesce(d, '') <> '') AS d, arg_min(oa_url, k) FILTER (coalesce(oa_url, '') <> '') AS u, max(coalesce(citations, 0)) AS citations, bool_or(is_retracted) AS is_retracted, list_sort(list(DISTINCT source_module)) AS sources FROM o GROUP BY url) "
+    "SELECT g.url, g.n, b.paper_id AS best, b.title, b.year, b.venue, coalesce(nullif(b.d, ''), g.d) AS doi, coalesce(nullif(b.oa_url, ''), g.u) AS oa_url, coalesce(a.authors, []) AS authors, g.citations, g.is_retracted, g.sources FROM g JOIN b ON b.url = g.url LEFT JOIN a ON a.url = g.url"
 )
 
 
-@query("a12_survivorship", with_views(SURVIVOR_SQL))
+@query("a12_survivorship", with_views(MERGED_SQL))
 def a12(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.resolve import survivors
+    """Records of one address merged; the first words of a title stand for its authors."""
+    from ..operators.resolve import merged
 
-    p = view(spark, sf, "papers").withColumn("doi", text.normalize_doi("doi")).where("doi is not null")
-    return survivors(p, "doi").select("doi", "n", "first_id", "citations", "best", "is_retracted", "oa_url", "sources")
+    names = F.slice(F.filter(F.split(F.lower("title"), "[^a-z]+"), lambda t: t != ""), 1, 4)
+    return merged(view(spark, sf, "papers").withColumn("doi", text.normalize_doi("doi")).withColumn("authors", names), "url")
 
 
 @query("a17_latency", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, list_element(list_sort(list(value)), CAST(floor(count(*) * 0.95) AS BIGINT) + 1) AS p95, round(avg(value), 6) AS mean, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def a17(spark: SparkSession, sf: str) -> DataFrame:
-    """Median and nearest-rank percentile from counts of distinct values, so no list of all values is built."""
+    """Median and nearest-rank percentile from counts of distinct values and their positions in ranges, so that no task has
+    all values of an event type."""
     e = table(spark, sf, "events").where("value is not null")
-    counts = e.groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    up = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("event_type").orderBy("value")))
+    counts = e.groupBy("event_type", "value").agg(F.count("*").alias("__n"))
+    up = rel.positions_of_groups(counts, "value", within=["event_type"]).withColumn("upto", F.col("__before") + F.col("__n"))
     n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
     at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))
     low, high, p95 = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2)), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1))
-    return up.join(n, "event_type").groupBy("event_type", "mean", "n").agg(F.round((low + high) / 2, 6).alias("p50"), p95.alias("p95"))
+    return up.join(rel.checked_broadcast(n), "event_type").groupBy("event_type", "mean", "n").agg(F.round((low + high) / 2, 6).alias("p50"), p95.alias("p95"))
 
 
 @query("a18_descriptives", "SELECT o_orderstatus, count(o_totalprice) AS n, count(*) - count(o_totalprice) AS missing, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 4) AS iqr, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY o_orderstatus")
@@ -238,14 +245,36 @@ def a27s(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.skewness(table(spark, sf, "events"), "value"), 6)
 
 
+@query("a27_shapiro_wilk")
+def a27w(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of the normal distribution have no SQL form; tests hold W and p against a plain version and known values."""
+    return rounded(stats.shapiro_wilk(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "o_orderkey"), 6)
+
+
+@query("a27_group_size", "SELECT arg_min(g, (1000000000 + n)::VARCHAR || g) AS smallest, min(n) AS n, min(n) < 300 AS violated FROM (SELECT o_orderpriority AS g, count(o_totalprice) AS n FROM orders GROUP BY 1)")
+def a27g(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.group_sizes(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", 300)
+
+
 # Replicates of an analysis plan that names none, and of a paired difference.
 STANDARD_BOOTSTRAP, BOOTSTRAP_RESAMPLES = 2_000, 10_000
 
 
 @query("a28_bootstrap")
 def a28(spark: SparkSession, sf: str) -> DataFrame:
-    """Resampling by hash; a test checks the interval against the normal one."""
-    return stats.interval(stats.bootstrap_means(table(spark, sf, "events"), "event_id", "value", STANDARD_BOOTSTRAP))
+    """Intervals of a mean, a paired difference, and a difference of two groups, plain and standardized. Resampling by hash; tests
+    check the intervals against the normal ones."""
+    o = table(spark, sf, "orders")
+    pairs = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), (F.col("l_extendedprice") * F.col("l_discount")).alias("a"), (F.col("l_extendedprice") * F.col("l_tax")).alias("b"))
+    groups = lambda standardized: stats.bootstrap_groups(o, "o_orderkey", "o_orderpriority", "o_totalprice", "1-URGENT", "5-LOW", STANDARD_BOOTSTRAP, standardized=standardized)
+    kinds = {
+        "one": stats.bootstrap_means(table(spark, sf, "events"), "event_id", "value", STANDARD_BOOTSTRAP).withColumnRenamed("mean", "value"),
+        "paired": stats.bootstrap_paired(pairs, "k", "a", "b", STANDARD_BOOTSTRAP),
+        "independent": groups(False),
+        "standardized": groups(True),
+    }
+    out = [stats.interval(r, "value").withColumn("kind", F.lit(k)) for k, r in kinds.items()]
+    return out[0].union(out[1]).union(out[2]).union(out[3]).select("kind", "low", "high", "usable")
 
 
 @query("a29_paired_bootstrap")
