@@ -10,10 +10,32 @@ import numpy as np
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
-from test_llm import documents, none, odd  # noqa: F401
+from test_llm import brute_spans, documents, none, odd, removed  # noqa: F401
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from vellumix.llm import balls, bpe_stream, fim
+from vellumix.llm import _anchors, balls, bpe_stream, fim, suffix
+
+# suffix-array dedup
+
+
+def test_contexts_with_colliding_hashes_are_told_apart(spark, monkeypatch):
+    """Texts that differ, though every polynomial hash of theirs is made to be the same: only what repeats is removed."""
+    monkeypatch.setattr(_anchors, "VALUES", np.full(256, 12_345, np.uint64))
+    rng = random.Random(3)
+    tail = "".join(rng.choice(string.ascii_letters) for _ in range(100))
+    heads = ["".join(rng.choice(string.ascii_letters) for _ in range(68)) for _ in range(3)]
+    rows = [(i, h + tail) for i, h in enumerate(heads)] + [(9, heads[0] + tail), (10, heads[1] + "-" + tail[1:])]
+    raw = [(t or "").encode() for _, t in rows]
+    assert len({tuple(_anchors.kmer_hashes(np.frombuffer(x, np.uint8)).tolist()) for x in raw}) == 1
+    batches = [_anchors.anchors([x]) for x in raw]
+    assert len({b[4].tobytes() for b in batches[:3]}) == 3 and batches[0][4].tobytes() == batches[3][4].tobytes()
+    ids = [i for i, _ in rows]
+    contexts, starts = [raw[0], raw[1]], np.zeros(2, np.int64)
+    flags = suffix.repeated_starts(contexts, np.array([0, 1]), starts)
+    assert flags.tolist() == [False] * 69 + [False] * 68 + [True]
+    monkeypatch.undo()
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == {i: v for i, v in brute_spans(rows).items() if i in ids}
+
 
 # clustering
 

@@ -2,11 +2,15 @@
 
 Equal strings have equal anchors at equal offsets, wherever they stand. All starts whose strings share an anchor are a
 range, and the bytes these strings cover are the anchor's context.
+
+k-mer hashes are fast and can be made to collide: they choose anchors and deal contexts out, where a collision costs time
+and nothing else. What is taken for equal is told by digests of 128 bits, or by the bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
@@ -52,13 +56,14 @@ def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
     return index
 
 
-def context_hashes(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of x[start:end] for each pair."""
-    return next(context_hashes_of(x, [(start, end)]))
+def context_digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b digests of raw[start:end] for each pair, as two numbers each: equal digests tell equal bytes."""
+    digest = blake2b
+    return np.frombuffer(b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<u8").reshape(-1, 2)
 
 
 def context_hashes_of(x: np.ndarray, ranges: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
-    """The same for several arrays of pairs; ranges that leave x get some value."""
+    """Hash of x[start:end] for several arrays of pairs, by which to sift, not to tell equal bytes; ranges that leave x get some value."""
     powers = np.full(len(x) + 1, BASE, np.uint64)
     powers[0] = 1
     np.multiply.accumulate(powers, out=powers)
@@ -73,23 +78,24 @@ def context_hashes_of(x: np.ndarray, ranges: list[tuple[np.ndarray, np.ndarray]]
 
 
 def anchors(rows: list[bytes], width: int = WIDTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all anchors of the rows: row, first start, last start (in the row), k-mer hash and context hash."""
+    """For all anchors of the rows: row, first start, last start (in the row), k-mer hash and context digest."""
     sizes = np.array([len(r) for r in rows], np.int64)
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    x = np.frombuffer(b"".join(rows), np.uint8)
+    raw = b"".join(rows)
+    x = np.frombuffer(raw, np.uint8)
     none = np.zeros(0, np.int64)
     if len(x) < width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), np.zeros((0, 2), np.uint64)
     h = kmer_hashes(x, k)
     at = window_argmin(h, width - k + 1)
     row = np.repeat(np.arange(len(rows)), sizes)[: len(at)]
     good = np.arange(len(at)) + width <= ends[row]
     starts = np.flatnonzero(good)
     if not len(starts):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), np.zeros((0, 2), np.uint64)
     at, row = at[starts], row[starts]
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])]))
     last = np.concatenate([new[1:] - 1, [len(starts) - 1]])
     lo, hi = starts[new], starts[last]
-    return row[new], lo - begins[row[new]], hi - begins[row[new]], h[at[new]], context_hashes(x, lo, hi + width)
+    return row[new], lo - begins[row[new]], hi - begins[row[new]], h[at[new]], context_digests(raw, lo, hi + width)

@@ -5,9 +5,9 @@ Method, in five steps.
 1. Every string of ``WIDTH`` bytes has an anchor, the k-mer in it that hashes lowest (see ``_anchors``); equal strings have
    equal anchors. The strings of one anchor cover its context, about 130 bytes. Tasks drop contexts that they have met
    before (their strings all start earlier elsewhere) before anything is shuffled.
-2. Anchors are dealt out by k-mer, those of hot k-mers (see ``HOT``) by k-mer and context. Of equal contexts (128
-   bits of k-mer and context hash) all but the first are covered whole. The first ones of k-mers with several contexts
-   may still share single strings.
+2. Anchors are dealt out by k-mer, those of hot k-mers (see ``HOT``) by k-mer and context. Of equal contexts (told by
+   BLAKE2b digests of 128 bits) all but the first are covered whole. The first ones of k-mers with several contexts may
+   still share single strings; these, the suffix arrays find, which compare bytes.
 3. Those contexts' bytes are fetched from the documents and dealt out by k-mer again; what agrees with no other context
    of its k-mer around it drops out; each task builds suffix arrays of the rest by linear grouping: suffixes start in groups by their first symbol; groups are processed in descending
    order; each member finds its previous smaller suffix by following the pointers of processed ones; the suffixes pointed
@@ -214,14 +214,14 @@ def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """key, c, doc, a, b, often. A context: k-mer, context hash, document, first and last start, and whether the task met
-    its k-mer OFTEN. Covered starts: b < 0, c the last."""
+    """key, c, c2, doc, a, b, often. A context: k-mer, digest (two numbers), document, first and last start, and whether the
+    task met its k-mer OFTEN. Covered starts: b < 0, c the last."""
 
     def emit(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h, c, doc, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((lo, doc, c, h))
+        order = np.lexsort((lo, doc, c[:, 1], c[:, 0], h))
         same = np.zeros(len(h), bool)
-        same[order[1:]] = (np.diff(h[order]) == 0) & (np.diff(c[order]) == 0)
+        same[order[1:]] = (np.diff(h[order]) == 0) & (np.diff(c[order], axis=0) == 0).all(axis=1)
         lead = np.maximum.accumulate(np.where(~same[order], np.arange(len(h)), 0))
         head = np.empty(len(h), np.int64)
         head[order] = order[lead]
@@ -235,7 +235,8 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         _, back, n = np.unique(h[own], return_inverse=True, return_counts=True)
         often = np.concatenate([n[back] >= OFTEN, np.zeros(len(s), bool)])
         key = np.concatenate([h[own], h[s] ^ lo[s].astype(np.uint64)]).view(np.int64)
-        return _batch("key c doc a b often", key, np.concatenate([c[own].view(np.int64), hi[e]]), np.concatenate([doc[own], doc[s]]), np.concatenate([lo[own], lo[s]]), np.concatenate([hi[own], np.full(len(s), -1, np.int64)]), often)
+        c = c.view(np.int64)
+        return _batch("key c c2 doc a b often", key, np.concatenate([c[own, 0], hi[e]]), np.concatenate([c[own, 1], np.zeros(len(e), np.int64)]), np.concatenate([doc[own], doc[s]]), np.concatenate([lo[own], lo[s]]), np.concatenate([hi[own], np.full(len(s), -1, np.int64)]), often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -256,32 +257,32 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         if held:
             yield emit(held)
 
-    return docs.mapInArrow(run, "key long, c long, doc long, a long, b long, often boolean")
+    return docs.mapInArrow(run, "key long, c long, c2 long, doc long, a long, b long, often boolean")
 
 
 def _sort_out(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """kind, key, doc, a, b: 0, covered starts; 1, contexts that may share strings; 2, those of hot k-mers (key, blocks)."""
 
     def settle(cols: list[np.ndarray], lead: tuple[int, ...]) -> tuple[pa.RecordBatch, tuple[int, ...]]:
-        """lead: key, context, document and start of the first context like the last row so far."""
-        key, c, doc, a, b, blocks = cols
+        """lead: key, digest, document and start of the first context like the last row so far."""
+        key, c, c2, doc, a, b, blocks = cols
         done = b < 0
         new_key = np.concatenate([[True], np.diff(key) != 0])
-        new = new_key | np.concatenate([[True], np.diff(c) != 0])
+        new = new_key | np.concatenate([[True], (np.diff(c) != 0) | (np.diff(c2) != 0)])
         new &= ~done
         head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
         first_doc, first_a = doc[head], a[head]
-        if lead and key[0] == lead[0] and c[0] == lead[1] and not done[0]:
+        if lead and (key[0], c[0], c2[0]) == lead[:3] and not done[0]:
             new[0] = False
-            like = (head == 0) & (key == lead[0]) & (c == lead[1])
-            first_doc, first_a = np.where(like, lead[2], first_doc), np.where(like, lead[3], first_a)
+            like = (head == 0) & (key == lead[0]) & (c == lead[1]) & (c2 == lead[2])
+            first_doc, first_a = np.where(like, lead[3], first_doc), np.where(like, lead[4], first_a)
         later = ~done & ~new & ((doc != first_doc) | (a != first_a))
         run = np.cumsum(new_key) - 1
         n = np.bincount(run, weights=new)[run]
         kind = np.where(done | later, 0, np.where(blocks > 0, 2, 1))
         keep = done | later | (new & ((n > 1) | (blocks > 0)))
         out = _batch("kind key doc a b", *(x[keep] for x in (kind.astype(np.int32), key, doc, a, np.where(done, c, b))))
-        return out, () if done[-1] else (key[-1], c[-1], first_doc[-1], first_a[-1])
+        return out, () if done[-1] else (key[-1], c[-1], c2[-1], first_doc[-1], first_a[-1])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -303,8 +304,8 @@ def _sort_out(rows: DataFrame, hot: DataFrame) -> DataFrame:
             yield settle([np.concatenate(x) for x in zip(*held, strict=True)], lead)[0]
 
     blocks = F.coalesce("blocks", F.lit(0))
-    dealt = rows.join(checked_broadcast(hot), "key", "left").select("key", "c", "doc", "a", "b", blocks.alias("blocks"))
-    return dealt.repartition("key", F.when(F.col("blocks") > 0, F.pmod("c", "blocks")).otherwise(0)).sortWithinPartitions("key", "c", "doc", "a").mapInArrow(work, "kind int, key long, doc long, a long, b long")
+    dealt = rows.join(checked_broadcast(hot), "key", "left").select("key", "c", "c2", "doc", "a", "b", blocks.alias("blocks"))
+    return dealt.repartition("key", F.when(F.col("blocks") > 0, F.pmod("c", "blocks")).otherwise(0)).sortWithinPartitions("key", "c", "c2", "doc", "a").mapInArrow(work, "kind int, key long, doc long, a long, b long")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
