@@ -642,6 +642,61 @@ def test_similar_groups(spark, block):
     assert linked >= 0.99 * len(pairs)
 
 
+def look_alikes(rng, n=240):
+    """Texts of one template, most of them alike at 0.7 to 0.8, some of which have a copy at 0.80 to 0.84."""
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(800)]
+    base = [rng.choice(vocabulary) for _ in range(320)]
+
+    def edited(words, low, high):
+        own = set(zip(*(words[i:] for i in range(5)), strict=False))
+        out = list(words)
+        while True:
+            out[rng.randrange(len(out))] = rng.choice(vocabulary)
+            now = set(zip(*(out[i:] for i in range(5)), strict=False))
+            share = len(own & now) / len(own | now)
+            if share < low:
+                return edited(words, low, high)
+            if share < high:
+                return out
+
+    texts = []
+    for i in range(n):
+        texts.append(edited(base, 0.84, 0.88))
+        if i % 4 == 0:
+            texts.append(edited(texts[-1], 0.80, 0.84))
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_similar_groups_among_look_alikes(spark, seed):
+    texts = look_alikes(random.Random(seed))
+    sets = [set(_similar.shingles(t.encode()).tolist()) for t in texts]
+    near = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(texts)) for j in range(i)]
+    pairs = [(i, j) for i, j, s in near if s >= 0.8]
+    sigs = [_similar.signature(np.array(sorted(s), np.uint64)) for s in sets]
+    tallied = [(i, j) for i, j in pairs if (sigs[i] == sigs[j]).sum() >= _similar.LEAST]
+    assert len(pairs) > 50 and sum(0.65 <= s < 0.8 for _, _, s in near) > 10_000 and len(tallied) >= 0.98 * len(pairs)
+
+    def groups(links):
+        label = list(range(len(texts)))
+        for _ in range(len(texts)):
+            before = list(label)
+            for i, j in links:
+                label[i] = label[j] = min(label[i], label[j])
+            if label == before:
+                return label
+
+    want, bound = groups(tallied), groups(pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block in (1024, 40):
+        got = {r.doc_id: r.component_id for r in _similar.similar_groups(docs, block=block).collect()}
+        missed = sum(got[i] != got[j] for i, j in tallied)
+        assert missed == 0 and all(bound[got[i]] == bound[i] for i in got), (block, missed, len(tallied))
+        if block == 1024:
+            first = got
+        assert got == first and len(set(got.values())) == len(set(want))
+
+
 def test_similar_odd(odd, none):
     got = by_id(_similar.similar_groups(odd))
     assert got[0].component_id == got[1].component_id == got[2].component_id == 0 and got[6].component_id == 5 and got[8].component_id == 7 and got[3].component_id == 3
