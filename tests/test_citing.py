@@ -110,3 +110,29 @@ def test_drift(spark):
     rows = [(f"Es mag sein: {q}", f"Es ist: {q}"), (f"a {q}", f"a  {q}"), (f"a {q} (Kim 1999)", f"b {q} (Lee 1999)"), ("a", f"b {q}"), (None, f"b {q}")]
     got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(citing.drifted_quotes("a", "b")).collect()]
     assert got == [["ein Zitat von einiger Länge"], [], [], [], []]
+
+
+def test_densest_window(spark):
+    words = [f"w{i}" for i in range(60)]
+    words[5], words[30], words[33], words[50], words[52], words[54] = "a", "b,", "A", "b", "b", "b"
+    got = column(spark, [" ".join(words), "a " * 20 + "b", " ".join(words[:8])], citing.highlight("x", ("a", "b"), 10))
+    assert got[0] == "...<b>b,</b> w31 w32 <b>A</b> " + " ".join(words[34:40]) + "..."  # two terms go before three hits of one
+    assert got[1] == "..." + " ".join(["<b>a</b>"] * 9) + " <b>b</b>"
+    assert got[2] == "w0 w1 w2 w3 w4 <b>a</b> w6 w7"
+
+
+def test_drift_is_told_by_the_stretch_around(spark):
+    q, r = "„ein Zitat von einiger Länge“", '"another quotation, long enough"'
+    far = " Und so weiter." * 40
+    rows = [
+        (f"Start. {q} (Kim 1999). Mitte. {r} Ende.", f"Start. {q} (Kim 1999). Mitte. {r} Schluss."),  # by r only
+        (f"Start. {q}{far} {r} Ende.", f"Start!{far} {q}{far} {r} Ende."),
+        (f"A {q} (Kim 1999) B", f"C {q} (Lee 1999) B"),
+        (f"A {q} [@kim] B", f"C {q} [@kim] B"),
+        (f"A *b* {q}", f"A b  {q}"),
+        (f"{q} A {r} B", f"{r} A {q} B"),
+        (f"A{far} {q} x", f"B{far} {q} x"),  # beyond the window
+    ]
+    got = [r_[0] for r_ in spark.createDataFrame(rows, "a string, b string").select(citing.drifted_quotes("a", "b")).collect()]
+    a, b = q[1:-1], r[1:-1]
+    assert got[0] == [b] and got[1] == [a] and got[2] == [] and got[3] == [a] and got[4] == [] and set(got[5]) <= {a, b} and got[6] == []

@@ -482,3 +482,21 @@ def test_title_pairs_are_all_pairs(spark, block):
     want = {(a, b) for t, a in first.items() for u, b in first.items() if a < b and SequenceMatcher(None, t, u).ratio() >= 0.85}
     want |= {(first[t.strip(" ").lower()], k) for k, t in rows if (t or "").strip(" ") and first[t.strip(" ").lower()] != k}
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50
+
+
+def test_books_cascade(spark):
+    from vellumix.operators import cascade
+
+    wanted = spark.createDataFrame([(1, "3-16-148410-X"), (2, "978-0-306-40615-7"), (3, "0306406152"), (4, None), (5, "nonsense"), (6, "9783161484100")], "k long, isbn string")
+    first = spark.createDataFrame([("9783161484100", " "), ("0-306-40615-2", "B"), ("9780306406157", "A")], "isbn string, title string")
+    second = spark.createDataFrame([("316148410X", "C"), ("9780306406157", "D"), (None, "E")], "isbn string, title string")
+    free = spark.createDataFrame([("316148410X", None)], "isbn string, title string")
+    got = {r.k: (r.source, r.title, r.open_access) for r in cascade.books(wanted, "k", {"one": first, "two": second}, free).collect()}
+    assert got == {1: ("two", "C", True), 6: ("two", "C", True), 2: ("one", "A", False), 3: ("one", "A", False), 4: (None, None, False), 5: (None, None, False)}
+
+
+def test_cited_in(spark):
+    papers = spark.createDataFrame([(1, ["Müller"], 2019), (2, ["von Neumann", None], 1945), (3, ["Mueller", "Öz"], 2019), (4, ["Kim"], None), (5, [], 2019), (6, ["Beck"], 2000)], "paper_id long, families array<string>, year int")
+    chapters = spark.createDataFrame([(1, "Muller sagt das (2019)."), (2, "Neumann schrieb 1945, 19456"), (3, "Kim und Beck 12019"), (4, None), (5, "Beck"), (6, "MUELLER, 2019")], "chapter_id long, text string")
+    got = {r.paper_id: (r.chapters, r.ambiguous) for r in evidence.cited_in(papers, chapters).collect()}
+    assert got == {1: (2, True), 2: (1, False), 3: (1, True)}

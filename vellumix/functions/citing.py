@@ -61,6 +61,10 @@ SIGNALLED = rf"(?<![\p{{L}}\p{{N}}_])((?:[Vv]gl\.|[Ss]iehe|[Ss]ee|[Cc]f\.|[Zz]it
 NARRATIVE = rf"(?<![\p{{L}}\p{{N}}_]){SIGNAL}{NAME}{OTHERS}\s*\(\s*{YEAR}{PAGES}\s*\)"
 
 
+#: Between the two stretches around a quotation; no character.
+MARK = "\uffff"
+
+
 def _c(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -162,14 +166,48 @@ def citations(c: Column | str) -> Column:
     return _let(named(_let(_c(c), found)), judged)
 
 
-def drifted_quotes(before: Column | str, after: Column | str) -> Column:
-    """Quotations („…“, of 20 characters or more) that an edit kept while it changed the wording around them; none if it changed
-    what the text cites, or blanks alone."""
-    quotes = F.regexp_extract_all(_c(after), F.lit("„([^“]{20,})“"), F.lit(1))
-    kept = F.filter(F.array_distinct(quotes), lambda q: F.contains(_c(before), q))
-    cited = lambda c: F.transform(citations(c), lambda x: F.struct(*(x[n].alias(n) for n in ("family", "others", "year", "page", "page_end", "secondary"))))
-    same = (flat(before) == flat(after)) | (cited(before) != cited(after))
-    return F.when(same, F.array().cast("array<string>")).otherwise(kept)
+#: Quotations of 20 characters or more, and what marks a source: a year in parentheses, a macro, a note, a key.
+QUOTED = "„[^“]{20,}“|\"[^\"]{20,}\"|«[^»]{20,}»"
+SOURCE = r"\([^)]*\b(?:1[5-9]|20)\d\d[a-z]?\b[^)]*\)|\\[a-zA-Z]*cite[a-zA-Z]*\s*(?:\[[^\]]*\]\s*)*\{[^}]*\}|\[\^[^\]]+\]|\[@[^\]]+\]"
+
+
+def drifted_quotes(before: Column | str, after: Column | str, window: int = 300) -> Column:
+    """Quotations that an edit kept while it changed the wording around them, but not their sources.
+
+    Kept quotations are anchors. The stretches between a quotation and its neighbours among them (or the text's ends), up to a
+    window, are compared with those in the old text; emphasis and blanks do not count. Sources are those within the window.
+    """
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[*_`~]", ""), r"\s+", " "))
+    inner = lambda q: F.substring(q["text"], F.lit(2), F.length(q["text"]) - 2)
+
+    def place(q: Column) -> Column:
+        at = F.position(inner(q), _c(before))
+        return F.struct(inner(q).alias("text"), (q["start"] + 1).alias("start"), (q["end"] - 1).alias("end"), (at - 1).alias("old"), (at - 1 + F.length(inner(q))).alias("old_end"))
+
+    def stretches(c: Column, start: Column, end: Column, low: Column, high: Column) -> Column:
+        left = plain(F.substring(c, low + 1, start - low))
+        right = plain(F.substring(c, end + 1, high - end))
+        return F.concat(F.substring(left, F.greatest(F.length(left) - window + 1, F.lit(1)), F.lit(window)), F.lit(MARK), F.substring(right, 1, window))
+
+    def sources(c: Column, start: Column, end: Column) -> Column:
+        low = F.greatest(start - window, F.lit(0))
+        around = F.substring(c, low + 1, end + window - low)
+        return F.sort_array(F.transform(F.regexp_extract_all(around, F.lit(SOURCE), F.lit(0)), plain))
+
+    def judged(new: Column, old: Column, kept: Column) -> Column:
+        def drifts(q: Column, i: Column) -> Column:
+            prior, later = F.get(kept, i - 1), F.get(kept, i + 1)
+            now = stretches(new, q["start"], q["end"], F.coalesce(prior["end"], F.lit(0)), F.coalesce(later["start"], F.length(new)))
+            was_low = F.when(prior["old_end"] <= q["old"], prior["old_end"])
+            was_high = F.when(later["old"] >= q["old_end"], later["old"])
+            was = stretches(old, q["old"], q["old_end"], F.coalesce(was_low, F.lit(0)), F.coalesce(was_high, F.length(old)))
+            return (now != was) & (sources(new, q["start"], q["end"]) == sources(old, q["old"], q["old_end"]))
+
+        marked = F.transform(kept, lambda q, i: F.struct(q["text"].alias("text"), drifts(q, i).alias("drifts")))
+        return F.array_distinct(F.transform(F.filter(marked, lambda q: q["drifts"]), lambda q: q["text"]))
+
+    kept = F.transform(F.filter(spans.matches(after, QUOTED), lambda q: F.contains(_c(before), inner(q))), place)
+    return _let(kept, lambda k: judged(_c(after), _c(before), k))
 
 
 def repository_ids(c: Column | str) -> Column:
@@ -216,15 +254,29 @@ def snippet(c: Column | str, most: int = 240) -> Column:
 
 
 def highlight(c: Column | str, terms: tuple[str, ...], window: int = 10) -> Column:
-    """A window of tokens from the first one found on (or the last full window of the text), with every hit in bold and
-    ellipses where it is cut; without a hit the text's first window."""
+    """The densest window of tokens: that with the most distinct terms, then the most hits, then the first; it starts at a hit (or is
+    the last full window of the text). Every hit is in bold, with ellipses where the text is cut; without a hit the text's
+    first window."""
     tokens = F.filter(F.split(_c(c), r"\s+"), lambda t: t != "")
 
-    def hit(t: Column) -> Column:
-        return F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_]", "").isin(*terms)
+    def word(t: Column) -> Column:
+        return F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_]", "")
+
+    def shown(words: Column) -> Column:
+        def best(hits: Column) -> Column:
+            def score(h: Column) -> Column:
+                start = F.greatest(F.lit(1), F.least(h["i"], F.size(words) - window + 1))
+                inside = F.filter(hits, lambda x: (x["i"] >= start) & (x["i"] < start + window))
+                return F.struct(F.size(F.array_distinct(F.transform(inside, lambda x: x["w"]))).alias("terms"), F.size(inside).alias("hits"), (-start).alias("start"))
+
+            return F.coalesce(-F.array_max(F.transform(hits, score))["start"], F.lit(1))
+
+        hits = F.filter(F.transform(words, lambda t, i: F.struct((i + 1).alias("i"), word(t).alias("w"))), lambda x: x["w"].isin(*terms))
+
+        def cut(start: Column) -> Column:
+            text_ = F.array_join(F.transform(F.slice(words, start, window), lambda t: F.when(word(t).isin(*terms), F.concat(F.lit("<b>"), t, F.lit("</b>"))).otherwise(t)), " ")
+            return F.concat(F.when(start > 1, "...").otherwise(""), text_, F.when(start + window <= F.size(words), "...").otherwise(""))
+
+        return _let(_let(hits, best), cut)
 
-    first = F.array_position(F.transform(tokens, hit), True)
-    start = F.greatest(F.lit(1), F.least(first, F.size(tokens) - window + 1)).cast("int")
-    shown = F.transform(F.slice(tokens, start, window), lambda t: F.when(hit(t), F.concat(F.lit("<b>"), t, F.lit("</b>"))).otherwise(t))
-    cut = F.when(start + window <= F.size(tokens), "...").otherwise("")
-    return F.concat(F.when(start > 1, "...").otherwise(""), F.array_join(shown, " "), cut)
+    return _let(tokens, shown)

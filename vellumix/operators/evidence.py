@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import spans, text
 from ..session import cut
 from .fuzzy import alignment
-from .relational import range_join
+from .relational import checked_broadcast, range_join
 
 #: Bytes of quotes that are searched for at a time.
 BLOCK = 16 << 20
@@ -80,6 +80,30 @@ def page_coverage(checks: DataFrame, samples: DataFrame, extents: DataFrame, wid
     return rows.select("check_id", status.alias("status"))
 
 
+def cited_in(papers: DataFrame, chapters: DataFrame) -> DataFrame:
+    """paper_id, chapters, ambiguous of papers (paper_id, families: array, year) that chapters (chapter_id, text) seem to cite.
+
+    A chapter cites a paper if it holds its year and, as a word, one of its authors' family names in any of that name's forms
+    (umlauts spelled out, accents dropped, with or without particles). chapters: how many do; ambiguous: in one of them another
+    paper with the same year and name would do as well. Words and years are distinct by chapter before they meet papers, and
+    only words that are family names are kept.
+    """
+    named = papers.where(F.col("year").isNotNull()).select("paper_id", F.col("year").cast("int").alias("year"), F.explode("families").alias("family")).where("family is not null")
+    forms = cut(named.select("paper_id", "year", F.explode(text.family_variants("family")).alias("form")).distinct())
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\p{L}+)")))
+    tokens = chapters.select("chapter_id", F.explode(words).alias("word"))
+    spoken = tokens.select("chapter_id", F.explode(F.array_distinct(F.array(text.fold("word"), text.strip_accents("word")))).alias("form")).where("form <> ''")
+    spoken = spoken.join(checked_broadcast(forms.select("form").distinct()), "form", "left_semi").distinct()
+    runs = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\d{4,})"))
+    within_run = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 3), lambda i: F.substring(r, i, F.lit(4)).cast("int"))
+    years = chapters.select("chapter_id", F.explode(F.array_distinct(F.flatten(F.transform(runs, within_run)))).alias("year"))
+    years = cut(years.join(checked_broadcast(forms.select("year").distinct()), "year", "left_semi").distinct())
+    hits = cut(spoken.join(forms.select("form", "year").distinct(), "form").join(years, ["chapter_id", "year"]).select("form", "year", "chapter_id"))
+    shared = forms.groupBy("form", "year").agg(F.countDistinct("paper_id").alias("papers"))
+    found = hits.join(forms, ["form", "year"]).join(shared, ["form", "year"])
+    return found.groupBy("paper_id").agg(F.countDistinct("chapter_id").alias("chapters"), F.max(F.col("papers") > 1).alias("ambiguous"))
+
+
 def verify(claims: DataFrame, pages: DataFrame, threshold: float = 0.9) -> DataFrame:
     """item_id, doc_id, status, page, start, end, ratio of claims (item_id, doc_id, quote) on pages (doc_id, page, text).
 

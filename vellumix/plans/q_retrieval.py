@@ -274,11 +274,30 @@ def r11(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.wording(hits.withColumn("quote", told), evidence.FUZZY_LENGTH, "\n")
 
 
-@query("r16_retraction_sweep", with_views("SELECT paper_id, CASE WHEN coalesce(doi, '') = '' THEN 'no_doi' WHEN is_retracted THEN 'retracted' ELSE 'clear' END AS status, paper_id IN (SELECT paper_id FROM segments) AS cited FROM papers"))
+FORM_SQL = "[regexp_replace(replace(replace(replace(replace(replace(replace(replace(lower({0}), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'æ', 'ae'), 'ø', 'oe'), 'å', 'aa'), '[^a-z]', '', 'g'), regexp_replace(strip_accents(lower({0})), '[^a-z]', '', 'g')]"
+CHAPTER_SQL = "text || ' (' || CAST(1985 + paper_id % 41 AS STRING) || ')'"
+TITLE_WORDS_SQL = "regexp_extract_all(title, '\\p{L}{4,}')[1:3]"
+CITED_SQL = (
+    f"WITH f AS (SELECT DISTINCT paper_id, year, unnest({FORM_SQL.format('w')}) AS form FROM (SELECT paper_id, year, unnest({TITLE_WORDS_SQL}) AS w FROM papers WHERE year IS NOT NULL)), "
+    f"c AS (SELECT paper_id AS chapter_id, seq, {CHAPTER_SQL} AS t FROM segments), "
+    f"s AS (SELECT DISTINCT chapter_id, seq, unnest({FORM_SQL.format('w')}) AS form FROM (SELECT chapter_id, seq, unnest(regexp_extract_all(t, '\\p{{L}}+')) AS w FROM c)), "
+    "y AS (SELECT DISTINCT chapter_id, seq, c.year FROM (SELECT chapter_id, seq, t, unnest(range(1985, 2026)) AS year FROM c) c WHERE contains(t, CAST(c.year AS VARCHAR))), "
+    "h AS (SELECT f.paper_id, s.chapter_id, s.seq, n FROM s JOIN f ON f.form = s.form AND s.form <> '' JOIN y ON y.chapter_id = s.chapter_id AND y.seq = s.seq AND y.year = f.year JOIN (SELECT form, year, count(DISTINCT paper_id) AS n FROM f GROUP BY form, year) g ON g.form = f.form AND g.year = f.year), "
+    "p AS (SELECT paper_id, count(DISTINCT [chapter_id, seq]) AS chapters, bool_or(n > 1) AS ambiguous FROM h GROUP BY paper_id) "
+    "SELECT paper_id, CASE WHEN coalesce(doi, '') = '' THEN 'no_doi' WHEN is_retracted THEN 'retracted' ELSE 'clear' END AS status, coalesce(chapters, 0) AS chapters, coalesce(ambiguous, false) AS ambiguous FROM papers LEFT JOIN p USING (paper_id)"
+)
+
+
+@query("r16_retraction_sweep", with_views(CITED_SQL))
 def r16(spark: SparkSession, sf: str) -> DataFrame:
-    cited = view(spark, sf, "segments").select("paper_id").distinct().withColumn("c", F.lit(True))
+    """Retraction status, and in how many chapters (turns of conversations, with a year behind) a paper seems to be cited; long words
+    of titles stand for authors."""
+    chapters = view(spark, sf, "segments").select(F.struct("paper_id", "seq").alias("chapter_id"), F.expr(CHAPTER_SQL).alias("text"))
+    names = F.slice(F.regexp_extract_all("title", F.lit(r"(\p{L}{4,})")), 1, 3)
+    papers = view(spark, sf, "papers")
+    cited = evidence.cited_in(papers.select("paper_id", names.alias("families"), "year"), chapters)
     status = F.when(F.coalesce("doi", F.lit("")) == "", "no_doi").when(F.col("is_retracted"), "retracted").otherwise("clear")
-    return view(spark, sf, "papers").join(cited, "paper_id", "left").select("paper_id", status.alias("status"), F.coalesce("c", F.lit(False)).alias("cited"))
+    return papers.join(cited, "paper_id", "left").select("paper_id", status.alias("status"), F.coalesce("chapters", F.lit(0)).alias("chapters"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
 @query("r17_carry_over", "SELECT d.doc_id, o.first_id FROM documents d JOIN (SELECT sha256(text) AS h, min(doc_id) AS first_id FROM documents GROUP BY 1) o ON sha256(d.text) = o.h")
@@ -319,5 +338,8 @@ def r12(spark: SparkSession, sf: str) -> DataFrame:
 def j13(spark: SparkSession, sf: str) -> DataFrame:
     """Hits that are the anchor itself, by DOI or by title, are dropped."""
     p = records(spark, sf).select("paper_id", "title", "doi")
-    anchor = F.broadcast(p.where("paper_id = 1").select(F.col("doi").alias("ad"), F.col("title").alias("at")))
-    return p.join(anchor).where(~F.coalesce(F.col("doi") == F.col("ad"), F.lit(False))).where(sequence_ratio(F.col("title"), F.col("at"), 0.85) < 0.85).select("paper_id")
+    anchor = p.where("paper_id = 1").select("doi", "title").head(1)  # one row
+    if not anchor:
+        return p.select("paper_id")
+    doi, title = anchor[0]
+    return p.where(~F.coalesce(F.col("doi") == F.lit(doi), F.lit(False))).where(~F.coalesce(sequence_ratio(F.col("title"), F.lit(title), 0.85) >= 0.85, F.lit(False))).select("paper_id")

@@ -360,13 +360,16 @@ def f39(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "f40_snippet",
     "WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS w FROM documents), "
-    "h AS (SELECT *, list_transform(w, lambda t: regexp_replace(lower(t), '[^\\p{L}\\p{N}_]', '', 'g') IN ('the', 'der')) AS hits FROM d), "
-    "p AS (SELECT *, greatest(1, least(coalesce(list_position(hits, true), 0), len(w) - 9)) AS s FROM h) "
+    "h AS (SELECT *, list_transform(w, lambda t: regexp_replace(lower(t), '[^\\p{L}\\p{N}_]', '', 'g')) AS words FROM d), "
+    "i AS (SELECT *, list_transform(words, lambda x: x IN ('the', 'der', 'und', 'of')) AS hits FROM h), "
+    "c AS (SELECT doc_id, greatest(1, least(k, len(w) - 9)) AS s, words FROM (SELECT *, unnest(list_filter(range(1, len(w) + 1), lambda k: hits[k])) AS k FROM i)), "
+    "b AS (SELECT doc_id, list_filter(words[s:s + 9], lambda x: x IN ('the', 'der', 'und', 'of')) AS inside, s FROM c), "
+    "p AS (SELECT i.*, coalesce(best, 1) AS s FROM i LEFT JOIN (SELECT doc_id, arg_max(s, [len(list_distinct(inside)), len(inside), -s]) AS best FROM b GROUP BY doc_id) USING (doc_id)) "
     "SELECT doc_id, CASE WHEN length(flat) <= 240 THEN flat ELSE rtrim(substring(flat, 1, 240)) || '...' END AS snippet, "
     "CASE WHEN s > 1 THEN '...' ELSE '' END || coalesce(array_to_string(list_transform(range(s, least(s + 10, len(w) + 1)), lambda i: CASE WHEN hits[i] THEN '<b>' || w[i] || '</b>' ELSE w[i] END), ' '), '') || CASE WHEN s + 10 <= len(w) THEN '...' ELSE '' END AS around FROM p",
 )
 def f40(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", citing.snippet("text").alias("snippet"), citing.highlight("text", ("the", "der")).alias("around"))
+    return table(spark, sf, "documents").select("doc_id", citing.snippet("text").alias("snippet"), citing.highlight("text", ("the", "der", "und", "of")).alias("around"))
 
 
 @query("f41_rounding", "SELECT o_orderkey, round(o_totalprice / 7, 6) AS six, CAST(format('{:.8g}', o_totalprice / 7) AS DOUBLE) AS significant FROM orders")
