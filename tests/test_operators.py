@@ -500,3 +500,15 @@ def test_cited_in(spark):
     chapters = spark.createDataFrame([(1, "Muller sagt das (2019)."), (2, "Neumann schrieb 1945, 19456"), (3, "Kim und Beck 12019"), (4, None), (5, "Beck"), (6, "MUELLER, 2019")], "chapter_id long, text string")
     got = {r.paper_id: (r.chapters, r.ambiguous) for r in evidence.cited_in(papers, chapters).collect()}
     assert got == {1: (2, True), 2: (1, False), 3: (1, True)}
+
+
+def test_context_sentence(spark):
+    rows = [("Ein Titel", ["Kim"], 2001), ("Ein Titel", ["Kim", " ", "Lee"], None), (None, ["A", "B", "C"], 1999), (" ", [], 1999), ("x" * 400, None, None), ("wort " * 80, ["Kim"], 2001), ("lang" * 40 + " b", None, None)]
+    c = text.context_sentence(F.lit("Methode"), F.lit(3), F.lit(4), F.lit(1), F.col("t"), F.col("a"), F.col("y"))
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, a array<string>, y int").select(c).collect()]
+    tail = 'Abschnitt "Methode" (Seite 3-4, Chunk 1).'
+    assert got[:4] == [f'Dieser Abschnitt stammt aus "Ein Titel" von Kim (2001), {tail}', f'Dieser Abschnitt stammt aus "Ein Titel" von Kim und Lee, {tail}', f"Dieser Abschnitt stammt von A et al. (1999), {tail}", 'Dieser Abschnitt stammt aus "Methode" (Seite 3-4, Chunk 1).']
+    assert got[4] == f'Dieser Abschnitt stammt aus "x...", {tail}' and got[6] == f'Dieser Abschnitt stammt aus "{"lang" * 40}...", {tail}'
+    n = got[5].count("wort")
+    count = lambda k: math.ceil(len("".join(f'Dieser Abschnitt stammt aus "{" ".join(["wort"] * k)}..." von Kim (2001), Abschnitt "Methode" (Seite ???-???, Chunk 0).'.split())) / 2.5)
+    assert 0 < n < 80 and count(n) <= 60 < count(n + 1)

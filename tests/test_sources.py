@@ -96,3 +96,51 @@ def test_tables_and_sections(spark):
 def test_missing_columns(spark):
     with pytest.raises(Exception):  # noqa: B017
         files.read_dataset(spark, "/nonexistent", ["a"]).collect()
+
+
+def test_model_rounds(spark, tmp_path):
+    """Rounds over two deliveries with state in between, against a plain version; no project waits for another."""
+    import random
+
+    import numpy as np
+
+    from vellumix.streaming import ledgers, rounds
+
+    rng = random.Random(8)
+    rows = [(p, i, rng.random() < 0.4, [rng.randrange(16) for _ in range(rng.randint(0, 6))]) for p, n in (("a", 23), ("b", 7), ("c", 10)) for i in range(1, n + 1)]
+    schema = "p string, place long, hit boolean, t array<int>"
+    base = str(tmp_path)
+    for part in ([r for r in rows if r[1] <= 8], [r for r in rows if r[1] > 8]):
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(f"{base}/in")
+        q = rounds.model_rounds(ledgers.stream(spark, f"{base}/in", None), "p", "place", "hit", "t", 5, 16)
+        q.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    models = spark.read.parquet(f"{base}/out")
+    got = {(r.p, r.round): (r.labels, r.w) for r in models.collect()}
+    want = {}
+    for p in "abc":
+        own = [r for r in rows if r[0] == p]
+        for k in range(1, len(own) // 5 + 1):
+            counts = np.zeros((2, 16))
+            for _, _, hit, t in own[: 5 * k]:
+                np.add.at(counts[int(hit)], t, 1)
+            both = {r[2] for r in own[: 5 * k]} == {True, False}
+            want[p, k] = (5 * k, rounds.log_odds(counts).tolist() if both else [0.0] * 16)
+    assert set(got) == set(want) and len(want) == 7
+    for k, (n, w) in want.items():
+        assert got[k][0] == n and np.allclose(got[k][1], w)
+    texts = spark.createDataFrame([(p, 100 * ord(p) + i, i, t) for p, i, _, t in rows], "p string, k long, place long, t array<int>")
+    line = {}
+    for r in rounds.next_in_line(models, texts, "p", "k", "t", "place", 3).orderBy("rank").collect():
+        line.setdefault((r.p, r.round), []).append(r.k)
+    for (p, k), (n, w) in want.items():
+        rest = sorted(((-round(sum(w[x] for x in t), 6), 100 * ord(p) + i) for q, i, _, t in rows if q == p and i > n))
+        assert line.get((p, k), []) == [x for _, x in rest[:3]]
+
+
+def test_profiles_and_page_texts(spark):
+    texts = ["a: 1\na: x\n b: -2.5 # c", None, "a: 1.5\na: 2", "ab: 3"]
+    got = {r.k: (r.a, r.b) for r in files.profiles(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", {"a": 9.0, "b": 8.0}).collect()}
+    assert got == {0: (1.0, -2.5), 1: (9.0, 8.0), 2: (2.0, 8.0), 3: (9.0, 8.0)}
+    pages = ["<p>A <b>b</b>\n c</p><script>x < 1</script><style>\n.a{}</style><!-- <p>no</p> -->", "<img/>", None]
+    got = {r.k: (r.text, r.n_chars, r.n_words, r.readable) for r in files.page_texts(spark.createDataFrame(list(enumerate(pages)), "k int, h string"), "k", "h").collect()}
+    assert got == {0: ("A b c", 5, 3, True), 1: ("", 0, 0, False), 2: ("", 0, 0, False)}

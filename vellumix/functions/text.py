@@ -146,6 +146,41 @@ def approx_tokens(c: Column | str) -> Column:
     return F.greatest(F.size(parts).cast("long"), F.ceil(chars / CHARS_PER_TOKEN).cast("long"))
 
 
+def named_authors(authors: Column | str) -> Column:
+    """One name, two joined by "und", or the first "et al."; null without any."""
+    names = F.filter(F.transform(_c(authors), lambda a: F.trim(a)), lambda a: a != "")
+    first = F.get(names, F.lit(0))
+    return F.when(F.size(names) == 1, first).when(F.size(names) == 2, F.concat(first, F.lit(" und "), F.get(names, F.lit(1)))).when(F.size(names) > 2, F.concat(first, F.lit(" et al.")))
+
+
+def context_sentence(section: Column, page: Column, page_end: Column, chunk: Column, title: Column, authors: Column, year: Column, reserve: int = 60) -> Column:
+    """A German sentence that says where a chunk comes from: title, authors and year of its source as far as known, then section,
+    pages and number.
+
+    A title is cut by words so that the sentence, with places for the pages, has at most reserve tokens (``approx_tokens``); its
+    first word stays at least, of a title of one word its first character. A year alone is left out.
+    """
+    name = F.nullif(F.trim(title), F.lit(""))
+    by = F.concat(F.lit("von "), named_authors(authors))
+    when = F.concat(F.lit("("), year.cast("string"), F.lit(")"))
+
+    def lead(t: Column) -> Column:
+        return F.concat(F.lit("aus "), F.concat_ws(" ", F.concat(F.lit('"'), t, F.lit('"')), by, when))
+
+    def sentence(of: Column, place: Column) -> Column:
+        return F.concat(F.lit("Dieser Abschnitt stammt "), of, F.lit(', Abschnitt "'), section, F.lit('" ('), place, F.lit(")."))
+
+    fits = lambda t: approx_tokens(sentence(lead(t), F.lit("Seite ???-???, Chunk 0"))) <= reserve
+    words_ = F.split(name, r"\s+")
+    cut = lambda k: F.concat(F.array_join(F.slice(words_, 1, k), " "), F.lit("..."))
+    most = F.least(F.size(words_) - 1, F.lit(reserve))  # a word is a token at least
+    kept = F.get(F.filter(F.when(most >= 1, F.sequence(most, F.lit(1))), lambda k: fits(cut(k))), F.lit(0))
+    short = F.when(fits(name), name).when(~name.contains(" "), F.concat(F.substring(name, 1, 1), F.lit("..."))).otherwise(cut(F.coalesce(kept, F.lit(1))))
+    place = F.concat(F.lit("Seite "), page.cast("string"), F.lit("-"), page_end.cast("string"), F.lit(", Chunk "), chunk.cast("string"))
+    plain = F.concat(F.lit('Dieser Abschnitt stammt aus "'), section, F.lit('" ('), place, F.lit(")."))
+    return F.when(name.isNotNull(), sentence(lead(short), place)).when(by.isNotNull(), sentence(F.concat_ws(" ", by, when), place)).otherwise(plain)
+
+
 def is_heading(c: Column | str) -> Column:
     """A short line of up to seven capitalised words, perhaps numbered."""
     return (F.length(_c(c)) <= 80) & _c(c).rlike(r"^(?:\d+(?:\.\d+)*\.?\s+)?[A-ZÄÖÜ][\p{L}\p{N}_\-]*(?:\s+[A-ZÄÖÜ][\p{L}\p{N}_\-]*){0,6}$")

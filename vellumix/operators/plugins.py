@@ -59,11 +59,3 @@ def unpack_vector(c: Column) -> Column:
         return s.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist())
 
     return F.pandas_udf(run, "array<float>")(c)
-
-
-def context_sentence(title: Column, year: Column, venue: Column, most: int) -> Column:
-    """A sentence that names a chunk's source; long titles are cut."""
-    short = F.when(F.length(title) > most, F.concat(F.rtrim(F.substring(title, 1, most - 1)), F.lit("…"))).otherwise(title)
-    in_year = F.coalesce(F.concat(F.lit(" ("), year.cast("string"), F.lit(")")), F.lit(""))
-    at = F.coalesce(F.concat(F.lit(", "), F.nullif(venue, F.lit(""))), F.lit(""))
-    return F.concat(short, in_year, at, F.lit("."))

@@ -154,6 +154,29 @@ def best_of_parent(hits: DataFrame, parent: str, child: str, score: str = "score
     return hits.groupBy("query_id", parent).agg(F.max(score).alias("score"), best.alias(child))
 
 
+def carried(hits: DataFrame, parent: str, child: str, score: str, carry: str) -> DataFrame:
+    """``best_of_parent`` with a further figure: the winner's own, else that of the parent's best child that has one."""
+    order = F.struct(score, -F.col(child).cast("double"))
+    best = F.max_by(child, order).alias(child)
+    return hits.groupBy("query_id", parent).agg(F.max(score).alias(score), best, F.max_by(carry, F.when(F.col(carry).isNotNull(), order)).alias(carry))
+
+
+def attach_chunks(parents: DataFrame, lexical: DataFrame, vector: DataFrame, parent: str, child: str) -> DataFrame:
+    """query_id, parent, key, child, by: the chunk that stands for each parent (query_id, parent) that a search found.
+
+    The best chunk by a lexical search (query_id, parent, child, score) is its own key. A parent without one takes its content
+    from the best chunk by a vector search (query_id, parent, child, rank), under a key of its own, so that no rank of the two
+    searches is added up for a chunk which one of them did not find. by: lexical, vector or none.
+    """
+    ids = ["query_id", parent]
+    own = best_of_parent(lexical, parent, child).select(*ids, F.col(child).alias("__l"))
+    near = vector.groupBy(*ids).agg(F.min_by(child, F.struct("rank", child)).alias("__v"))
+    rows = parents.select(*ids).distinct().join(own, ids, "left").join(near, ids, "left")
+    key = F.coalesce(F.col("__l").cast("string"), F.concat(F.lit("parent::"), F.col(parent).cast("string")))
+    by = F.when(F.col("__l").isNotNull(), "lexical").when(F.col("__v").isNotNull(), "vector").otherwise("none")
+    return rows.select(*ids, key.alias("key"), F.coalesce("__l", "__v").alias(child), by.alias("by"))
+
+
 def measures(ranked: DataFrame, relevant: DataFrame, key: str, k: int = 10) -> DataFrame:
     """query_id, recall, ndcg, rr at k; queries without relevant keys are left out. ranked: query_id, key, rank."""
     hits = ranked.where(F.col("rank") <= k).join(relevant.select("query_id", key).distinct(), ["query_id", key])

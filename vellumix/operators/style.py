@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+from heapq import nlargest
+
+import pandas as pd
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CITATION_COMMANDS
+from ..session import cut
 from .relational import checked_broadcast
 
 # Shares of common n-grams, in percent, from which a text is suspicious, by n.
@@ -14,33 +20,37 @@ OVERLAP_LIMITS = {3: 40, 4: 25, 5: 15, 6: 8, 7: 5}
 TRANSITIONS = ("darüber hinaus", "furthermore", "moreover", "zusätzlich", "in conclusion")
 FILLERS = ("quasi", "eigentlich", "irgendwie", "sozusagen", "gewissermaßen")
 NOMINAL = "(ung|heit|keit|tion)$"
+NOMINAL_WORD = r"\p{L}*(?:ung|heit|keit|tion)(?!\p{L})"
 PASSIVE = r"\b(wird|werden|wurde|wurden)\b.*\b(ge\p{L}+(t|en)|\p{L}+iert)\b"
 LIMITS = {"mean_sentence": (15, 25), "passive_share": (None, 0.30), "nominal_share": (None, 0.40), "filler_share": (None, 0.05), "sd_sentence": (5, None), "top10_share": (None, 0.15), "transitions": (None, 2.0)}
 
 
-def ngrams(df: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
-    """key, g: hashes of the distinct word n-grams of each text, lower-cased."""
-    w = F.split(F.trim(F.lower(text)), r"\s+")
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
-    return df.select(key, w.alias("w")).where(F.size("w") >= n).select(key, F.explode(F.array_distinct(grams)).alias("g"))
+def ngrams(df: DataFrame, key: str, levels: tuple[int, ...], text: str = "text") -> DataFrame:
+    """key, n, g: hashes of each text's word n-grams, lower-cased, for several n; words are split and hashed once for all."""
+    h = F.transform(F.split(F.trim(F.lower(text)), r"\s+"), lambda t: F.xxhash64(t))
+    rows = df.select(key, h.alias("h")).where(F.size("h") >= min(levels))
 
+    def of(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(n))))
+        return F.struct(F.lit(n).alias("n"), F.when(F.size("h") >= n, grams).alias("grams"))
 
-def ngram_overlap(items: DataFrame, item: str, corpus: DataFrame, n: int) -> DataFrame:
-    """item, grams, shared, percent: how many of an item's n-grams occur in the corpus. The items' hashes are broadcast if
-    they are few enough, so that only what they share with the corpus is shuffled."""
-    g = ngrams(items, item, n)
-    own = checked_broadcast(g.select("g").distinct())
-    seen = ngrams(corpus, "doc_id", n).select("g").join(own, "g", "left_semi").distinct().withColumn("s", F.lit(1))
-    return g.join(seen, "g", "left").groupBy(item).agg(F.count("*").alias("grams"), F.count("s").alias("shared")).withColumn("percent", F.round(100.0 * F.col("shared") / F.col("grams"), 4))
+    each = rows.select(key, F.inline(F.array(*map(of, levels))).alias("n", "grams"))
+    return each.select(key, "n", F.explode("grams").alias("g"))
 
 
 def overlap_levels(items: DataFrame, item: str, corpus: DataFrame, levels: tuple[int, ...] = tuple(OVERLAP_LIMITS)) -> DataFrame:
-    """item, n, grams, shared, percent, flagged (over the level's limit) for each level."""
-    out = None
-    for n in levels:
-        part = ngram_overlap(items, item, corpus, n).withColumn("n", F.lit(n)).withColumn("flagged", F.col("percent") > OVERLAP_LIMITS[n])
-        out = part if out is None else out.unionByName(part)
-    return out
+    """item, n, grams (distinct), shared (those that occur in the corpus), percent, flagged (over the level's limit) for each level.
+
+    The corpus is read once for all levels. The items' hashes are broadcast if they are few enough, so that only what
+    they share with the corpus is shuffled.
+    """
+    g = cut(ngrams(items, item, levels).distinct())
+    own = checked_broadcast(g.select("n", "g").distinct())
+    seen = ngrams(corpus, "doc_id", levels).select("n", "g").join(own, ["n", "g"], "left_semi").distinct().withColumn("s", F.lit(1))
+    out = g.join(seen, ["n", "g"], "left").groupBy(item, "n").agg(F.count("*").alias("grams"), F.count("s").alias("shared"))
+    limit = F.create_map(*(F.lit(x) for pair in OVERLAP_LIMITS.items() for x in pair))
+    out = out.withColumn("percent", F.round(100.0 * F.col("shared") / F.col("grams"), 4))
+    return out.select(item, "grams", "shared", "percent", "n", (F.col("percent") > limit[F.col("n")]).alias("flagged"))
 
 
 def overlap_severity(levels: DataFrame, item: str) -> DataFrame:
@@ -49,41 +59,54 @@ def overlap_severity(levels: DataFrame, item: str) -> DataFrame:
     return levels.groupBy(item).agg(F.when(over(7), "high").when(over(5), "medium").when(over(4), "low").otherwise("none").alias("severity"))
 
 
+def _word_figures(low: Column) -> Column:
+    """struct(words, types, top, content, repeated) of a lower-cased text: counts of words, of distinct ones, of the ten commonest of
+    four letters or more, of all of those, and of three-word phrases met over twice. Counts by hash tables over Arrow batches,
+    where column functions would sort arrays of strings."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        find = regex.compile(r"\p{L}+").findall
+        rows = []
+        for t in texts:
+            w = find(t or "")
+            content = Counter(x for x in w if len(x) >= 4)
+            phrases = Counter(zip(w, w[1:], w[2:], strict=False))
+            rows.append((len(w), len(set(w)), sum(nlargest(10, content.values())), content.total(), sum(n > 2 for n in phrases.values())))
+        return pd.DataFrame(rows, columns=["words", "types", "top", "content", "repeated"], dtype="int64")
+
+    return F.pandas_udf(run, "words long, types long, top long, content long, repeated long")(low)
+
+
 def style_metrics(docs: DataFrame) -> DataFrame:
     """Of each text: words, distinct words; mean, median and standard deviation of the sentences' words; shares of passive
     sentences and of nominal ones (three nouns by their endings); fillers among words; linking words and sources in
     1,000 words; the ten commonest words' share of those of four letters or more; three-word phrases met over twice."""
     low = F.lower("text")
-    w = F.regexp_extract_all(low, F.lit(r"(\p{L}+)"))
     s = F.filter(F.split(low, r"[.!?]+\s+"), lambda t: t.rlike(r"\p{L}"))
-    rows = docs.select("doc_id", "text", w.alias("w"), s.alias("s"))
-    n = F.greatest(F.size("w"), F.lit(1))
+    rows = docs.select("doc_id", "text", _word_figures(low).alias("f"), s.alias("s"))
+    n = F.greatest(F.col("f.words"), F.lit(1))
     m = F.greatest(F.size("s"), F.lit(1))
     lengths = F.transform("s", lambda t: F.regexp_count(t, F.lit(r"\p{L}+")))
-    rows = rows.withColumn("l", F.array_sort(lengths)).withColumn("content", F.array_sort(F.filter("w", lambda t: F.length(t) >= 4)))
+    rows = rows.withColumn("l", F.sort_array(lengths))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
     mean = total("l") / m
     middle = (F.get("l", F.floor((F.size("l") - 1) / 2).cast("int")) + F.get("l", F.floor(F.size("l") / 2).cast("int"))) / 2.0
     share = lambda f: F.round(F.size(F.filter("s", f)) / m, 6)
-    grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))
-    runs = lambda x: F.filter(F.transform(F.sequence(F.lit(0), F.size(x)), lambda i: F.when((i == 0) | (i == F.size(x)) | ~F.get(x, i).eqNullSafe(F.get(x, i - 1)), i)), lambda i: i.isNotNull())
-    counts = lambda starts: F.transform(F.sequence(F.lit(1), F.greatest(F.size(starts) - 1, F.lit(1))), lambda i: F.get(starts, i) - F.get(starts, i - 1))
-    rows = rows.withColumn("cs", runs("content")).withColumn("gs", grams).withColumn("gr", runs("gs"))
-    top = F.slice(F.reverse(F.array_sort(counts("cs"))), 1, 10)
+    filler = F.regexp_count(low, F.lit(r"(?<!\p{L})(?:" + "|".join(FILLERS) + r")(?!\p{L})"))
     return rows.select(
         "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        F.size(F.array_distinct("w")).cast("long").alias("n_types"),
+        F.col("f.words").alias("n_words"),
+        F.col("f.types").alias("n_types"),
         F.round(mean, 4).alias("mean_sentence"),
         F.coalesce(middle, F.lit(0.0)).alias("median_sentence"),
         F.round(F.sqrt(F.greatest(total(F.transform("l", lambda x: (x - mean) * (x - mean))) / m, F.lit(0.0))), 4).alias("sd_sentence"),
         share(lambda t: t.rlike(PASSIVE)).alias("passive_share"),
-        share(lambda t: F.size(F.filter(F.regexp_extract_all(t, F.lit(r"(\p{L}+)")), lambda x: x.rlike(NOMINAL))) >= 3).alias("nominal_share"),
-        F.round(F.size(F.filter("w", lambda t: t.isin(*FILLERS))) / n, 6).alias("filler_share"),
+        share(lambda t: F.regexp_count(t, F.lit(NOMINAL_WORD)) >= 3).alias("nominal_share"),
+        F.round(filler / n, 6).alias("filler_share"),
         F.round(1000.0 * sum((F.regexp_count(F.lower("text"), F.lit(x)) for x in TRANSITIONS), F.lit(0)) / n, 4).alias("transitions"),
         F.round(1000.0 * F.regexp_count("text", F.lit(r"\([^()]*(?:19|20)\d\d[^()]*\)")) / n, 4).alias("sources"),
-        F.round(F.when(F.size("content") > 0, total(top) / F.size("content")).otherwise(0.0), 6).alias("top10_share"),
-        F.when(F.size("w") < 3, 0).otherwise(F.size(F.filter(counts("gr"), lambda c: c > 2))).cast("long").alias("repeated"),
+        F.round(F.when(F.col("f.content") > 0, F.col("f.top") / F.col("f.content")).otherwise(0.0), 6).alias("top10_share"),
+        F.col("f.repeated").alias("repeated"),
     )
 
 

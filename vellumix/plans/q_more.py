@@ -29,9 +29,29 @@ def f26(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("vec_id", F.round(F.col("v")[0].cast("double"), 6).alias("first"), F.size("v").cast("long").alias("size"))
 
 
-@query("f29_context_sentence", with_views("SELECT paper_id, CASE WHEN length(title) > 60 THEN rtrim(substring(title, 1, 59)) || '…' ELSE title END || coalesce(' (' || year || ')', '') || coalesce(', ' || nullif(venue, ''), '') || '.' AS context FROM papers"))
+NAMED_SQL = "regexp_extract_all(title, '\\p{L}{3,}')[1:CAST(paper_id % 4 AS INT)]"
+FITS_SQL = "greatest(len(list_filter(string_split_regex({0}, '\\s+'), lambda t: t <> '')), ceil(length(regexp_replace({0}, '\\s+', '', 'g')) / 2.5)) <= 60"
+CONTEXT_SQL = (
+    f"WITH p AS (SELECT paper_id, CASE WHEN paper_id % 11 = 0 THEN ' ' ELSE title END AS title, year, source_module AS section, {NAMED_SQL} AS names FROM papers), "
+    "a AS (SELECT *, nullif(trim(title), '') AS t, CASE WHEN len(names) = 1 THEN names[1] WHEN len(names) = 2 THEN names[1] || ' und ' || names[2] WHEN len(names) > 2 THEN names[1] || ' et al.' END AS who FROM p), "
+    "b AS (SELECT *, coalesce(' von ' || who, '') || coalesce(' (' || year || ')', '') AS tail, ', Abschnitt \"' || section || '\" (' AS place, string_split_regex(t, '\\s+') AS w FROM a), "
+    "k AS (SELECT *, list_max(list_filter(range(1, least(len(w) - 1, 60) + 1), lambda k: "
+    + FITS_SQL.format("('Dieser Abschnitt stammt aus \"' || array_to_string(w[1:k], ' ') || '...\"' || tail || place || 'Seite ???-???, Chunk 0).')")
+    + ")) AS k, "
+    + FITS_SQL.format("('Dieser Abschnitt stammt aus \"' || t || '\"' || tail || place || 'Seite ???-???, Chunk 0).')")
+    + " AS whole FROM b), "
+    "s AS (SELECT *, CASE WHEN whole THEN t WHEN NOT contains(t, ' ') THEN t[1] || '...' ELSE array_to_string(w[1:coalesce(k, 1)], ' ') || '...' END AS short, 'Seite ' || paper_id % 7 || '-' || (paper_id % 7 + 2) || ', Chunk ' || paper_id % 5 || ').' AS pages FROM k) "
+    "SELECT paper_id, CASE WHEN t IS NOT NULL THEN 'Dieser Abschnitt stammt aus \"' || short || '\"' || tail || place || pages WHEN who IS NOT NULL THEN 'Dieser Abschnitt stammt' || tail || place || pages ELSE 'Dieser Abschnitt stammt aus \"' || section || '\" (' || pages END AS context FROM s"
+)
+
+
+@query("f29_context_sentence", with_views(CONTEXT_SQL))
 def f29(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "papers").select("paper_id", plugins.context_sentence(F.col("title"), F.col("year"), F.col("venue"), 60).alias("context"))
+    """Sentences that place a chunk in its source; words of titles stand for authors, and some titles are blank."""
+    id_ = F.col("paper_id")
+    names = F.slice(F.regexp_extract_all("title", F.lit(r"(\p{L}{3,})")), F.lit(1), (id_ % 4).cast("int"))
+    p = view(spark, sf, "papers").select("paper_id", F.when(id_ % 11 == 0, " ").otherwise(F.col("title")).alias("t"), "year", "source_module", names.alias("names"))
+    return p.select("paper_id", text.context_sentence(F.col("source_module"), id_ % 7, id_ % 7 + 2, id_ % 5, F.col("t"), F.col("names"), F.col("year")).alias("context"))
 
 
 LINE_SQL = r"[ \t]*(?:#{1,6}[ \t][^\n]*|(?:[-*+]|\d+[.)])[ \t][^\n]*)?"

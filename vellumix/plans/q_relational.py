@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import citing, text
 from ..operators import relational as rel
 from ..operators import cascade, screening
+from ..session import cut
 from ..sources.tables import table
 from .q_scalar import DOI_SQL, FOLD_SQL, PRESCORE_SQL, STRIP_SQL, prescore
 from .registry import query
@@ -38,7 +39,7 @@ def s07(spark: SparkSession, sf: str) -> DataFrame:
     check = (11 - F.aggregate(digits, F.lit(0), lambda a, x: (a + x).cast("int")) % 11) % 11
     ten = F.concat(F.substring(nine, 1, 3), F.lit("-"), F.substring(nine, 4, 6), F.lit("-"), F.when(check == 10, "X").otherwise(check.cast("string")))
     parts = table(spark, sf, "part").select("p_partkey", "p_name", ten.alias("ten"), text.isbn13(F.concat(F.substring(nine, 1, 3), F.lit("-"), F.substring(nine, 4, 6), F.lit("0"))).alias("isbn"))
-    saved = {}
+    parts, saved = cut(parts), {}
     for i, (name, (k, rest)) in enumerate(CATALOGUES.items()):
         form = F.col("ten") if i % 2 else F.col("isbn")
         title = F.when(F.col("p_partkey") % 7 != i, F.concat(F.lit(f"{name}: "), "p_name"))

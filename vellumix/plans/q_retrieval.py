@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citing, text
 from ..operators import chunks, evidence, learn, resolve
+from ..operators import relational as rel
 from ..operators import retrieval as ret
 from ..operators.embed import letter_shares
 from ..operators.fuzzy import fuzzy, sequence_ratio, word_diffs
@@ -46,10 +47,12 @@ def r01(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r02_substring_search", f"WITH q AS ({QUERIES_SQL}) SELECT query_id, doc_id FROM q JOIN documents ON len(list_filter(terms, lambda x: NOT contains(lower(text), x))) = 0")
 def r02(spark: SparkSession, sf: str) -> DataFrame:
-    """All terms as substrings; the queries are broadcast, so texts are read once and not shuffled."""
-    low = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
-    q = F.broadcast(text_queries(spark, sf))
-    return low.join(q, F.forall("terms", lambda x: F.col("t").contains(x))).select("query_id", "doc_id")
+    """All terms as substrings: an automaton of the queries' terms goes over each text once."""
+    low = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    terms = text_queries(spark, sf).select("query_id", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("n"))
+    hits = evidence.containment(low, terms.select(F.col("term").alias("item_id"), F.col("term").alias("text")).distinct())
+    found = hits.withColumnRenamed("item_id", "term").join(rel.checked_broadcast(terms), "term").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("found"))
+    return found.where("found = n").select("query_id", "doc_id")
 
 
 def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,10 +108,16 @@ def a14(spark: SparkSession, sf: str) -> DataFrame:
     return fused(spark, sf).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query("a13_best_child", FUSED_SQL + "p AS (SELECT query_id, source, round(score, 6) AS score, doc_id FROM fused JOIN documents USING (doc_id)) SELECT query_id, source, max(score) AS score, min(doc_id) FILTER (score = top) AS doc_id FROM (SELECT *, max(score) OVER (PARTITION BY query_id, source) AS top FROM p) GROUP BY 1, 2")
+@query(
+    "a13_best_child",
+    FUSED_SQL + "p AS (SELECT f.query_id, source, round(f.score, 6) AS score, f.doc_id, l.score AS lexical_score FROM fused f JOIN documents USING (doc_id) LEFT JOIN (SELECT * FROM lex WHERE rank <= 20) l ON l.query_id = f.query_id AND l.doc_id = f.doc_id), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS r FROM p) SELECT query_id, source, max(score) AS score, min(doc_id) FILTER (r = 1) AS doc_id, arg_min(lexical_score, r) FILTER (lexical_score IS NOT NULL) AS lexical_score FROM o GROUP BY 1, 2",
+)
 def a13(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups by their best child; the lexical score is carried over from the best child that has one."""
     rows = fused(spark, sf).withColumn("score", F.round("score", 6)).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    return ret.best_of_parent(rows, "source", "doc_id")
+    known = lexical(spark, sf).select("query_id", "doc_id", F.col("score").alias("lexical_score"))
+    return ret.carried(rows.join(known, ["query_id", "doc_id"], "left"), "source", "doc_id", "score", "lexical_score")
 
 
 @query("r05_hybrid_search", FUSED_SQL + "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM fused) WHERE r <= 20), g AS (SELECT query_id, source, max(round(score, 6)) AS score FROM top JOIN documents USING (doc_id) GROUP BY 1, 2) SELECT query_id, source, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source) AS INT) AS rank FROM g) WHERE rank <= 5")
@@ -126,11 +135,19 @@ def r06(spark: SparkSession, sf: str) -> DataFrame:
     return ret.rrf(lists, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("j16_best_chunk", BM25_SQL + "SELECT query_id, source, arg_min(doc_id, rank) AS doc_id FROM lex JOIN documents USING (doc_id) GROUP BY 1, 2")
+@query(
+    "j16_best_chunk",
+    BM25_SQL + f", vec AS (SELECT query_id, source, doc_id, rank FROM ({NEAR_SQL}) JOIN documents USING (doc_id) WHERE rank <= 20), l AS (SELECT query_id, source, arg_min(doc_id, rank) AS doc_id FROM lex JOIN documents USING (doc_id) GROUP BY 1, 2), "
+    "v AS (SELECT query_id, source, arg_min(doc_id, rank) AS doc_id FROM vec GROUP BY 1, 2), p AS (SELECT query_id, source FROM l UNION SELECT query_id, source FROM v) "
+    "SELECT p.query_id, p.source, coalesce(CAST(l.doc_id AS VARCHAR), 'parent::' || p.source) AS key, coalesce(l.doc_id, v.doc_id) AS doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'lexical' ELSE 'vector' END AS by "
+    "FROM p LEFT JOIN l ON l.query_id = p.query_id AND l.source = p.source LEFT JOIN v ON v.query_id = p.query_id AND v.source = p.source",
+)
 def j16(spark: SparkSession, sf: str) -> DataFrame:
-    hits = ret.bm25(table(spark, sf, "documents"), "doc_id", text.words("text"), text_queries(spark, sf)).withColumn("score", F.round("score", 6))
-    rows = hits.join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    return ret.best_of_parent(rows, "source", "doc_id").select("query_id", "source", "doc_id")
+    """The document that stands for each source: the best by words, else the nearest by vector under a key of the source's own."""
+    of = table(spark, sf, "documents").select("doc_id", "source")
+    words = ret.bm25(table(spark, sf, "documents"), "doc_id", text.words("text"), text_queries(spark, sf)).withColumn("score", F.round("score", 6)).join(of, "doc_id")
+    near = by_vector(spark, sf).join(of, "doc_id")
+    return ret.attach_chunks(words.select("query_id", "source").union(near.select("query_id", "source")), words, near, "source", "doc_id")
 
 
 @query("a15_shared_references", "SELECT l_partkey, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_partkey HAVING count(*) >= 20 ORDER BY n DESC, l_partkey LIMIT 50")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import relational as rel
+from ..session import cut
 from ..sources import connectors, files
 from ..sources.tables import table
-from ..streaming import ledgers
+from ..streaming import ledgers, rounds
 from .registry import query
 from .views import view, with_views
 
@@ -42,13 +43,13 @@ def s04(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
-@query("s05_profile", "SELECT 5.0::DOUBLE AS half_life, 0.2::DOUBLE AS recency")
+@query("s05_profile", "SELECT source, CASE WHEN n % 3 = 0 THEN n / 10.0 ELSE 3.0 END::DOUBLE AS half_life, CASE WHEN n % 2 = 0 THEN 0.5 ELSE 0.2 END::DOUBLE AS recency FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 def s05(spark: SparkSession, sf: str) -> DataFrame:
-    """A profile with one good and one broken field over defaults."""
-    path = files.work_dir(spark, "profile")
-    spark.range(1).select(F.lit("half_life: 5.0\nrecency: often").alias("value")).write.text(path)
-    p = files.profile(spark, path, {"half_life": 3.0, "recency": 0.2})
-    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in p.items()))
+    """A profile for each source, some settings broken or missing, over defaults."""
+    n = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    good = F.concat(F.lit("half_life: often\nhalf_life:  "), (F.col("n") / 10).cast("string"), F.lit("  # years"))
+    body = F.concat(F.when(F.col("n") % 3 == 0, good).otherwise("half_life: 5 years"), F.when(F.col("n") % 2 == 0, "\n recency: 0.5").otherwise("\nrecent: 0.5"))
+    return files.profiles(n.select("source", body.alias("text")), "source", "text", {"half_life": 3.0, "recency": 0.2})
 
 
 @query("s06_connectors", "SELECT doc_id, 'crossref' AS module, lang AS language, 1 AS n_authors FROM documents UNION ALL SELECT doc_id, 'semantic_scholar', NULL, 2 FROM documents")
@@ -61,10 +62,13 @@ def s06(spark: SparkSession, sf: str) -> DataFrame:
     return connectors.normalize(responses, ("crossref", "semantic_scholar")).select(F.col("doi").cast("long").alias("doc_id"), F.col("source_module").alias("module"), "language", F.size("authors").alias("n_authors"))
 
 
-@query("s09_text_scan", "SELECT page_id, length(html) AS n_chars FROM pages")
+@query(
+    "s09_text_scan",
+    "SELECT page_id, length(t) AS n_chars, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END::BIGINT AS n_words, t <> '' AS readable FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages)",
+)
 def s09(spark: SparkSession, sf: str) -> DataFrame:
-    """Page texts by key, as a scan of documents' pages gives them."""
-    return table(spark, sf, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"))
+    """What pages show, as a scan of documents' pages gives it, and which have no text at all."""
+    return files.page_texts(table(spark, sf, "pages"), "page_id", "html").drop("text")
 
 
 @query("s10_sections")
@@ -143,3 +147,22 @@ def z05(spark: SparkSession, sf: str) -> DataFrame:
 def z06(spark: SparkSession, sf: str) -> DataFrame:
     """Rounds of one hundred labels, the points at which a ranking is made anew."""
     return view(spark, sf, "ledger").groupBy(F.floor(F.col("ord") / 100).alias("round")).agg(F.count("*").alias("n"))
+
+
+@query("z06_model_rounds")
+def z06m(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of documents arrive in two deliveries; after every fiftieth label of a language its model is made anew, and shows the
+    ten documents that come next. A test holds the rounds against a plain version."""
+    buckets, interval = 4096, 50
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality is not null").select("doc_id", "quality"), "doc_id")
+    rows = rows.select("lang", "doc_id", (F.col("quality") == 0).alias("hit"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("delivery"), rounds.hashed_tokens("text", buckets).alias("tokens"))
+    placed = rel.positions(rows.select("lang", "delivery", "doc_id"), ["lang", "delivery", "doc_id"])
+    first = placed.groupBy("lang").agg(F.min("pos").alias("first"))
+    rows = cut(rows.join(placed.join(first, "lang").select("doc_id", (F.col("pos") - F.col("first") + 1).alias("place")), "doc_id"))
+    base = files.work_dir(spark, "rounds")
+    for i in range(2):
+        rows.where(F.col("delivery") == i).select("lang", "place", "hit", "tokens").write.mode("append").parquet(f"{base}/in")
+        models = rounds.model_rounds(ledgers.stream(spark, f"{base}/in", None), "lang", "place", "hit", "tokens", interval, buckets)
+        models.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema("lang string, round long, labels long, w array<double>").parquet(f"{base}/out")
+    return rounds.next_in_line(done, rows, "lang", "doc_id", "tokens", "place", 10)

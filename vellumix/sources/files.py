@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +75,26 @@ def profile(spark: SparkSession, path: str | None, defaults: dict[str, float]) -
     return out
 
 
+def profiles(df: DataFrame, key: str, text: str, defaults: dict[str, float]) -> DataFrame:
+    """key and a column for each setting: ``profile`` for many texts of "key: number" lines, one a row; of a setting that stands
+    there several times the last good one counts."""
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\n")
+
+    def setting(name: str, default: float) -> Column:
+        good = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, rf"^\s*{name}\s*:\s*(-?[\d.]+)\s*(?:#.*)?$", 1).try_cast("double")), lambda v: v.isNotNull())
+        return F.coalesce(F.try_element_at(good, F.lit(-1)), F.lit(default)).alias(name)
+
+    return df.select(key, *(setting(k, v) for k, v in defaults.items()))
+
+
+def page_texts(df: DataFrame, key: str, html: str) -> DataFrame:
+    """key, text, n_chars, n_words, readable: what a page shows, without scripts, styles, comments and tags, blanks collapsed."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    shown = F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("text")
+    rows = df.select(key, shown)
+    return rows.select(key, "text", F.length("text").cast("long").alias("n_chars"), F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " "))).cast("long").alias("n_words"), (F.col("text") != "").alias("readable"))
+
+
 def replace_sets(df: DataFrame, path: str, key: str) -> None:
     """Replaces the whole set of rows of each key that df holds; sets of other keys stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
