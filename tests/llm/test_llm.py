@@ -447,7 +447,7 @@ def test_salvage(plain):
     assert [r.payload for r in got] == [r[2] for i, r in enumerate(records) if i not in hurt]
     assert [(a, b) for a, b, _ in gaps] == [(starts[h], starts[h + 1]) for h in sorted(hurt)]
     out = list(warc.salvage(b"noise" + data[:-9]))
-    assert out[0][:2] == (0, 5) and sum(isinstance(x, warc.Record) for x in out) == len(records) - 1
+    assert out[0][:2] == (0, 5) and sum(isinstance(x, warc.Record) for x in out) == len(records) - plain
     assert list(warc.salvage(b"")) == []
 
 
@@ -480,10 +480,26 @@ def test_salvage_within_a_member(monkeypatch):
     began = time.time()
     archive = b"".join(warc.member(warc.record(i, "u", rng.randbytes(3000))) for i in range(8000))
     assert sum(isinstance(x, warc.Record) for x in warc.salvage(archive)) == 8000 and time.time() - began < 20
-    monkeypatch.setattr(warc, "MOST", len(b"".join(plain[:3])) + 10)
-    assert found(warc.member(b"".join(plain)) + warc.member(warc.record(99, "u", b"behind"))) == [*want()[:3], b"behind"]
+    for stretch in (1, 100, 5000):  # a member's content in stretches far smaller than a record
+        monkeypatch.setattr(warc, "STRETCH", stretch)
+        assert found(warc.member(b"".join(plain)) + warc.member(warc.record(99, "u", b"behind"))) == [*want(), b"behind"]
+        assert found(warc.member(b"".join(bad))) == want(7, 20)
     monkeypatch.undo()
 
+    for n in range(1, 9):  # of the gzip trailer, or of what ends the record
+        assert found(warc.member(plain[3])[:-n]) == [rows[3][2]], n
+        assert found(plain[3][: -min(n, 4)]) == [rows[3][2]]
+    other = lambda old, new, p=plain[3]: found(warc.member(p.replace(old, new, 1)))
+    sha = re.search(rb"WARC-Block-Digest: (\S+)", plain[3])[1]
+    block = plain[3].partition(b"\r\n\r\n")[2][:-4]
+    for spelling in (sha.replace(b"sha1", b"SHA1"), sha.replace(b"sha1", b"sha-1"), b"sha256:" + hashlib.sha256(block).hexdigest().encode(), b"blake3:what", b"sha1:" + hashlib.sha1(block).hexdigest().upper().encode()):
+        assert other(sha, spelling) == [rows[3][2]], spelling
+    assert other(sha, b"sha256:" + hashlib.sha256(b"else").hexdigest().encode()) == []
+    assert other(b"WARC-Date: ", b"WARC-Date:\r\n  ") == other(b"WARC/1.1", b"WARC/0.18") == other(b"WARC/1.1", b"WARC/0.17") == [rows[3][2]]
+    assert other(b"WARC/1.1", b"WARC/3.1") == []
+    bare = re.sub(rb"WARC-Block-Digest: \S+\r\n", b"", plain[3])
+    assert found(warc.member(bare)) == [rows[3][2]] and found(warc.member(bare)[:-1] + b"?") == []
+
     long = warc.record(1, "http://x/" + "y" * 200_000, b"payload")
     assert found(warc.member(long)) == found(long) == [b"payload"]
 

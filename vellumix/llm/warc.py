@@ -2,18 +2,20 @@
 
 Writing. One gzip member per record, archives of about ``ARCHIVE`` bytes, which the query writes to the shared folder. Of
 records with equal payloads the one with the largest page_id is a response, the others are revisits that refer to it.
-The equal payloads are found by their SHA-1 and length in an aggregate over narrow rows, of which those of several pages
+The equal payloads are found by their SHA-256 in an aggregate over narrow rows, of which those of several pages
 are written. They are few as a rule, and then looked up without moving any payload; if not, only those that over ``HOT``
 pages share are, and the others are joined by digest. So no payload's pages meet in one task, however many share it.
 
-Reading goes member by member, and in a member record by record. A record whose version line, header, length, digest or
-end fails is quarantined, and reading goes on at the next version line of the member's content. Of a member that is cut
-off the records that did inflate are given, but for one that ends where the content does; of one that doesn't inflate further or whose CRC fails, those whose block
-digest holds. The reader then searches for the next byte position at which a gzip member that inflates to a version line
+Reading goes member by member, and in a member record by record, inflating no more than the record at hand needs. A
+record whose block digest can be computed is judged by it alone: if it holds, the record is good, whatever of the bytes
+behind it or of the member's CRC is missing or wrong. A digest in an algorithm or spelling that can't be read says
+nothing. A record whose version line, header, length, digest or (without a digest) end fails is quarantined, and reading
+goes on at the next version line of the member's content. Records without such a digest are not taken from members that
+fail to inflate or whose CRC fails, nor where one ends at the place at which a member is cut off. Header lines may be
+folded. The reader then searches for the next byte position at which a gzip member that inflates to a version line
 begins, or a plain version line. Each damage is logged as a gap with its reason: the bytes up to that position, or all
 bytes of the member if the damage lies in its content. Archives may mix gzip members and plain records. Inflating takes
-time in proportion to the archive, and stops at ``MOST`` bytes of one member: what a binary column could not hold anyway
-is logged as a gap behind the records before it.
+time in proportion to the archive, twice over.
 
 Defined cases: a null page text is an empty payload, a null url an empty one; empty payloads are equal like others; of
 rows that share the largest page_id that with the greatest url is the response, and rows alike in all three are one
@@ -28,7 +30,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -41,12 +43,10 @@ from ._common import BROADCAST_ROWS, prepare, read, stored
 ARCHIVE = 4 << 20
 LEVEL = 6
 DATE = "2020-01-01T00:00:00Z"
-VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-#: Bytes after which a damaged member's inflating can be taken up again.
-PIECE = 1 << 14
-#: Bytes of a member's content that are inflated.
-MOST = 1 << 30
+VERSION = re.compile(rb"WARC/(?:1\.[01]|0\.1[78])\r\n")
+START = re.compile(rb"\x1f\x8b\x08|WARC/(?:1\.[01]|0\.1[78])\r\n")
+#: Bytes after which a damaged member's inflating can be taken up again, and those of a member's content that are inflated at once.
+PIECE, STRETCH = 1 << 14, 1 << 20
 #: Pages of one payload from which they are looked up rather than joined, where too many payloads repeat to look up all.
 HOT = 1 << 14
 
@@ -87,6 +87,9 @@ def member(data: bytes, level: int = LEVEL) -> bytes:
 
 
 CUT = "gzip: the member is cut off"
+END = b"\r\n\r\n"
+#: Digests that can be computed, and their lengths.
+DIGESTS = {"sha1": 20, "sha256": 32, "sha512": 64, "md5": 16}
 
 
 class Damage(Exception):
@@ -104,93 +107,157 @@ class Record:
         """The block behind its HTTP header, or whole if it has none."""
         if not self.headers.get("content-type", "").startswith("application/http"):
             return self.block
-        head, mark, body = self.block.partition(b"\r\n\r\n")
+        head, mark, body = self.block.partition(END)
         return body if mark else b""
 
     def http_length(self) -> int | None:
-        m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", self.block.partition(b"\r\n\r\n")[0])
+        m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", self.block.partition(END)[0])
         return int(m[1]) if m else None
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
-    """The content of the gzip member at a position as far as it inflates, the end of what was read, and what is wrong."""
-    z, out, room, start, step = zlib.decompressobj(31), [], MOST, at, PIECE // 4
+def named_digest(value: str | None) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of a digest header ("sha1:BASE32", "SHA-256:hex"); null for one that can't be computed or read."""
+    name, mark, text = (value or "").partition(":")
+    name, text = name.strip().lower().replace("-", ""), text.strip()
+    if not mark or name not in DIGESTS:
+        return None
     try:
-        while at < len(data) and not z.eof and room:
-            piece = data[at : at + step]  # what lies behind the member is copied once a piece, not once a member
-            out.append(z.decompress(piece, room))
-            room -= len(out[-1])
-            at += len(piece) - len(z.unused_data) - len(z.unconsumed_tail)
-            step = min(step * 2, 1 << 20)
-    except zlib.error as e:
-        return *_inflate_part(data, start), f"gzip: {e}"[:60]
-    return b"".join(out), at, None if z.eof else CUT if room else "gzip: the member is too long"
-
-
-def _inflate_part(data: bytes, at: int) -> tuple[bytes, int]:
-    """The same of a member known to fail: by pieces, and the piece that fails by bytes."""
-    z, out, room = zlib.decompressobj(31), [], MOST
-    before = z
-    while at < len(data) and room > 0:
-        before = z.copy()
+        raw = bytes.fromhex(text) if len(text) == 2 * DIGESTS[name] else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError:
+        return None
+    return (name, raw) if len(raw) == DIGESTS[name] else None
+
+
+class _Member:
+    """The content of the gzip member at a position, inflated step by step."""
+
+    def __init__(self, data: bytes, at: int) -> None:
+        self.data, self.start, self.at = data, at, at
+        self.z, self.step, self.given = zlib.decompressobj(31), PIECE // 4, 0
+        self.wrong: str | None = None
+        self.ended = False
+
+    def more(self) -> bytes:
+        """The next stretch of the content; empty once there is none."""
+        while not self.ended:
+            piece = self.data[self.at : self.at + self.step]  # what lies behind the member is copied once a piece, not once a member
+            if not piece:
+                self.ended, self.wrong = True, CUT
+                return b""
+            try:
+                out = self.z.decompress(piece, STRETCH)
+            except zlib.error as e:
+                self.ended, self.wrong = True, f"gzip: {e}"[:60]
+                return self._rest()
+            self.at += len(piece) - len(self.z.unused_data) - len(self.z.unconsumed_tail)
+            self.step = min(self.step * 2, STRETCH)
+            self.ended = self.z.eof
+            self.given += len(out)
+            if out:
+                return out
+        return b""
+
+    def _rest(self) -> bytes:
+        """What inflates before the bytes that fail: by pieces again, and the piece that fails by bytes."""
+        z, at, skip, out = zlib.decompressobj(31), self.start, self.given, []
+
+        def keep(x: bytes) -> None:
+            nonlocal skip
+            out.append(x[skip:])
+            skip = max(0, skip - len(x))
+
+        before = z
+        while at < len(self.data):
+            before = z.copy()
+            try:
+                keep(z.decompress(self.data[at : at + PIECE]))
+                at += PIECE
+            except zlib.error:
+                break
         try:
-            out.append(z.decompress(data[at : at + PIECE]))
-            room -= len(out[-1])
-            at += PIECE
+            while at < len(self.data):
+                keep(before.decompress(self.data[at : at + 1]))
+                at += 1
         except zlib.error:
-            break
-    try:
-        while at < len(data) and room > 0:
-            out.append(before.decompress(data[at : at + 1]))
-            room -= len(out[-1])
-            at += 1
-    except zlib.error:
-        pass
-    return b"".join(out), at
+            pass
+        self.at = at
+        return b"".join(out)
+
+
+def _never() -> bool:
+    return False
 
 
-def _one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The record at a position of plain bytes: headers, block, end."""
+def _one(data: bytes | bytearray, at: int, grow: Callable[[], bool] = _never) -> tuple[dict[str, str], bytes, int, bool]:
+    """The record at a position: headers, block, end, and whether a digest proves it. grow: gets more of data, false at its end."""
+    while len(data) < at + 12 and grow():
+        pass
     if not (m := VERSION.match(data, at)):
         raise Damage("no version line")
-    end = data.find(b"\r\n\r\n", m.end() - 2)
-    if end < 0:
-        raise Damage("the header does not end")
-    headers = {}
-    for line in data[m.end() : end].decode("utf-8", "replace").split("\r\n"):
+    while (end := data.find(END, m.end() - 2)) < 0:
+        if VERSION.search(data, at + 1) or not grow():
+            raise Damage("the header does not end")
+    headers: dict[str, str] = {}
+    last = None
+    for line in bytes(data[m.end() : end]).decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and last:  # a folded line
+            headers[last] = f"{headers[last]} {line.strip()}".strip()
+            continue
         name, mark, value = line.partition(":")
         if not mark:
             raise Damage("a header line has no colon")
-        headers[name.strip().lower()] = value.strip()
-    if not headers.get("content-length", "").isdigit():
+        last = name.strip().lower()
+        headers[last] = value.strip()
+    if not headers.get("content-length", "").isdecimal():
         raise Damage("no content length")
     start = end + 4
     stop = start + int(headers["content-length"])
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    while len(data) < stop + 4 and grow():
+        pass
+    known = named_digest(headers.get("warc-block-digest"))
+    whole = data[stop : stop + 4] == END
+    if not whole and (known is None or len(data) < stop):
         raise Damage("the block does not end where its length says")
-    block = data[start:stop]
-    if headers.get("warc-block-digest", own := f"sha1:{digest32(block)}") != own:
+    block = bytes(data[start:stop])
+    if known and hashlib.new(known[0], block).digest() != known[1]:
         raise Damage("block digest")
-    return headers, block, stop + 4
+    rest = next(k for k in range(4, -1, -1) if data[stop : stop + k] == END[:k])
+    return headers, block, stop + rest, known is not None
+
+
+def _records(member: _Member, at: int, wrong: str | None) -> Iterator[Record | str]:
+    """The records of a member's content, and the reason for each stretch that holds none. No more of the content is held than
+    one record, or what lies before the next version line."""
+    held, i = bytearray(), 0
 
+    def grow() -> bool:
+        x = member.more()
+        held.extend(x)
+        return bool(x)
 
-def _records(content: bytes, at: int, wrong: str | None) -> Iterator[Record | str]:
-    """The records of a member's content, and the reason for each stretch that holds none."""
-    i = 0
-    while i < len(content):
+    while True:
+        del held[:i]
+        i = 0
+        if not held and not grow():
+            return
         try:
-            headers, block, end = _one(content, i)
-            if wrong == CUT and end == len(content):
+            headers, block, i, sure = _one(held, 0, grow)
+            if wrong == CUT and not sure and i == len(held) and not grow():
                 yield "the record ends at the cut"
-            elif wrong not in (None, CUT) and "warc-block-digest" not in headers:
+            elif wrong not in (None, CUT) and not sure:
                 yield "no digest in a damaged member"
             else:
                 yield Record(at, headers, block)
-            i = end
         except Damage as e:
             yield str(e)
-            m = VERSION.search(content, i + 1)
-            i = m.start() if m else len(content)
+            i = 1
+            while not (m := VERSION.search(held, i)):
+                i = max(1, len(held) - 11)  # a version line may have begun
+                if not grow():
+                    return
+                del held[: i - 1]
+                i = 1
+            i = m.start()
 
 
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
@@ -198,9 +265,12 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
     at = 0
     while at < len(data):
         if data.startswith(b"\x1f\x8b\x08", at):
-            content, end, wrong = _inflate(data, at)
+            probe, size = _Member(data, at), 0  # what is wrong must be known before records without a digest are given
+            while x := probe.more():
+                size += len(x)
+            end, wrong = probe.at, probe.wrong
             reasons, found = [], False
-            for x in _records(content, at, wrong):
+            for x in _records(_Member(data, at), at, wrong):
                 if isinstance(x, Record):
                     found = True
                     yield x
@@ -208,13 +278,13 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
                     reasons.append(x)
             if wrong:  # its length is not known; plain lines in what gave records are part of it
                 end, reasons = _next(data, at + 1, end if found else at + 1), [wrong]
-            elif not content:
+            elif not size:
                 reasons = ["an empty member"]
             yield from ((at, end, r) for r in reasons)
             at = end
             continue
         try:
-            headers, block, end = _one(data, at)
+            headers, block, end, _ = _one(data, at)
             yield Record(at, headers, block)
             at = end
         except Damage as e:
@@ -241,7 +311,7 @@ def assign(pages: DataFrame, least: int = 0, small: int = BROADCAST_ROWS, hot: i
     """page_id, url, payload (binary), refers_to: null for responses. Payloads below least bytes are all responses."""
     prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    key = F.concat(F.sha1("payload"), F.lit(":"), F.length("payload").cast("string"))
+    key = F.sha2("payload", 256)
     groups = rows.where(F.length("payload") >= least).groupBy(key.alias("k")).agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n"))
     firsts = groups.where("n > 1 and top.page_id is not null").checkpoint()
     keyed = rows.withColumn("k", key)
@@ -308,13 +378,14 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
         if not isinstance(x, Record):
             return ("gap", *x, None, None, None, None, None, None, None)
         h, kind = x.headers, x.headers.get("warc-type")
-        named = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        named = named_digest(h.get("warc-payload-digest"))
         common = (kind, h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"))
         if kind == "revisit":
-            return ("record", x.offset, None, None, *common, named, x.http_length(), None)
+            told = base64.b32encode(named[1]).decode() if named and named[0] == "sha1" else h.get("warc-payload-digest")
+            return ("record", x.offset, None, None, *common, told, x.http_length(), None)
         body = x.payload
         own = digest32(body)
-        if named and named != own:
+        if named and hashlib.new(named[0], body).digest() != named[1]:
             return ("gap", x.offset, x.offset, "payload digest", *[None] * 7)
         return ("record", x.offset, None, None, *common, own, len(body), body if payloads else None)
 
