@@ -61,6 +61,12 @@ def unsigned_to_long(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver look for what nothing refers to any more, so that shuffle files and checkpoints of earlier rounds go
+    from the executors' disks while a long job runs, not at its end."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
     """Connected components of (u, v) edges of longs as rows (node, component), component being the smallest node.
 
@@ -80,6 +86,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
         if now == last:
             break
         last = now
+        del both, low, large, least, small
+        sweep(edges.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
