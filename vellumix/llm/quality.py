@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checked_broadcast, prepare, read, slices, stored, text_or_empty, texts
+from ._common import checked_broadcast, prepare, read, slices, stored, sweep, text_or_empty, texts
 
 ORDER, SIZE = 5, 256
 #: Share of a language's trusted documents that lie below its threshold.
@@ -49,6 +49,8 @@ ACCURACY = 100_000
 CHUNK, COUNTED = 1 << 18, 1 << 20
 #: Rows of n-grams with their log-probability (12 bytes each) that may be broadcast.
 LOOKUP = 8_000_000
+#: Rows up to which a table of fixed size (all n-grams of a low order, in two folds) is one partition.
+TABLE = 1 << 17
 #: Counts of repetition that are held against the trusted documents' beside the perplexity.
 REPEATS = ("doubled", "again")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -129,6 +131,12 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return rows.select("half", *(discount(k).alias(f"d{k}") for k in (1, 2, 3)))
 
 
+def _together(rows: DataFrame, k: int, size: int) -> DataFrame:
+    """Rows of distinct k-grams in one partition where there can't be more than ``TABLE`` of them, however large the input:
+    joins and sums of them then need no shuffle."""
+    return rows.coalesce(1) if 2 * size**k <= TABLE else rows
+
+
 def kneser_ney(counts: DataFrame, size: int = SIZE, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1: rows (half, g, p) of the n-grams seen, and (half, x, gamma), the weight of the order below.
 
@@ -137,6 +145,8 @@ def kneser_ney(counts: DataFrame, size: int = SIZE, order: int = ORDER) -> list[
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
         levels[k] = levels[k + 1].groupBy("half", (F.col("g") % size**k).alias("g")).agg(F.count("*").alias("c"))
+        levels[k] = _together(levels[k], k, size).checkpoint()
+    sweep(counts.sparkSession)
     out: list[tuple[DataFrame, DataFrame]] = []
     for k in range(1, order + 1):
         table = levels[k].withColumn("x", F.expr(f"g div {size}"))
@@ -148,7 +158,9 @@ def kneser_ney(counts: DataFrame, size: int = SIZE, order: int = ORDER) -> list[
         below = out[-1][0].select("half", F.col("g").alias("s"), F.col("p").alias("q")) if out else None
         seen = seen.join(below, ["half", "s"]) if below is not None else seen.withColumn("q", F.lit(1.0 / size))
         p = F.greatest(F.col("c") - F.col("off"), F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("q")
-        out.append((seen.select("half", "g", p.alias("p")).checkpoint(), ctx.select("half", "x", "gamma")))
+        out.append((seen.select("half", "g", p.alias("p")).checkpoint(), ctx.select("half", "x", "gamma").checkpoint()))
+        del levels[k], table, ctx, seen, below
+        sweep(counts.sparkSession)
     return out
 
 
@@ -156,12 +168,14 @@ def probabilities(grams: DataFrame, levels: list[tuple[DataFrame, DataFrame]], s
     """half, g, logp of distinct n-grams (half, g) of the top order, whether the model has seen them, their contexts, or none."""
     below = None
     for k, (seen, ctx) in enumerate(levels, 1):
-        need = grams.select("half", (F.col("g") % size**k).alias("g")).distinct() if k < len(levels) else grams.select("half", "g")
+        need = _together(grams.select("half", (F.col("g") % size**k).alias("g")).distinct(), k, size) if k < len(levels) else grams.select("half", "g")
         rows = need.withColumn("x", F.expr(f"g div {size}")).withColumn("s", F.col("g") % size ** (k - 1))
         rows = rows.join(seen, ["half", "g"], "left").join(ctx, ["half", "x"], "left")
         rows = rows.join(below, ["half", "s"]) if below is not None else rows.withColumn("q", F.lit(1.0 / size))
         p = F.coalesce(F.col("p"), F.coalesce("gamma", F.lit(1.0)) * F.col("q"))
-        below = rows.select("half", F.col("g").alias("s"), p.alias("q"))
+        last, below = below, rows.select("half", F.col("g").alias("s"), p.alias("q")).checkpoint()
+        del rows, need, last
+        sweep(grams.sparkSession)  # this order's shuffles go before the next one's come
     return below.select("half", F.col("s").alias("g"), F.log(F.greatest("q", F.lit(1e-12))).alias("logp"))
 
 
@@ -266,11 +280,13 @@ def join_totals(rows: DataFrame, scores: DataFrame) -> DataFrame:
 
 def log_scores(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]] | None, limit: int | None = None) -> DataFrame:
     """doc_id, lang, total, n, words, doubled, again of each row of docs. Without a model all totals are 0."""
-    rows = _measured(docs)
+    rows, modelled = _measured(docs), levels is not None
     scores = probabilities(distinct_ngrams(rows).checkpoint(), levels) if levels else rows.select("half", F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("logp")).where("false")
     scores = scores.checkpoint()
+    del levels
+    sweep(docs.sparkSession)
     limit = LOOKUP if limit is None else limit
-    small = levels is not None and scores.limit(limit + 1).count() <= limit
+    small = modelled and scores.limit(limit + 1).count() <= limit
     return looked_up_totals(rows, scores) if small else join_totals(rows, scores)
 
 
@@ -289,6 +305,7 @@ def perplexity(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
     prepare(docs.sparkSession)
     ids = checked_broadcast(trusted_ids(labels)).withColumn("trusted", F.lit(True))
     scored = log_scores(docs, train(docs, labels)).join(ids, "doc_id", "left").checkpoint()
+    sweep(docs.sparkSession)
     trusted = scored.where("trusted")
     names = ("total", *REPEATS)
     mean = {x: F.sum(x) / F.sum("words") for x in REPEATS} | {"total": -F.sum("total") / F.sum("n")}
