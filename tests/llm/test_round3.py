@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import gc
 import weakref
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from vellumix.llm import _common, quality
+from vellumix.llm import _common, quality, toxicity
 
 
 def test_sweep_frees_frames_in_cycles(spark):
@@ -30,3 +32,44 @@ def test_low_orders_take_one_partition(spark):
     counts = spark.range(5000).select((F.col("id") % 2).cast("int").alias("half"), (F.col("id") * 7919).alias("g"), F.lit(1).cast("long").alias("c")).repartition(6)
     parts = [seen.rdd.getNumPartitions() for seen, _ in quality.kneser_ney(counts)]
     assert parts[:2] == [1, 1] and quality.SIZE**3 * 2 > quality.TABLE
+
+
+def toxic_rows(n):
+    """Texts of which every fourth is toxic, told by one of 300 words that few texts share."""
+    rng = np.random.default_rng(5)
+    return [(i, " ".join([*(f"w{k}" for k in rng.integers(0, 400, 30)), *([f"bad{rng.integers(0, 300)}"] * (i % 4 == 0))]), "en", int(i % 4 == 0)) for i in range(n)]
+
+
+def test_toxicity_learns_from_every_label(spark):
+    """Counts and shards cover all labelled documents that are not held out, and what they learn holds for the others."""
+    rows = toxic_rows(9500)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    _common.prepare(spark)
+    found = toxicity.labelled(docs, labels)
+    want = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert len(want) > 7500 and found.count() == len(want)
+    plain = toxicity.bucket_counts([toxicity.word_hashes(r[1].encode()) for r in want], np.array([r[3] for r in want]))
+    assert (toxicity.count_buckets(found) == plain).all()
+    model = toxicity.fit(docs, labels, shard=1500)
+    p = {r.doc_id: r.predicted for r in toxicity.classify(docs, model).collect()}
+    held = [r for r in rows if not zlib.crc32(str(r[0]).encode()) % 5]
+    assert sum(p[r[0]] == r[3] for r in held) > 0.97 * len(held) and "en" in model.thresholds
+
+
+def test_toxicity_long_texts_train_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    rows, y = [rng.integers(0, 500, n).astype(np.uint32) for n in [5, 0, 40, 200, 1000] * 16], np.arange(80) % 2
+    whole = toxicity.train_model(rows, y).rows()
+    monkeypatch.setattr(toxicity, "CHUNK", 64)
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(whole, toxicity.train_model(rows, y).rows(), strict=True))
+
+
+def test_binned_threshold():
+    rng = np.random.default_rng(8)
+    step = rng.integers(-40, 40, 500)
+    y = (step + rng.normal(0, 15, 500) > 5).astype(int)
+    at = np.unique(step)
+    odds = toxicity.binned_threshold(at, *(np.array([np.sum((step == s) & (y == k)) for s in at]) for k in (1, 0)))
+    want = toxicity.best_threshold(step.astype(float), y.astype(float))
+    assert odds * toxicity.STEPS == want
