@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from vellumix.llm import _common, quality, toxicity
+from vellumix.llm import _common, _similar, quality, toxicity
 
 
 def test_sweep_frees_frames_in_cycles(spark):
@@ -73,3 +73,40 @@ def test_binned_threshold():
     odds = toxicity.binned_threshold(at, *(np.array([np.sum((step == s) & (y == k)) for s in at]) for k in (1, 0)))
     want = toxicity.best_threshold(step.astype(float), y.astype(float))
     assert odds * toxicity.STEPS == want
+
+
+def test_signatures_are_simhashes():
+    """A bit is set if set in over half of the shingles' hashes, so bits differ as the angle of the shingle sets says."""
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 1 << 63, 700, dtype=np.uint64))
+    one = lambda h: np.unpackbits(_similar.signature(np.array([h], np.uint64)))
+    votes = np.sum([one(h).astype(int) for h in base], axis=0)
+    sure = 2 * votes != len(base)
+    assert (np.unpackbits(_similar.signature(base))[sure] == (2 * votes > len(base))[sure]).all()
+    differ = []
+    for _ in range(60):
+        h = rng.permutation(np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64)))
+        a, b = np.sort(h[:800]), np.sort(h[100:])  # 700 of 900 shared
+        differ.append(np.unpackbits(_similar.signature(a) ^ _similar.signature(b)).mean())
+    assert abs(np.mean(differ) - np.arccos(700 / 800) / np.pi) < 0.01
+
+
+def test_pairs_at_the_limit_are_posted_together():
+    rng = np.random.default_rng(10)
+    met = 0
+    for _ in range(400):
+        h = rng.permutation(rng.integers(0, 1 << 63, 360, dtype=np.uint64))
+        a, b = (_similar.signature(np.sort(x)) for x in (h[:324], h[36:]))  # similarity 0.8
+        same = a == b
+        met += any(same[p] and same[q] for p, q in _similar.POSITIONS) and same.sum() >= _similar.LEAST
+    assert met >= 0.985 * 400
+
+
+def test_components_of_few_edges_take_one_task(spark, monkeypatch):
+    _common.prepare(spark)
+    edges = spark.range(300).select("id", (F.col("id") + F.when(F.col("id") % 10 == 9, 0).otherwise(1)).alias("to")).repartition(5)
+    want = {i: i - i % 10 for i in range(300)}
+    rows = {r.node: r.component for r in _common.components(edges, "id", "to").collect()}
+    assert rows == want and _common.components(edges, "id", "to").rdd.getNumPartitions() == 2
+    monkeypatch.setattr(_common, "EDGES", 0)
+    assert {r.node: r.component for r in _common.components(edges, "id", "to").collect()} == want

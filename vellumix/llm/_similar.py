@@ -1,15 +1,18 @@
 """Groups of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash bits can't find these: at 0.8 some ten of 64 bits differ, so that no byte position surely agrees. The index is
-that of ``simhash``, but the bytes of a signature are those of the least hashes of its text's shingles, under one
-hash function for each of ``BYTES`` positions: two texts agree in a position as often as they are similar.
-
-Texts with equal shingles are one node. Nodes are posted under sets of four positions and their bytes; within a posting
-list the shared positional bytes of each pair are tallied, and pairs with at least ``LEAST`` of them are candidates. A
-pair at 0.8 is posted together with a probability of 0.998 and reaches the tally with 0.999; a test measures the recall.
-Candidates only make clusters: a spanning forest of each list's is kept, and what it connects is a cluster. Within a
-cluster every pair that reaches the tally is verified by the exact similarity of its texts, but for pairs that verified
-links connect already; so no link is lost to a stronger candidate that fails, and the groups do not depend on blocks.
+The method is that of ``simhash``: SimHash fingerprints, a byte-position index, count filtering, verification. At a
+similarity of 0.8 some 15 % of a fingerprint's bits differ, so 64 bits can't tell such pairs from others and no byte
+position surely agrees; these fingerprints have ``BYTES`` bytes, of which such a pair shares some 17 and texts without
+common shingles a quarter of one.
+
+Texts with equal shingles are one node. Nodes are posted under pairs of positions and their bytes: all pairs of each
+group of ``GROUP`` neighbouring positions. Within a posting list the shared positional bytes of each pair are tallied,
+and pairs with at least ``LEAST`` of them are candidates. A pair at 0.8 is posted together with a probability of 0.996
+and reaches the tally with 0.999; a test measures the recall. Candidates only make clusters: a spanning forest of each
+list's is kept, and what it connects is a cluster. Within a cluster every pair that reaches the tally is verified by the
+exact similarity of its texts, but for pairs that verified links connect already; so no link is lost to a stronger
+candidate that fails, and the groups do not depend on blocks. Postings are made and paired in ``PASSES`` passes over the
+positions, one after the other, so that the disk holds those of one pass.
 
 Lists with over ``BLOCK`` nodes are first compared with ``LEADERS`` of their nodes. The nodes that these link are one
 part; the others are compared with all, in pairs of blocks. Clusters with over ``BLOCK`` nodes are verified in the same
@@ -23,6 +26,7 @@ empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,13 @@ from pyspark.sql import functions as F
 from ._common import checked_broadcast, components, prepare, release, stored, sweep, text_or_empty, texts
 
 WORDS, SIMILARITY = 5, 0.8
-#: Positions of a signature, positions of a posting key, and shared positions of a candidate pair.
-BYTES, KEY, LEAST = 48, 4, 30
+#: Positions of a fingerprint, positions that are paired with each other, and shared positions of a candidate pair.
+BYTES, GROUP, LEAST = 64, 4, 7
+#: Pairs of positions whose bytes nodes are posted under, and the passes in which that is done.
+POSITIONS = [(g + a, g + b) for g in range(0, BYTES, GROUP) for a, b in combinations(range(GROUP), 2)]
+PASSES = 4
+#: Postings that are compared at once, about.
+POSTS = 1 << 14
 #: Nodes of a posting list or cluster that one task compares with each other, and leaders of a longer one.
 BLOCK, LEADERS = 1024, 16
 #: Long posting lists with their leaders (1 KB each) that may be broadcast.
@@ -42,7 +51,7 @@ LISTS = 20_000
 
 
 def _odd(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, BYTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(seed).integers(1, 1 << 63, BYTES // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 FACTORS, OFFSETS = _odd(1), _odd(2)
@@ -58,13 +67,18 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """A byte of the least hash of each position's function."""
-    low = np.full(BYTES, ~np.uint64(0))
-    for a in range(0, len(hashes), 2048):
-        x = hashes[a : a + 2048, None] ^ OFFSETS
-        x *= FACTORS
-        low = np.minimum(low, (x ^ x >> np.uint64(31)).min(axis=0))
-    return (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8)
+    """The SimHash of distinct shingle hashes in order: a bit is set if set in over half of them; if in just half, it is that
+    of the first. Each hash is drawn out to BYTES bytes."""
+    ones = np.zeros(BYTES * 8, np.int64)
+    first = ones
+    for a in range(0, len(hashes), 255):  # so that sums fit a byte
+        x = (hashes[a : a + 255, None] ^ OFFSETS) * FACTORS
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        bits = np.unpackbits((x ^ x >> np.uint64(32)).view(np.uint8).reshape(len(x), -1), axis=1)
+        first = first if a else bits[0]
+        ones += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones + first > len(hashes))
 
 
 def nodes_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -133,16 +147,84 @@ def _forests(dealt: DataFrame, by: list[str]) -> DataFrame:
     return dealt.select(*by, "side", "node", "sig").repartition(*by).sortWithinPartitions(*by, "side", "node").mapInArrow(run, "u long, v long").where("u <> v")
 
 
+def link_lists(run: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between nodes of equal run (in order) with at least LEAST shared bytes, as a forest."""
+    left, right = [], []
+    at = np.arange(len(run))
+    for shift in range(1, len(run)):
+        at = at[: np.searchsorted(at, len(run) - shift)]
+        at = at[run[at] == run[at + shift]]
+        if not len(at):
+            break
+        for a in range(0, len(at), POSTS):
+            own = at[a : a + POSTS]
+            own = own[(sig[own] == sig[own + shift]).sum(axis=1, dtype=np.uint8) >= LEAST]
+            left.append(own)
+            right.append(own + shift)
+    if not left:
+        return node[:0], node[:0]
+    label = np.arange(len(run))
+    a, b = np.concatenate(left), np.concatenate(right)
+    while True:  # each node takes the smallest label that it is linked with
+        low, before = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    moved = np.flatnonzero(label != np.arange(len(run)))
+    return node[label[moved]], node[moved]
+
+
+def _short_lists(posts: DataFrame) -> DataFrame:
+    """u, v: the links of whole lists of (key, node, sig)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush(cut: int | None) -> pa.RecordBatch:
+            key, node, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = len(key) if cut is None else int(np.searchsorted(key, key[-1]))  # the last list may go on
+            held[:] = [(key[cut:], node[cut:], sig[cut:])]
+            u, v = link_lists(key[:cut], node[:cut], sig[:cut])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BYTES)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), sig))
+            size += batch.num_rows
+            if size >= POSTS:
+                yield flush(0)
+                size = len(held[0][0])
+        if held:
+            yield flush(None)
+
+    return posts.select("key", "node", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
 def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """u, v: candidate links between distinct nodes (node, sig) that span every group of them."""
-    keys = F.array(*(F.struct(F.lit(i).alias("i"), F.substring("sig", i * KEY + 1, KEY).alias("k")) for i in range(BYTES // KEY)))
-    posts = nodes.select("node", "sig", F.explode(keys).alias("p")).select("p.i", "p.k", "node", "sig")
-    sizes = posts.groupBy("i", "k").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
-    posts = posts.join(checked_broadcast(sizes), ["i", "k"])
-    short = _forests(posts.where(F.col("n") <= block).withColumn("side", F.lit(0)), ["i", "k"])
-    if sizes.where(F.col("n") > block).isEmpty():
-        return short.distinct()
-    return short.union(_by_leaders(posts.where(F.col("n") > block).select("i", "k", "node", "sig"), block)).distinct()
+    found = None
+    step = -(-len(POSITIONS) // PASSES)
+    for first in range(0, len(POSITIONS), step):
+        group = lambda p: F.conv(F.hex(F.substring("sig", p // GROUP * GROUP + 1, GROUP)), 16, 10).cast("long")
+        byte = lambda p: F.shiftright(group(p), 8 * (GROUP - 1 - p % GROUP)).bitwiseAND(F.lit(255)).cast("int")
+        keys = F.array(*(F.lit(i << 16) + byte(a) * 256 + byte(b) for i, (a, b) in enumerate(POSITIONS[first : first + step], first)))
+        posts = nodes.select("node", "sig", F.explode(keys).alias("key"))
+        sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key").checkpoint()
+        if sizes.isEmpty():
+            links = _short_lists(posts)
+        else:
+            long = checked_broadcast(sizes)
+            links = _short_lists(posts.join(long, "key", "left_anti")).union(_by_leaders(posts.join(long, "key", "left_semi").select(F.lit(0).alias("i"), F.col("key").cast("string").cast("binary").alias("k"), "node", "sig"), block))
+        links = links if found is None else links.union(found)
+        found = links.distinct().checkpoint()
+        del posts, sizes, links
+        sweep(nodes.sparkSession)
+    return found
 
 
 def _by_leaders(posts: DataFrame, block: int) -> DataFrame:
@@ -271,8 +353,8 @@ def similar_groups(docs: DataFrame, text: str = "text", words: int = WORDS, simi
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     found = nodes_of(rows, words).checkpoint()
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    near = components(candidates(nodes.select("node", "sig"), block).checkpoint()).withColumnRenamed("component", "cluster").checkpoint()
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).checkpoint()
+    near = components(candidates(nodes.select("node", "sig"), block)).withColumnRenamed("component", "cluster").checkpoint()
     ids = nodes.join(near, "node").select(F.col("rep").alias("of")).distinct()
     some = rows.join(checked_broadcast(ids), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
     grams = with_grams(some, words).groupBy("node").agg(F.max("grams").alias("grams"))

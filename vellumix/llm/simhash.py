@@ -10,7 +10,8 @@ dealt out as pairs of blocks, so no task holds a whole hot list, and
 a task returns a spanning forest of the links it finds, never all pairs of a group. Equal fingerprints are collapsed
 before anything is paired.
 
-``keep_first``, for stages that take a similarity of 0.8 over five-word shingles, uses another signature, see ``_similar``.
+``keep_first``, for stages that take a similarity of 0.8 over five-word shingles, goes the same way with wider
+fingerprints and verifies the texts, see ``_similar``.
 
 Defined cases: a null text is empty; an empty or blank text has fingerprint zero and links like any other; rows
 repeated with one doc_id give one output row each; a null doc_id never names a component unless all members are null;
