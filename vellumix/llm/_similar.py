@@ -245,6 +245,8 @@ def _by_leaders(posts: DataFrame, block: int) -> DataFrame:
                         label = np.array([label[row].min() for row in near])
                 tally = (lead == np.frombuffer(sig, np.uint8)).sum(axis=1)
                 hit = np.flatnonzero(tally >= LEAST)
+                if node not in ids:  # leaders of one part are linked by their own rows
+                    hit = hit[np.unique(label[hit], return_index=True)[1]]
                 other = [h for h in hit if ids[h] != node]
                 link.append([ids[h] for h in other])
                 part.append(int(label[hit].min()) if len(hit) else -1)
