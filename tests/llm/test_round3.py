@@ -110,3 +110,37 @@ def test_components_of_few_edges_take_one_task(spark, monkeypatch):
     assert rows == want and _common.components(edges, "id", "to").rdd.getNumPartitions() == 2
     monkeypatch.setattr(_common, "EDGES", 0)
     assert {r.node: r.component for r in _common.components(edges, "id", "to").collect()} == want
+
+
+def test_near_copies_have_few_candidate_links(spark):
+    """Posting lists link the nodes of one group again and again; what goes on connects the same nodes by few links."""
+    _common.prepare(spark)
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 256, _similar.BYTES, dtype=np.uint8)
+    sigs = [np.where(rng.random(_similar.BYTES) < 0.4, rng.integers(0, 256, _similar.BYTES, dtype=np.uint8), base) for _ in range(400)]
+    nodes = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "node long, sig binary").repartition(3)
+    for block in (1024, 50):
+        links = _similar.candidates(nodes, block)
+        label = {r.node: r.component for r in _common.components(links).collect()}
+        assert links.count() <= 4 * len(sigs) and [label[i] for i in range(len(sigs))] == [0] * len(sigs)
+
+
+def test_star_forest_connects_the_same_nodes():
+    rng = np.random.default_rng(12)
+    u, v = rng.integers(-300, 300, (2, 260))
+    want = {x: x for x in np.concatenate([u, v]).tolist()}
+    for _ in want:
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            want[a] = want[b] = min(want[a], want[b])
+    a, b = _similar.star_forest(u, v)
+    assert dict(zip(b.tolist(), a.tolist(), strict=True)) == {x: y for x, y in want.items() if x != y}
+    assert [len(x) for x in _similar.star_forest(u[:0], v[:0])] == [0, 0]
+
+
+def test_spanning_holds_few_links(spark, monkeypatch):
+    _common.prepare(spark)
+    monkeypatch.setattr(_similar, "LINKS", 64)  # of parts that go out before all is read
+    rng = np.random.default_rng(13)
+    edges = spark.createDataFrame([(int(x) // 40 * 40 + int(y), int(x)) for x, y in zip(rng.integers(0, 800, 3000), rng.integers(0, 40, 3000), strict=True)], "u long, v long")
+    rows = lambda df: {(r.node, r.component) for r in _common.components(df).collect()}
+    assert rows(_similar.spanning(edges)) == rows(edges)

@@ -12,7 +12,9 @@ and reaches the tally with 0.999; a test measures the recall. Candidates only ma
 list's is kept, and what it connects is a cluster. Within a cluster every pair that reaches the tally is verified by the
 exact similarity of its texts, but for pairs that verified links connect already; so no link is lost to a stronger
 candidate that fails, and the groups do not depend on blocks. Postings are made and paired in ``PASSES`` passes over the
-positions, one after the other, so that the disk holds those of one pass.
+positions, one after the other, so that the disk holds those of one pass. Lists of one group of near copies link its
+nodes again and again, up to once a pair of positions. So of each flush of lists, and of each partition of a pass's links,
+only a spanning forest goes on, in which a node has one link to the smallest node that it is connected with.
 
 Lists with over ``BLOCK`` nodes are first compared with ``LEADERS`` of their nodes. The nodes that these link are one
 part; the others are compared with all, in pairs of blocks. Clusters with over ``BLOCK`` nodes are verified in the same
@@ -46,6 +48,8 @@ PASSES = 4
 POSTS = 1 << 14
 #: Nodes of a posting list or cluster that one task compares with each other, and leaders of a longer one.
 BLOCK, LEADERS = 1024, 16
+#: Links that a task holds before it makes a forest of them.
+LINKS = 1 << 18
 #: Long posting lists with their leaders (1 KB each) that may be broadcast.
 LISTS = 20_000
 
@@ -147,8 +151,43 @@ def _forests(dealt: DataFrame, by: list[str]) -> DataFrame:
     return dealt.select(*by, "side", "node", "sig").repartition(*by).sortWithinPartitions(*by, "side", "node").mapInArrow(run, "u long, v long").where("u <> v")
 
 
+def star_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links u-v as a forest: each node but the smallest of its component is linked with that."""
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(node))
+    while True:  # each node takes the smallest label that it is linked with
+        low, before = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    moved = np.flatnonzero(label != np.arange(len(node)))
+    return node[label[moved]], node[moved]
+
+
+def spanning(links: DataFrame) -> DataFrame:
+    """u, v: links that connect the same nodes, of each partition (all links of a v) a forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = np.zeros((2, 0), np.int64)
+        for batch in batches:
+            u, v = (np.concatenate([x, c.to_numpy()]) for x, c in zip((u, v), batch.columns, strict=True))
+            if len(u) < LINKS:
+                continue
+            u, v = star_forest(u, v)
+            if len(u) > LINKS // 2:  # so many nodes: what there is goes out, the rest are forests of their own
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                u, v = np.zeros((2, 0), np.int64)
+        u, v = star_forest(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return links.select("u", "v").repartition("v").mapInArrow(run, "u long, v long")
+
+
 def link_lists(run: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between nodes of equal run (in order) with at least LEAST shared bytes, as a forest."""
+    """Links between nodes of equal run (in order) with at least LEAST shared bytes, as a forest over all runs."""
     left, right = [], []
     at = np.arange(len(run))
     for shift in range(1, len(run)):
@@ -163,17 +202,8 @@ def link_lists(run: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[np.n
             right.append(own + shift)
     if not left:
         return node[:0], node[:0]
-    label = np.arange(len(run))
     a, b = np.concatenate(left), np.concatenate(right)
-    while True:  # each node takes the smallest label that it is linked with
-        low, before = np.minimum(label[a], label[b]), label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if np.array_equal(label, before):
-            break
-    moved = np.flatnonzero(label != np.arange(len(run)))
-    return node[label[moved]], node[moved]
+    return star_forest(node[a], node[b])
 
 
 def _short_lists(posts: DataFrame) -> DataFrame:
@@ -221,7 +251,7 @@ def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
             long = checked_broadcast(sizes)
             links = _short_lists(posts.join(long, "key", "left_anti")).union(_by_leaders(posts.join(long, "key", "left_semi").select(F.lit(0).alias("i"), F.col("key").cast("string").cast("binary").alias("k"), "node", "sig"), block))
         links = links if found is None else links.union(found)
-        found = links.distinct().checkpoint()
+        found = spanning(links).checkpoint()
         del posts, sizes, links
         sweep(nodes.sparkSession)
     return found
