@@ -485,6 +485,46 @@ def test_title_pairs_are_all_pairs(spark, block):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50
 
 
+def odd_titles(rng):
+    """Titles of up to 450 characters and edits of them: of few and of many letters, in words, repeated, with parts moved."""
+    out = []
+    for letters in ("ab", "etaoinshrdlu ", "etaoinshrdlucmfwypvbgkqjxz .é\U0001f600"):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(25)]
+        for n in (1, 2, 5, 12, 20, 33, 40, 70):
+            for _ in range(2):
+                t = " ".join(rng.choice(words) for _ in range(n)).strip() or "x"
+                out.append(t)
+                for _ in range(5):
+                    x = list(t)
+                    for _ in range(rng.choice([1, 2, len(x) // 12, len(x) // 8])):
+                        x[rng.randrange(len(x))] = rng.choice(["", letters[0], rng.choice(letters) + rng.choice(letters)])
+                    i = rng.randrange(len(x))
+                    out.append("".join(x[i:] + x[:i] if rng.random() < 0.2 else x).strip(" ") or "y")
+    return sorted({*out, *(("the " * k).strip() for k in (3, 40, 60, 64)), "q" + "the " * 60}, key=lambda t: (len(t) * 7919 % 31, t))
+
+
+def test_candidates_miss_no_pair():
+    titles = odd_titles(random.Random(4))
+    keys = np.arange(len(titles))
+    t = resolve.Titles(keys, keys, titles)
+    for block in (7, 512):
+        found = {(min(t.rep[a], t.rep[b]), max(t.rep[a], t.rep[b])) for p, q in resolve._candidates(t, t, 0.85, block) for a, b in zip(p, q, strict=True)}
+        want = {(i, j) for i in keys for j in keys[i + 1 :] if SequenceMatcher(None, titles[i], titles[j]).ratio() >= 0.85}
+        assert want <= found and len(want) > 100 and len(found) < len(keys) ** 2 / 4
+        assert any(len(titles[i]) >= 200 for i, _ in want)
+
+
+def test_title_pairs_in_parts(spark):
+    """Titles that don't fit one part meet all others once, wherever they lie; those of one owner are no pair."""
+    titles = odd_titles(random.Random(5))
+    rows = [(i, t, i % 3) for i, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "k long, title string, o long").repartition(3)
+    room = sum(len(t.encode()) for t in titles) // 3
+    got = sorted(map(tuple, resolve.title_pairs(df, "k", "title", 0.85, 16, room, "o").collect()))
+    want = [(i, j) for i, t, o in rows for j, u, p in rows[i + 1 :] if o != p and SequenceMatcher(None, t, u).ratio() >= 0.85]
+    assert got == sorted(want) and len(want) > 100
+
+
 def test_books_cascade(spark):
     from vellumix.operators import cascade
 
