@@ -455,6 +455,34 @@ def test_macro_and_gate(spark):
     assert got == {"s": (None, False), "t": (0.0, True)}
 
 
+def test_measures_by_class(spark):
+    """As by all pairs of queries and items of a label, of which no join makes rows; labels may be missing."""
+    rng = random.Random(2)
+    items = spark.createDataFrame([(i, rng.choice([None, 1, 2, 3])) for i in range(60)] + [(60, 9)], "v long, l int")
+    queries = items.where("v % 5 = 0").select(F.col("v").alias("query_id"), "l")
+    ranked = spark.createDataFrame([(q, v, r + 1) for q in range(0, 60, 5) for r, v in enumerate(rng.sample(range(60), 12))], "query_id long, v long, rank int")
+    pairs = queries.join(items, "l").select("query_id", "v")
+    got = retrieval.class_measures(ranked, queries, items, "v", "l", 10)
+    want = retrieval.measures(ranked, pairs, "v", 10)
+    plain = lambda df: sorted((r.query_id, *(round(x, 9) for x in r[1:])) for r in df.collect())
+    assert plain(got) == plain(want) and got.count() > 5
+
+
+def test_knn_keeps_the_first_of_equal_ones(spark):
+    """Against brute force over slices and batches, with repeated vectors and ones that come ever nearer."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.tile(rng.normal(size=(5, 4)), (900, 1)), np.linspace(9, 0, 3000)[:, None] * np.ones(4)])
+    keys = rng.permutation(len(x))
+    v = spark.createDataFrame([(int(k), row.tolist()) for k, row in zip(keys, x, strict=True)], "k long, v array<double>").coalesce(1)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in (0, 3, 4600, 7499)], "query_id long, q array<double>")
+    got = {}
+    for r in retrieval.knn(v, "k", "v", q, 7, block=3).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.k)
+    for i in (0, 3, 4600, 7499):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        assert got[i] == keys[np.lexsort((keys, d))[:7]].tolist()
+
+
 def test_lcs_many():
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcé \U0001f600") for _ in range(rng.choice([1, 5, 60, 64, 65, 130, 200]))) for _ in range(40)]

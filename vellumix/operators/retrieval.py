@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Queries that are compared with all vectors at a time.
-BLOCK = 1000
+#: Queries that are compared with all vectors at a time, and vectors that a task compares at a time.
+BLOCK, SLICE = 4000, 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -97,29 +97,34 @@ def _nearest(shared, key: str, k: int):
         worst = np.full(len(queries), np.inf)
         names: list[pa.Array] = []  # the keys of all rows so far, by place
         seen = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            if (sizes != q.shape[1]).any():
+        for batch in (rows.slice(at, SLICE) for rows in batches for at in range(0, rows.num_rows, SLICE)):
+            vectors = batch.column(1)
+            if (np.diff(vectors.offsets.to_numpy()) != q.shape[1]).any():
                 raise ValueError("vectors of different lengths")
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            near = norm[:, None] + (x * x).sum(axis=1)[None] - 2 * (q @ x.T)
-            rank = np.argsort(np.array(batch.column(0).to_pylist()), kind="stable")  # keys in order
-            slack = 1e-9 * (1 + np.abs(norm) + np.abs(near).max(axis=1))
-            kth = np.partition(near, k - 1, axis=1)[:, k - 1] if k <= near.shape[1] else np.full(len(q), np.inf)
-            for j in range(len(q)):
-                some = np.flatnonzero(near[j, rank] <= min(worst[j] ** 2, kth[j]) + 2 * slack[j])
-                if len(some):
-                    at = rank[some]
-                    d = np.sqrt(((x[at] - q[j]) ** 2).sum(axis=1))
-                    best[j] = np.concatenate([best[j][0], d]), np.concatenate([best[j][1], at + seen])
+            x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            far = (x * x).sum(axis=1)
+            near = norm[:, None] + far[None] - 2 * (q @ x.T)
+            slack = 1e-9 * (1 + norm + (np.sqrt(norm) + np.sqrt(far.max())) ** 2)
+            bound = worst**2
+            some = near <= (bound + 2 * slack)[:, None]
+            many = np.flatnonzero(some.sum(axis=1) > 2 * k)  # here the slice itself has k better ones
+            if len(many):
+                bound[many] = np.minimum(bound[many], np.partition(near[many], k - 1, axis=1)[:, k - 1])
+                some[many] = near[many] <= (bound + 2 * slack)[many, None]
+            found = np.flatnonzero(some.any(axis=1))
+            if not len(found):
+                continue
+            for j in found:
+                at = np.flatnonzero(some[j])
+                d = np.sqrt(((x[at] - q[j]) ** 2).sum(axis=1))
+                best[j] = np.concatenate([best[j][0], d]), np.concatenate([best[j][1], at + seen])
             names.append(batch.column(0))
             seen += batch.num_rows
             every = pa.chunked_array(names).combine_chunks()
             kept = np.unique(np.concatenate([b[1] for b in best]))
             label = np.array(every.take(pa.array(kept)).to_pylist())
-            for j, (d, at) in enumerate(best):
+            for j in found:
+                d, at = best[j]
                 order = np.lexsort((label[np.searchsorted(kept, at)], d))[:k]
                 best[j] = d[order], at[order]
                 if len(order) == k:
@@ -179,9 +184,24 @@ def attach_chunks(parents: DataFrame, lexical: DataFrame, vector: DataFrame, par
 
 def measures(ranked: DataFrame, relevant: DataFrame, key: str, k: int = 10) -> DataFrame:
     """query_id, recall, ndcg, rr at k; queries without relevant keys are left out. ranked: query_id, key, rank."""
-    hits = ranked.where(F.col("rank") <= k).join(relevant.select("query_id", key).distinct(), ["query_id", key])
+    pairs = relevant.select("query_id", key).distinct()
+    hits = ranked.where(F.col("rank") <= k).join(pairs, ["query_id", key])
+    return _measured(hits, pairs.groupBy("query_id").agg(F.count("*").alias("n")), k)
+
+
+def class_measures(ranked: DataFrame, queries: DataFrame, items: DataFrame, key: str, label: str, k: int = 10) -> DataFrame:
+    """``measures`` where all items (key, label) of a query's label (query_id, label) are relevant to it: they are counted by label, and
+    only ranked ones meet their query, as the pairs of queries and items of a label grow with the square of the items."""
+    items = items.select(key, label).where(F.col(label).isNotNull()).distinct()
+    queries = queries.select("query_id", label)
+    of = items.withColumnRenamed(label, "__of")
+    hits = ranked.where(F.col("rank") <= k).join(queries, "query_id").join(of, key).where(F.col(label) == F.col("__of"))
+    return _measured(hits, queries.join(items.groupBy(label).agg(F.count("*").alias("n")), label).select("query_id", "n"), k)
+
+
+def _measured(hits: DataFrame, total: DataFrame, k: int) -> DataFrame:
+    """The measures by the ranked keys that are relevant (query_id, rank), and the number of relevant ones (query_id, n)."""
     got = hits.groupBy("query_id").agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"), F.min("rank").alias("first"))
-    total = relevant.select("query_id", key).distinct().groupBy("query_id").agg(F.count("*").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     joined = total.join(got, "query_id", "left")
     return joined.select("query_id", (F.coalesce("found", F.lit(0)) / F.col("n")).alias("recall"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
