@@ -571,6 +571,30 @@ def test_cited_in(spark):
     assert got == {1: (2, True), 2: (1, False), 3: (1, True)}
 
 
+def test_cited_in_by_blocks(spark):
+    """Chapters of a year in blocks, repeated chapters, and papers with the same names, against all pairs."""
+    rng = random.Random(6)
+    names = ["Ab", "Béc", "Müll", "Del", "Eff", "Gar"]
+    papers = [(i, [rng.choice(names) for _ in range(rng.randint(0, 3))], rng.choice([None, 1999, 2001, 2005])) for i in range(40)]
+    texts = [" ".join(rng.choice([*names, "muell", "BEC", "so"]) for _ in range(rng.randint(0, 3))) + rng.choice([" 1999", " 2001 (1999)", " 12005", ""]) for _ in range(60)]
+    rows = [(rng.randrange(45), t) for t in texts]
+    forms = lambda n: {n.lower().replace("ü", "ue").replace("é", "e"), n.lower().replace("ü", "u").replace("é", "e")}
+    of = {}
+    for c, t in rows:
+        words, years = of.setdefault(c, (set(), set()))
+        words.update(f for w in re.findall(r"[^\W\d_]+", t) for f in forms(w))
+        years.update(int(r[i : i + 4]) for r in re.findall(r"\d{4,}", t) for i in range(len(r) - 3))
+    own = {i: (y, set().union(*(forms(n) for n in fs))) for i, fs, y in papers if y and fs}
+    want = {}
+    for i, (y, fs) in own.items():
+        hits = [c for c, (words, years) in of.items() if y in years and words & fs]
+        said = {f for c in hits for f in of[c][0] & fs}
+        if hits:
+            want[i] = (len(hits), any(f in g for f in said for k, (z, g) in own.items() if k != i and z == y))
+    got = evidence.cited_in(spark.createDataFrame(papers, "paper_id long, families array<string>, year int"), spark.createDataFrame(rows, "chapter_id long, text string"), block=5)
+    assert {r.paper_id: (r.chapters, r.ambiguous) for r in got.collect()} == want and len(want) > 15
+
+
 def test_context_sentence(spark):
     rows = [("Ein Titel", ["Kim"], 2001), ("Ein Titel", ["Kim", " ", "Lee"], None), (None, ["A", "B", "C"], 1999), (" ", [], 1999), ("x" * 400, None, None), ("wort " * 80, ["Kim"], 2001), ("lang" * 40 + " b", None, None)]
     c = text.context_sentence(F.lit("Methode"), F.lit(3), F.lit(4), F.lit(1), F.col("t"), F.col("a"), F.col("y"))

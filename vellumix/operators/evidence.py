@@ -6,7 +6,9 @@ import math
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .relational import checked_broadcast, range_join
 
 #: Bytes of quotes that are searched for at a time.
 BLOCK = 16 << 20
+#: Chapters of a year that are held at a time.
+CHAPTERS = 1 << 16
 
 
 def containment(docs: DataFrame, quotes: DataFrame, keep: bool = False, block: int = BLOCK) -> DataFrame:
@@ -80,28 +84,72 @@ def page_coverage(checks: DataFrame, samples: DataFrame, extents: DataFrame, wid
     return rows.select("check_id", status.alias("status"))
 
 
-def cited_in(papers: DataFrame, chapters: DataFrame) -> DataFrame:
+def cited_in(papers: DataFrame, chapters: DataFrame, block: int = CHAPTERS) -> DataFrame:
     """paper_id, chapters, ambiguous of papers (paper_id, families: array, year) that chapters (chapter_id, text) seem to cite.
 
     A chapter cites a paper if it holds its year and, as a word, one of its authors' family names in any of that name's forms
     (umlauts spelled out, accents dropped, with or without particles). chapters: how many do; ambiguous: in one of them another
-    paper with the same year and name would do as well. Words and years are distinct by chapter before they meet papers, and
-    only words that are family names are kept.
+    paper with the same year and name would do as well. Papers of one year with the same forms are one set. Sets meet the chapters
+    with their year, a block of these at a time, as lists of the chapters that hold a form: the pairs of a paper and a chapter,
+    which grow with the square, are counted but never made rows.
     """
     named = papers.where(F.col("year").isNotNull()).select("paper_id", F.col("year").cast("int").alias("year"), F.explode("families").alias("family")).where("family is not null")
-    forms = cut(named.select("paper_id", "year", F.explode(text.family_variants("family")).alias("form")).distinct())
+    forms = cut(named.select("paper_id", "year", F.explode(text.family_variants("family")).alias("form")).where("form <> ''").distinct())
+    many = forms.groupBy("form", "year").agg((F.count("*") > 1).alias("many"))
+    sets = cut(forms.join(many, ["form", "year"]).groupBy("paper_id", "year").agg(F.sort_array(F.collect_list(F.struct("form", "many"))).alias("f")))
     words = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\p{L}+)")))
-    tokens = chapters.select("chapter_id", F.explode(words).alias("word"))
-    spoken = tokens.select("chapter_id", F.explode(F.array_distinct(F.array(text.fold("word"), text.strip_accents("word")))).alias("form")).where("form <> ''")
-    spoken = spoken.join(checked_broadcast(forms.select("form").distinct()), "form", "left_semi").distinct()
+    spoken = F.filter(F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(text.fold(w), text.strip_accents(w))))), lambda f: f != "")
     runs = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\d{4,})"))
     within_run = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 3), lambda i: F.substring(r, i, F.lit(4)).cast("int"))
-    years = chapters.select("chapter_id", F.explode(F.array_distinct(F.flatten(F.transform(runs, within_run)))).alias("year"))
-    years = cut(years.join(checked_broadcast(forms.select("year").distinct()), "year", "left_semi").distinct())
-    hits = cut(spoken.join(forms.select("form", "year").distinct(), "form").join(years, ["chapter_id", "year"]).select("form", "year", "chapter_id"))
-    shared = forms.groupBy("form", "year").agg(F.countDistinct("paper_id").alias("papers"))
-    found = hits.join(forms, ["form", "year"]).join(shared, ["form", "year"])
-    return found.groupBy("paper_id").agg(F.countDistinct("chapter_id").alias("chapters"), F.max(F.col("papers") > 1).alias("ambiguous"))
+    read = chapters.select("chapter_id", spoken.alias("forms"), F.array_distinct(F.flatten(F.transform(runs, within_run))).alias("years"))
+    merged = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    whole = read.groupBy("chapter_id").agg(merged("forms"), merged("years"))
+    of_year = whole.select("chapter_id", "forms", F.explode("years").alias("year")).join(checked_broadcast(sets.select("year").distinct()), "year", "left_semi")
+    of_year = cut(of_year)
+    most = of_year.groupBy("year").count().agg(F.max("count")).first()[0] or 0
+    slices = max(1, math.ceil(most / block))
+    left = of_year.select("year", F.pmod(F.xxhash64("chapter_id"), F.lit(slices)).cast("int").alias("slice"), "forms")
+    right = sets.select("year", "f").distinct().select("year", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.col("f.form").alias("forms"), F.col("f.many").alias("many"))
+    keys = ["year", "slice"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_citing, "year int, forms array<string>, chapters long, ambiguous boolean")
+    sums = found.groupBy("year", "forms").agg(F.sum("chapters").alias("chapters"), F.max("ambiguous").alias("ambiguous"))
+    return sets.select("paper_id", "year", F.col("f.form").alias("forms")).join(sums, ["year", "forms"]).groupBy("paper_id").agg(F.sum("chapters").alias("chapters"), F.max("ambiguous").alias("ambiguous"))
+
+
+_CITING = pa.schema({"year": pa.int32(), "forms": pa.list_(pa.string()), "chapters": pa.int64(), "ambiguous": pa.bool_()})
+
+
+def _citing(chapters: pa.Table, sets: pa.Table) -> pa.Table:
+    """The sets of forms (year, slice, forms, many) with how many of the chapters (year, slice, forms) hold one of them."""
+    if not chapters.num_rows or not sets.num_rows:
+        return _CITING.empty_table()
+    wanted = sets["forms"].combine_chunks()
+    ends = np.cumsum(pc.list_value_length(wanted).to_numpy(zero_copy_only=False).astype(np.int64))
+    coded = wanted.flatten().dictionary_encode()
+    own, many = coded.indices.to_numpy(zero_copy_only=False), sets["many"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    spoken = chapters["forms"].combine_chunks()
+    at = pc.fill_null(pc.index_in(spoken.flatten(), value_set=coded.dictionary), -1).to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(spoken)), pc.list_value_length(spoken).to_numpy(zero_copy_only=False))
+    of, at = of[at >= 0], at[at >= 0]
+    of = of[np.argsort(at, kind="stable")]
+    stops = np.cumsum(np.bincount(at, minlength=len(coded.dictionary)))
+    starts = np.concatenate([[0], stops[:-1]])
+    n, ambiguous = np.zeros(len(ends), np.int64), np.zeros(len(ends), bool)
+    seen = np.zeros(len(spoken), bool)
+    for i, end in enumerate(ends):
+        begin = ends[i - 1] if i else 0
+        lists = [(starts[f], stops[f], m) for f, m in zip(own[begin:end], many[begin:end], strict=True) if stops[f] > starts[f]]
+        if len(lists) == 1:
+            n[i] = lists[0][1] - lists[0][0]
+        elif lists:
+            for a, b, _ in lists:
+                seen[of[a:b]] = True
+            n[i] = np.count_nonzero(seen)
+            for a, b, _ in lists:
+                seen[of[a:b]] = False
+        ambiguous[i] = any(m for _, _, m in lists)
+    some = pa.array(n > 0)
+    return pa.table({"year": sets["year"], "forms": sets["forms"], "chapters": pa.array(n), "ambiguous": pa.array(ambiguous)}).filter(some).cast(_CITING)
 
 
 def verify(claims: DataFrame, pages: DataFrame, threshold: float = 0.9) -> DataFrame:
