@@ -595,6 +595,27 @@ def test_cited_in_by_blocks(spark):
     assert {r.paper_id: (r.chapters, r.ambiguous) for r in got.collect()} == want and len(want) > 15
 
 
+def test_simulated_screening_in_many_rounds(spark):
+    """The order of each round as by scoring and sorting all that is left; equal texts by key, empty ones count for nothing."""
+    rng = random.Random(9)
+    words = ["alpha", "bravo", "delta", "gamma", "omega", "sigma", "theta"]
+    rows = [(rng.choice("pq"), i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 6]))), rng.choice([0, 0, 1])) for i in range(90)]
+    got = {}
+    for r in learn.simulate(spark.createDataFrame(rows, "p string, k long, text string, y int"), "p", "k", "y", 1, 0, interval=4).orderBy("position").collect():
+        got.setdefault(r.p, []).append((r.k, r.hit))
+    for p in "pq":
+        left, seen = [r for r in rows if r[0] == p], []
+        while left:
+            seen, left = seen + left[:4], left[4:]
+            c = [{w: sum(r[2].split().count(w) for r in seen if r[3] == y) for w in words} for y in (0, 1)]
+            if all(any(r[2] and r[3] == y for r in seen) for y in (0, 1)):
+                known = [w for w in words if c[0][w] + c[1][w]]
+                n = [sum(c[y].values()) + len(known) for y in (0, 1)]
+                weight = {w: float(np.log((c[1][w] + 1) / n[1]) - np.log((c[0][w] + 1) / n[0])) for w in known}
+                left.sort(key=lambda r: (-float(np.array([weight.get(w, 0.0) for w in r[2].split()]).sum()), r[1]))
+        assert [k for k, _ in got[p]] == [r[1] for r in seen] and [h for _, h in got[p]] == [r[3] == 1 for r in seen]
+
+
 def test_context_sentence(spark):
     rows = [("Ein Titel", ["Kim"], 2001), ("Ein Titel", ["Kim", " ", "Lee"], None), (None, ["A", "B", "C"], 1999), (" ", [], 1999), ("x" * 400, None, None), ("wort " * 80, ["Kim"], 2001), ("lang" * 40 + " b", None, None)]
     c = text.context_sentence(F.lit("Methode"), F.lit(3), F.lit(4), F.lit(1), F.col("t"), F.col("a"), F.col("y"))
