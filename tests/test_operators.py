@@ -483,6 +483,14 @@ def test_knn_keeps_the_first_of_equal_ones(spark):
         assert got[i] == keys[np.lexsort((keys, d))[:7]].tolist()
 
 
+def test_gate_searches_once(spark, monkeypatch):
+    from vellumix.plans import catalog
+
+    calls, knn = [], retrieval.knn
+    monkeypatch.setattr(retrieval, "knn", lambda *a, **k: calls.append(1) or knn(*a, **k))
+    assert catalog.queries()["a16_gate"](spark, SMALL).count() > 0 and len(calls) == 1
+
+
 def test_lcs_many():
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcé \U0001f600") for _ in range(rng.choice([1, 5, 60, 64, 65, 130, 200]))) for _ in range(40)]
